@@ -8,6 +8,7 @@ rows share is thus sent once by each block, and no task sees more than a range o
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -97,9 +98,9 @@ def ask(sent: DataFrame, bits: int, owners: int, answer: Callable) -> DataFrame:
         owner = table.column("owner")[0].as_py()
         parts = [golomb.decode(x.as_py(), owner, bits, owners) for x in table.column("body")]
         sender = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        said = answer(np.concatenate(parts), sender, table.column("extra").to_pylist())
+        told = answer(np.concatenate(parts), sender, table.column("extra").to_pylist())
         cuts = np.cumsum([0, *map(len, parts)])
-        replies = [np.packbits(x).tobytes() if x.dtype == bool else x.tobytes() for x in (said[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
+        replies = [zlib.compress(np.packbits(x) if x.dtype == bool else x, 1) for x in (told[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
         return pa.Table.from_batches([rows(REPLY, [table.column("block").to_pylist(), [owner] * len(parts), replies])])
 
     return sent.groupBy("owner").applyInArrow(own, REPLY)
@@ -110,9 +111,15 @@ def heard(h: np.ndarray, bits: int, owners: int, replies: pa.Table, dtype=bool)
     out = np.zeros(len(h), dtype)
     by = dict(zip(replies.column("owner").to_pylist(), replies.column("reply").to_pylist()))
     for o, a, b in golomb.by_owner(h, bits, owners):
-        out[a:b] = np.unpackbits(np.frombuffer(by[o], np.uint8))[: b - a].astype(bool) if dtype == bool else np.frombuffer(by[o], dtype)
+        out[a:b] = said(by[o], b - a, dtype)
     return out
 
 
+def said(reply: bytes, n: int, dtype=bool) -> np.ndarray:
+    """The n values of one reply."""
+    data = zlib.decompress(reply)
+    return np.unpackbits(np.frombuffer(data, np.uint8))[:n].astype(bool) if dtype == bool else np.frombuffer(data, dtype)
+
+
 def same_as_before(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate([[False], sorted_values[1:] == sorted_values[:-1]]) if len(sorted_values) else np.zeros(0, bool)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, jaccard_join, substring_dedup
 
 QUERIES = {
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 
 ORACLE_SQL = {

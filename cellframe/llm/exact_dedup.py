@@ -68,7 +68,7 @@ def suspects(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             owner, body, reply = (batch.column(i).to_pylist() for i in range(3))
             found = [golomb.decode(b, o, BITS, owners) for o, b in zip(owner, body)]
-            found = [h[np.unpackbits(np.frombuffer(r, np.uint8))[: len(h)].astype(bool)] for h, r in zip(found, reply)]
+            found = [h[blocks.said(r, len(h))] for h, r in zip(found, reply)]
             yield blocks.rows("fp long", [np.concatenate(found or [np.zeros(0, np.uint64)]).astype(np.int64)])
 
     sent = scratch.materialize(_fingerprints(docs, text).mapInArrow(tell, blocks.SENT), "fingerprints")
