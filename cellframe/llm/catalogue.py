@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, substring_dedup
+from . import bpe, exact_dedup, jaccard_join, packing, substring_dedup
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_bpe": bpe.op6_bpe,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 

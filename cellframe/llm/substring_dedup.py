@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +53,7 @@ class _Text:
     """Documents of a block in order of doc_id, with the places of their bytes."""
 
     def __init__(self, table: pa.Table):
-        self.table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending")])) if table.num_rows else table
+        self.table = table.take(pc.sort_indices(table, [("doc_id", "ascending")])) if table.num_rows else table
         self.buf, self.offsets = kernels.text_buffer(self.table.column("text"))
         self.ids = np.asarray(self.table.column("doc_id").combine_chunks().fill_null(_LAST), np.int64)
         self.sizes = np.diff(self.offsets)
@@ -112,15 +113,20 @@ def _has_mates(h: np.ndarray, sender: np.ndarray, extras: list[bytes]) -> np.nda
     return (any_several | (count > 1))[at]
 
 
+_PASSED = "_payload binary, _owner int, _block long, _body binary, _extra binary"
 _FOUND = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed(docs: DataFrame, length: int = 50, columns: list[str] | None = None, name: str = "substrings") -> DataFrame:
+def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = None, name: str = "substrings") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, for the removal of all bytes that some
-    ``length`` bytes cover which also start in a document of smaller doc_id. With ``columns``: these columns
-    of ``docs`` as well, ``text`` without the removed bytes (and without halves of characters)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in columns or ["text"] if c != "doc_id"))
-    carried = [f for f in docs.schema if columns and f.name in columns and f.name != "doc_id"]
+    ``length`` bytes cover which also start in a document of smaller doc_id. With ``carry`` (new names by
+    column): these columns of ``docs`` as well, and as ``_text`` the text without the removed bytes (and
+    without halves of characters)."""
+    extra = [F.col(c).alias(new) for c, new in (carry or {}).items()]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    carried = [f for f in docs.schema if f.name in (carry or {}).values()]
+    if carry is not None:
+        carried.append(T.StructField("_text", T.StringType()))
     v = cover(length)
     size = length - v + 1
     table = blocks.build(docs, name)
@@ -155,7 +161,7 @@ def removed(docs: DataFrame, length: int = 50, columns: list[str] | None = None,
             yield blocks.send(block, h, bits, owners, lambda a, b: zlib.compress(np.packbits(several[a:b]), 1))
 
     shape = T.StructType([*docs.select("doc_id").schema, *carried, *T._parse_datatype_string(_FOUND)])
-    mid = T.StructType([*shape, *T._parse_datatype_string("payload binary, " + blocks.SENT)])
+    mid = T.StructType([*shape, *T._parse_datatype_string(_PASSED)])
     arrow_mid, arrow_shape = _arrow(mid), _arrow(shape)
 
     def result(text: _Text, rows: np.ndarray, gone: np.ndarray) -> dict:
@@ -174,13 +180,10 @@ def removed(docs: DataFrame, length: int = 50, columns: list[str] | None = None,
         part = text.table.take(pa.array(rows))
         out = {"doc_id": part.column("doc_id"), "n_bytes": end - start, "n_removed": lost, "n_spans": spans[end] - spans[start]}
         out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in kept]
-        for f in carried:
+        for f in carried[:-1]:
             out[f.name] = part.column(f.name)
-        if any(f.name == "text" for f in carried):
-            old = part.column("text").to_pylist()
-            out["text"] = [x.tobytes().decode("utf-8", "ignore") if n else t for x, n, t in zip(kept, lost.tolist(), old)]
-            if "n_chars" in out and pa.types.is_integer(part.column("n_chars").type):
-                out["n_chars"] = [len(x) if n else c for x, n, c in zip(out["text"], lost.tolist(), part.column("n_chars").to_pylist())]
+        if carried:
+            out["_text"] = [x.tobytes().decode("utf-8", "ignore") if n else t for x, n, t in zip(kept, lost.tolist(), part.column("text").to_pylist())]
         return out
 
     def tie(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -189,7 +192,7 @@ def removed(docs: DataFrame, length: int = 50, columns: list[str] | None = None,
         block = left.column("block")[0].as_py()
         which = right.column("owner").to_numpy() >= owners
         later = right.filter(pa.array(which))
-        later = later.set_column(1, "owner", pa.compute.subtract(later.column("owner"), pa.scalar(owners, pa.int32())))
+        later = later.set_column(1, "owner", pc.subtract(later.column("owner"), pa.scalar(owners, pa.int32())))
         h, low, _, place = _least(whole(text), text.ids)
         copy = (text.ids > low[place]) | blocks.heard(h, 64, owners, later)[place]
         at, h, _, _, place = sampled(text)
@@ -204,9 +207,10 @@ def removed(docs: DataFrame, length: int = 50, columns: list[str] | None = None,
             marks[tied] = True
             rows = np.flatnonzero(busy)
             table = text.table.take(pa.array(rows)).append_column("tied", pa.array([np.packbits(marks[a:b]).tobytes() for a, b in zip(text.offsets[rows].tolist(), text.end[rows].tolist())], pa.binary()))
-            out.append(pa.table({"block": pa.array([block], pa.int64()), "payload": pa.array([blocks.pack(table)], pa.binary())}))
+            out.append(pa.table({"_block": pa.array([block], pa.int64()), "_payload": pa.array([blocks.pack(table)], pa.binary())}))
             h, low, _, _ = _least(kernels.window_hashes(text.buf, tied, length), text.ids[text.doc[tied]])
-            out.append(pa.Table.from_batches([blocks.send(block, h, 64, owners, lambda a, b: _ids_out(low[a:b]))]))
+            sent = blocks.send(block, h, 64, owners, lambda a, b: _ids_out(low[a:b]))
+            out.append(pa.Table.from_batches([sent.rename_columns([f"_{c}" for c in sent.schema.names])]))
         return pa.concat_tables([_conform(t, arrow_mid) for t in out])
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -228,10 +232,10 @@ def removed(docs: DataFrame, length: int = 50, columns: list[str] | None = None,
     first = scratch.Table(table.df.groupBy("block").cogroup(replies.df.groupBy("block")).applyInArrow(tie, mid), name)
     table.drop()
     replies.drop()
-    sent = first.df.where("owner is not null").select("owner", "block", "body", "extra")
+    sent = first.df.where("_owner is not null").select(*(F.col(f"_{c}").alias(c) for c in ("owner", "block", "body", "extra")))
     ties = scratch.Table(blocks.ask(sent, 64, owners, _smaller_elsewhere), name)
-    waiting = first.df.where("payload is not null").select("block", "payload")
-    done = first.df.where("payload is null and owner is null").select(*shape.names)
+    waiting = first.df.where("_payload is not null").select(F.col("_block").alias("block"), F.col("_payload").alias("payload"))
+    done = first.df.where("_block is null").select(*shape.names)
     return done.union(waiting.groupBy("block").cogroup(ties.df.groupBy("block")).applyInArrow(settle, shape))
 
 
@@ -248,7 +252,12 @@ def _conform(table: pa.Table, schema: pa.Schema) -> pa.Table:
 
 def drop_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     """``docs`` with all its columns, the repeated bytes taken out of ``text`` (and ``n_chars`` counted again)."""
-    return removed(docs, length, columns=docs.columns).select(*docs.columns)
+    carry = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    out = removed(docs, length, carry).withColumnsRenamed({"n_removed": "_n"})
+    columns = {c: F.col(carry.get(c, "_text")) for c in docs.columns}
+    if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
+        columns["n_chars"] = F.when(F.col("_n") > 0, F.length("_text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(e.alias(c) for c, e in columns.items()))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

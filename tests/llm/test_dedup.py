@@ -1,4 +1,6 @@
+import hashlib
 import random
+from collections import defaultdict
 
 import pytest
 from brute import jaccard_components, removed
@@ -60,9 +62,15 @@ def test_substrings_keep_columns(spark):
 
 def test_exact_duplicates(spark):
     rows = odd_documents()
-    found = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(frame(spark, rows)).collect()}
-    assert {(95, 96, 2, False), (96, 96, 2, True), (1, 2, 2, False), (2, 2, 2, True), (6, 6, 2, True), (97, 97, 1, True)} <= found
-    assert exact_dedup.drop_exact_duplicates(frame(spark, rows)).where("doc_id in (1, 95)").isEmpty()
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[t or ""].append(d)
+    wanted = sorted((d, max(groups[t or ""]), len(groups[t or ""]), d == max(groups[t or ""])) for d, t in rows)
+    found = exact_dedup.exact_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == wanted
+    assert {r.doc_id: r.text_sha256 for r in found} == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in rows}
+    left = exact_dedup.drop_exact_duplicates(frame(spark, rows))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, t in rows if d == max(groups[t or ""]))
 
 
 def test_empty_table(spark):
