@@ -22,7 +22,7 @@ from . import golomb, scratch
 
 BLOCK = "block long, n_docs long, n_bytes long, payload binary"
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 
 
 def pack(table: pa.Table) -> bytes:
