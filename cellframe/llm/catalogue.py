@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, packing, substring_dedup
+from . import bit_sliced, bpe, exact_dedup, jaccard_join, language_id, license_scan, lm_scoring, packing, quality, substring_dedup
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_packing": packing.op2_packing,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_bpe": bpe.op6_bpe,
+    "op7_top_k": bit_sliced.op7_top_k,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_license_scan": license_scan.op9_license_scan,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_top_k": bit_sliced.OP7_SQL,
 }
