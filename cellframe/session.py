@@ -23,3 +23,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(_ROOT.parent))
     context.addPyFile(target)
     context._cellframe_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
