@@ -96,12 +96,12 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hashes of the words; A-Z count as a-z if ``lower``."""
-    if not len(starts):
-        return np.zeros(0, _U)
+    if not len(buf):
+        return mix(np.zeros(len(starts), _U))
     table = _byte_table()[_LOWER] if lower else _byte_table()
     total = np.zeros(len(buf) + 1, _U)
     np.cumsum(table[buf] * _power(_R, len(buf)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_inverse(), len(buf))[starts] + (ends - starts).astype(_U))
+    return mix((total[ends] - total[starts]) * _power(_inverse(), len(buf) + 1)[starts] + (ends - starts).astype(_U))
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -140,11 +140,7 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
                 yield block, _Text(blocks.unpack(payload))
 
     def whole(text: _Text) -> np.ndarray:
-        total = np.zeros(len(text.sizes), _U)
-        for n in np.unique(text.sizes).tolist():
-            of = np.flatnonzero(text.sizes == n)
-            total[of] = kernels.window_hashes(text.buf, text.offsets[of], n) + _U(n)
-        return kernels.mix(total)
+        return kernels.word_hashes(text.buf, text.offsets[:-1], text.end, lower=False)
 
     def tell_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, text in each(batches):
