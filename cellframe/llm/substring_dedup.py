@@ -18,6 +18,7 @@ rows; other columns are ignored. Hashes of suffixes and of whole texts have 64 b
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ COVERS = {
     21: (0, 1, 4, 14, 16),
     31: (0, 1, 3, 8, 12, 18),
 }
+#: Parts of the blocks, and buckets of suffixes, that are handled one after another.
+ROUNDS = 4
 _LAST = np.iinfo(np.int64).max
 
 
@@ -147,14 +150,20 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
             h, low, _, _ = _least(whole(text), text.ids)
             yield blocks.send(block, h, 64, owners, lambda a, b: _ids_out(low[a:b]))
 
-    def sampled(text: _Text):
+    def copies_of(text: _Text, replies: pa.Table) -> np.ndarray:
+        """Rows whose whole text stands under a smaller doc_id."""
+        h, low, _, place = _least(whole(text), text.ids)
+        return (text.ids > low[place]) | blocks.heard(h, 64, owners, replies)[place]
+
+    def sampled(text: _Text, copy: np.ndarray):
         at = text.sample(v, size)
+        at = at[~copy[text.doc[at]]]
         return at, *_least(kernels.window_hashes(text.buf, at, size) >> cut, text.doc[at])
 
-    def tell_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, text in each(batches):
-            _, h, _, several, _ = sampled(text)
-            yield blocks.send(block, h, bits, owners, lambda a, b: zlib.compress(np.packbits(several[a:b]), 1))
+    def tell_sample(left: pa.Table, right: pa.Table) -> pa.Table:
+        text = _Text(blocks.unpack(left.column("payload")[0]))
+        _, h, _, several, _ = sampled(text, copies_of(text, right))
+        return pa.Table.from_batches([blocks.send(left.column("block")[0].as_py(), h, bits, owners, lambda a, b: zlib.compress(np.packbits(several[a:b]), 1))])
 
     shape = T.StructType([*docs.select("doc_id").schema, *carried, *T._parse_datatype_string(_FOUND)])
     mid = T.StructType([*shape, *T._parse_datatype_string(_PASSED)])
@@ -189,9 +198,8 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
         which = right.column("owner").to_numpy() >= owners
         later = right.filter(pa.array(which))
         later = later.set_column(1, "owner", pc.subtract(later.column("owner"), pa.scalar(owners, pa.int32())))
-        h, low, _, place = _least(whole(text), text.ids)
-        copy = (text.ids > low[place]) | blocks.heard(h, 64, owners, later)[place]
-        at, h, _, _, place = sampled(text)
+        copy = copies_of(text, later)
+        at, h, _, _, place = sampled(text, copy)
         mates = blocks.heard(h, bits, owners, right.filter(pa.array(~which)))[place]
         tied = text.suffixes(at[mates], v, length)
         tied = tied[~copy[text.doc[tied]]]
@@ -222,17 +230,24 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
         gone = np.cumsum(edge[:-1]) > 0
         return _conform(pa.table(result(text, np.arange(len(text.ids)), gone)), arrow_shape)
 
-    answers = blocks.ask(table.df.mapInArrow(tell_sample, blocks.SENT), bits, owners, _has_mates)
-    copies = blocks.ask(table.df.mapInArrow(tell_whole, blocks.SENT), 64, owners, _smaller_elsewhere)
-    replies = scratch.Table(answers.union(copies.select("block", F.col("owner") + F.lit(owners).alias("owner"), "reply")), name)
-    first = scratch.Table(table.df.groupBy("block").cogroup(replies.df.groupBy("block")).applyInArrow(tie, mid), name)
-    table.drop()
-    replies.drop()
-    sent = first.df.where("_owner is not null").select(*(F.col(f"_{c}").alias(c) for c in ("owner", "block", "body", "extra")))
-    ties = scratch.Table(blocks.ask(sent, 64, owners, _smaller_elsewhere), name)
-    waiting = first.df.where("_payload is not null").select(F.col("_block").alias("block"), F.col("_payload").alias("payload"))
-    done = first.df.where("_block is null").select(*shape.names)
-    return done.union(waiting.groupBy("block").cogroup(ties.df.groupBy("block")).applyInArrow(settle, shape))
+    def met(left: DataFrame, right: DataFrame, f, schema) -> DataFrame:
+        return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(f, schema)
+
+    copies = scratch.Table(blocks.ask(table.df.mapInArrow(tell_whole, blocks.SENT), 64, owners, _smaller_elsewhere), name)
+    mates = scratch.Table(blocks.ask(met(table.df, copies.df, tell_sample, blocks.SENT), bits, owners, _has_mates), name)
+    replies = mates.df.union(copies.df.select("block", (F.col("owner") + F.lit(owners)).alias("owner"), "reply"))
+    # One part of the blocks, and then one bucket of suffixes at a time: that bounds what is in shuffle files.
+    part = F.pmod(F.xxhash64("block"), F.lit(ROUNDS))
+    first = [scratch.Table(met(table.df.where(part == r), replies.where(part == r), tie, mid), name).df for r in range(ROUNDS)]
+    for used in (table, copies, mates):
+        used.drop()
+    first = functools.reduce(DataFrame.union, first)
+    sent = first.where("_owner is not null").select(*(F.col(f"_{c}").alias(c) for c in ("owner", "block", "body", "extra")))
+    buckets = [sent.where(F.col("owner").between(r * owners // ROUNDS, (r + 1) * owners // ROUNDS - 1)) for r in range(ROUNDS)]
+    ties = functools.reduce(DataFrame.union, [scratch.Table(blocks.ask(b, 64, owners, _smaller_elsewhere), name).df for b in buckets])
+    waiting = first.where("_payload is not null").select(F.col("_block").alias("block"), F.col("_payload").alias("payload"))
+    done = first.where("_block is null").select(*shape.names)
+    return done.union(met(waiting, ties, settle, shape))
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
