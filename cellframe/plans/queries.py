@@ -202,7 +202,7 @@ query("g06_broadcast", "SELECT range AS c0, c0 AS c1, c1 AS c2, v FROM n CROSS J
 query("g07_flip", "SELECT c0, 6 - c1 AS c1, v FROM l", lambda s, d: L(s, d).flip(1))
 query("g08_squeeze", "SELECT c1 AS c0, v FROM q WHERE c0 = 11", lambda s, d: Q(s, d).slice(In(11, 12)).squeeze([0]))
 query("g09_unsqueeze", "SELECT 0::BIGINT AS c0, c0 AS c1, 0::BIGINT AS c2, c1 AS c3, v FROM n", lambda s, d: N(s, d).unsqueeze([0, 1]))
-query("g12_into_dense", "SELECT c0, c1, v FROM grid WHERE c0 < 300", lambda s, d: Q(s, d).slice(In(0, 300)).into_dense())
+query("g12_into_dense", "SELECT c0, c1, v FROM grid WHERE c0 < 150", lambda s, d: Q(s, d).slice(In(0, 150)).into_dense())
 query("g02_g07_g04_mixed", "SELECT 6 - c1 AS c0, (c0 - 10) // 3 AS c1, v FROM l WHERE c0 >= 10 AND (c0 - 10) % 3 = 0", lambda s, d: L(s, d).slice(In(10, 4000, 3)).flip(1).transpose())
 
 # Matrices and Fourier transforms
