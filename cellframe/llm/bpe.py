@@ -7,8 +7,8 @@ once and the result is exactly that of the merges. Two tokens are compatible if
 gives these two tokens again, which a walk down the seam between them decides; answers are kept in a table.
 
 The vocabulary is a tokenizers file with a BPE model, byte-level symbols and a word-end suffix. The driver
-reads it and sends its few MB to the executors. Text is cut at white space, and each distinct piece is
-encoded once by a worker for as long as its bounded table holds it.
+reads it and sends its few MB to the executors. Text is cut at ASCII white space, and each distinct piece is
+encoded once in each chunk of text.
 
 Edge cases: null text is empty, an empty text has no ids; the strings of special tokens become their ids;
 rows and their order stay as they are; other columns are ignored; an empty table gives no rows.
@@ -17,10 +17,10 @@ rows and their order stay as they are; other columns are ignored; an empty table
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
-import re
+import string
 import unicodedata
-from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,16 +31,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels
+
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces that a worker keeps encoded, twice: those of late, and those before.
-KEPT_PIECES = 350_000
+#: Words that a worker keeps encoded, and pairs of tokens that it keeps judged.
+KEPT_WORDS = 250_000
 #: Text bytes that a worker handles at a time.
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 
 _END = "\xff"  # word end; no UTF-8 byte
 
 
-def _byte_symbols() -> dict[str, int]:
+def byte_symbols() -> dict[str, int]:
     """The public byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
@@ -67,12 +69,11 @@ class Vocabulary:
         self.spec = json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []})
 
 
-class Encoder(dict):
-    """Piece of text without white space -> its ids as little-endian 32-bit integers."""
+class Encoder:
+    """Exact merges of words, and of pieces of text without white space."""
 
     def __init__(self, v: Vocabulary):
-        super().__init__()
-        symbols, suffix = _byte_symbols(), v.suffix
+        symbols, suffix = byte_symbols(), v.suffix
 
         def spelled(token: str) -> str:
             end = token.endswith(suffix) and len(token) > len(suffix)
@@ -98,11 +99,10 @@ class Encoder(dict):
         for s, i in self.ids.items():
             self.shorter[i] = next((self.ids[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in self.ids), None)
         self.fit: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known: dict[str, list[int]] = {}
         self.spec, self.library = v.spec, None
         self.split = regex.compile(v.pattern)
-        self.special = {k: np.uint32(i).tobytes() for k, i in v.special.items()}
+        self.special = v.special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
 
     def compatible(self, left: int, right: int) -> bool:
@@ -122,7 +122,7 @@ class Encoder(dict):
                 until_right, right = rank[right], halves[right][0]
             else:
                 break
-        if len(self.fit) >= 4 * KEPT_PIECES:
+        if len(self.fit) >= KEPT_WORDS:
             self.fit.clear()
         self.fit[key] = good
         return good
@@ -166,41 +166,92 @@ class Encoder(dict):
         normal = self.library.normalizer.normalize_str(part)
         return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.before.get(piece)
-        if found is None:
-            out = []
+    def _kept(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.word(word.encode())
+            if len(self.known) >= KEPT_WORDS:
+                self.known.clear()
+            self.known[word] = ids
+        return ids
+
+    def encode_words(self, new: list[str]) -> "Runs":
+        """Of lower-case words of Latin letters."""
+        return Runs.of([self._kept(w) for w in new])
+
+    def encode_pieces(self, new: list[str]) -> "Runs":
+        """Of any pieces."""
+        out = []
+        for piece in new:
+            ids: list[int] = []
             for part in self.cut.split(piece) if self.cut and "<" in piece else (piece,):
                 if part in self.special:
-                    out.append(self.special[part])
-                    continue
-                for w in self.cut_words(part):
-                    ids = self.words.get(w)
-                    if ids is None:
-                        ids = array("I", self.word(w.encode())).tobytes()
-                        if len(self.words) >= KEPT_PIECES:
-                            self.words.clear()
-                        self.words[w] = ids
-                    out.append(ids)
-            found = b"".join(out)
-        if len(self) >= KEPT_PIECES:
-            self.before = dict(self)
-            self.clear()
-        self[piece] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, pieces(text)))
-
-
-def pieces(text: str) -> list[str]:
-    """The text between white space."""
-    return _ASCII_SPACE.split(text) if _SEPARATORS.search(text) else text.split()
-
-
-_ASCII_SPACE = regex.compile(r"[ \t\n\r\v\f]+")
-#: What str.split() takes for white space and the tokenizer does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+                    ids.append(self.special[part])
+                else:
+                    for w in self.cut_words(part):
+                        ids += self._kept(w)
+            out.append(ids)
+        return Runs.of(out)
+
+    def encode(self, texts) -> "Runs":
+        """Of an Arrow column of texts."""
+        return encode_texts(texts, self.encode_words, self.encode_pieces)
+
+
+class Runs:
+    """Runs of ids end to end, and where each starts."""
+
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray):
+        self.ids, self.offsets = ids, offsets
+
+    @staticmethod
+    def of(lists: list[list[int]]) -> "Runs":
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
+        return Runs(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(offsets[-1])), offsets)
+
+    @staticmethod
+    def joined(parts: list["Runs"]) -> "Runs":
+        shifts = np.cumsum([0, *(len(p.ids) for p in parts)])
+        return Runs(np.concatenate([p.ids for p in parts]), np.concatenate([[0], *(p.offsets[1:] + s for p, s in zip(parts, shifts))]).astype(np.int64))
+
+    def take(self, which: np.ndarray) -> "Runs":
+        size = np.diff(self.offsets)[which]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        return Runs(self.ids[np.repeat(self.offsets[:-1][which] - offsets[:-1], size) + np.arange(offsets[-1])], offsets)
+
+    def binary(self) -> pa.Array:
+        """Each run as little-endian 32-bit integers."""
+        return pa.Array.from_buffers(pa.binary(), len(self.offsets) - 1, [None, pa.py_buffer((4 * self.offsets).astype(np.int32)), pa.py_buffer(self.ids)])
+
+
+#: Marks at the end of a word that are a run of their own.
+_MARKS = string.punctuation
+#: Words of Latin letters up to U+017F, without U+0130, which has no lower-case letter of its own.
+_LATIN = "^[A-Za-zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+$"
+
+
+def encode_texts(column, words, others) -> Runs:
+    """One run for each text. ``words`` encodes lower-case words of Latin letters, ``others`` any pieces
+    without ASCII white space; each is asked once for each distinct one of the column."""
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).fill_null("")
+    split = pc.ascii_split_whitespace(column)
+    coded = split.flatten().dictionary_encode()
+    pieces, at = coded.dictionary, coded.indices.to_numpy()
+    core = pc.utf8_rtrim(pieces, characters=_MARKS)
+    latin = pc.match_substring_regex(core, _LATIN)
+    plain = np.flatnonzero(latin.to_numpy(zero_copy_only=False))
+    rest = np.flatnonzero(~latin.to_numpy(zero_copy_only=False))
+    low = pc.utf8_lower(core.take(pa.array(plain))).dictionary_encode()
+    marks = pc.replace_substring_regex(pieces.take(pa.array(plain)), "^[^!-/:-@\\[-`{-~]+", "").dictionary_encode()
+    parts = [words(low.dictionary.to_pylist()), others(marks.dictionary.to_pylist()), others(pieces.take(pa.array(rest)).to_pylist()), Runs.of([[]])]
+    base = np.cumsum([0, *(len(p.offsets) - 1 for p in parts)])
+    pair = np.full((len(pieces), 2), base[3])
+    pair[plain, 0] = low.indices.to_numpy()
+    pair[plain, 1] = marks.indices.to_numpy() + base[1]
+    pair[rest, 0] = np.arange(len(rest)) + base[2]
+    found = Runs.joined(parts).take(pair[at].ravel())
+    first = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
+    return Runs(found.ids, found.offsets[2 * first])
 
 
 class Decoder:
@@ -250,13 +301,30 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, keep: l
         encoder = worker(Encoder, key, sent)
         for batch in batches:
             for part in chunks(batch, "_text"):
-                ids = [encoder.encode(t or "") for t in part.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.binary())], [*keep, "ids"])
+                ids = encoder.encode(part.column("_text")).binary()
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], [*keep, "ids"])
 
     source = docs.select(*keep, F.col(text).alias("_text"))
     return source.mapInArrow(run, docs.select(*keep, F.lit(b"").alias("ids")).schema)
 
 
+def _texts(ids: Runs, decoder: Decoder) -> pa.Array:
+    size = decoder.offsets[ids.ids + 1] - decoder.offsets[ids.ids]
+    total = np.concatenate([[0], np.cumsum(size)])[ids.offsets]
+    data = decoder.decode(ids.ids.astype(np.int64))
+    # Each text ends with a space that is not its own.
+    keep = np.ones(len(data), bool)
+    some = np.diff(total) > 0
+    keep[total[1:][some] - 1] = False
+    offsets = np.concatenate([[0], np.cumsum(np.diff(total) - some)])
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[keep])]).cast(pa.string())
+
+
+def _runs(column) -> Runs:
+    buf, offsets = kernels.byte_buffer(column)
+    return Runs(np.frombuffer(buf.tobytes(), np.uint32), offsets // 4)
+
+
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     """All columns, and ``decoded``: the text of ``ids``, as tokens without a decoder are joined."""
     vocabulary = Vocabulary(path)
@@ -266,18 +334,30 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
         decoder = worker(Decoder, key, sent)
         for batch in batches:
             for part in chunks(batch, "ids"):
-                texts = []
-                for ids in part.column("ids"):
-                    found = decoder.decode(np.frombuffer(ids.as_buffer(), np.uint32).astype(np.int64) if ids.is_valid else np.zeros(0, np.int64))
-                    texts.append(found[:-1].tobytes().decode())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+                texts = _texts(_runs(part.column("ids")), decoder)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
     return coded.mapInArrow(run, coded.withColumn("decoded", F.lit("")).schema)
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, decoded: encoding and decoding in one worker, so that ids do not cross to the JVM between."""
+    vocabulary = Vocabulary(path)
+    key, sent = vocabulary.key, docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = worker(Encoder, key, sent), worker(Decoder, key, sent)
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                ids = encoder.encode(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids.binary(), _texts(ids, decoder)], ["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id", F.lit(b"").alias("ids"), F.lit("").alias("decoded")).schema)
+
+
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    both = decode(encode(docs))
+    both = round_trip(docs)
     return both.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

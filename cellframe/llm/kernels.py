@@ -17,7 +17,14 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, and the n + 1 row offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    array = column.fill_null("").cast(pa.large_string())
+    return byte_buffer(column.fill_null(""))
+
+
+def byte_buffer(column) -> tuple[np.ndarray, np.ndarray]:
+    """The same of strings or binaries, null as empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    array = column.cast(pa.large_binary())
     if len(array) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]

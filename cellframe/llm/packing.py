@@ -14,6 +14,7 @@ as they occur; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -34,50 +35,55 @@ CLASS = 32
 DEPTH = 3
 #: Groups that share the ranking of one length.
 SALTS = 256
-#: Distinct pieces of text that a worker keeps tokenised.
-KEPT_PIECES = 350_000
 
 
-class LibraryEncoder(dict):
-    """Piece of text without white space -> ids of the tokenizers library, as little-endian 32-bit integers."""
+class LibraryEncoder:
+    """Ids of the tokenizers library. Distinct pieces of a chunk go to it many at once: words of Latin letters,
+    the most of them, to a tokenizer with the same model that only splits at spaces, all others to the whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-        self.before: dict[str, bytes] = {}
-        # Pieces are encoded many at once, between the string of a special token.
-        self.mark, self.mark_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), (None, None))
-
-    def learn(self, new: list[str]) -> None:
-        alone = [p for p in new if self.mark is None or "<" in p]
-        for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self[piece] = array("I", found.ids).tobytes()
-        rest = [p for p in new if self.mark is not None and "<" not in p]
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "truncation": None, "padding": None}))
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.symbols = {b: c for c, b in bpe.byte_symbols().items()}
+        # Other pieces stand between the string of a special token.
+        self.mark, self.mark_id = next(((t.content, i) for i, t in self.whole.get_added_tokens_decoder().items() if t.special), (None, None))
+
+    def encode_words(self, new: list[str]) -> bpe.Runs:
+        spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(self.symbols) for w in new]
+        runs = [" ".join(spelled[i : i + 1000]) for i in range(0, len(new), 1000)]
+        found = [np.array(x.ids, np.uint32) for x in self.plain.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        return bpe.Runs(ids, np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]))
+
+    def encode_pieces(self, new: list[str]) -> bpe.Runs:
+        alone = [i for i, p in enumerate(new) if self.mark is None or "<" in p]
+        rest = [i for i, p in enumerate(new) if self.mark is not None and "<" not in p]
+        out: list = [None] * len(new)
+        for i, found in zip(alone, self.whole.encode_batch_fast([new[i] for i in alone], add_special_tokens=False)):
+            out[i] = found.ids
         runs = [rest[i : i + 500] for i in range(0, len(rest), 500)]
-        for run, found in zip(runs, self.tokenizer.encode_batch_fast([self.mark.join(r) for r in runs], add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark_id).tolist()
-            data = ids.tobytes()
-            for piece, a, b in zip(run, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]):
-                self[piece] = data[4 * a : 4 * b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [bpe.pieces(t) for t in texts]
-        wanted = set().union(*pieces)
-        if len(self) > KEPT_PIECES:
-            self.before = dict(self)
-            self.clear()
-        new = wanted.difference(self)
-        known = new.intersection(self.before)
-        self.update((p, self.before[p]) for p in known)
-        self.learn(list(new - known))
-        return [b"".join(map(self.__getitem__, p)) for p in pieces]
+        for run, found in zip(runs, self.whole.encode_batch_fast([self.mark.join(new[i] for i in r) for r in runs], add_special_tokens=False)):
+            ids = found.ids
+            cuts = [i for i, x in enumerate(ids) if x == self.mark_id]
+            for i, a, b in zip(run, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]):
+                out[i] = ids[a:b]
+        return bpe.Runs.of(out)
+
+    def encode(self, texts) -> bpe.Runs:
+        """Of an Arrow column of texts."""
+        return bpe.encode_texts(texts, self.encode_words, self.encode_pieces)
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -105,9 +111,10 @@ def pieces(docs: DataFrame, path: str | None, window: int = WINDOW, end_id: int
         for batch in batches:
             for part in bpe.chunks(batch, "text"):
                 out: list[tuple] = []
-                ids = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                for doc, data in zip(part.column("doc_id").to_pylist(), ids):
-                    data = memoryview(data + end)
+                ids = encoder.encode(part.column("text"))
+                flat, cuts = ids.ids.tobytes(), (4 * ids.offsets).tolist()
+                for doc, a, b in zip(part.column("doc_id").to_pylist(), cuts[:-1], cuts[1:]):
+                    data = memoryview(flat[a:b] + end)
                     total = len(data) // 4
                     for start in range(0, total, window):
                         piece = data[4 * start : 4 * (start + window)]
