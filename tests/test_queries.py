@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from oracle import connect, same_rows
 
 from cellframe.plans import queries as Q
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
