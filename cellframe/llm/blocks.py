@@ -72,6 +72,15 @@ def build(docs: DataFrame, name: str, text: str = "text", block_bytes: int = BLO
     return scratch.Table(docs.mapInArrow(cut, BLOCK), name)
 
 
+#: Hashes that one owner gets at most, about.
+OWNER_HASHES = 8 << 20
+
+
+def owners_for(spark, hashes: int) -> int:
+    """Owners of equal hash ranges: some for each shuffle partition, and enough that none gets too much."""
+    return max(2 * scratch.partitions(spark), -(-hashes // OWNER_HASHES))
+
+
 def totals(blocks: DataFrame) -> tuple[int, int]:
     """Documents and bytes of text."""
     row = blocks.agg(F.sum("n_docs").alias("n"), F.sum("n_bytes").alias("b")).first()

@@ -37,7 +37,7 @@ def _fingerprints(docs: DataFrame, text: str) -> DataFrame:
 def suspects(docs: DataFrame, text: str = "text") -> DataFrame:
     """Fingerprints (their upper bits, as ``fp``) that more than one row has."""
     spark = docs.sparkSession
-    owners = 2 * scratch.partitions(spark)
+    owners = blocks.owners_for(spark, docs.count())
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held = TaskContext.get().partitionId(), 0, []

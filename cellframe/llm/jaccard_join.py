@@ -56,7 +56,8 @@ def least_overlap(size, percent: int):
 def described(docs: DataFrame, n: int, percent: int, name: str) -> scratch.Table:
     """DOCS: each document's set size, set and group keys, and the shared n-grams of its prefix with their ranks."""
     table = blocks.build(docs, name)
-    bits, owners = _bits(blocks.totals(table.df)[1]), 2 * scratch.partitions(docs.sparkSession)
+    n_bytes = blocks.totals(table.df)[1]
+    bits, owners = _bits(n_bytes), blocks.owners_for(docs.sparkSession, n_bytes // 6)
     cut = _U(64 - bits)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

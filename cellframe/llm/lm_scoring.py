@@ -82,8 +82,8 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
     """doc_id, n_tokens, log10_sum, mean_log10, perplexity of every row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = blocks.build(docs, name)
-    bits = min(64, max(48, (order * blocks.totals(table.df)[1] // 4).bit_length() + 20))
-    owners = 2 * scratch.partitions(docs.sparkSession)
+    grams = order * blocks.totals(table.df)[1] // 4
+    bits, owners = min(64, max(48, grams.bit_length() + 20)), blocks.owners_for(docs.sparkSession, grams)
     cut = _U(64 - bits)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ as they occur; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import os
 import zlib
 from array import array
@@ -33,8 +34,6 @@ END_ID = 2
 CLASS = 32
 #: Lengths in a combination.
 DEPTH = 3
-#: Groups that share the ranking of one length.
-SALTS = 256
 
 
 class LibraryEncoder:
@@ -244,7 +243,8 @@ def places(rows: np.ndarray, repeats: np.ndarray) -> dict[int, tuple[np.ndarray,
 def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, name: str = "packing") -> DataFrame:
     """PIECES of all documents with sequence_id and offset; sequences are padded to the window by the reader."""
     table = scratch.Table(pieces(docs, path, window, end_id, with_ids), name)
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")
+    # A length's pieces are ranked in groups, and the groups' sizes summed: as many groups as pieces in one.
+    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(math.isqrt(table.df.count()) + 1))
     cut = table.df.withColumn("salt", salt)
     sizes = scratch.Table(cut.groupBy("length", "salt").count(), name)
     # At most window lengths: the histogram.

@@ -133,8 +133,8 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
     v = cover(length)
     size = length - v + 1
     table = blocks.build(docs, name)
-    n_bytes, owners = blocks.totals(table.df)[1], 2 * scratch.partitions(docs.sparkSession)
-    bits = min(64, max(40, (n_bytes * len(COVERS[v]) // v).bit_length() + 8))
+    samples = blocks.totals(table.df)[1] * len(COVERS[v]) // v
+    bits, owners = min(64, max(40, samples.bit_length() + 8)), blocks.owners_for(docs.sparkSession, samples)
     cut = _U(64 - bits)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Text]]:
