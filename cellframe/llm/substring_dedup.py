@@ -78,7 +78,7 @@ class _Text:
 
 def _least(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes, the least id of each, whether it has others, and the place of each of h."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     new = ~blocks.same_as_before(h[order])
     first = np.flatnonzero(new)
     place = np.empty(len(h), np.int64)
