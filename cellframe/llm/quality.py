@@ -34,6 +34,8 @@ SALTS = 64
 #: Bounds of prior strengths, in documents.
 STRENGTH = (2.0, 1e6)
 
+#: Text bytes that a worker handles at a time.
+CHUNK = 2 << 20
 FEATURES = 14
 _U = np.uint64
 
@@ -123,7 +125,7 @@ def _with_features(rows: DataFrame, weights: np.ndarray | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bpe.chunks(batch, "text"):
+            for part in bpe.chunks(batch, "text", CHUNK):
                 x = features(part.column("text"))
                 out = pa.array(x.tolist(), pa.list_(pa.float64())) if weights is None else pa.array(x @ weights)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), out], [*names, "x"])
