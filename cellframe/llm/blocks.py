@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import golomb, scratch
+from . import golomb, kernels, scratch
 
 BLOCK = "block long, n_docs long, n_bytes long, payload binary"
 #: Bytes of text in a block; a longer document is a block of its own.
@@ -68,6 +68,7 @@ def build(docs: DataFrame, name: str, text: str = "text", block_bytes: int = BLO
                     yield flush()
         if held:
             yield flush()
+        kernels.release()
 
     return scratch.Table(docs.mapInArrow(cut, BLOCK), name)
 
@@ -109,6 +110,7 @@ def ask(sent: DataFrame, bits: int, owners: int, answer: Callable) -> DataFrame:
         sender = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         told = answer(np.concatenate(parts), sender, table.column("extra").to_pylist())
         cuts = np.cumsum([0, *map(len, parts)])
+        kernels.release()
         replies = [zlib.compress(np.packbits(x) if x.dtype == bool else x, 1) for x in (told[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
         return pa.Table.from_batches([rows(REPLY, [table.column("block").to_pylist(), [owner] * len(parts), replies])])
 

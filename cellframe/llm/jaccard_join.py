@@ -66,6 +66,7 @@ def described(docs: DataFrame, n: int, percent: int, name: str) -> scratch.Table
                 h, count = np.unique(_cat(_sets(blocks.unpack(payload), n)) >> cut, return_counts=True)
                 count = np.minimum(count, 255).astype(np.uint8)
                 yield blocks.send(block, h, bits, owners, lambda a, b: zlib.compress(count[a:b], 1))
+        kernels.release()
 
     def answer(h: np.ndarray, sender: np.ndarray, extras: list[bytes]) -> np.ndarray:
         count = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in extras])
@@ -73,6 +74,7 @@ def described(docs: DataFrame, n: int, percent: int, name: str) -> scratch.Table
         return np.log2(np.bincount(at, count)).astype(np.uint8)[at]
 
     def describe(left: pa.Table, right: pa.Table) -> pa.Table:
+        kernels.release()
         docs = blocks.unpack(left.column("payload")[0])
         sets = _sets(docs, n)
         sizes = np.array([len(s) for s in sets], np.int64)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -45,19 +48,40 @@ def _byte_table() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=_U) * _U(_R))
 
 
-_powers: dict[int, np.ndarray] = {}
+#: Powers are products of two from tables of this many entries.
+_STEP = 1 << 12
+
+
+@functools.lru_cache(64)
+def _table(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    out = np.ones(1, _U)
+    while len(out) < n:
+        out = np.concatenate([out, out * _U(pow(base, len(out), 1 << 64))])
+    return out[:n]
+
+
+def _coarse(base: int, last: int) -> np.ndarray:
+    """Powers of base**_STEP that reach the exponent ``last``."""
+    return _table(pow(base, _STEP, 1 << 64), 1 << max(0, last // _STEP).bit_length())
 
 
 def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        have = np.ones(1, _U)
-        while len(have) < size:
-            have = np.concatenate([have, have * _U(pow(base, len(have), 1 << 64))])
-        _powers[base] = have
-    return have[:n]
+    return np.multiply.outer(_coarse(base, n)[: n // _STEP + 1], _table(base, _STEP)).ravel()[:n]
+
+
+def _power_at(base: int, at: np.ndarray) -> np.ndarray:
+    last = int(at.max(initial=0))
+    return _coarse(base, last)[at // _STEP] * _table(base, _STEP)[at % _STEP]
+
+
+def release() -> None:
+    """Give a worker's free memory back to the system; workers live longer than tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def _inverse() -> int:
@@ -70,7 +94,7 @@ def window_hashes(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         return np.zeros(0, _U)
     total = np.zeros(len(buf) + 1, _U)
     np.cumsum(_byte_table()[buf] * _power(_R, len(buf)), out=total[1:])
-    return mix((total[at + length] - total[at]) * _power(_inverse(), len(buf))[at])
+    return mix((total[at + length] - total[at]) * _power_at(_inverse(), at))
 
 
 def _lower_table() -> np.ndarray:
@@ -108,7 +132,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     table = _byte_table()[_LOWER] if lower else _byte_table()
     total = np.zeros(len(buf) + 1, _U)
     np.cumsum(table[buf] * _power(_R, len(buf)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_inverse(), len(buf) + 1)[starts] + (ends - starts).astype(_U))
+    return mix((total[ends] - total[starts]) * _power_at(_inverse(), starts) + (ends - starts).astype(_U))
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, scratch
+from . import bpe, kernels, scratch
 
 WINDOW = 4096
 END_ID = 2
@@ -121,6 +121,7 @@ def pieces(docs: DataFrame, path: str | None, window: int = WINDOW, end_id: int
                 columns = list(zip(*out))
                 kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(kinds)])
+        kernels.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids binary" * with_ids)
 

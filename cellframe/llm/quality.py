@@ -129,6 +129,7 @@ def _with_features(rows: DataFrame, weights: np.ndarray | None) -> DataFrame:
                 x = features(part.column("text"))
                 out = pa.array(x.tolist(), pa.list_(pa.float64())) if weights is None else pa.array(x @ weights)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), out], [*names, "x"])
+        kernels.release()
 
     kind = F.array(F.lit(0.0)) if weights is None else F.lit(0.0)
     return rows.mapInArrow(run, rows.select(*names, kind.alias("x")).schema)

@@ -161,6 +161,7 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
         return at, *_least(kernels.window_hashes(text.buf, at, size) >> cut, text.doc[at])
 
     def tell_sample(left: pa.Table, right: pa.Table) -> pa.Table:
+        kernels.release()
         text = _Text(blocks.unpack(left.column("payload")[0]))
         _, h, _, several, _ = sampled(text, copies_of(text, right))
         return pa.Table.from_batches([blocks.send(left.column("block")[0].as_py(), h, bits, owners, lambda a, b: zlib.compress(np.packbits(several[a:b]), 1))])
@@ -193,6 +194,7 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
 
     def tie(left: pa.Table, right: pa.Table) -> pa.Table:
         """Settle the rows without tied suffixes; pass the others on, and send their suffixes to the buckets."""
+        kernels.release()
         text = _Text(blocks.unpack(left.column("payload")[0]))
         block = left.column("block")[0].as_py()
         which = right.column("owner").to_numpy() >= owners
@@ -218,6 +220,7 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
         return pa.concat_tables([_conform(t, arrow_mid) for t in out])
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        kernels.release()
         text = _Text(blocks.unpack(left.column("payload")[0]))
         marks = [np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8))[:n].astype(bool) for m, n in zip(text.table.column("tied"), text.sizes)]
         tied = np.flatnonzero(np.concatenate(marks))
