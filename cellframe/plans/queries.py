@@ -272,3 +272,36 @@ query("s26_row_major_coords", "SELECT range // 20 AS c0, range // 5 % 4 AS c1, r
 query("s27_from_dataframe", "SELECT n_nationkey::BIGINT AS c0, n_regionkey::BIGINT AS c1, 1 AS v FROM nation", N)
 query("s28_orc", _QROWS, lambda s, d: store.write(Q(s, d), _path(s), kind="orc"))
 query("s28_json", _QROWS, lambda s, d: store.write(Q(s, d), _path(s), kind="json"))
+
+# Whole tables: the queries above that take a prefix of c0, over every row. Theirs stay as they are, SQL and all.
+
+query("u14_not_whole", "SELECT c0, c1, (v = 0)::SMALLINT AS v FROM grid", lambda s, d: Q(s, d).into_dense().not_())
+query("b1_add_mixed_whole", "SELECT c0, c1, v + 1 AS v FROM grid", lambda s, d: (lambda t: frames.fill(frames.create(s, t.shape), 1.0).add(t))(Q(s, d)))
+for _i, (_name, _sign) in enumerate((("eq", "="), ("ne", "<>"), ("gt", ">"), ("ge", ">="), ("lt", "<"), ("le", "<=")), 10):
+    query(f"p{_i}_{_name}_scalar_whole", f"SELECT c0, c1, (v {_sign} 10)::SMALLINT AS v FROM grid", lambda s, d, n=_name: Q(s, d).into_dense().scalar(n, 10.0))
+query("r02_product_all_whole", f"SELECT 0::BIGINT AS c0, {_rounded('product(1 + v / 100)', 4)} AS v FROM e", lambda s, d: reduce(E(s, d).div_scalar(100.0).add_scalar(1.0), "product").df, 4)
+query("g12_into_dense_whole", "SELECT c0, c1, v FROM grid", lambda s, d: Q(s, d).into_dense())
+query("m1_matmul_tiles_whole", f"SELECT x.c0 AS c0, y.c0 AS c1, {_rounded('sum(x.v * y.v)')} AS v FROM e x JOIN e y ON x.c1 = y.c1 GROUP BY 1, 2", lambda s, d: (lambda t: t.matmul(t.mt(), "tiles"))(E(s, d)), DIGITS)
+query("s06_copy_from_values_whole", "SELECT c0, c1, v FROM grid", lambda s, d: store.copy_from_values(Q(s, d), _path(s)))
+query("s11_read_blocks_whole", "SELECT c0, c1, v FROM grid", lambda s, d: Q(s, d).full().orderBy("c0", "c1"))
+
+
+def _planes(t: Tensor) -> Tensor:
+    """All rows as planes [n / k, k, 64]; k is the largest divisor of n up to 16."""
+    n, width = t.shape
+    k = max(k for k in range(1, 17) if n % k == 0)
+    return t.reshape((n // k, k, width))
+
+
+def _dft2_planes(sign: str) -> str:
+    k = "(SELECT max(range) FROM range(1, 17) WHERE (SELECT count(*) FROM embeddings) % range = 0)"
+    rows = f"(SELECT c0 // k AS p, c0 % k AS a, c1 AS b, k, v AS re, v * 3 - 0.1 AS im FROM e CROSS JOIN (SELECT {k} AS k))"
+    turn = f"{sign}2 * pi() * (((a * f) % k) / k::DOUBLE + ((b * g) % 64) / 64.0)"
+    return (
+        f"SELECT p AS c0, f AS c1, g AS c2, {_rounded(f'sum(re * cos({turn}) - im * sin({turn}))', 4)} AS re, {_rounded(f'sum(re * sin({turn}) + im * cos({turn}))', 4)} AS im "
+        f"FROM {rows} JOIN (SELECT range AS f FROM range(16)) ON f < k CROSS JOIN (SELECT range AS g FROM range(64)) GROUP BY 1, 2, 3"
+    )
+
+
+query("f3_fft2_whole", _dft2_planes("-"), lambda s, d: _parts(_planes(Z(s, d)).fft2(), 4))
+query("f4_ifft2_whole", _dft2_planes(""), lambda s, d: _parts(_planes(Z(s, d)).ifft2(), 4))
