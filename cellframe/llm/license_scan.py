@@ -1,10 +1,11 @@
 """License scan by conditional compression.
 
 Lines that hold a word of licensing are candidate blocks, together with the lines that follow them up to a
-blank line. Each block is compressed by zstandard alone and with every template as raw dictionary; the
-templates are ranked by how much smaller the block gets. The best-ranked ones are confirmed by the exact
-differences in wording: the least number of words to insert, drop or replace so that the template stands
-somewhere in the block. The template with the smallest share of differences is the block's license.
+blank line. Every template is confirmed by the exact differences in wording: the least number of words to
+insert, drop or replace so that the template stands somewhere in the block, however long. Only windows with
+too few of a template's words for any match are passed over. A passage that matches is compressed by
+zstandard alone and with the template as raw dictionary, which ranks templates by how much smaller it gets.
+The template with the smallest share of differences is the block's license.
 
 Edge cases: null text is empty; documents without candidates have no license, 0 blocks and null figures;
 blocks are compared whole, however long; equal shares go to the better-ranked template; repeated rows are
@@ -62,8 +63,7 @@ TEMPLATES = {
 }
 #: Words of licensing that make a line a candidate. Fixed value.
 ANCHOR = r"(?i)licen[sc]ed?\b|licen[sc]es|copying|redistribut|permission (?:is hereby|to use)|public domain|released under|software foundation"
-#: Templates that are confirmed by wording, and the share of a template's words that may differ.
-CONFIRMED = 4
+#: The share of a template's words that may differ.
 MOST_DIFFERENT = 0.15
 
 _NAMES = [k for k, v in TEMPLATES.items() for _ in v]
@@ -79,21 +79,60 @@ def words(text: str) -> list[str]:
 _TEMPLATE_WORDS = [words(t) for t in _TEXTS]
 
 
+_CODES = {w: i for i, w in enumerate(dict.fromkeys(w for t in _TEMPLATE_WORDS for w in t))}
+_OWN = [np.array([_CODES[w] for w in t]) for t in _TEMPLATE_WORDS]
+#: By template and code of a word: whether the template has it. The last code stands for all other words.
+_HAS = np.zeros((len(_OWN), len(_CODES) + 1), bool)
+for _i, _own in enumerate(_OWN):
+    _HAS[_i, _own] = True
+_MOST = [int(MOST_DIFFERENT * len(t) + 1e-9) for t in _TEMPLATE_WORDS]
+
+
+def _changes(own: np.ndarray, codes: np.ndarray, anchored: bool = False) -> np.ndarray:
+    """By number of words read: least changes so that the template ends there, from any start or from the first word."""
+    column = np.arange(len(own) + 1)
+    step, out = column, [len(own)]
+    for i, code in enumerate(codes.tolist(), 1):
+        now = np.concatenate([[i if anchored else 0], np.minimum(column[:-1] + (own != code), column[1:] + 1)])
+        # A dropped template word costs one more than the place before it.
+        column = np.minimum.accumulate(now - step) + step
+        out.append(int(column[-1]))
+    return np.array(out)
+
+
 def differences(template: list[str], block: list[str]) -> int:
     """Least number of words changed so that the template stands somewhere in the block."""
     codes = {w: i for i, w in enumerate(dict.fromkeys(template))}
-    own = np.array([codes[w] for w in template])
-    step = np.arange(1, len(own) + 1)
-    column = np.concatenate([[0], step])
-    best = int(column[-1])
-    for w in block:
-        code = codes.get(w, -1)
-        now = np.concatenate([[0], np.minimum(column[:-1] + (own != code), column[1:] + 1)])
-        # A dropped template word costs one more than the place before it.
-        now = np.minimum.accumulate(now - np.arange(len(now))) + np.arange(len(now))
-        column = now
-        best = min(best, int(column[-1]))
-    return best
+    return int(_changes(np.array([codes[w] for w in template]), np.array([codes.get(w, -1) for w in block], int)).min())
+
+
+def _windows(i: int, codes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of words outside of which template i cannot match: with m words and k changes allowed, a match is
+    at most m + k words long and has at least m - k of the template's."""
+    m, k = len(_OWN[i]), _MOST[i]
+    counts = np.concatenate([[0], np.cumsum(_HAS[i][codes])])
+    width = min(m + k, len(codes))
+    at = np.flatnonzero(counts[width:] - counts[:-width or None] >= m - k) if width else np.zeros(0, int)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > width)
+    return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), (at[np.concatenate([cut, [len(at) - 1]])] + width).tolist()))
+
+
+def _ends(codes: np.ndarray) -> list[tuple[float, int, int, int]]:
+    """(share of differences, template, end, differences) of every place where a template may end."""
+    out = []
+    for i, own in enumerate(_OWN):
+        for a, b in _windows(i, codes):
+            n = _changes(own, codes[a:b])
+            out += [(int(n[e]) / len(own), i, a + e, int(n[e])) for e in np.flatnonzero(n <= _MOST[i]).tolist()]
+    return sorted(out)
+
+
+def _start(i: int, end: int, n: int, codes: np.ndarray) -> int:
+    """The last word from which template i ends at ``end`` with n changes."""
+    back = codes[max(0, end - len(_OWN[i]) - n) : end][::-1]
+    return end - int(np.flatnonzero(_changes(_OWN[i][::-1], back, True) == n)[0])
 
 
 class Scanner:
@@ -117,32 +156,29 @@ class Scanner:
                 out[-1].append(line)
         return ["\n".join(b) for b in out]
 
-    def judge(self, block: str) -> tuple[str, float, int, int] | None:
-        """License, size reduction, differences and words of the confirmed template, if any."""
-        head = block.split("\n", 1)[0]
-        found = None
-        # The first line by itself, where a short notice stands out, and then the whole block.
-        for part in dict.fromkeys([head, block]):
-            if part not in self.known:
-                if len(self.known) > 50_000:
-                    self.known.clear()
-                self.known[part] = self._judge(part)
-            one = self.known[part]
-            if one and (found is None or one[2] / one[3] < found[2] / found[3]):
-                found = one
-        return found
-
-    def _judge(self, part: str) -> tuple[str, float, int, int] | None:
+    def reduction(self, i: int, part: str) -> float:
         data = part.encode("utf-8", "replace")
-        size = len(self.alone.compress(data))
-        reduction = np.array([1 - len(c.compress(data)) / size for c in self.given])
-        own = words(part)
+        return 1 - len(self.given[i].compress(data)) / len(self.alone.compress(data))
+
+    def judge(self, block: str) -> tuple[str, float, int, int] | None:
+        """License, size reduction, differences and words of the best template, if any."""
+        if block not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[block] = self._judge(block)
+        return self.known[block]
+
+    def _judge(self, block: str) -> tuple[str, float, int, int] | None:
+        at = list(_WORD.finditer(block))
+        codes = np.array([_CODES.get(w.group().lower(), len(_CODES)) for w in at], int)
+        ends = _ends(codes)
         best = None
-        for i in np.argsort(-reduction, kind="stable")[:CONFIRMED].tolist():
-            n = differences(_TEMPLATE_WORDS[i], own)
-            share = n / len(_TEMPLATE_WORDS[i])
-            if share <= MOST_DIFFERENT and (best is None or share < best[2] / best[3]):
-                best = (_NAMES[i], float(reduction[i]), n, len(_TEMPLATE_WORDS[i]))
+        for share, i, end, n in ends:
+            if share > ends[0][0]:
+                break
+            reduction = self.reduction(i, block[at[_start(i, end, n, codes)].start() : at[end - 1].end()])
+            if best is None or reduction > best[1]:
+                best = (_NAMES[i], reduction, n, len(_OWN[i]))
         return best
 
 

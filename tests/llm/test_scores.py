@@ -126,3 +126,18 @@ def test_licenses(spark):
     notices = {"CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "GNU General Public License, version 3.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License."}
     wanted = {(d.doc_id, k) for d in docs.collect() for k, s in notices.items() if s in d.text}
     assert {(r.doc_id, k) for r in license_scan.scan(docs).collect() for k in r.licenses} == wanted
+
+
+def test_licenses_within_a_long_line(spark):
+    words = [w for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 5000").limit(8).collect() for w in r.text.split() if not license_scan.re.search(license_scan.ANCHOR, w)]
+    rows, wanted = [], {}
+    for size in (800, 4000, 17000):
+        for name, texts in license_scan.TEMPLATES.items():
+            for notice in texts:
+                filler = (words * (1 + size // len(words)))[:size]
+                rows.append((len(rows), " ".join([*filler[: size // 2], notice, *filler[size // 2 :]])))
+                wanted[rows[-1][0]] = name
+    # A wrapped notice, and much text without a blank line after it.
+    rows.append((len(rows), license_scan.TEMPLATES["MIT"][2].replace(" and to permit", "\nand to permit") + "\n" + "\n".join(words[i % len(words)] for i in range(17000))))
+    wanted[rows[-1][0]] = "MIT"
+    assert {r.doc_id: r.license for r in license_scan.scan(frame(spark, rows)).collect()} == wanted
