@@ -1,14 +1,14 @@
 """License scan by conditional compression.
 
-Lines that hold a word of licensing are candidate blocks, together with the lines that follow them up to a
-blank line. Every template is confirmed by the exact differences in wording: the least number of words to
-insert, drop or replace so that the template stands somewhere in the block, however long. Only windows with
-too few of a template's words for any match are passed over. A passage that matches is compressed by
-zstandard alone and with the template as raw dictionary, which ranks templates by how much smaller it gets.
-The template with the smallest share of differences is the block's license.
+Lines that hold a word of licensing make a text a candidate. Every template is confirmed by the exact
+differences in wording: the least number of words to insert, drop or replace so that the template stands
+somewhere in the text, across lines and however long. Only windows with too few of a template's words for any
+match are passed over. A passage that matches is compressed by zstandard alone and with the template as raw
+dictionary, which ranks templates by how much smaller it gets. All matches count, but those that overlap a
+better one: with a smaller share of differences, or an equal one and a larger reduction.
 
 Edge cases: null text is empty; documents without candidates have no license, 0 blocks and null figures;
-blocks are compared whole, however long; equal shares go to the better-ranked template; repeated rows are
+n_blocks counts the lines of licensing; of equal licenses the earlier one is the document's; repeated rows are
 rows; an empty table gives no rows; other columns are ignored.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -140,53 +141,41 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in _TEXTS]
         self.anchor = re.compile(ANCHOR)
-        self.known: dict[str, tuple | None] = {}
-
-    def blocks(self, text: str) -> list[str]:
-        """From each line with an anchor to the blank line or the next such line."""
-        out: list[list[str]] = []
-        open_ = False
-        for line in text.split("\n"):
-            if self.anchor.search(line):
-                out.append([line])
-                open_ = True
-            elif not line.strip():
-                open_ = False
-            elif open_:
-                out[-1].append(line)
-        return ["\n".join(b) for b in out]
+
+    def blocks(self, text: str) -> int:
+        """Number of lines with an anchor."""
+        return sum(1 for line in text.split("\n") if self.anchor.search(line))
 
     def reduction(self, i: int, part: str) -> float:
         data = part.encode("utf-8", "replace")
         return 1 - len(self.given[i].compress(data)) / len(self.alone.compress(data))
 
-    def judge(self, block: str) -> tuple[str, float, int, int] | None:
-        """License, size reduction, differences and words of the best template, if any."""
-        if block not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            self.known[block] = self._judge(block)
-        return self.known[block]
-
-    def _judge(self, block: str) -> tuple[str, float, int, int] | None:
-        at = list(_WORD.finditer(block))
+    def matches(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
+        """License, size reduction, differences and words of the template, and place in the text (first word and
+        the one after the last) of every match that overlaps no better one, the best first."""
+        at = list(_WORD.finditer(text))
         codes = np.array([_CODES.get(w.group().lower(), len(_CODES)) for w in at], int)
-        ends = _ends(codes)
-        best = None
-        for share, i, end, n in ends:
-            if share > ends[0][0]:
-                break
-            reduction = self.reduction(i, block[at[_start(i, end, n, codes)].start() : at[end - 1].end()])
-            if best is None or reduction > best[1]:
-                best = (_NAMES[i], reduction, n, len(_OWN[i]))
-        return best
+        taken = np.zeros(len(codes), bool)
+        out = []
+        for _, ends in groupby(_ends(codes), key=lambda x: x[0]):
+            found = []
+            for _, i, end, n in ends:
+                # A match has so many words at least.
+                if not taken[max(0, end - len(_OWN[i]) + n) : end].any():
+                    start = _start(i, end, n, codes)
+                    found.append((-self.reduction(i, text[at[start].start() : at[end - 1].end()]), start, end, n, i))
+            for worse, start, end, n, i in sorted(found):
+                if not taken[start:end].any():
+                    taken[start:end] = True
+                    out.append((_NAMES[i], -worse, n, len(_OWN[i]), start, end))
+        return out
 
 
 _scanner: list[Scanner] = []
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_blocks, license (of the best block), licenses, reduction, differences, template_words of every row."""
+    """doc_id, n_blocks, license (of the best match), licenses, reduction, differences, template_words of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _scanner:
@@ -195,10 +184,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         for batch in batches:
             out = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = scanner.blocks(t) if t else []
-                judged = [j for j in map(scanner.judge, found) if j]
-                best = min(judged, key=lambda j: j[2] / j[3], default=(None, None, None, None))
-                out.append((doc, len(found), best[0], sorted({j[0] for j in judged}), *best[1:]))
+                n = scanner.blocks(t) if t else 0
+                found = scanner.matches(t) if n else []
+                # Of equal shares the larger reduction, and then the earlier place.
+                best = found[0][:4] if found else (None, None, None, None)
+                out.append((doc, n, best[0], sorted({m[0] for m in found}), *best[1:]))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.int64(), pa.int64()]
             names = ["doc_id", "n_blocks", "license", "licenses", "reduction", "differences", "template_words"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names)

@@ -141,3 +141,13 @@ def test_licenses_within_a_long_line(spark):
     rows.append((len(rows), license_scan.TEMPLATES["MIT"][2].replace(" and to permit", "\nand to permit") + "\n" + "\n".join(words[i % len(words)] for i in range(17000))))
     wanted[rows[-1][0]] = "MIT"
     assert {r.doc_id: r.license for r in license_scan.scan(frame(spark, rows)).collect()} == wanted
+
+
+def test_several_licenses_of_a_block(spark):
+    t = license_scan.TEMPLATES
+    wrapped = t["GPL-3.0"][1].replace("of the GNU ", "of the GNU\n# ").replace("Software Foundation, ", "Software Foundation,\n# ")
+    rows = [(1, "Released under the MIT License. Licensed under CC BY 4.0."), (2, "x\n" + " ".join(x for v in t.values() for x in v) + "\ny"), (3, wrapped), (4, "Released under the MIT License.\nand " + t["MPL-2.0"][0]), (5, t["GPL-2.0"][0] + " " + t["LGPL-3.0"][0])]
+    by = {r.doc_id: r.licenses for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert by == {1: ["CC-BY-4.0", "MIT"], 2: sorted(t), 3: ["GPL-3.0"], 4: ["MIT", "MPL-2.0"], 5: ["GPL-2.0", "LGPL-3.0"]}
+    found = license_scan.Scanner().matches(rows[0][1])
+    assert sorted((m[0], m[4], m[5]) for m in found) == [("CC-BY-4.0", 5, 10), ("MIT", 0, 5)]
