@@ -182,14 +182,22 @@ def write_values(t: Tensor, ranges, values) -> Tensor:
     return replaced(t, updates)
 
 
-def resolve_base_coord(base: Tensor, steps: list[tuple], coord) -> tuple[int, ...]:
-    """Coordinate in ``base`` of a coordinate of the view that ``steps`` make: (name, arguments) in order."""
+def _shapes(base: Tensor, steps: list[tuple]) -> list[tuple[int, ...]]:
     shapes = [base.shape]
     t = base
     for name, args in steps:
         t = getattr(t, name)(*args)
         shapes.append(t.shape)
-    coord = list(G.check_coord(t.shape, coord))
+    return shapes
+
+
+def resolve_base_coord(base: Tensor, steps: list[tuple], coord) -> tuple[int, ...]:
+    """Coordinate in ``base`` of a coordinate of the view that ``steps`` make: (name, arguments) in order."""
+    return _resolve(_shapes(base, steps), steps, coord)
+
+
+def _resolve(shapes: list[tuple[int, ...]], steps: list[tuple], coord) -> tuple[int, ...]:
+    coord = list(G.check_coord(shapes[-1], coord))
     for (name, args), shape in zip(reversed(steps), reversed(shapes[:-1])):
         if name == "transpose":
             p = G.check_permutation(len(shape), args[0] if args else None)
@@ -232,15 +240,21 @@ def plan_updates(base: Tensor, steps: list[tuple], values, start: int = 0, capac
 
 
 def logical_block_range(base: Tensor, steps: list[tuple], capacity: int = G.BATCH) -> tuple[int, int]:
-    """Least and largest block that the corners of a view lie in, the latter plus one."""
-    t = base
-    for name, args in steps:
-        t = getattr(t, name)(*args)
-    from itertools import product
-
-    g = geometry_of(base, capacity)
-    found = [g.block_position(resolve_base_coord(base, steps, c))[0] for c in product(*({0, n - 1} for n in t.shape))]
-    return min(found), max(found) + 1
+    """Least and largest block that a view has cells in, the latter plus one.
+
+    Axes add up to the flat index, as only contiguous views are reshaped; so each is looked at by itself: gathered
+    ones at all indices, others at both ends.
+    """
+    shapes, g = _shapes(base, steps), geometry_of(base, capacity)
+    # A gathered axis is no longer than its indices.
+    longest = max((len(r.indices) for name, args in steps if name == "slice" for r in args if isinstance(r, G.Of)), default=0)
+    low, high = [0] * len(shapes[-1]), [0] * len(shapes[-1])
+    for i, n in enumerate(shapes[-1]):
+        at = range(n) if n <= longest else (0, n - 1)
+        by = {k: G.flat_index(base.shape, _resolve(shapes, steps, [k if j == i else 0 for j in range(len(low))])) for k in at}
+        low[i], high[i] = min(by, key=by.get), max(by, key=by.get)
+    first, last = (g.block_position(_resolve(shapes, steps, c))[0] for c in (low, high))
+    return first, last + 1
 
 
 # Blocks

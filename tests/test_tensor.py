@@ -410,3 +410,23 @@ def test_no_join_between_expressions_of_one_frame(spark):
     t = dense(spark, range(6))
     plan = t.add(t.mul_scalar(2.0)).gt_scalar(3.0).cond(t, t.sub_scalar(1.0)).df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_block_range_of_gathers(spark):
+    base = dense(spark, range(48), shape=(8, 6))
+    assert store.logical_block_range(base, [("slice", (Of(5, 1, 7, 3),))], 6) == (1, 8)
+    cases = [
+        [("slice", (Of(5, 1, 7, 3), Of(2, 0, 5, 1)))],
+        [("slice", (Of(5, 1, 7, 3),)), ("flip", (0,)), ("transpose", ())],
+        [("slice", (Of(5, 1, 7, 3), In(1, 4))), ("slice", (In(1, 4), Of(2, 0, 1)))],
+        [("slice", (In(1, 7),)), ("reshape", ((4, 9),)), ("slice", (Of(2, 0, 3, 1), In(2, 5)))],
+        [("reshape", ((6, 8),)), ("slice", (Of(3, 1, 4, 2), In(2, 5)))],
+    ]
+    for steps in cases:
+        view = base
+        for name, args in steps:
+            view = getattr(view, name)(*args)
+        for capacity in (4, 5, 7):
+            g = store.geometry_of(base, capacity)
+            blocks = {g.block_position(store.resolve_base_coord(base, steps, c))[0] for c in G.row_major_coords(view.shape)}
+            assert store.logical_block_range(base, steps, capacity) == (min(blocks), max(blocks) + 1), (steps, capacity)
