@@ -29,7 +29,7 @@ def remove_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    return packing.packed(docs, with_ids=True)
 
 
 STAGES = [

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from brute import jaccard_components, removed
 
@@ -47,3 +49,9 @@ def test_stages_equal_brute_force_on_their_own_input(spark):
 def test_run_returns_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns[:3] == ["doc_id", "start", "length"]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_packing_stage_returns_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    rows = corpus_pipeline.pack(spark, docs, SF).select("length", "ids", "ids_crc32").collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
