@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from ..functions import dtypes as D
 from ..geometry import At, In, Of, StorageGeometry
 from ..operators import fourier
 from ..operators.reduce import reduce, truth_frame
-from ..session import shared_folder
+from ..session import scratch_path
 from ..sources import frames, store
 from ..streaming import batches
 from ..tensor import Tensor, flat_index
@@ -246,7 +245,7 @@ query("f4_ifft2", _dft2(""), lambda s, d: _parts(Z(s, d).slice(In(0, 16)).ifft2(
 
 
 def _path(s: SparkSession) -> str:
-    return f"{shared_folder(s)}/cellframe/tensor-{uuid.uuid4().hex}"
+    return scratch_path(s, "tensor")
 
 
 _QROWS = "SELECT c0, c1, v FROM q"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import geometry as G
 from ..errors import DataMismatch, InvalidCoord, InvalidLayout, InvalidSchema
 from ..functions import dtypes as D
+from ..session import hadoop_path
 from ..tensor import Tensor, axes, flat_index, require_sparse
 from .frames import _sql_value, check_cells
 
@@ -37,13 +38,8 @@ def block_columns(g: G.StorageGeometry) -> tuple[Column, Column]:
 # Files
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_path(spark, path)
     out = fs.create(p, True)
     try:
         out.write(bytearray(text.encode()))
@@ -52,7 +48,7 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_path(spark, path)
     if not fs.exists(p):
         raise InvalidSchema(f"no tensor at {path}")
     stream = fs.open(p)
