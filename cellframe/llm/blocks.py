@@ -73,6 +73,33 @@ def build(docs: DataFrame, name: str, text: str = "text", block_bytes: int = BLO
     return scratch.Table(docs.mapInArrow(cut, BLOCK), name)
 
 
+def numbered(docs: DataFrame, text: str) -> list:
+    """The columns of ``docs`` but the text, under names that clash with no other."""
+    return [docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns) if c != text]
+
+
+def picked(blocks: DataFrame, stays: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The rows (block, row) of blocks that hold ``text`` and the ``numbered`` columns, as rows of ``docs``."""
+    names = ["text" if c == text else f"_c{i}" for i, c in enumerate(docs.columns)]
+    schema = docs.schema
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows_ = np.sort(right.column("row").to_numpy()) if left.num_rows else []
+        table = unpack(left.column("payload")[0]) if left.num_rows else None
+        out = to_arrow(schema)
+        if table is None:
+            return out.empty_table()
+        return pa.table([table.column(n).take(pa.array(rows_)).cast(f.type) for n, f in zip(names, out)], schema=out)
+
+    return blocks.select("block", "payload").groupBy("block").cogroup(stays.groupBy("block")).applyInArrow(pick, schema)
+
+
+def to_arrow(schema) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
 #: Hashes that one owner gets at most, about.
 OWNER_HASHES = 8 << 20
 

@@ -2,10 +2,14 @@
 
 Partitions send the sorted fingerprints of their texts to the owners of hash ranges and get a bitmap of
 those that occur elsewhere. The suspects that this leaves are shuffled once for a comparison of their
-bytes; all other texts are never moved. Of equal texts the row with the largest id stays.
+bytes; a scan finds them by a bitmap with ``SLOTS`` slots for each suspect fingerprint, which is broadcast as long as
+it has at most ``FILTER_BYTES``, and by a join on the fingerprint beyond. With the bitmap, all but one in ``SLOTS`` of
+the other texts are never moved; the join moves every text once. Of equal texts the row with the largest id stays.
 
 Edge cases: null text counts as empty; null ids are the smallest; repeated rows count as rows, and those
-with the id that stays are all kept; an empty table gives no rows; other columns are ignored.
+with the id that stays are all marked as kept; an empty table gives no rows; other columns are ignored. When
+duplicates are dropped, exactly one row of each text stays, with all its columns and a null text as null; rows that
+share an id but not a text do not touch each other. A text has to fit in a row of Spark, up to some hundred MB.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ from . import blocks, golomb, scratch
 BITS = 48
 #: Rows in one message round of a partition.
 ROUND = 1 << 17
-#: Bits of the bitmap (8 MB, whatever the input) by which a scan finds suspects.
-FILTER_BITS = 1 << 26
+#: Slots of the bitmap for each suspect fingerprint, and the bytes up to which it is broadcast.
+SLOTS = 16
+FILTER_BYTES = 32 << 20
 #: A group's rows meet its decision in up to so many tasks.
 SALTS = 64
 
@@ -76,15 +81,21 @@ def suspects(docs: DataFrame, text: str = "text") -> DataFrame:
     return sent.drop("extra").join(replies, ["block", "owner"]).select("owner", "body", "reply").mapInArrow(pick, "fp long").distinct()
 
 
-def _only_suspects(docs: DataFrame, text: str) -> DataFrame:
-    """The rows whose fingerprint may be suspect, by a bitmap of fixed size."""
-    slot = F.pmod(F.shiftrightunsigned(F.xxhash64(text), 64 - BITS), F.lit(FILTER_BITS))
-    bits = suspects(docs, text).select(F.pmod("fp", F.lit(FILTER_BITS)).alias("slot"))
+def marked(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with a column ``maybe``: true if the text's fingerprint is suspect, false for nearly all others."""
+    found = scratch.Table(suspects(docs, text), "suspects")
+    fp = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 64 - BITS)
+    slots = 1 << max(16, (SLOTS * found.df.count() - 1).bit_length())
+    if slots // 8 > FILTER_BYTES:
+        known = found.df.select("fp", F.lit(True).alias("known"))
+        return docs.withColumn("fp", fp).join(known, "fp", "left").select(*docs.columns, F.coalesce("known", F.lit(False)).alias("maybe"))
+    bits = found.df.select(F.pmod("fp", F.lit(slots)).alias("slot"))
     bits = bits.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     bits = scratch.materialize(bits, "suspects")
-    marked = docs.withColumn("slot", slot).withColumn("bucket", F.bitmap_bucket_number("slot")).withColumn("at", F.bitmap_bit_position("slot"))
+    slot = docs.withColumn("slot", F.pmod(fp, F.lit(slots))).withColumn("bucket", F.bitmap_bucket_number("slot")).withColumn("at", F.bitmap_bit_position("slot"))
     one = F.conv(F.hex(F.substring(F.col("bits"), (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return marked.join(F.broadcast(bits), "bucket").where(F.getbit(one.cast("long"), (F.col("at") % 8).cast("int")) == 1).select(*docs.columns)
+    bit = F.getbit(one.cast("long"), (F.col("at") % 8).cast("int")) == 1
+    return slot.join(F.broadcast(bits), "bucket", "left").select(*docs.columns, F.coalesce(bit, F.lit(False)).alias("maybe"))
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,7 +103,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     groups = (
-        _only_suspects(docs, "text")
+        marked(docs, "text")
+        .where("maybe")
         .groupBy("text")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SALTS}) as int))")).alias("salts"))
         .where("group_size > 1")
@@ -107,9 +119,14 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+    """One row of ``docs`` of each text, that of the largest id, with all columns."""
+    names = ["text" if c == text else f"_c{i}" for i, c in enumerate(docs.columns)]
+    held = marked(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *blocks.numbered(docs, text)), "text")
+    order = F.struct(F.col("doc_id").isNotNull(), "doc_id")
+    # Suspects meet by the bytes of their texts; a group becomes one row before it is shuffled.
+    best = held.where("maybe").groupBy(F.coalesce("text", F.lit("")).alias("bytes")).agg(F.max_by(F.struct(*names), order).alias("row"))
+    out = held.where("not maybe").select(*names).union(best.select("row.*"))
+    return out.toDF(*docs.columns)
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,12 +5,17 @@ first), which blocks learn from the owners of hash ranges. Two sets at or above
 n-gram within their prefixes; sets with one size and one prefix make a group. Groups that meet at a prefix
 n-gram are first compared with the best-placed group of that n-gram only, a linear number of pairs. Where
 that joins all, no other pair of the n-gram can add to the components; only pairs of groups in different
-components go on, filtered by size and position, then expanded to their members and verified.
+components go on, by bands of sizes, filtered by size and position, then expanded to their members.
+Candidates come from 64-bit hashes; every link is verified on the words themselves. Sets count as equal by two
+independent 64-bit hashes of all their n-grams.
 
 Edge cases: null or blank text is an empty set with component doc_id; with fewer than n words all words
-are one n-gram; equal sets are one item however many rows have them; repeated rows are kept as rows; an
-empty table gives no rows; other columns are ignored. A null doc_id is the smallest component only of
-itself: least ids ignore nulls.
+are one n-gram; equal sets are one item however many rows have them; rows stay rows, also those that share
+an id, and each has the component of its own text; an empty table gives no rows; other columns are ignored. A
+null doc_id is the smallest component only of itself: least ids ignore nulls. When near duplicates are dropped,
+one row of each component stays: that of the least doc_id, nulls last, and of several such rows the first that was
+written; rows without words all stay. A long text is one row of a block, and takes some 40 bytes of memory for
+each of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +36,14 @@ from .components import components
 
 _U = np.uint64
 SALTS = 64
-DOCS = "doc_id long, n long, item binary, grp binary, tokens array<long>, ranks array<int>, body binary"
+DOCS = "doc_id long, block long, row int, n long, item binary, grp binary, tokens array<long>, ranks array<int>, body binary"
 
 
-def _sets(table: pa.Table, n: int) -> list[np.ndarray]:
+def _sets(table: pa.Table, n: int, twice: bool = False) -> list:
     buf, offsets = kernels.text_buffer(table.column("text"))
     starts, ends, by_doc = kernels.words(buf, offsets)
-    return kernels.shingle_sets(kernels.word_hashes(buf, starts, ends), by_doc, n)
+    other = kernels.word_hashes(buf, starts, ends, seed=1) if twice else None
+    return kernels.shingle_sets(kernels.word_hashes(buf, starts, ends), by_doc, n, other)
 
 
 def _cat(parts: list[np.ndarray]) -> np.ndarray:
@@ -53,8 +60,9 @@ def least_overlap(size, percent: int):
     return (size * percent + 99) // 100
 
 
-def described(docs: DataFrame, n: int, percent: int, name: str) -> scratch.Table:
-    """DOCS: each document's set size, set and group keys, and the shared n-grams of its prefix with their ranks."""
+def described(docs: DataFrame, n: int, percent: int, name: str) -> tuple[scratch.Table, scratch.Table]:
+    """DOCS: each document's set size, set and group keys, and the shared n-grams of its prefix with their ranks.
+    And the blocks of the documents."""
     table = blocks.build(docs, name)
     n_bytes = blocks.totals(table.df)[1]
     bits, owners = _bits(n_bytes), blocks.owners_for(docs.sparkSession, n_bytes // 6)
@@ -76,9 +84,9 @@ def described(docs: DataFrame, n: int, percent: int, name: str) -> scratch.Table
     def describe(left: pa.Table, right: pa.Table) -> pa.Table:
         kernels.release()
         docs = blocks.unpack(left.column("payload")[0])
-        sets = _sets(docs, n)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        flat = _cat(sets)
+        sets = _sets(docs, n, twice=True)
+        sizes = np.array([len(s) for s, _ in sets], np.int64)
+        flat, other = _cat([s for s, _ in sets]), _cat([s for _, s in sets])
         short, at = np.unique(flat >> cut, return_inverse=True)
         level = blocks.heard(short, bits, owners, right, np.uint8)[at]
         doc = np.repeat(np.arange(len(sets)), sizes)
@@ -94,44 +102,51 @@ def described(docs: DataFrame, n: int, percent: int, name: str) -> scratch.Table
             np.cumsum(kernels.mix(values ^ _U(key)), out=total[1:])
             return kernels.mix(total[starts + sizes] - total[starts] + sizes.astype(_U))
 
-        item = np.stack([fold(flat, 1), fold(flat, 2)], 1)
+        item = np.stack([fold(flat, 1), fold(other, 2)], 1)
         hidden = np.where(inside, ranked, _U(0))
         grp = np.stack([fold(hidden, 3), fold(hidden, 4)], 1)
         emit = inside & (level > 0)
         found = np.bincount(doc[emit], minlength=len(sets))
         tokens, ranks = np.split(ranked[emit].astype(np.int64), np.cumsum(found)[:-1]), np.split(rank[emit].astype(np.int32), np.cumsum(found)[:-1])
         has = [bool(c) for c in found]
+        small = zstandard.ZstdCompressor(level=1)
+        texts = docs.column("text").combine_chunks().cast(pa.large_binary())
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
+                "block": np.full(len(sets), left.column("block")[0].as_py()),
+                "row": np.arange(len(sets), dtype=np.int32),
                 "n": sizes,
                 "item": pa.array([x.tobytes() for x in item], pa.binary()),
                 "grp": pa.array([x.tobytes() for x in grp], pa.binary()),
                 "tokens": pa.array([t if c else None for t, c in zip(tokens, has)], pa.list_(pa.int64())),
                 "ranks": pa.array([t if c else None for t, c in zip(ranks, has)], pa.list_(pa.int32())),
-                "body": pa.array([s.tobytes() if c else None for s, c in zip(sets, has)], pa.binary()),
+                "body": pa.array([small.compress(t.as_buffer()) if c else None for t, c in zip(texts, has)], pa.binary()),
             }
         )
 
     sent = table.df.mapInArrow(tell, blocks.SENT)
     replies = scratch.Table(blocks.ask(sent, bits, owners, answer), name)
     out = scratch.Table(table.df.groupBy("block").cogroup(replies.df.groupBy("block")).applyInArrow(describe, DOCS), name)
-    table.drop()
     replies.drop()
-    return out
+    return out, table
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of items at or above the threshold."""
+def verified(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of items at or above the threshold, by the n-grams of their texts."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor()
+        last, one = None, set()
         for batch in batches:
             a, b, x, y = (batch.column(i) for i in range(4))
             keep = []
-            for s, t in zip(x, y):
-                s, t = np.frombuffer(s.as_buffer(), _U), np.frombuffer(t.as_buffer(), _U)
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            for key, s, t in zip(a.to_pylist(), x, y):
+                if key != last:
+                    last, one = key, kernels.shingles(plain.decompress(s.as_buffer()), n)
+                two = kernels.shingles(plain.decompress(t.as_buffer()), n)
+                both = len(one & two)
+                keep.append(100 * both >= percent * (len(one) + len(two) - both))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = bodies.toDF("a", "x"), bodies.toDF("b", "y")
@@ -146,16 +161,21 @@ def _fits(percent: int, a: str, b: str) -> str:
     )
 
 
-def _links(described: DataFrame, percent: int, name: str) -> DataFrame:
+def _links(described: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """(node, label) of the items that are linked with a lesser one."""
     found = described.where("tokens is not null")
-    bodies = scratch.Table(found.select("item", "body").dropDuplicates(["item"]), name).df
-    items = scratch.Table(found.select("item", "grp", "n", "tokens", "ranks").dropDuplicates(["item"]), name).df
+    used = [
+        scratch.Table(found.select("item", "body").dropDuplicates(["item"]), name),
+        scratch.Table(found.select("item", "grp", "n", "tokens", "ranks").dropDuplicates(["item"]), name),
+    ]
+    bodies, items = (t.df for t in used)
     members = items.select("grp", "item")
     groups = items.groupBy("grp").agg(F.min("item").alias("head"))
     lone = items.join(groups.select("head"), items["item"] == F.col("head"), "left_semi")
     tokens = lone.select("grp", F.col("item").alias("head"), "n", F.explode(F.arrays_zip("tokens", "ranks")).alias("t"))
-    tokens = scratch.Table(tokens.select("grp", "head", "n", F.col("t.tokens").alias("token"), F.col("t.ranks").alias("rank")), name).df
+    tokens = scratch.Table(tokens.select("grp", "head", "n", F.col("t.tokens").alias("token"), F.col("t.ranks").alias("rank")), name)
+    used.append(tokens)
+    tokens = tokens.df
 
     # Stars: by n-gram and band of sizes (two families of bands, so that near sizes share one), the group
     # whose n-gram ranks first against all others; and in each group its head against the other members.
@@ -167,7 +187,7 @@ def _links(described: DataFrame, percent: int, name: str) -> DataFrame:
     stars = placed.alias("p").join(best.alias("c"), ["token", "family", "band"]).where(F.expr("p.head != c.centre and " + _fits(percent, "p", "c"))).select("centre", "grp").distinct()
     pairs = stars.join(members, "grp").select(F.col("centre").alias("a"), F.col("item").alias("b"))
     pairs = pairs.union(groups.join(members, "grp").where("head != item").select(F.col("head").alias("a"), F.col("item").alias("b")))
-    edges = scratch.Table(verified(pairs.distinct(), bodies, percent), name).df
+    edges = scratch.Table(verified(pairs.distinct(), bodies, n, percent), name).df
     labels = scratch.materialize(components(edges, name), name)
 
     # What is left: n-grams at which groups of different components meet.
@@ -178,27 +198,39 @@ def _links(described: DataFrame, percent: int, name: str) -> DataFrame:
     open_ = met.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("token")
     common = met.where("lo = hi").groupBy("token", "lo").count().groupBy("token").agg(F.max(F.struct("count", "lo")).alias("top")).select("token", F.col("top.lo").alias("main"))
     rest = met.join(open_, "token", "left_semi").join(common, "token", "left")
-    rest = scratch.Table(rest.withColumn("odd", ~((F.col("lo") == F.col("hi")) & F.col("lo").eqNullSafe(F.col("main")))), name).df
-    meet = rest.where("odd").alias("p").join(rest.alias("c"), "token").where(F.expr(_fits(percent, "p", "c") + " and not (p.lo = p.hi and c.lo = c.hi and p.lo = c.lo)"))
+    # Sizes at the threshold lie in the same or in neighbouring bands (a little wider than it, for rounding).
+    step = F.floor(F.log("n") / F.lit(width * 1.0001)).cast("int")
+    rest = scratch.Table(rest.withColumn("odd", ~((F.col("lo") == F.col("hi")) & F.col("lo").eqNullSafe(F.col("main")))).withColumn("step", step), name)
+    used.append(rest)
+    odd = rest.df.where("odd").withColumn("step", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))))
+    meet = odd.alias("p").join(rest.df.alias("c"), ["token", "step"]).where(F.expr(_fits(percent, "p", "c") + " and not (p.lo = p.hi and c.lo = c.hi and p.lo = c.lo)"))
     meet = meet.select(F.least("p.grp", "c.grp").alias("g"), F.greatest("p.grp", "c.grp").alias("k")).distinct()
     one, two = named.toDF("g", "a", "la"), named.toDF("k", "b", "lb")
     pairs = meet.join(one, "g").join(two, "k").where("la != lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.Table(verified(pairs, bodies, percent), name).df
-    if more.isEmpty():
-        return labels
-    return components(labels.toDF("a", "b").union(more), name)
+    more = scratch.Table(verified(pairs, bodies, n, percent), name).df
+    if not more.isEmpty():
+        labels = components(labels.toDF("a", "b").union(more), name)
+    for table in used:
+        table.drop()
+    return labels
+
+
+def _items(sets: DataFrame, n: int, percent: int, name: str, **extra) -> DataFrame:
+    """item, label (the same for all items of a component) and aggregates over the rows of each item."""
+    labels = _links(sets.where("n > 0"), n, percent, name)
+    items = sets.where("n > 0").groupBy("item").agg(*(e.alias(k) for k, e in extra.items()))
+    return items.join(labels, F.col("item") == F.col("node"), "left").select("item", *extra, F.coalesce("label", "item").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", name: str = "jaccard") -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the least doc_id that links of at least ``percent``
     per cent similarity of n-word shingle sets reach."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = described(docs, n, percent, name).df
-    labels = _links(sets.where("n > 0"), percent, name)
-    mask = F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SALTS}) as int))")).alias("salts")
-    items = sets.where("n > 0").groupBy("item").agg(F.min("doc_id").alias("first"), mask)
-    items = items.join(labels, F.col("item") == F.col("node"), "left").select("item", "first", "salts", F.coalesce("label", "item").alias("label"))
-    items = scratch.Table(items, name).df
+    sets, table = described(docs, n, percent, name)
+    table.drop()
+    sets = sets.df
+    mask = F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SALTS}) as int))"))
+    items = scratch.Table(_items(sets, n, percent, name, first=F.min("doc_id"), salts=mask), name).df
     least = items.groupBy("label").agg(F.min("first").alias("component"))
     items = items.join(least, "label").select("item", "component", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)).alias("salt"))
     rows = sets.select("doc_id", "n", "item", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -206,10 +238,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the least id, with all columns."""
-    gone = jaccard_components(docs, n, percent, doc_id, text).where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", name: str = "near") -> DataFrame:
+    """One row of each component, with all columns of ``docs``: that of the least doc_id (nulls last)."""
+    held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *blocks.numbered(docs, text))
+    sets, table = described(held, n, percent, name)
+    sets = sets.df
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "block", "row")
+    items = _items(sets, n, percent, name, first=F.min(first))
+    stays = items.groupBy("label").agg(F.min("first").alias("f")).select("f.block", "f.row")
+    stays = stays.union(sets.where("n = 0").select("block", "row"))
+    return blocks.picked(table.df, stays, docs, text)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import functools
+import hashlib
 import sys
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-#: Multiplier of the polynomial hash, odd and so invertible modulo 2**64.
+#: An odd multiplier, so that products keep all bits of what is hashed.
 _R = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -38,42 +38,31 @@ def byte_buffer(column) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-@functools.lru_cache(1)
-def _byte_table() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=_U) * _U(_R))
-
-
-#: Powers are products of two from tables of this many entries.
-_STEP = 1 << 12
-
-
-@functools.lru_cache(64)
-def _table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.ones(1, _U)
-    while len(out) < n:
-        out = np.concatenate([out, out * _U(pow(base, len(out), 1 << 64))])
-    return out[:n]
-
-
-def _coarse(base: int, last: int) -> np.ndarray:
-    """Powers of base**_STEP that reach the exponent ``last``."""
-    return _table(pow(base, _STEP, 1 << 64), 1 << max(0, last // _STEP).bit_length())
+    x = x ^ (x >> _U(30))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
+
+
+def _padded(buf: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """A copy of the bytes (through a table) with eight more, so that eight can be read from each place."""
+    out = np.zeros(len(buf) + 8, np.uint8)
+    if table is None:
+        out[: len(buf)] = buf
+    else:
+        np.take(table, buf, out=out[: len(buf)])
+    return out
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    return np.multiply.outer(_coarse(base, n)[: n // _STEP + 1], _table(base, _STEP)).ravel()[:n]
+def _eights(padded: np.ndarray) -> np.ndarray:
+    """View of the eight bytes from each place as one little-endian number."""
+    return np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
 
 
-def _power_at(base: int, at: np.ndarray) -> np.ndarray:
-    last = int(at.max(initial=0))
-    return _coarse(base, last)[at // _STEP] * _table(base, _STEP)[at % _STEP]
+#: By number of bytes: the mask of a number's lowest ones.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def release() -> None:
@@ -84,17 +73,15 @@ def release() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def _inverse() -> int:
-    return pow(_R, -1, 1 << 64)
-
-
 def window_hashes(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of ``buf[i : i + length]`` for every i in ``at``."""
-    if not len(at):
-        return np.zeros(0, _U)
-    total = np.zeros(len(buf) + 1, _U)
-    np.cumsum(_byte_table()[buf] * _power(_R, len(buf)), out=total[1:])
-    return mix((total[at + length] - total[at]) * _power_at(_inverse(), at))
+    """64-bit hashes of ``buf[i : i + length]`` for every i in ``at``: eight bytes after another are mixed in, so
+    that no arithmetic relation between texts outlives a step."""
+    eights = _eights(_padded(buf))
+    out = np.full(len(at), _U(length * _R & _MASK))
+    last = max(0, length - 8)
+    for k in (*range(0, last, 8), last):
+        out = mix((out * _U(_R)) ^ (eights[at + k] & _LOW[min(8, length)]))
+    return out
 
 
 def _lower_table() -> np.ndarray:
@@ -125,14 +112,29 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of the words; A-Z count as a-z if ``lower``."""
+#: Longer words are hashed one by one.
+_LONG_WORD = 64
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the words, independent ones by seed; A-Z count as a-z if ``lower``. Words of one length up
+    to eight bytes never share a hash."""
+    size = ends - starts
+    out = mix(size.astype(_U) + _U((seed + 1) * _R & _MASK))
     if not len(buf):
-        return mix(np.zeros(len(starts), _U))
-    table = _byte_table()[_LOWER] if lower else _byte_table()
-    total = np.zeros(len(buf) + 1, _U)
-    np.cumsum(table[buf] * _power(_R, len(buf)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power_at(_inverse(), starts) + (ends - starts).astype(_U))
+        return out
+    padded = _padded(buf, _LOWER if lower else None)
+    eights = _eights(padded)
+    of = np.flatnonzero((size > 0) & (size <= _LONG_WORD))
+    for k in range(0, _LONG_WORD, 8):
+        if k:
+            of = of[size[of] > k]
+        if not len(of):
+            break
+        out[of] = mix((out[of] * _U(_R)) ^ (eights[starts[of] + k] & _LOW[np.minimum(8, size[of] - k)]))
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8, key=bytes([seed])).digest(), "little")
+    return out
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -143,13 +145,27 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(h: np.ndarray, word_offsets: np.ndarray, n: int) -> list[np.ndarray]:
-    """By row, the sorted distinct hashes of its n-word shingles; of all words as one if it has fewer than n."""
+def shingle_sets(h: np.ndarray, word_offsets: np.ndarray, n: int, other: np.ndarray | None = None) -> list:
+    """By row, the sorted distinct hashes of its n-word shingles; of all words as one if it has fewer than n.
+    With ``other`` hashes of the words: pairs of these hashes and, in the same order, those by the others."""
     grams, out = ngram_hashes(h, n), []
+    more = None if other is None else ngram_hashes(other, n)
     for a, b in zip(word_offsets[:-1].tolist(), word_offsets[1:].tolist()):
-        if b - a >= n:
-            s = np.sort(grams[a : b - n + 1])
-            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        if b - a < n:
+            s = [ngram_hashes(x[a:b], b - a) if b > a else np.zeros(0, _U) for x in (h, other) if x is not None]
+        elif more is None:
+            s = [np.sort(grams[a : b - n + 1])]
         else:
-            out.append(ngram_hashes(h[a:b], b - a) if b > a else np.zeros(0, _U))
+            order = np.argsort(grams[a : b - n + 1])
+            s = [grams[a : b - n + 1][order], more[a : b - n + 1][order]]
+        new = np.concatenate([[True], s[0][1:] != s[0][:-1]])[: len(s[0])]
+        out.append(s[0][new] if more is None else (s[0][new], s[1][new]))
     return out
+
+
+def shingles(text: bytes, n: int) -> set[tuple[bytes, ...]]:
+    """Distinct n-word shingles of a text, A-Z as a-z; all words as one if it has fewer than n."""
+    words = text.lower().split()
+    if len(words) < n:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[k:] for k in range(n))))

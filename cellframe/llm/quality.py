@@ -4,14 +4,14 @@ A logistic model of a text's form (capitals, punctuation, repetition and the lik
 sample of labelled rows, gives each document's evidence. Sites have two levels, host and path: the sums of
 the evidence by path and host are Beta-binomial observations. A host's posterior is shrunk toward the global
 mean, a path's toward its host's, by prior strengths that the method of moments takes from the corpus, so
-sparse sites say little. A document's quality is its own evidence with the prior odds of its path (without
-the document itself) in place of the global ones.
+sparse sites say little. A document's quality is its own evidence with the prior odds of its path in place of the
+global ones. The path's posterior leaves out the document itself; its host's, to which the path is shrunk, does not.
 
 ``documents`` has no URLs: the host is ``source``, the path within it ``lang``.
 
 Edge cases: null text is empty; a null host or path is a site of its own; without labels of both kinds every
-document has quality 0.5 and is kept; repeated rows count as rows; an empty table gives no rows; other
-columns are ignored.
+document has quality 0.5 and is kept; repeated rows count as rows and each row has its own decision, also those
+that share an id; an empty table gives no rows; other columns are ignored or, where rows are dropped, kept.
 """
 
 from __future__ import annotations
@@ -167,10 +167,10 @@ def _strength(sites: DataFrame, near: str) -> float:
     return float(min(STRENGTH[1], max(STRENGTH[0], spread / excess - 1))) if excess > 0 else STRENGTH[1]
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, reject_below: float = REJECT_BELOW, name: str = "quality") -> DataFrame:
-    """doc_id, p_document, p_host, p_path, quality, keep of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
-    weights = fit(rows, labels, sample)
+def _decided(rows: DataFrame, labels: DataFrame, carried: list[str], sample: int, reject_below: float, name: str) -> DataFrame:
+    """Of rows doc_id, text, host, path and carried columns: doc_id, p_document, p_host, p_path, quality, keep and
+    the carried columns."""
+    weights = fit(rows.select("doc_id", "text"), labels, sample)
     odds = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), F.col("x")))
     scored = _with_features(rows, weights).withColumn("p", 1 / (1 + F.exp(-odds))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).drop("x")
     scored = scratch.materialize(scored, name)
@@ -189,13 +189,24 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     p_path = F.greatest(F.lit(0.001), F.least(F.lit(0.999), p_path))
     quality = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(F.col("p_path")) - _logit(F.lit(mean)))))
     out = joined.withColumn("p_path", p_path).withColumn("quality", quality if weights.any() else F.lit(0.5))
-    return out.select("doc_id", F.col("p").alias("p_document"), "p_host", "p_path", "quality", (F.col("quality") >= reject_below).alias("keep"))
+    return out.select("doc_id", F.col("p").alias("p_document"), "p_host", "p_path", "quality", (F.col("quality") >= reject_below).alias("keep"), *carried)
+
+
+def _site(column: str):
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, reject_below: float = REJECT_BELOW, name: str = "quality") -> DataFrame:
+    """doc_id, p_document, p_host, p_path, quality, keep of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _site(host).alias("host"), _site(path).alias("path"))
+    return _decided(rows, labels, [], sample, reject_below, name)
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all columns."""
-    gone = classify(docs, labels).where("not keep").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+def drop_rejected(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, reject_below: float = REJECT_BELOW, name: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all columns: every row goes through by itself."""
+    carry = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _site(host).alias("host"), _site(path).alias("path"), *(docs[c].alias(n) for c, n in zip(docs.columns, carry)))
+    return _decided(rows, labels, carry, sample, reject_below, name).where("keep").select(*carry).toDF(*docs.columns)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -3,25 +3,16 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import hadoop_path, scratch_path
+
 #: Shuffle files of a finished job are of no use once its result is a written table.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 @contextlib.contextmanager
 def _settings(spark: SparkSession, **_):
     wanted = {_CLEANUP: "true", _BATCH: "2000"}
@@ -36,18 +27,19 @@ def _settings(spark: SparkSession, **_):
 
 
 class Table:
-    """A DataFrame written to the shared folder and read back; ``drop`` removes the files."""
+    """A DataFrame written to the shared folder and read back; ``drop``, or the end of the application, removes
+    the files."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{folder(self.spark)}/cellframe/{name}-{uuid.uuid4().hex}"
+        self.path = scratch_path(self.spark, name)
         with _settings(self.spark):
             df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        file_system, path = hadoop_path(self.spark, self.path)
+        file_system.delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -78,3 +78,14 @@ def test_empty_table(spark):
     assert exact_dedup.exact_duplicates(docs).count() == 0
     assert jaccard_join.jaccard_components(docs).count() == 0
     assert substring_dedup.removed(docs).count() == 0
+
+
+def thue_morse(odd):
+    """Letters of a cell varied in Thue-Morse order or its complement: sums of powers modulo 2**64 are equal."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ odd] + "qkzmwtx" for i in range(1024))
+
+
+def test_texts_that_polynomial_hashes_confuse(spark):
+    rows = [(1, thue_morse(0)), (2, thue_morse(1)), (3, "x " + thue_morse(0)), (4, "y " + thue_morse(1))]
+    assert sorted(map(tuple, substring_dedup.removed(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == removed(rows, 50)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(frame(spark, rows)).collect())) == jaccard_components(rows, 3, 90)
