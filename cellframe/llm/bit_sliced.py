@@ -1,16 +1,18 @@
 """Exact top-k inner products on a bit-sliced index.
 
 Vectors are scaled and floored to integers. The index keeps, by block of rows, the most significant bits of
-each component as bitmaps over the rows (slices). For a query, the slices are added up with its bits as
-weights by bitmap arithmetic (carry-save adders), components with a negative weight by their complements;
-that gives a lower bound of each row's score, again as slices, and the error has a known bound. The k-th
-best bound is found from the most significant slice downward, and the rows that can still reach it are
-resolved exactly with the whole integers. Queries meet all rows, in blocks of both.
-
-Edge cases: vectors that are null, or have null or non-finite components, or ones too large for a long, take
-no part; vectors meet only those of their own length; ties go to the smaller id; a row is not its own
-candidate, nor is one with the same id; repeated query rows each get their rows; fewer candidates give fewer
-rows; a score past the range of a long is shown as its end; an empty table gives none; other columns are ignored.
+each component as bitmaps over the rows (slices), between the least and the largest number of that block. For a
+query, the slices are added up with its bits as weights by bitmap arithmetic (carry-save adders), components with a
+negative weight by their complements; that gives a lower bound of each row's score, again as slices, and the
+error has a known bound. The k-th best bound is found from the most significant slice downward, and the rows that
+can still reach it are resolved exactly with the whole integers. Queries meet all rows, in blocks of both: the
+queries are broadcast up to ``BROADCAST_BYTES``; more of them meet the index on a grid of parts of both sides.
+
+Edge cases: vectors that are null, or have null or non-finite components, take no part; all finite ones do, and
+are compared as exact integers of any size; vectors meet only those of their own length; ties go to the smaller id; a
+row is not its own candidate, nor is one with the same id; repeated query rows each get their rows; fewer candidates
+give fewer rows; a score past the range of a long is ranked by what it is and shown as the end of that range; an
+empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ BLOCK_ROWS = 8192
 QUERY_ROWS = 256
 #: Most significant bits of a component that are sliced.
 SLICES = 6
+#: Bytes of queries that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
 
 _TABLE = "block long, width int, n int, ids binary, vectors binary"
-_FOUND = "query long, query_id long, vec_id long, score long"
+_FOUND = "query long, query_id long, vec_id long, score long, key binary"
 
 
 def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Rows of _TABLE: ids and integer components of up to ``rows`` vectors of one length."""
+    """Rows of _TABLE: ids and components (as doubles) of up to ``rows`` vectors of one length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held = TaskContext.get().partitionId(), 0, {}
@@ -58,7 +62,7 @@ def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
             sizes = np.diff(offsets)
             for width in np.unique(sizes).tolist():
                 of = np.flatnonzero(sizes == width)
-                data = flat[offsets[of][:, None] + np.arange(width)].astype(np.int64).reshape(len(of), width)
+                data = flat[offsets[of][:, None] + np.arange(width)].astype(np.float64).reshape(len(of), width)
                 for a in range(0, len(of), rows):
                     held.setdefault(width, []).append((ids[of[a : a + rows]], data[a : a + rows]))
                     if sum(len(x) for x, _ in held[width]) >= rows:
@@ -72,7 +76,7 @@ def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
 def _slices(values: np.ndarray, low: int, shift: int, bits: int) -> np.ndarray:
     """[component, bit, word]: bitmaps over the rows of the upper bits of value - low."""
     n, width = values.shape
-    upper = ((values - low) >> shift).T
+    upper = ((values - low) >> shift).T.astype(np.int64)
     words = -(-n // 64)
     out = np.zeros((width, bits, words * 8), np.uint8)
     for b in range(bits):
@@ -132,9 +136,34 @@ def at_least(sums: list[np.ndarray], rows: np.ndarray, limit: int) -> np.ndarray
     return more | same
 
 
-def top_of_block(values: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, low: int, high: int):
+def whole(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of doubles: int64 if all are below 2**62, else Python integers."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(vectors * scale)
+    if not (np.abs(scaled) >= 2.0**62).any():
+        return scaled.astype(np.int64)
+    return np.array([int(y) if np.isfinite(y) else int(x) * scale for x, y in zip(vectors.ravel().tolist(), scaled.ravel().tolist())], object).reshape(vectors.shape)
+
+
+def products(values: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products as they are: int64 where no sum can leave its range, else Python integers."""
+    bound = int(abs(values).max(initial=0)) * int(abs(q).sum()) if len(q) else 0
+    if values.dtype == q.dtype == np.int64 and bound < 2**63:
+        return values @ q
+    return values.astype(object) @ q.astype(object) if len(q) else np.zeros(len(values), np.int64)
+
+
+def sort_key(score: int) -> bytes:
+    """Bytes in the order of the integers."""
+    n = max(1, -(-abs(score).bit_length() // 8))
+    size = n.to_bytes(3, "big") + abs(score).to_bytes(n, "big")
+    return b"\1" + size if score >= 0 else b"\0" + bytes(255 - x for x in size)
+
+
+def top_of_block(values: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
     """(query number, ids, scores) of each query's k best rows of the block."""
     n, width = values.shape
+    low, high = (int(f(values.ravel())) if width and n else 0 for f in (np.min, np.max))
     total = max(1, (high - low).bit_length())
     bits = min(SLICES, total)
     shift = total - bits
@@ -145,67 +174,67 @@ def top_of_block(values: np.ndarray, ids: np.ndarray, queries: np.ndarray, query
     rows[: -(-n // 8)] = np.packbits(np.ones(n, np.uint8), bitorder="little")
     rows = rows.view(np.uint64)
     for j, q in enumerate(queries):
-        size = np.abs(q)
+        size = abs(q)
         columns: dict[int, list[np.ndarray]] = {}
         for bit in range(int(size.max(initial=0)).bit_length()):
+            on = ((size >> bit) & 1).astype(bool)
             for sign, slices in ((q > 0, plain), (q < 0, flipped)):
-                of = np.flatnonzero(sign & ((size >> bit) & 1).astype(bool))
+                of = np.flatnonzero(sign & on)
                 if len(of):
                     for b in range(bits):
                         columns.setdefault(bit + b, []).append(slices[of, b])
         sums = _add_up(columns, words)
         # In units of 2**shift, each component's bound is low by less than one.
-        slack = int(size.sum()) if shift else 0
+        slack = sum(map(int, size)) if shift else 0
         wanted = min(n, k + int((ids == query_ids[j]).sum()))
         found = at_least(sums, rows, kth_largest(sums, rows, wanted) - slack)
         of = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little")[:n])
         of = of[ids[of] != query_ids[j]]
-        score = values[of] @ q
-        best = np.lexsort((ids[of], -score))[:k]
+        score = products(values[of], q)
+        best = np.array(sorted(range(len(of)), key=lambda i: (-score[i], ids[of[i]]))[:k], int) if score.dtype == object else np.lexsort((ids[of], -score))[:k]
         yield j, ids[of][best], score[best]
 
 
+def _met(index: DataFrame, queries: DataFrame, n_bytes: int, n_blocks: int) -> DataFrame:
+    """Every block of rows with every block of queries of its width."""
+    if n_bytes <= BROADCAST_BYTES:
+        spread = index.repartition(max(1, min(scratch.partitions(index.sparkSession), n_blocks)), "block")
+        return spread.join(F.broadcast(queries), "width")
+    parts, groups = scratch.partitions(index.sparkSession), -(-n_bytes // max(1, BROADCAST_BYTES))
+    left = index.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = queries.withColumn("group", F.pmod(F.xxhash64("qb"), F.lit(groups)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return left.join(right, ["width", "part", "group"])
+
+
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", vector: str = "embedding", name: str = "topk") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of each vector whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
     number = F.col(vector).cast("array<double>")
-    good = ~F.exists(number, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * scale) >= float(2**62)))
+    good = ~F.exists(number, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(F.col(vector).isNotNull() & F.col(vec_id).isNotNull()).where(good)
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(number, lambda x: F.floor(x * scale)).alias("v"))
+    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), number.alias("v"))
     index = scratch.Table(_blocks(rows, BLOCK_ROWS), name).df
     asked = scratch.Table(_blocks(rows.where(F.col("vec_id") % every == 0), QUERY_ROWS), name).df
-    bounds = rows.agg(F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")).first()
-    low, high = bounds["low"] or 0, bounds["high"] or 0
+    n_bytes = asked.agg(F.sum(F.octet_length("ids") + F.octet_length("vectors")).alias("n")).first()["n"] or 0
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, width, ids, data, theirs, ours in zip(*(batch.column(i) for i in range(6))):
                 width = width.as_py()
+                # Ids and vectors of queries are "theirs" and "ours"; those of the index block are "ids" and "data".
                 ids, theirs = (np.frombuffer(x.as_buffer(), np.int64) for x in (ids, theirs))
-                data, ours = (np.frombuffer(x.as_buffer(), np.int64).reshape(-1, width) if width else np.zeros((n, 0), np.int64) for x, n in ((data, len(ids)), (ours, len(theirs))))
-                # Row, id and vector of queries are named "ours"; those of the index block have no prefix.
-                if max(abs(low), abs(high)) >> 28:
-                    data, ours = data.astype(object), ours.astype(object)
-                out = [(block.as_py() * QUERY_ROWS + j, theirs[j], i, s) for j, best, score in _found(data, ids, ours, theirs, k, low, high) for i, s in zip(best.tolist(), score.tolist())]
-                columns = list(zip(*out)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query", "query_id", "vec_id", "score"])
-
-    queries = asked.select(F.col("block").alias("qb"), F.col("width").alias("qw"), F.col("ids").alias("qi"), F.col("vectors").alias("qv"))
-    spread = index.repartition(max(1, min(scratch.partitions(spark), index.count())), "block")
-    met = spread.crossJoin(queries).where("width <= qw and width >= qw").select("qb", "width", "ids", "vectors", "qi", "qv")
-    best = Window.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id")
-    return met.mapInArrow(search, _FOUND).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _found(data, ids, ours, theirs, k, low, high):
-    if data.dtype != object:
-        yield from top_of_block(data, ids, ours, theirs, k, low, high)
-        return
-    for j, q in enumerate(ours):  # numbers past 28 bits: scores in whole integers, no slices
-        of = np.flatnonzero(ids != theirs[j])
-        score = data[of] @ q if data.shape[1] else np.zeros(len(of), object)
-        best = sorted(range(len(of)), key=lambda i: (-score[i], ids[of[i]]))[:k]
-        yield j, ids[of][best], np.array([max(-(2**63), min(2**63 - 1, score[i])) for i in best], object)
+                data, ours = (whole(np.frombuffer(x.as_buffer(), np.float64).reshape(n, width), scale) for x, n in ((data, len(ids)), (ours, len(theirs))))
+                out = []
+                for j, best, score in top_of_block(data, ids, ours, theirs, k):
+                    out += [(block.as_py() * QUERY_ROWS + j, theirs[j], i, max(-(2**63), min(2**63 - 1, s)), sort_key(s)) for i, s in zip(best.tolist(), score.tolist())]
+                columns = list(zip(*out)) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["query", "query_id", "vec_id", "score", "key"])
+
+    queries = asked.select(F.col("block").alias("qb"), "width", F.col("ids").alias("qi"), F.col("vectors").alias("qv"))
+    met = _met(index, queries, n_bytes, index.count()).select("qb", "width", "ids", "vectors", "qi", "qv")
+    # A row of these is as large as a block of vectors.
+    found = scratch.Table(met.mapInArrow(search, _FOUND), name, batch=8).df
+    best = Window.partitionBy("query", "query_id").orderBy(F.desc("key"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_top_k(spark, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextlib.contextmanager
-def _settings(spark: SparkSession, **_):
-    wanted = {_CLEANUP: "true", _BATCH: "2000"}
+def _settings(spark: SparkSession, batch: int):
+    wanted = {_CLEANUP: "true", _BATCH: str(batch)}
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -30,10 +30,11 @@ class Table:
     """A DataFrame written to the shared folder and read back; ``drop``, or the end of the application, removes
     the files."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, batch: int = 2000):
+        """batch: rows that an Arrow batch on the way to Python has at most."""
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
-        with _settings(self.spark):
+        with _settings(self.spark, batch):
             df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

@@ -41,18 +41,20 @@ def test_backoff_equals_brute_force(spark, order, least):
 
 
 def brute_top(rows, k, every):
-    ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(1024 * x) if abs(x) < 1e300 else int(x) * 1024 for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for i, q in ok:
         if i % every == 0:
             best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i and len(v) == len(q))[:k]
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+            out += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e-3, 2e5, 6e5])
-def test_top_k_equals_brute_force(spark, scale, monkeypatch):
+@pytest.mark.parametrize("scale,limit", [(1.0, 1 << 26), (1e-3, 0), (2e5, 100), (6e5, 1 << 26), (1e12, 0), (5e15, 1 << 26)])
+def test_top_k_equals_brute_force(spark, scale, limit, monkeypatch):
+    """The last scale's scores do not fit a long."""
     monkeypatch.setattr(bit_sliced, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(bit_sliced, "BROADCAST_BYTES", limit)
     draw = random.Random(4)
     rows = [(i, [draw.gauss(0, scale) for _ in range(16)]) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(40)] + [(400, None), (401, [1.0, None] * 8), (402, [math.inf] * 16), (403, [math.nan] * 16), (500, [0.0] * 16), (600, [1.0, 2.0]), (605, [3.0, 4.0]), (700, [])]
@@ -61,6 +63,17 @@ def test_top_k_equals_brute_force(spark, scale, monkeypatch):
     assert found == brute_top(rows, 10, 20)
 
 
+def test_top_k_of_large_numbers(spark):
+    rows = [(0, [1 / 1024, 2.0]), (1, [5e15, 0.0]), (2, [3.0, 0.0]), (3, [1e308, 1e-5]), (4, [-1e308, 7.0]), (20, [1e306, -1e300])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    found = sorted(map(tuple, bit_sliced.top_k(docs, every=20, k=10).collect()))
+    assert found == brute_top(rows, 10, 20)
+    assert [r[2] for r in found if r[0] == 0] == [3, 20, 1, 2, 4]
+    assert bit_sliced.top_k(docs.where("vec_id < 0")).count() == 0
+    keys = [-(10**40), -257, -256, -255, -1, 0, 1, 255, 256, 10**40]
+    assert sorted(keys, key=bit_sliced.sort_key) == keys
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs, "doc_id", "text", "lang")
