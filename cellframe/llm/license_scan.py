@@ -1,22 +1,22 @@
 """License scan by conditional compression.
 
-Lines that hold a word of licensing make a text a candidate. Every template is confirmed by the exact
-differences in wording: the least number of words to insert, drop or replace so that the template stands
-somewhere in the text, across lines and however long. Only windows with too few of a template's words for any
-match are passed over. A passage that matches is compressed by zstandard alone and with the template as raw
-dictionary, which ranks templates by how much smaller it gets. All matches count, but those that overlap a
-better one: with a smaller share of differences, or an equal one and a larger reduction.
-
-Edge cases: null text is empty; documents without candidates have no license, 0 blocks and null figures;
-n_blocks counts the lines of licensing; of equal licenses the earlier one is the document's; repeated rows are
-rows; an empty table gives no rows; other columns are ignored.
+Every word of every text is looked at. A template with m words, of which k may differ, can only stand where m + k
+words hold m - k of its own; where that holds for some template is a candidate block, and no match lies outside
+of one. A block is compressed by zstandard alone and with each such template as raw dictionary; the templates are
+ranked by how much smaller it gets, and confirmed in that order by the exact differences in wording: the least number
+of words to insert, drop or replace so that the template stands somewhere in the block. All templates that can match
+a block are confirmed, so the rank only decides between equal shares of differences. All matches count, but those that
+overlap a better one: with a smaller share of differences, or an equal one and a larger reduction.
+
+Edge cases: null text is empty; documents without a match have no license and null figures; n_blocks counts the
+candidate blocks; of equal licenses the earlier one is the document's; repeated rows are rows; an empty table gives
+no rows; other columns are ignored. A long text is read word by word; its codes take two bytes a word.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +62,30 @@ TEMPLATES = {
     "CC0-1.0": ("Released under CC0 1.0 Universal.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-#: Words of licensing that make a line a candidate. Fixed value.
-ANCHOR = r"(?i)licen[sc]ed?\b|licen[sc]es|copying|redistribut|permission (?:is hereby|to use)|public domain|released under|software foundation"
+#: Names of licenses in short notices and tags. Fixed values.
+NAMES = {
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache License v2.0", "Apache 2.0", "Apache-2.0"),
+    "MIT": ("MIT License", "MIT licence"),
+    "ISC": ("ISC License",),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "BSD-3-Clause"),
+    "GPL-2.0": ("GPL v2", "GPLv2", "GPL-2.0", "GNU GPL v2", "GNU General Public License v2.0", "GNU General Public License, version 2"),
+    "GPL-3.0": ("GPL v3", "GPLv3", "GPL-3.0", "GNU GPL v3", "GNU General Public License v3.0", "GNU General Public License, version 3"),
+    "LGPL-3.0": ("LGPL v3", "LGPLv3", "LGPL-3.0", "GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3"),
+    "MPL-2.0": ("MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"),
+    "CC-BY-4.0": ("CC BY 4.0", "CC-BY 4.0", "CC-BY-4.0"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "CC-BY-SA 4.0", "CC-BY-SA-4.0"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "CC-BY-NC 4.0", "CC-BY-NC-4.0"),
+    "CC0-1.0": ("CC0 1.0", "CC0-1.0"),
+    "Unlicense": ("Unlicense",),
+}
+#: Wordings of short notices. Fixed values.
+WORDINGS = ("under {}", "under the {}", "under the terms of the {}")
 #: The share of a template's words that may differ.
 MOST_DIFFERENT = 0.15
 
-_NAMES = [k for k, v in TEMPLATES.items() for _ in v]
-_TEXTS = [t for v in TEMPLATES.values() for t in v]
+_ALL = [(k, t) for k, v in TEMPLATES.items() for t in v]
+_ALL += [(k, w.format(n)) for k, v in NAMES.items() for n in v for w in WORDINGS] + [(k, f"SPDX-License-Identifier: {k}{x}") for k in NAMES for x in ("", "-only", "-or-later")]
+_NAMES, _TEXTS = [k for k, _ in _ALL], [t for _, t in _ALL]
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _RESULT = "doc_id long, n_blocks long, license string, licenses array<string>, reduction double, differences long, template_words long"
 
@@ -81,12 +98,24 @@ _TEMPLATE_WORDS = [words(t) for t in _TEXTS]
 
 
 _CODES = {w: i for i, w in enumerate(dict.fromkeys(w for t in _TEMPLATE_WORDS for w in t))}
+_OTHER = len(_CODES)
 _OWN = [np.array([_CODES[w] for w in t]) for t in _TEMPLATE_WORDS]
 #: By template and code of a word: whether the template has it. The last code stands for all other words.
-_HAS = np.zeros((len(_OWN), len(_CODES) + 1), bool)
+_HAS = np.zeros((len(_OWN), _OTHER + 1), bool)
 for _i, _own in enumerate(_OWN):
     _HAS[_i, _own] = True
 _MOST = [int(MOST_DIFFERENT * len(t) + 1e-9) for t in _TEMPLATE_WORDS]
+#: Words of the longest window; more than twice as many keep the blocks of two texts apart.
+_GAP = max(len(o) + k for o, k in zip(_OWN, _MOST))
+#: Of templates that must stand word by word, the place of the word that the fewest templates have.
+_RAREST = [int(np.argmin(_HAS[:, o].sum(0))) for o in _OWN]
+
+
+def coded(text: str) -> np.ndarray:
+    """The words of a text, as numbers of template words."""
+    get = _CODES.get
+    found = _WORD.findall(text) if len(text) < 1 << 20 else (m.group() for m in _WORD.finditer(text))
+    return np.fromiter((get(w, _OTHER) for w in map(str.lower, found)), np.int16)
 
 
 def _changes(own: np.ndarray, codes: np.ndarray, anchored: bool = False) -> np.ndarray:
@@ -111,23 +140,32 @@ def _windows(i: int, codes: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of words outside of which template i cannot match: with m words and k changes allowed, a match is
     at most m + k words long and has at least m - k of the template's."""
     m, k = len(_OWN[i]), _MOST[i]
-    counts = np.concatenate([[0], np.cumsum(_HAS[i][codes])])
+    if not k:
+        at = np.flatnonzero(codes == _OWN[i][_RAREST[i]]) - _RAREST[i]
+        at = at[(at >= 0) & (at + m <= len(codes))]
+        for j in range(m):
+            at = at[codes[at + j] == _OWN[i][j]]
+        return [(a, a + m) for a in at.tolist()]
+    counts = np.zeros(len(codes) + 1, np.int32)
+    np.cumsum(_HAS[i][codes], out=counts[1:])
     width = min(m + k, len(codes))
-    at = np.flatnonzero(counts[width:] - counts[:-width or None] >= m - k) if width else np.zeros(0, int)
+    at = np.flatnonzero(counts[width:] - counts[: len(counts) - width] >= m - k) if width else np.zeros(0, int)
     if not len(at):
         return []
     cut = np.flatnonzero(np.diff(at) > width)
     return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), (at[np.concatenate([cut, [len(at) - 1]])] + width).tolist()))
 
 
-def _ends(codes: np.ndarray) -> list[tuple[float, int, int, int]]:
-    """(share of differences, template, end, differences) of every place where a template may end."""
-    out = []
-    for i, own in enumerate(_OWN):
-        for a, b in _windows(i, codes):
-            n = _changes(own, codes[a:b])
-            out += [(int(n[e]) / len(own), i, a + e, int(n[e])) for e in np.flatnonzero(n <= _MOST[i]).tolist()]
-    return sorted(out)
+def candidates(codes: np.ndarray) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """Blocks of words (first, the one after the last) in which templates may match, each with its windows:
+    (template, first, the one after the last)."""
+    out: list[tuple[int, int, list]] = []
+    for a, b, i in sorted((a, b, i) for i in range(len(_OWN)) for a, b in _windows(i, codes)):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), [*out[-1][2], (i, a, b)])
+        else:
+            out.append((a, b, [(i, a, b)]))
+    return out
 
 
 def _start(i: int, end: int, n: int, codes: np.ndarray) -> int:
@@ -140,38 +178,61 @@ class Scanner:
     def __init__(self):
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in _TEXTS]
-        self.anchor = re.compile(ANCHOR)
-
-    def blocks(self, text: str) -> int:
-        """Number of lines with an anchor."""
-        return sum(1 for line in text.split("\n") if self.anchor.search(line))
 
-    def reduction(self, i: int, part: str) -> float:
+    def ranked(self, templates, part: str) -> list[tuple[float, int]]:
+        """(size reduction, template), the largest reduction first."""
         data = part.encode("utf-8", "replace")
-        return 1 - len(self.given[i].compress(data)) / len(self.alone.compress(data))
+        size = len(self.alone.compress(data))
+        return sorted(((1 - len(self.given[i].compress(data)) / size, i) for i in templates), key=lambda x: (-x[0], x[1]))
 
     def matches(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
         """License, size reduction, differences and words of the template, and place in the text (first word and
         the one after the last) of every match that overlaps no better one, the best first."""
-        at = list(_WORD.finditer(text))
-        codes = np.array([_CODES.get(w.group().lower(), len(_CODES)) for w in at], int)
+        codes = coded(text)
+        blocks = candidates(codes)
+        if not blocks:
+            return []
+        at = [m.span() for m in _WORD.finditer(text)]
+        found = []
+        for first, last, windows in blocks:
+            by: dict[int, list] = {}
+            for i, a, b in windows:
+                by.setdefault(i, []).append((a, b))
+            for _, i in self.ranked(by, text[at[first][0] : at[last - 1][1]]):
+                for a, b in by[i]:
+                    n = _changes(_OWN[i], codes[a:b])
+                    for e in np.flatnonzero(n <= _MOST[i]).tolist():
+                        start = _start(i, a + e, int(n[e]), codes)
+                        reduction = self.ranked([i], text[at[start][0] : at[a + e - 1][1]])[0][0]
+                        found.append((int(n[e]) / len(_OWN[i]), -reduction, start, a + e, int(n[e]), i))
         taken = np.zeros(len(codes), bool)
         out = []
-        for _, ends in groupby(_ends(codes), key=lambda x: x[0]):
-            found = []
-            for _, i, end, n in ends:
-                # A match has so many words at least.
-                if not taken[max(0, end - len(_OWN[i]) + n) : end].any():
-                    start = _start(i, end, n, codes)
-                    found.append((-self.reduction(i, text[at[start].start() : at[end - 1].end()]), start, end, n, i))
-            for worse, start, end, n, i in sorted(found):
-                if not taken[start:end].any():
-                    taken[start:end] = True
-                    out.append((_NAMES[i], -worse, n, len(_OWN[i]), start, end))
+        for _, worse, start, end, n, i in sorted(found):
+            if not taken[start:end].any():
+                taken[start:end] = True
+                out.append((_NAMES[i], -worse, n, len(_OWN[i]), start, end))
+        return out
+
+    def scanned(self, texts: list[str]) -> list[tuple]:
+        """Number of blocks, license, all licenses, reduction, differences and template words of each text."""
+        gap = np.full(2 * _GAP + 2, _OTHER, np.int16)
+        parts = [coded(t) if t else gap[:0] for t in texts]
+        # A window of a text begins at most _GAP words before it.
+        starts = np.cumsum([len(gap), *(len(p) + len(gap) for p in parts)]) - _GAP
+        count = np.zeros(len(texts), int)
+        for first, _, _ in candidates(np.concatenate([gap, *(x for p in parts for x in (p, gap))])):
+            count[np.searchsorted(starts, first, "right") - 1] += 1
+        out = []
+        for t, n in zip(texts, count.tolist()):
+            found = self.matches(t) if n else []
+            best = found[0] if found else (None,) * 4
+            out.append((n, best[0], sorted({m[0] for m in found}), *best[1:4]))
         return out
 
 
 _scanner: list[Scanner] = []
+#: Text bytes that a worker handles at a time.
+CHUNK = 2 << 20
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,22 +241,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _scanner:
             _scanner.append(Scanner())
-        scanner = _scanner[0]
+        kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "n_blocks", "license", "licenses", "reduction", "differences", "template_words"]
         for batch in batches:
-            out = []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = scanner.blocks(t) if t else 0
-                found = scanner.matches(t) if n else []
-                # Of equal shares the larger reduction, and then the earlier place.
-                best = found[0][:4] if found else (None, None, None, None)
-                out.append((doc, n, best[0], sorted({m[0] for m in found}), *best[1:]))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.int64(), pa.int64()]
-            names = ["doc_id", "n_blocks", "license", "licenses", "reduction", "differences", "template_words"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names)
-
-    own = F.col(text)
-    # Texts without a candidate line need not leave the JVM.
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(own.rlike(ANCHOR), own).alias("text")).mapInArrow(run, _RESULT)
+            for part in bpe.chunks(batch, "text", CHUNK):
+                out = _scanner[0].scanned(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names)
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _RESULT)
 
 
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:

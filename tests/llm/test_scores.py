@@ -142,7 +142,7 @@ def test_licenses(spark):
 
 
 def test_licenses_within_a_long_line(spark):
-    words = [w for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 5000").limit(8).collect() for w in r.text.split() if not license_scan.re.search(license_scan.ANCHOR, w)]
+    words = [w for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 5000").limit(8).collect() for w in r.text.split() if license_scan.words(w) and license_scan._CODES.get(license_scan.words(w)[0]) is None]
     rows, wanted = [], {}
     for size in (800, 4000, 17000):
         for name, texts in license_scan.TEMPLATES.items():
@@ -156,6 +156,52 @@ def test_licenses_within_a_long_line(spark):
     assert {r.doc_id: r.license for r in license_scan.scan(frame(spark, rows)).collect()} == wanted
 
 
+def brute_matches(text):
+    """Every match by the plain edit distance of all templates at all words; then the best that do not overlap."""
+    spans = [m.span() for m in license_scan._WORD.finditer(text)]
+    w = [text[a:b].lower() for a, b in spans]
+    found = []
+    for i, own in enumerate(license_scan._TEMPLATE_WORDS):
+        for start in range(len(w)):
+            # By number of words read from start: least changes of the whole template.
+            row = list(range(len(own) + 1))
+            for end in range(start + 1, min(len(w), start + 2 * len(own)) + 1):
+                now = [row[0] + 1]
+                for j, x in enumerate(own, 1):
+                    now.append(min(row[j - 1] + (x != w[end - 1]), row[j] + 1, now[-1] + 1))
+                row = now
+                if row[-1] <= 0.15 * len(own):
+                    found.append((row[-1] / len(own), license_scan._NAMES[i], start, end))
+    return found
+
+
+def test_license_matches_equal_brute_force():
+    draw = random.Random(5)
+    t = license_scan.TEMPLATES
+    scanner = license_scan.Scanner()
+    for _ in range(12):
+        parts = [draw.choice(draw.choice(list(t.values()))).split() for _ in range(2)]
+        for p in parts:
+            for _ in range(draw.randrange(4)):
+                p[draw.randrange(len(p))] = draw.choice(["x", "the license", ""])
+        text = " ".join(w for p in parts for w in ["some", "words", "under", *p, "of", "this"])
+        every = brute_matches(text)
+        found = scanner.matches(text)
+        # The best share is found, and whatever is not found overlaps a match that is no worse.
+        assert bool(found) == bool(every)
+        for share, _, a, b in every:
+            assert any(n / m <= share + 1e-12 and start < b and a < end for _, _, n, m, start, end in found)
+        for name, _, n, m, a, b in found:
+            assert any(k == name and x == a and y == b and abs(s - n / m) < 1e-12 for s, k, x, y in every)
+
+
+def test_short_notices_and_tags(spark):
+    rows = [(1, "SPDX-License-Identifier: MIT"), (2, "Licensed under the terms of the MIT license"), (3, "released under GPL v3"), (4, "// spdx-license-identifier: GPL-2.0-or-later"), (5, "the mit campus, under licence plates"), (6, "See LICENSE."), (7, "")]
+    by = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert [by[i].license for i in range(1, 8)] == ["MIT", "MIT", "GPL-3.0", "GPL-2.0", None, None, None]
+    assert [by[i].n_blocks for i in (1, 6)] == [1, 0] and license_scan.scan(frame(spark, rows).where("doc_id < 0")).count() == 0
+
+
 def test_several_licenses_of_a_block(spark):
     t = license_scan.TEMPLATES
     wrapped = t["GPL-3.0"][1].replace("of the GNU ", "of the GNU\n# ").replace("Software Foundation, ", "Software Foundation,\n# ")
