@@ -1,19 +1,24 @@
-"""Removal of repeated substrings: suffixes compared bucket by bucket, with the help of a difference-cover sample.
+"""Removal of repeated substrings: suffixes sorted bucket by bucket, with the help of a difference-cover sample.
 
 Whether two suffixes agree for ``length`` bytes is decided as in blockwise suffix sorting with a difference
 cover. The positions whose remainder modulo v lies in a perfect difference set D are the sample: for any two
 positions i and j there is a k < v for which i + k and j + k both belong to it. Each block sends the sample's
 substrings of length - v + 1 bytes, as sorted hashes, to the owners of hash ranges; an owner sorts its range
-and answers which of them have rank mates in another document. Two suffixes can tie for ``length`` bytes
-only if a sample position within the first v has such a mate, so all but the repeated suffixes are settled
-by the sample alone. The tied suffixes are then sorted one bucket (range of owners) at a time, and each tie
-is resolved by the least doc_id that shares the bytes. No task sees more than a block of text or one bucket.
+and answers which of them have rank mates in another document (of a rank no more is asked than whether it is shared).
+Two suffixes can tie for ``length`` bytes only if a sample position within the first v has such a mate, so all but the
+repeated suffixes are settled by the sample alone; a chance match of hashes only sends a suffix on.
 
-A document whose whole text also stands under a smaller doc_id is found first and needs no suffixes.
+The tied suffixes go to buckets by the least hash of their short substrings, so that neighbours, which mostly have
+the same one, go together as one string, and equal suffixes meet. One part of the buckets is sorted after another, and
+in a bucket one range of first bytes after another, by all ``length`` bytes; equal neighbours in that order tie, and
+the least doc_id of each tie keeps its bytes. No decision depends on a hash, but for that on whole texts: a document
+whose text also stands under a smaller doc_id is found first, by SHA-256, and needs no suffixes. No task sees more than
+a block of text or one bucket.
 
 Edge cases: null text is empty; texts shorter than ``length`` keep all bytes; equal doc_ids are one document
 as to what is smaller, but rows stay rows; a null doc_id is larger than all others; an empty table gives no
-rows; other columns are ignored. Hashes of suffixes and of whole texts have 64 bits.
+rows; other columns are ignored. A text is never split: one that is longer than a block is a block of its own and takes
+some 40 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -26,11 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import blocks, kernels, scratch
+from . import blocks, golomb, kernels, scratch
 
 _U = np.uint64
 #: Perfect difference sets by modulus. Fixed values.
@@ -42,8 +48,11 @@ COVERS = {
     21: (0, 1, 4, 14, 16),
     31: (0, 1, 3, 8, 12, 18),
 }
-#: Parts of the blocks, and buckets of suffixes, that are handled one after another.
+#: Parts of the blocks, and of the buckets of suffixes, that are handled one after another.
 ROUNDS = 4
+#: Suffixes that are sorted at a time, about, and neighbours that go as one string at most.
+SORTED = 1 << 19
+STRING = 1 << 12
 _LAST = np.iinfo(np.int64).max
 
 
@@ -89,24 +98,6 @@ def _least(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return h[order][first], low, low < high, place
 
 
-def _ids_out(ids: np.ndarray) -> bytes:
-    known, at = np.unique(ids, return_inverse=True)
-    return zlib.compress(len(known).to_bytes(4, "little") + np.diff(known, prepend=0).tobytes() + at.astype(np.uint32).tobytes(), 1)
-
-
-def _ids_in(data: bytes) -> np.ndarray:
-    data = zlib.decompress(data)
-    n = int.from_bytes(data[:4], "little")
-    return np.cumsum(np.frombuffer(data, np.int64, n, 4))[np.frombuffer(data, np.uint32, -1, 4 + 8 * n)]
-
-
-def _smaller_elsewhere(h: np.ndarray, sender: np.ndarray, extras: list[bytes]) -> np.ndarray:
-    """Answer of an owner: another block has the hash under a smaller id."""
-    ids = np.concatenate([_ids_in(x) for x in extras])
-    _, low, _, at = _least(h, ids)
-    return ids > low[at]
-
-
 def _has_mates(h: np.ndarray, sender: np.ndarray, extras: list[bytes]) -> np.ndarray:
     sizes = np.bincount(sender, minlength=len(extras))
     several = np.concatenate([blocks.said(x, n) for x, n in zip(extras, sizes)])
@@ -116,10 +107,152 @@ def _has_mates(h: np.ndarray, sender: np.ndarray, extras: list[bytes]) -> np.nda
     return (any_several | (count > 1))[at]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+class _Strings:
+    """Tied suffixes of a block as strings: runs of neighbours whose bucket key is the same. Strings with the same
+    bytes are sent once, under their least doc_id."""
+
+    def __init__(self, text: _Text, tied: np.ndarray, length: int, owners: int):
+        new = np.ones(len(tied), bool)
+        new[1:] = (np.diff(tied) > 1) | (text.doc[tied[1:]] != text.doc[tied[:-1]])
+        run = np.flatnonzero(new)
+        sizes = np.diff(run, append=len(tied))
+        gram = max(1, length // 3)
+        width = length - gram + 1
+        of_run = sizes + width - 1
+        key = _sliding_least(kernels.window_hashes(text.buf, _ranges(tied[run], of_run), gram), width)
+        key = key[_ranges(np.cumsum(of_run) - of_run, sizes)]
+        new[1:] |= key[1:] != key[:-1]
+        new[::STRING] = True
+        first = np.flatnonzero(new)
+        #: By string: its number of suffixes.
+        self.n = np.diff(first, append=len(tied))
+        ids = text.ids[text.doc[tied[first]]]
+        known: dict[bytes, int] = {}
+        data, least, same = memoryview(text.buf), [], []
+        for a, size, d in zip(tied[first].tolist(), (self.n + length - 1).tolist(), ids.tolist()):
+            u = known.setdefault(bytes(data[a : a + size]), len(known))
+            if u == len(least):
+                least.append(d)
+            elif d < least[u]:
+                least[u] = d
+            same.append(u)
+        same, self.texts = np.array(same, np.int64), list(known)
+        self.least = np.array(least, np.int64)
+        where = np.zeros(len(known), np.int64)
+        where[same[::-1]] = first[::-1]
+        owner = golomb.owner_of(kernels.mix(key[where]), 64, owners)
+        #: Sent strings in order of their owners.
+        self.order = np.argsort(owner, kind="stable")
+        self.owner = owner[self.order]
+        place = np.empty(len(known), np.int64)
+        place[self.order] = np.arange(len(known))
+        self.place, self.later = place[same], ids > self.least[same]
+
+    def sent(self, block: int, length: int) -> pa.RecordBatch:
+        """Rows of blocks.SENT."""
+        out = []
+        for o, a, b in self.by_owner():
+            texts = [self.texts[i] for i in self.order[a:b].tolist()]
+            about = np.array(list(map(len, texts)), np.uint32).tobytes() + self.least[self.order[a:b]].tobytes()
+            out.append((o, block, zstandard.compress(b"".join(texts), 1), zstandard.compress(about, 1)))
+        return blocks.rows(blocks.SENT, list(zip(*out)) if out else [[]] * 4)
+
+    def by_owner(self):
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.owner)) + 1, [len(self.owner)]]) if len(self.owner) else [0]
+        for a, b in zip(cuts[:-1].tolist() if len(self.owner) else (), cuts[1:].tolist() if len(self.owner) else ()):
+            yield int(self.owner[a]), a, b
+
+    def repeated(self, replies: pa.Table, length: int) -> np.ndarray:
+        """By tied suffix, whether it stands in a document of smaller id."""
+        sizes = np.array([len(self.texts[i]) - length + 1 for i in self.order.tolist()], np.int64)
+        by = dict(zip(replies.column("owner").to_pylist(), replies.column("reply").to_pylist()))
+        parts = [blocks.said(by[o], int(sizes[a:b].sum())) for o, a, b in self.by_owner()]
+        told = np.concatenate(parts) if parts else np.zeros(0, bool)
+        start = np.cumsum(sizes) - sizes
+        return told[_ranges(start[self.place], self.n)] | np.repeat(self.later, self.n)
+
+
+def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of each ``width`` neighbours."""
+    span = 1
+    out = values
+    while 2 * span <= width:
+        out = np.minimum(out[:-span], out[span:])
+        span *= 2
+    n = len(values) - width + 1
+    return np.minimum(out[:n], out[width - span : width - span + n])
+
+
+def _bucket(table: pa.Table, length: int) -> pa.Table:
+    """Rows of blocks.REPLY: of all suffixes in the strings that one owner was sent, whether a smaller doc_id has
+    the same ``length`` bytes."""
+    plain = zstandard.ZstdDecompressor()
+    texts = [plain.decompress(x.as_buffer()) for x in table.column("body")]
+    about = [plain.decompress(x.as_buffer()) for x in table.column("extra")]
+    counts = [len(x) // 12 for x in about]
+    sizes = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(about, counts)]).astype(np.int64)
+    ids = np.concatenate([np.frombuffer(x, np.int64, n, 4 * n) for x, n in zip(about, counts)])
+    # Eight bytes more can be read from each place; the last word of a suffix begins so that it ends with it.
+    buf = np.frombuffer(b"".join([*texts, bytes(8)]), np.uint8)
+    words = np.ndarray((len(buf) - 7,), ">u8", buf, 0, (1,))
+    at = _ranges(np.cumsum(sizes) - sizes, sizes - length + 1)
+    own = np.repeat(ids, sizes - length + 1)
+    steps = [*range(0, max(0, length - 8), 8), max(0, length - 8)]
+    cut = np.uint64(8 * max(0, 8 - length))
+
+    def word(i: np.ndarray, step: int) -> np.ndarray:
+        return words[i + step].astype(np.uint64) >> cut
+
+    out = np.zeros(len(at), bool)
+    first = word(at, 0)
+    order = np.argsort(first, kind="stable")
+    head = np.flatnonzero(np.diff(first[order], prepend=first[order][:1] ^ np.uint64(1))) if len(at) else order
+    low = 0
+    while low < len(at):
+        # One range of first words at a time.
+        high = int(head[np.searchsorted(head, low + SORTED)]) if np.searchsorted(head, low + SORTED) < len(head) else len(at)
+        part = order[low:high]
+        keys = [word(at[part], k) for k in steps[1:]][::-1] + [first[part]]
+        inner = np.lexsort(keys)
+        part = part[inner]
+        new = np.zeros(len(part), bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[inner][1:] != k[inner][:-1]
+        begin = np.flatnonzero(new)
+        least = np.minimum.reduceat(own[part], begin)
+        out[part] = own[part] > np.repeat(least, np.diff(begin, append=len(part)))
+        low = high
+    ends = np.cumsum(sizes - length + 1)
+    cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+    replies = [zlib.compress(np.packbits(out[a:b]), 1) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    kernels.release()
+    return pa.Table.from_batches([blocks.rows(blocks.REPLY, [table.column("block").to_pylist(), table.column("owner").to_pylist(), replies])])
+
+
 _PASSED = "_payload binary, _owner int, _block long, _body binary, _extra binary"
 _FOUND = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+WHOLE = "block long, row int, doc_id long, sha binary"
+#: The rows of one text meet its least id in up to so many tasks.
+SALTS = 64
+
+
+def _copies(whole: DataFrame) -> DataFrame:
+    """block and copies: the rows of each block whose whole text stands under a smaller doc_id."""
+    salt = F.pmod(F.xxhash64("block", "row"), F.lit(SALTS)).cast("int")
+    whole = whole.withColumn("salt", salt)
+    least = whole.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).where("n > 1")
+    least = least.select("sha", "least", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)).alias("salt"))
+    return whole.join(least, ["sha", "salt"]).where("doc_id > least").groupBy("block").agg(F.collect_list("row").alias("copies"))
+
+
 def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = None, name: str = "substrings") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, for the removal of all bytes that some
     ``length`` bytes cover which also start in a document of smaller doc_id. With ``carry`` (new names by
@@ -136,24 +269,22 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
     samples = blocks.totals(table.df)[1] * len(COVERS[v]) // v
     bits, owners = min(64, max(40, samples.bit_length() + 8)), blocks.owners_for(docs.sparkSession, samples)
     cut = _U(64 - bits)
+    buckets = blocks.owners_for(docs.sparkSession, blocks.totals(table.df)[1])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Text]]:
+    def tell_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                yield block, _Text(blocks.unpack(payload))
-
-    def whole(text: _Text) -> np.ndarray:
-        return kernels.word_hashes(text.buf, text.offsets[:-1], text.end, lower=False)
-
-    def tell_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, text in each(batches):
-            h, low, _, _ = _least(whole(text), text.ids)
-            yield blocks.send(block, h, 64, owners, lambda a, b: _ids_out(low[a:b]))
+                text = _Text(blocks.unpack(payload))
+                long_ = np.flatnonzero(text.sizes >= length)
+                digests = [hashlib.sha256(text.buf[text.offsets[i] : text.end[i]]).digest() for i in long_.tolist()]
+                yield blocks.rows(WHOLE, [np.full(len(long_), block), long_, text.ids[long_], digests])
+        kernels.release()
 
-    def copies_of(text: _Text, replies: pa.Table) -> np.ndarray:
+    def copies_of(text: _Text, rows: pa.Table) -> np.ndarray:
         """Rows whose whole text stands under a smaller doc_id."""
-        h, low, _, place = _least(whole(text), text.ids)
-        return (text.ids > low[place]) | blocks.heard(h, 64, owners, replies)[place]
+        out = np.zeros(len(text.ids), bool)
+        out[[i for x in rows.column("copies").to_pylist() for i in x or ()]] = True
+        return out
 
     def sampled(text: _Text, copy: np.ndarray):
         at = text.sample(v, size)
@@ -197,12 +328,9 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
         kernels.release()
         text = _Text(blocks.unpack(left.column("payload")[0]))
         block = left.column("block")[0].as_py()
-        which = right.column("owner").to_numpy() >= owners
-        later = right.filter(pa.array(which))
-        later = later.set_column(1, "owner", pc.subtract(later.column("owner"), pa.scalar(owners, pa.int32())))
-        copy = copies_of(text, later)
+        copy = copies_of(text, right)
         at, h, _, _, place = sampled(text, copy)
-        mates = blocks.heard(h, bits, owners, right.filter(pa.array(~which)))[place]
+        mates = blocks.heard(h, bits, owners, right.filter(pc.is_valid(right.column("owner"))))[place]
         tied = text.suffixes(at[mates], v, length)
         tied = tied[~copy[text.doc[tied]]]
         busy = np.bincount(text.doc[tied], minlength=len(text.ids)) > 0
@@ -214,8 +342,7 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
             rows = np.flatnonzero(busy)
             table = text.table.take(pa.array(rows)).append_column("tied", pa.array([np.packbits(marks[a:b]).tobytes() for a, b in zip(text.offsets[rows].tolist(), text.end[rows].tolist())], pa.binary()))
             out.append(pa.table({"_block": pa.array([block], pa.int64()), "_payload": pa.array([blocks.pack(table)], pa.binary())}))
-            h, low, _, _ = _least(kernels.window_hashes(text.buf, tied, length), text.ids[text.doc[tied]])
-            sent = blocks.send(block, h, 64, owners, lambda a, b: _ids_out(low[a:b]))
+            sent = _Strings(text, tied, length, buckets).sent(block, length)
             out.append(pa.Table.from_batches([sent.rename_columns([f"_{c}" for c in sent.schema.names])]))
         return pa.concat_tables([_conform(t, arrow_mid) for t in out])
 
@@ -224,21 +351,22 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
         text = _Text(blocks.unpack(left.column("payload")[0]))
         marks = [np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8))[:n].astype(bool) for m, n in zip(text.table.column("tied"), text.sizes)]
         tied = np.flatnonzero(np.concatenate(marks))
-        ids = text.ids[text.doc[tied]]
-        h, low, _, place = _least(kernels.window_hashes(text.buf, tied, length), ids)
-        repeated = tied[(ids > low[place]) | blocks.heard(h, 64, owners, right)[place]]
+        repeated = tied[_Strings(text, tied, length, buckets).repeated(right, length)]
         edge = np.zeros(len(text.buf) + 1, np.int32)
         edge[repeated] += 1
         np.add.at(edge, repeated + length, -1)
         gone = np.cumsum(edge[:-1]) > 0
         return _conform(pa.table(result(text, np.arange(len(text.ids)), gone)), arrow_shape)
 
+    def bucket(sent: pa.Table) -> pa.Table:
+        return _bucket(sent, length)
+
     def met(left: DataFrame, right: DataFrame, f, schema) -> DataFrame:
         return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(f, schema)
 
-    copies = scratch.Table(blocks.ask(table.df.mapInArrow(tell_whole, blocks.SENT), 64, owners, _smaller_elsewhere), name)
+    copies = scratch.Table(_copies(table.df.mapInArrow(tell_whole, WHOLE)), name)
     mates = scratch.Table(blocks.ask(met(table.df, copies.df, tell_sample, blocks.SENT), bits, owners, _has_mates), name)
-    replies = mates.df.union(copies.df.select("block", (F.col("owner") + F.lit(owners)).alias("owner"), "reply"))
+    replies = mates.df.select("block", "owner", "reply", F.lit(None).cast("array<int>").alias("copies")).union(copies.df.select("block", F.lit(None).cast("int"), F.lit(None).cast("binary"), "copies"))
     # One part of the blocks, and then one bucket of suffixes at a time: that bounds what is in shuffle files.
     part = F.pmod(F.xxhash64("block"), F.lit(ROUNDS))
     first = [scratch.Table(met(table.df.where(part == r), replies.where(part == r), tie, mid), name).df for r in range(ROUNDS)]
@@ -246,8 +374,9 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
         used.drop()
     first = functools.reduce(DataFrame.union, first)
     sent = first.where("_owner is not null").select(*(F.col(f"_{c}").alias(c) for c in ("owner", "block", "body", "extra")))
-    buckets = [sent.where(F.col("owner").between(r * owners // ROUNDS, (r + 1) * owners // ROUNDS - 1)) for r in range(ROUNDS)]
-    ties = functools.reduce(DataFrame.union, [scratch.Table(blocks.ask(b, 64, owners, _smaller_elsewhere), name).df for b in buckets])
+    parts = [sent.where(F.col("owner").between(r * buckets // ROUNDS, (r + 1) * buckets // ROUNDS - 1)) for r in range(ROUNDS)]
+    ties = [scratch.Table(x.groupBy("owner").applyInArrow(bucket, blocks.REPLY), name).df for x in parts]
+    ties = functools.reduce(DataFrame.union, ties)
     waiting = first.where("_payload is not null").select(F.col("_block").alias("block"), F.col("_payload").alias("payload"))
     done = first.where("_block is null").select(*shape.names)
     return done.union(met(waiting, ties, settle, shape))
