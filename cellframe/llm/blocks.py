@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from . import golomb, kernels, scratch
 
 BLOCK = "block long, n_docs long, n_bytes long, payload binary"
-#: Bytes of text in a block; a longer document is a block of its own.
+#: Bytes of text in a block (a longer document is a block of its own), and hashes that one owner gets at most, about:
+#: for workers with some 500 MB. Sessions with larger executors set more by ``cellframe.blockBytes`` and
+#: ``cellframe.ownerHashes``; messages are blocks times owners, so both grow with the square root of the corpus.
 BLOCK_BYTES = 3 << 20
+OWNER_HASHES = 8 << 20
 
 
 def pack(table: pa.Table) -> bytes:
@@ -43,8 +46,9 @@ def rows(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
-def build(docs: DataFrame, name: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> scratch.Table:
+def build(docs: DataFrame, name: str, text: str = "text", block_bytes: int | None = None) -> scratch.Table:
     """Write ``docs`` as blocks: the rows of each in ``payload``, compressed."""
+    block_bytes = block_bytes or int(docs.sparkSession.conf.get("cellframe.blockBytes", str(BLOCK_BYTES)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -100,13 +104,9 @@ def to_arrow(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-#: Hashes that one owner gets at most, about.
-OWNER_HASHES = 8 << 20
-
-
 def owners_for(spark, hashes: int) -> int:
     """Owners of equal hash ranges: some for each shuffle partition, and enough that none gets too much."""
-    return max(2 * scratch.partitions(spark), -(-hashes // OWNER_HASHES))
+    return max(2 * scratch.partitions(spark), -(-hashes // int(spark.conf.get("cellframe.ownerHashes", str(OWNER_HASHES)))))
 
 
 def totals(blocks: DataFrame) -> tuple[int, int]:

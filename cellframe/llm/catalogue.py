@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_lm_scoring": lm_scoring.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_top_k": bit_sliced.OP7_SQL,
+    "op8_jaccard_join": jaccard_join.OP8_SQL,
 }

@@ -1,16 +1,20 @@
 """Stupid-backoff language-model scores of a corpus by its own n-gram counts.
 
-The counts of all n-grams of orders 1 to n are a table partitioned by hash range. Blocks of documents send
-their distinct n-grams with counts to the owners of the ranges, who add them up over the whole corpus; the
-totals are joined back to each block's n-grams, and a token's score is that of the longest n-gram that the
-corpus has often enough: count(n-gram) / count(context), times ``backoff`` for each order given up. Scores
-are summed by document. The n-gram of no words counts all tokens. A word that a third of all rows repeat is
-sent once by each block.
+The counts of all n-grams of orders 1 to n are partitioned by hash range. Blocks of documents send their distinct
+n-grams with counts to the owners of the ranges, who add them up over the whole corpus; the totals are joined back to
+each block's n-grams, and a token's score is that of the longest n-gram that the corpus has often enough:
+count(n-gram) / count(context), times ``backoff`` for each order given up. Scores are summed by document. The n-gram
+of no words counts all tokens. A word that a third of all rows repeat is sent once by each block. N-grams travel as
+coded lists, one for each block and owner, and not as one row each: the README has the figures of both forms.
+
+A corpus that is its own model has every n-gram at least once, where a document has it; with ``least`` 1 nothing would
+ever back off, and a text that shares nothing with any other would score best. So an n-gram of two or more words is
+known from its second occurrence.
 
 Edge cases: null or blank text has no tokens, a sum of 0 and no mean; the first tokens of a text have the
 contexts they have; repeated rows count and are scored as rows; an empty table gives no rows; other columns
 are ignored. Hashes have 20 bits more than the number of n-grams needs, so about one n-gram in a million
-shares its count with another.
+shares its count with another. A text is never split: it takes some 150 bytes of memory for each of its words.
 """
 
 from __future__ import annotations
@@ -101,9 +105,12 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         grams = _Grams(blocks.unpack(left.column("payload")[0]), order, cut)
         totals = blocks.heard(grams.distinct, bits, owners, right, np.uint64)
-        each = np.concatenate([[0.0], np.cumsum(grams.scores(totals.astype(np.float64), backoff, least))])
-        a, b = grams.by_doc[:-1], grams.by_doc[1:]
-        return pa.table({"doc_id": grams.table.column("doc_id"), "n_tokens": b - a, "log10_sum": each[b] - each[a]})
+        each = grams.scores(totals.astype(np.float64), backoff, least)
+        size = np.diff(grams.by_doc)
+        total = np.zeros(len(size))
+        if len(each):
+            total[size > 0] = np.add.reduceat(each, grams.by_doc[:-1][size > 0])
+        return pa.table({"doc_id": grams.table.column("doc_id"), "n_tokens": size, "log10_sum": total})
 
     replies = scratch.Table(blocks.ask(table.df.mapInArrow(tell, blocks.SENT), bits, owners, add_up), name)
     out = table.df.groupBy("block").cogroup(replies.df.groupBy("block")).applyInArrow(score, SCORES)
@@ -112,4 +119,32 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_tokens", (F.round("log10_sum", 4) + F.lit(0.0)).alias("log10_sum"), (F.round("mean_log10", 4) + F.lit(0.0)).alias("mean_log10"))
+
+
+OP3_SQL = """
+WITH texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts),
+words AS (SELECT doc_id, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c FROM places),
+one AS (SELECT a, count(*) AS n FROM words GROUP BY a),
+two AS (SELECT b, a, count(*) AS n FROM words WHERE i > 1 GROUP BY b, a),
+three AS (SELECT c, b, a, count(*) AS n FROM words WHERE i > 2 GROUP BY c, b, a),
+scored AS (
+  SELECT t.doc_id,
+    CASE WHEN three.n >= 2 THEN log10(three.n / before.n)
+         WHEN two.n >= 2 THEN log10(two.n / last.n) + CASE WHEN t.i > 2 THEN log10(0.4) ELSE 0 END
+         ELSE log10(one.n / (SELECT count(*) FROM words)) + (least(t.i, 3) - 1) * log10(0.4) END AS s
+  FROM words t
+  JOIN one ON one.a = t.a
+  LEFT JOIN two ON two.b = t.b AND two.a = t.a
+  LEFT JOIN three ON three.c = t.c AND three.b = t.b AND three.a = t.a
+  LEFT JOIN one AS last ON last.a = t.b
+  LEFT JOIN two AS before ON before.b = t.c AND before.a = t.b
+)
+SELECT texts.doc_id, len(w)::BIGINT AS n_tokens, round(coalesce(x, 0), 4) + 0.0 AS log10_sum, round(x / len(w), 4) + 0.0 AS mean_log10
+FROM texts LEFT JOIN (SELECT doc_id, sum(s) AS x FROM scored GROUP BY doc_id) AS y USING (doc_id)
+"""
