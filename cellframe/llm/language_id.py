@@ -6,7 +6,8 @@ language that has its script. Viterbi over a document's words, with a penalty fo
 labels its spans; the prediction is the language with most letters, its score their share.
 
 Edge cases: null text and text without a letter are "und" with score 0; without any labelled row all others
-are "und" too; a word in a script that no language uses scores alike for all; rows stay rows, so repeated
+are "und" too; a word in a script that no language uses has no weight, and a text of such words alone gets the first
+language with score 0; equal weights go to the first language in order of name; rows stay rows, so repeated
 ones repeat; an empty table gives no rows; other columns are ignored.
 """
 
@@ -53,6 +54,10 @@ SCRIPT_RANGES = (
     (0xD7B0, 9),
     (0xF900, 13),
     (0xFB00, 0),
+    (0x10000, 9),
+    (0x1D400, 0),
+    (0x20000, 13),
+    (0x40000, 0),
 )
 SCRIPTS = 14
 
@@ -89,12 +94,18 @@ class Words:
         return (code * np.uint32(2654435761)) >> np.uint32(17)
 
     def scripts(self) -> np.ndarray:
-        """The highest script number of each word's characters of two and three bytes, else Latin."""
+        """The highest script number of each word's characters beyond ASCII, else Latin."""
         b = self.buf.astype(np.int32)
         mark = np.zeros(len(b) + 1, np.uint8)
         two = np.flatnonzero((b[:-1] >= 0xC0) & (b[:-1] < 0xE0))
         three = np.flatnonzero((b[:-2] >= 0xE0) & (b[:-2] < 0xF0))
-        for at, code in ((two, (b[two] & 31) << 6 | b[two + 1] & 63), (three, (b[three] & 15) << 12 | (b[three + 1] & 63) << 6 | b[three + 2] & 63)):
+        four = np.flatnonzero(b[:-3] >= 0xF0)
+        codes = (
+            (two, (b[two] & 31) << 6 | b[two + 1] & 63),
+            (three, (b[three] & 15) << 12 | (b[three + 1] & 63) << 6 | b[three + 2] & 63),
+            (four, (b[four] & 7) << 18 | (b[four + 1] & 63) << 12 | (b[four + 2] & 63) << 6 | b[four + 3] & 63),
+        )
+        for at, code in codes:
             mark[at] = _NUMBERS[np.searchsorted(_FIRSTS, code, "right") - 1]
         return np.maximum.reduceat(mark, np.stack([self.starts, self.ends], 1).ravel())[::2] if len(self.starts) else np.zeros(0, np.uint8)
 
@@ -111,7 +122,9 @@ class Model:
         grams, scripts = counts[:, :TRIGRAMS] + 0.5, counts[:, TRIGRAMS:]
         self.logs = np.ascontiguousarray(np.log(grams / grams.sum(1, keepdims=True)).T, np.float32)
         has = scripts > SCRIPT_SHARE * scripts.sum(1, keepdims=True)
-        has[:, ~has.any(0)] = True
+        #: Scripts that some language has.
+        self.used = has.any(0)
+        has[:, ~self.used] = True
         self.allowed = np.where(has.T, 0, -1000).astype(np.float32)
 
     def scores(self, words: Words) -> np.ndarray:
@@ -201,9 +214,10 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                 n = len(model.languages)
                 labels = viterbi(model.scores(words), words.by_doc, penalty) if n else np.zeros(len(words.starts), np.int16)
                 doc = np.repeat(np.arange(len(texts)), np.diff(words.by_doc))
-                weight = np.bincount(doc * max(1, n) + labels, words.size, len(texts) * max(1, n)).reshape(len(texts), -1)
+                size = words.size * model.used[words.scripts()]
+                weight = np.bincount(doc * max(1, n) + labels, size, len(texts) * max(1, n)).reshape(len(texts), -1)
                 total, best = weight.sum(1), weight.argmax(1)
-                known = np.array([bool(n) and w > 0 and any(map(str.isalpha, t)) for w, t in zip(total, texts)], bool)
+                known = np.array([bool(n) and any(map(str.isalpha, t or "")) for t in texts], bool)
                 share = np.where(known, weight.max(1, initial=0) / np.maximum(total, 1), 0.0)
                 columns = [piece.column("doc_id"), pa.array([model.languages[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array(share)]
                 if spans:

@@ -3,9 +3,8 @@
 Each document's ids (with an end id) are cut into whole windows and one rest. The rests of all documents
 are a histogram of lengths below the window. Shallow combinations of up to ``DEPTH`` length classes that fill
 the window are enumerated, and non-negative least squares finds how often to use each so that the histogram
-is met. The counts are rounded down, and what is left is packed greedily, longest first, into the fullest
-window that takes it; the pieces that come last may be cut where that fills a window. All of this is done on
-the histogram (at most ``window`` numbers), so the plan has a bounded size; rests get their places by
+is met. The counts are rounded down, and what is left is packed greedily: a window opens with the longest rest left
+and takes the longest that fits, until none does. All of this is done on the histogram (at most ``window`` numbers), so the plan has a bounded size; rests get their places by
 their rank among those of equal length, which is counted by salted groups and never sorted in one task.
 
 Edge cases: null text is empty, a document of no text is its end id alone; repeated rows are packed as often

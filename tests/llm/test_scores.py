@@ -106,6 +106,74 @@ def test_viterbi_equals_brute_force():
         assert path[::-1] == found[a:b].tolist()
 
 
+def test_word_scores_equal_brute_force():
+    draw = np.random.default_rng(3)
+    counts = draw.integers(0, 50, (3, language_id.TRIGRAMS + language_id.SCRIPTS)).astype(float)
+    counts[:, language_id.TRIGRAMS :] = 0
+    counts[0, language_id.TRIGRAMS], counts[1, language_id.TRIGRAMS], counts[1, language_id.TRIGRAMS + 1], counts[2, language_id.TRIGRAMS + 13] = 100, 90, 10, 5
+    model = language_id.Model(["a", "b", "c"], counts)
+    texts = ["Hello wörld 12x", "", "Ελλάδα x", "漢字 𠀀𠀁 d\u2019e", None]
+    words = language_id.Words(texts)
+    found, at = model.scores(words), 0
+    logs = np.log((counts[:, : language_id.TRIGRAMS] + 0.5) / (counts[:, : language_id.TRIGRAMS] + 0.5).sum(1, keepdims=True))
+    for t in texts:
+        data = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in (t or "").lower().encode())
+        for w in data.split():
+            script = max([next(s for first, s in reversed(language_id.SCRIPT_RANGES) if ord(c) >= first) for c in w.decode() if ord(c) > 127], default=0)
+            padded = b" " + w + b" "
+            for k in range(3):
+                total = sum(logs[k, (int.from_bytes(padded[i : i + 3], "big") * 2654435761 % 2**32) >> 17] for i in range(len(w)))
+                allowed = {0: (0, 1), 1: (1,), 13: (2,)}.get(script, (0, 1, 2))
+                assert abs(found[at, k] - total + (0 if k in allowed else 1000)) < 1e-2
+            at += 1
+    assert at == len(found)
+
+
+def test_language_of_odd_rows(spark):
+    docs = spark.createDataFrame([(i, "the cat sat" if i % 2 else "die Katze sitzt", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, "doc_id", "text", "lang")
+    rows = [(1, "\U00020000\U00020001"), (2, "the cat"), (2, "the cat"), (None, "die Katze"), (3, "the cat \U00020000"), (4, "x" * 3_000_000)]
+    found = sorted(((r.doc_id, r.lang_pred, r.score) for r in language_id.identify(frame(spark, rows), model).collect()), key=str)
+    assert found[0] == (1, "de", 0.0) and found[1] == found[2] == (2, "en", 1.0) and found[3] == (3, "en", 1.0) and found[4][0] == 4 and found[5] == (None, "de", 1.0)
+
+
+def test_posteriors_equal_brute_force(spark):
+    """Many sparse sites: shrinkage by the moments of the corpus, level by level."""
+    draw = random.Random(8)
+    good, bad = "An ordinary sentence, of words that differ and go on.", "!!! $$$ ### !!! $$$ AAA BBB"
+    rows = [(i, draw.choice([good, good, bad]) + " w" * draw.randrange(6), f"h{int(draw.paretovariate(0.6)) % 50}", draw.choice(["p", "q", None]), 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, keep int").repartition(3)
+    labels = spark.createDataFrame([(i, int(t.startswith("An"))) for i, t, *_ in rows if i % 3], "doc_id long, quality int")
+    found = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    p = {i: found[i].p_document for i, *_ in rows}
+    site = {i: (h, q or "") for i, _, h, q, _ in rows}
+
+    def strength(groups, near):
+        n = sum(map(len, groups.values()))
+        between = sum(len(v) * (np.mean(v) - near[k]) ** 2 for k, v in groups.items())
+        within = sum(near[k] * (1 - near[k]) for k in groups)
+        spread = sum(len(v) * near[k] * (1 - near[k]) for k, v in groups.items()) / n
+        excess = (between - within) / n
+        return min(1e6, max(2.0, spread / excess - 1)) if excess > 0 else 1e6
+
+    def grouped(key):
+        out = {}
+        for i in p:
+            out.setdefault(key(site[i]), []).append(p[i])
+        return out
+
+    mean = np.mean(list(p.values()))
+    hosts, paths = grouped(lambda s: s[0]), grouped(lambda s: s)
+    k = strength(hosts, dict.fromkeys(hosts, mean))
+    at_host = {h: (k * mean + sum(v)) / (k + len(v)) for h, v in hosts.items()}
+    k = strength(paths, {s: at_host[s[0]] for s in paths})
+    for i, r in found.items():
+        own = paths[site[i]]
+        near = min(0.999, max(0.001, (k * at_host[site[i][0]] + sum(own) - p[i]) / (k + len(own) - 1)))
+        odds = sum(s * math.log(x / (1 - x)) for s, x in ((1, p[i]), (1, near), (-1, mean)))
+        assert abs(r.p_host - at_host[site[i][0]]) < 1e-9 and abs(r.p_path - near) < 1e-9 and abs(r.quality - 1 / (1 + math.exp(-odds))) < 1e-9 and r.keep == (r.quality >= 0.5)
+
+
 def test_quality_tells_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
