@@ -7,16 +7,17 @@ a new tensor, and views made before keep what they saw.
 from __future__ import annotations
 
 import json
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import geometry as G
 from ..errors import DataMismatch, InvalidCoord, InvalidLayout, InvalidSchema
 from ..functions import dtypes as D
 from ..session import hadoop_path
-from ..tensor import Tensor, axes, flat_index, require_sparse
-from .frames import _sql_value, check_cells
+from ..tensor import Tensor, axes, flat_index, from_flat, python_value, require_sparse
+from .frames import _sql_value, check_cells, create
 
 SIDECAR = "_tensor.json"
 FIELDS = ("dtype", "shape", "sparse", "axis", "capacity", "format")
@@ -137,11 +138,21 @@ class Stored(Tensor):
         """Nothing to do: a finished write is durable by Spark's commit protocol."""
 
 
+def sync_all(tensors) -> None:
+    for t in tensors:
+        t.sync()
+
+
+def create_with_geometry(spark: SparkSession, path: str, shape, dtype="f64", sparse: bool = False, axis: int | None = None, capacity: int = G.BATCH, kind: str = "parquet") -> "Stored":
+    """A stored tensor of zeros with blocks of a given capacity."""
+    return write(create(spark, shape, dtype, sparse, axis), path, capacity, kind)
+
+
 # Updates
 
 
-def _updates(t: Tensor, rows: list, with_order: bool = False) -> DataFrame:
-    schema = ", ".join([*(f"{c} long" for c in t.axes), f"v {t.dtype.sql}"] + ["seq long"] * with_order)
+def _updates(t: Tensor, rows: list) -> DataFrame:
+    schema = ", ".join([*(f"{c} long" for c in t.axes), f"v {t.dtype.sql}"])
     return t.spark.createDataFrame(rows, schema)
 
 
@@ -156,26 +167,36 @@ def write_value(t: Tensor, coord, value) -> Tensor:
     return replaced(t, _updates(t, [(*coord, _sql_value(value, t.dtype))]))
 
 
-def selected_coords(shape, ranges):
-    """Row-major coordinates of a selection, and its size."""
-    ranges = G.check_range(shape, ranges)
-    lists = [[r.index] if isinstance(r, G.At) else list(r.indices) if isinstance(r, G.Of) else range(r.start, r.stop, r.step) for r in ranges]
-    from itertools import product
+def _selection(shape, ranges) -> tuple[list[tuple[int, object]], int]:
+    """(size, index of the k-th entry as a function of a column) of each axis of a selection, and its size."""
     from math import prod
 
-    return product(*lists), prod(map(len, lists))
+    out = []
+    for r in G.check_range(shape, ranges):
+        if isinstance(r, G.At):
+            out.append((1, lambda k, r=r: F.lit(r.index).cast("long")))
+        elif isinstance(r, G.Of):
+            out.append((len(r.indices), lambda k, r=r: F.element_at(F.array(*(F.lit(i).cast("long") for i in r.indices)), (k + 1).cast("int"))))
+        else:
+            out.append((-(-(r.stop - r.start) // r.step), lambda k, r=r: F.lit(r.start).cast("long") + k * r.step))
+    return out, prod(n for n, _ in out)
 
 
 def write_values(t: Tensor, ranges, values) -> Tensor:
-    """Values in row-major order of the selection; of cells selected twice the later value holds."""
-    values = list(values)
-    coords, n = selected_coords(t.shape, ranges)
-    if len(values) != n:
-        raise DataMismatch(f"{len(values)} values for {n} cells")
-    rows = [(*c, _sql_value(v, t.dtype), i) for i, (c, v) in enumerate(zip(coords, values))]
-    last = Window.partitionBy(*t.axes).orderBy(F.desc("seq"))
-    updates = _updates(t, rows, True).withColumn("n", F.row_number().over(last)).where("n = 1").drop("n", "seq")
-    return replaced(t, updates)
+    """Values in row-major order of the selection: a list, or a frame of ``seq`` (from 0) and ``v``. Of cells
+    selected twice the later value holds."""
+    parts, n = _selection(t.shape, ranges)
+    if isinstance(values, DataFrame):
+        given, found = values.select(F.col("seq").cast("long").alias("seq"), F.col("v").cast(t.dtype.sql).alias("v")), values.count()
+    else:
+        values = [(i, _sql_value(v, t.dtype)) for i, v in enumerate(values)]
+        given, found = t.spark.createDataFrame(values, f"seq long, v {t.dtype.sql}"), len(values)
+    if found != n:
+        raise DataMismatch(f"{found} values for {n} cells")
+    index = from_flat(F.col("seq"), [size for size, _ in parts])
+    updates = given.select(*(of(k).alias(c) for c, k, (_, of) in zip(t.axes, index, parts)), "v", "seq")
+    last = updates.groupBy(*t.axes).agg(F.max_by("v", "seq").alias("v"))
+    return replaced(t, last)
 
 
 def _shapes(base: Tensor, steps: list[tuple]) -> list[tuple[int, ...]]:
@@ -235,6 +256,52 @@ def plan_updates(base: Tensor, steps: list[tuple], values, start: int = 0, capac
     return out
 
 
+def _base_columns(shapes: list[tuple[int, ...]], steps: list[tuple], columns: list[Column]) -> list[Column]:
+    """Columns of the coordinate in the base, from those in the view; as ``_resolve`` for one coordinate."""
+    for (name, args), shape in zip(reversed(steps), reversed(shapes[:-1])):
+        if name == "transpose":
+            p = G.check_permutation(len(shape), args[0] if args else None)
+            columns = [columns[p.index(i)] for i in range(len(shape))]
+        elif name == "flip":
+            columns = [F.lit(n - 1) - c if i == args[0] else c for i, (c, n) in enumerate(zip(columns, shape))]
+        elif name == "squeeze":
+            rest = iter(columns)
+            columns = [F.lit(0) if i in args[0] else next(rest) for i in range(len(shape))]
+        elif name == "unsqueeze":
+            at = [i + k for k, i in enumerate(sorted(args[0]))]
+            columns = [c for i, c in enumerate(columns) if i not in at]
+        elif name == "reshape":
+            flat = sum((c * F.lit(s) for c, s in zip(columns, G.contiguous_strides(G.check_shape(args[0])))), F.lit(0).cast("long"))
+            columns = from_flat(flat, shape)
+        elif name == "slice":
+            rest = iter(columns)
+            columns = [F.lit(r.index) if isinstance(r, G.At) else F.lit(r.start) + next(rest) * r.step for r in G.check_range(shape, args)]
+        elif name != "broadcast":
+            raise InvalidSchema(f"no transform {name}")
+    return columns
+
+
+def updates_from(base: Tensor, steps: list[tuple], values: Tensor, capacity: int | None = None) -> DataFrame:
+    """The cells of ``base`` that writing an expression through a view changes: axis columns, v, block, offset."""
+    t = base
+    for name, args in steps:
+        t = getattr(t, name)(*args)
+    if not t.supports_write_through:
+        raise InvalidLayout("a gather or an expansion cannot be written through")
+    if values.shape != t.shape or values.dtype != base.dtype:
+        raise InvalidSchema(f"{values.dtype.name} {values.shape} through a view of {base.dtype.name} {t.shape}")
+    columns = _base_columns(_shapes(base, steps), steps, [F.col(c) for c in values.axes])
+    cells = values.full().select(*(c.cast("long").alias(f"b{i}") for i, c in enumerate(columns)), "v")
+    cells = cells.toDF(*base.axes, "v")
+    block, offset = block_columns(_geometry(base, capacity))
+    return cells.withColumns({"block": block, "offset": offset})
+
+
+def write_from(base: Tensor, steps: list[tuple], values: Tensor) -> Tensor:
+    """``base`` with an expression's values in the cells of a view."""
+    return replaced(base, updates_from(base, steps, values))
+
+
 def logical_block_range(base: Tensor, steps: list[tuple], capacity: int = G.BATCH) -> tuple[int, int]:
     """Least and largest block that a view has cells in, the latter plus one.
 
@@ -256,42 +323,61 @@ def logical_block_range(base: Tensor, steps: list[tuple], capacity: int = G.BATC
 # Blocks
 
 
-def read_logical_blocks(t: Tensor, ids, capacity: int = G.BATCH) -> DataFrame:
+def _geometry(t: Tensor, capacity: int | None) -> G.StorageGeometry:
+    return geometry_of(t, capacity or (t.meta["capacity"] if isinstance(t, Stored) else G.BATCH))
+
+
+def _numbered(t: Tensor, g: G.StorageGeometry) -> DataFrame:
+    """Axis columns, v and block; of a stored tensor with these blocks its own column, which filters reach in the files."""
+    if isinstance(t, Stored) and g == t.geometry:
+        return t.frame.select(*t.axes, "v", "block")
+    return t.df.withColumn("block", block_columns(g)[0])
+
+
+def read_logical_blocks(t: Tensor, ids, capacity: int | None = None) -> DataFrame:
     """(block, offset, v) of the given blocks, zeros filled in."""
-    g = geometry_of(t, capacity)
+    g = _geometry(t, capacity)
     ids = [g.validate_block(b) for b in ids]
     if ids != sorted(set(ids)):
         raise InvalidCoord("block numbers must rise")
-    block, offset = block_columns(g)
-    cells = [(b, o) for b in ids for o in range(g.block_len(b))]
-    wanted = t.spark.createDataFrame(cells, "block long, offset long")
-    stored = t.df.select(block.alias("block"), offset.alias("offset"), "v").where(F.col("block").isin(ids))
+    wanted = t.spark.createDataFrame([(b, g.block_len(b)) for b in ids], "block long, n int")
+    wanted = wanted.select("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"))).alias("offset"))
+    stored = _numbered(t, g).where(F.col("block").isin(ids)).select("block", block_columns(g)[1].alias("offset"), "v")
     return wanted.join(stored, ["block", "offset"], "left").select("block", "offset", F.coalesce("v", D.zero(t.dtype)).alias("v"))
 
 
-def replace_logical_block(t: Tensor, block: int, values, capacity: int = G.BATCH) -> Tensor:
-    g, values = geometry_of(t, capacity), list(values)
+def visit_blocks(t: Tensor, ids, visit, capacity: int | None = None) -> None:
+    """Call visit(block, values) for each of the given blocks, one after another; a block has at most 4096 values."""
+    rows = read_logical_blocks(t, ids, capacity).orderBy("block", "offset").toLocalIterator(prefetchPartitions=True)
+    for block, group in groupby(rows, key=lambda r: r["block"]):
+        visit(block, [python_value(r["v"], t.dtype) for r in group])
+
+
+def replace_logical_block(t: Tensor, block: int, values, capacity: int | None = None) -> Tensor:
+    g, values = _geometry(t, capacity), list(values)
     start, stop = g.block_range(block)
     if len(values) != stop - start:
         raise DataMismatch(f"{len(values)} values for a block of {stop - start}")
     rows = [(*G.coord_of(t.shape, start + i), _sql_value(v, t.dtype)) for i, v in enumerate(values)]
-    number, _ = block_columns(g)
     new = _updates(t, rows)
     new = new.where(D.not_zero(F.col("v"), t.dtype)) if t.sparse else new
-    return Tensor(t.df.where(number != block).unionByName(new), "v", t.shape, t.dtype, t.sparse, t.axis)
+    kept = _numbered(t, g).where(F.col("block") != block).select(*t.axes, "v")
+    return Tensor(kept.unionByName(new), "v", t.shape, t.dtype, t.sparse, t.axis)
 
 
-def occupied_blocks(t: Tensor, ranges=(), capacity: int = G.BATCH) -> DataFrame:
+def occupied_blocks(t: Tensor, ranges=(), capacity: int | None = None) -> DataFrame:
     """Numbers of the blocks with a value other than zero within a selection, in order."""
     require_sparse(t, "occupied_blocks")
-    block, _ = block_columns(geometry_of(t, capacity))
-    rows = t.rows()
-    for i, r in enumerate(G.check_range(t.shape, ranges)):
+    g, ranges = _geometry(t, capacity), G.check_range(t.shape, ranges)
+    ends = [(r.index, r.index) if isinstance(r, G.At) else (min(r.indices), max(r.indices)) if isinstance(r, G.Of) else (r.start, r.stop - 1) for r in ranges]
+    first, last = (g.block_position([e[k] for e in ends])[0] for k in (0, 1))
+    rows = _numbered(t, g).where(F.col("block").between(first, last) & D.not_zero(F.col("v"), t.dtype))
+    for i, r in enumerate(ranges):
         c = F.col(f"c{i}")
         if isinstance(r, G.At):
             rows = rows.where(c == r.index)
         elif isinstance(r, G.Of):
             rows = rows.where(c.isin(list(r.indices)))
-        else:
+        elif (r.start, r.stop, r.step) != (0, t.shape[i], 1):
             rows = rows.where(c.between(r.start, r.stop - 1) & ((c - r.start) % r.step == 0))
-    return rows.select(block.alias("block")).distinct().orderBy("block")
+    return rows.select("block").distinct().orderBy("block")

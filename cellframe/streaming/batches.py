@@ -68,3 +68,12 @@ def read_sparse_elements_in_order(t: Tensor, ranges=(), order=None) -> Iterator[
     frame = sparse_elements_frame(t, ranges, order)
     for rows in _batches(frame):
         yield [(tuple(r[:-1]), python_value(r["v"], t.dtype)) for r in rows]
+
+
+def into_blocks(t: Tensor) -> Iterator[list]:
+    """``read_blocks``; tensors are immutable, so there is no owned form of its own."""
+    return read_blocks(t)
+
+
+def into_sparse_elements(t: Tensor, ranges=(), order=None) -> Iterator[list[tuple]]:
+    return read_sparse_elements_in_order(t, ranges, order)

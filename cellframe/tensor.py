@@ -11,6 +11,10 @@ from .functions import dtypes as D
 from .functions import scalar as S
 
 
+#: Indices of a gather that are broadcast at most (16 bytes each); Spark chooses beyond.
+MOST_BROADCAST = 1 << 20
+
+
 def axes(n: int) -> list[str]:
     return [f"c{i}" for i in range(n)]
 
@@ -184,7 +188,8 @@ class Tensor:
         for i, r in enumerate(ranges):
             if isinstance(r, G.Of):  # the indices are part of the plan, a driver-side list
                 picks = self.spark.createDataFrame(list(zip(r.indices, range(len(r.indices)))), f"p{i} long, g{i} long")
-                frame = frame.join(F.broadcast(picks), F.col(f"c{i}") == F.col(f"p{i}"))
+                picks = F.broadcast(picks) if len(r.indices) <= MOST_BROADCAST else picks
+                frame = frame.join(picks, F.col(f"c{i}") == F.col(f"p{i}"))
         frame = frame.select(*(c.alias(f"c{k}") for k, c in enumerate(columns)), self.value.alias("v"))
         return self.like(frame, shape=tuple(shape), strides=strides, writable=writable)
 
