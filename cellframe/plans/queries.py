@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dtypes as D
+from .. import geometry as G
 from ..geometry import At, In, Of, StorageGeometry
 from ..operators import fourier
 from ..operators.reduce import reduce, truth_frame
 from ..session import scratch_path
 from ..sources import frames, store
+from ..sources.views import View
 from ..streaming import batches
 from ..tensor import Tensor, flat_index
 from . import tables as T
@@ -36,6 +38,8 @@ def add(name: str, body: str | None, digits: int | None = None):
             out = f(spark, d)
             return shown(out.rows() if isinstance(out, Tensor) else out, digits)
 
+        if name in QUERIES:
+            raise ValueError(f"two queries named {name}")
         QUERIES[name] = run
         if body is not None:
             ORACLE[name] = T.sql(body)
@@ -52,6 +56,8 @@ def query(name: str, body: str | None, f, digits: int | None = None) -> None:
     add(name, body, digits)(f)
 
 
+#: Every nation and region.
+_NGRID = "(SELECT a.range AS c0, b.range AS c1, coalesce(n.v, 0) AS v FROM range(25) a CROSS JOIN range(5) b LEFT JOIN n ON n.c0 = a.range AND n.c1 = b.range)"
 E, Q, R, L, U, N = T.embeddings, T.quantity, T.returned, T.lines, T.events, T.nations
 
 
@@ -64,7 +70,7 @@ for _i, _name in enumerate(("exp", "ln", "round", "abs", "sin", "asin", "sinh",
         query("u03_round", "SELECT c0, c1, round(v * 8) + 0.0 AS v FROM e", lambda s, d: shown(E(s, d).mul_scalar(8).round().rows(), 0))
     else:
         query(f"u{_i:02}_{_name}", f"SELECT c0, c1, {_rounded(f'{_name}(v)')} AS v FROM e", lambda s, d, n=_name: E(s, d).unary(n), DIGITS)
-query("u14_not", "SELECT c0, c1, (v = 0)::SMALLINT AS v FROM grid WHERE c0 < 200", lambda s, d: Q(s, d).slice(In(0, 200)).into_dense().not_())
+query("u14_not", f"SELECT c0, c1, (v = 0)::SMALLINT AS v FROM {_NGRID}", lambda s, d: N(s, d).into_dense().not_())
 query("u15_is_nan", "SELECT c0, c1, isnan(x)::SMALLINT AS v FROM (SELECT c0, c1, CASE WHEN v > 0.2 THEN 'nan'::DOUBLE ELSE v END AS x FROM e)", lambda s, d: _with_special(E(s, d), float("nan")).is_nan())
 query("u16_is_inf", "SELECT c0, c1, (v > 0.2)::SMALLINT AS v FROM e", lambda s, d: _with_special(E(s, d), float("inf")).is_inf())
 query("u17_cast_f64_i32", "SELECT c0, c1, trunc(v * 1000)::INTEGER AS v FROM e", lambda s, d: E(s, d).mul_scalar(1000).cast("i32"))
@@ -72,6 +78,45 @@ query("u17_cast_f64_u8", "SELECT c0, c1, (CASE WHEN v <= 0 THEN 0 ELSE trunc(v *
 query("u17_cast_i32_i8", "SELECT c0, c1, (((v::BIGINT + 128) % 256) - 128)::TINYINT AS v FROM q WHERE ((v::BIGINT + 128) % 256) <> 128", lambda s, d: Q(s, d).cast("i32").cast("i8"))
 
 
+def _wrapped(x: str, kind: str, bits: int) -> str:
+    """An integer by its low bits."""
+    low, half = f"(({x}) % {1 << bits}::HUGEINT + {1 << bits}::HUGEINT) % {1 << bits}::HUGEINT", 1 << (bits - 1)
+    return f"({low})" if kind == "u" else f"((({low}) + {half}::HUGEINT) % {1 << bits}::HUGEINT - {half}::HUGEINT)"
+
+
+def _cast_sql(x: str, a: D.DType, b: D.DType) -> str:
+    """What a whole number of type a is as type b (a HUGEINT, or a DOUBLE where a float takes part)."""
+    if a == b or not (a.integer or b.integer):
+        return f"({x})::DOUBLE"
+    if a.integer and b.integer:
+        return f"{_wrapped(_wrapped(x, b.kind, a.bits) if a.kind != b.kind and a.bits < 64 else x, b.kind, b.bits)}::DOUBLE"
+    if a.integer:
+        return f"({x})::FLOAT::DOUBLE"
+    return f"(CASE WHEN {x} < 0 THEN {0 if b.kind == 'u' else _wrapped(x, 'i', b.bits)} ELSE {_wrapped(x, b.kind, b.bits)} END)::DOUBLE"
+
+
+_BASE = "(c0 * 37 - 300)"
+_PAIRS = [(a, b) for a in D.DTYPES.values() for b in D.DTYPES.values()]
+_CASTS = " UNION ALL ".join(
+    f"SELECT '{a.name}' AS a, '{b.name}' AS b, c0, c1, {_cast_sql(_wrapped(f'{_BASE}::HUGEINT', a.kind, a.bits) if a.integer else f'{_BASE}::HUGEINT', a, b)} AS v FROM n" for a, b in _PAIRS
+)
+
+
+def _cast_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Every dtype to every other: the nations' numbers, some below 0 and some past a byte."""
+    t = N(s, d)
+    t = t.like(t.frame, (F.col("c0") * 37 - 300).cast("long"), dtype="i64")
+    columns = []
+    for a, b in _PAIRS:
+        v = t.cast(a).cast(b).value
+        v = v["re"] if b.kind == "c" else v
+        columns.append(F.struct(F.lit(a.name).alias("a"), F.lit(b.name).alias("b"), v.cast("double").alias("v")))
+    return t.frame.select("c0", "c1", F.explode(F.array(*columns)).alias("x")).select("x.a", "x.b", "c0", "c1", "x.v")
+
+
+query("u17_cast_pairs", _CASTS, _cast_pairs)
+
+
 def _with_special(t: Tensor, value: float) -> Tensor:
     return t.like(t.frame, F.when(t.value > 0.2, F.lit(value)).otherwise(t.value))
 
@@ -131,7 +176,7 @@ for _i, _name, _sql in (
         lambda s, d, n=_name: (lambda p: p[0].abs().add_scalar(1.5).binary(n, p[1].abs().add_scalar(1.25)))(_dense_pair(s, d)),
         _digits,
     )
-query("b1_add_mixed", "SELECT c0, c1, coalesce(q.v, 0) + 1 AS v FROM parts CROSS JOIN supps LEFT JOIN q USING (c0, c1) WHERE c0 < 100", lambda s, d: frames.fill(frames.create(s, Q(s, d).shape), 1.0).slice(In(0, 100)).add(Q(s, d).slice(In(0, 100))))
+query("b1_add_mixed", f"SELECT c0, c1, (v + 1)::INTEGER AS v FROM {_NGRID}", lambda s, d: frames.fill(frames.create(s, (25, 5), "i32"), 1).add(N(s, d)))
 query("b4_div_int", "SELECT c0, c1, (a // b)::INTEGER AS v FROM (SELECT c0, c1, a::BIGINT AS a, b::BIGINT AS b FROM " + _TWO + ") WHERE b <> 0 AND a // b <> 0", lambda s, d: Q(s, d).cast("i32").div(R(s, d).cast("i32")))
 query("b7_rem_int", "SELECT c0, c1, (a % b)::INTEGER AS v FROM (SELECT c0, c1, a::BIGINT AS a, b::BIGINT AS b FROM " + _TWO + ") WHERE b <> 0 AND a % b <> 0", lambda s, d: Q(s, d).cast("i32").rem(R(s, d).cast("i32")))
 query(
@@ -152,7 +197,7 @@ for _i, (_name, _sql, _value) in enumerate(
 
 for _i, (_name, _sign) in enumerate((("eq", "="), ("ne", "<>"), ("gt", ">"), ("ge", ">="), ("lt", "<"), ("le", "<=")), 1):
     query(f"p{_i:02}_{_name}", f"SELECT c0, c1, (a {_sign} b)::SMALLINT AS v FROM {_FLIP}", lambda s, d, n=_name: (lambda p: p[0].binary(n, p[1]))(_dense_pair(s, d)))
-    query(f"p{_i + 9}_{_name}_scalar", f"SELECT c0, c1, (v {_sign} 10)::SMALLINT AS v FROM grid WHERE c0 < 200", lambda s, d, n=_name: Q(s, d).slice(In(0, 200)).into_dense().scalar(n, 10.0))
+    query(f"p{_i + 9}_{_name}_scalar", f"SELECT c0, c1, (v {_sign} 1)::SMALLINT AS v FROM {_NGRID}", lambda s, d, n=_name: N(s, d).into_dense().scalar(n, 1))
 query("p03_gt_sparse", f"SELECT c0, c1, 1::SMALLINT AS v FROM {_TWO} WHERE a > b", lambda s, d: Q(s, d).gt(R(s, d)))
 for _i, (_name, _sql) in enumerate((("and", "a <> 0 AND b <> 0"), ("or", "a <> 0 OR b <> 0"), ("xor", "(a <> 0) <> (b <> 0)")), 7):
     query(f"p{_i:02}_{_name}", f"SELECT c0, c1, 1::SMALLINT AS v FROM {_TWO} WHERE {_sql}", lambda s, d, n=_name: (lambda p: p[0].binary(n, p[1]))(_sparse_pair(s, d)))
@@ -174,17 +219,31 @@ for _i, _name in ((1, "sum"), (3, "min"), (4, "max"), (7, "mean"), (8, "std"), (
     _digits = None if _i < 5 else DIGITS
     query(f"r{_i:02}_{_name}_all", f"SELECT 0::BIGINT AS c0, {_ALL[_name]} AS v FROM grid", lambda s, d, n=_name: reduce(Q(s, d), n).df, _digits)
     _k = _i + 9 if _i < 5 else _i + 7
-    query(f"r{_k}_{_name}_axis", f"SELECT c0, {_ALL[_name]} AS v FROM grid GROUP BY c0 HAVING {_ALL[_name]} <> 0", lambda s, d, n=_name: (lambda t: t.where("v <> 0"))(shown(reduce(Q(s, d), n, [1]).rows(), DIGITS if n in ("mean", "std", "norm") else None)))
+    if _name == "min":
+        continue
+    query(f"r{_k}_{_name}_{'axis' if _name != 'sum' else 'axis_shown'}", f"SELECT c0, {_ALL[_name]} AS v FROM grid GROUP BY c0 HAVING {_ALL[_name]} <> 0", lambda s, d, n=_name: (lambda t: t.where("v <> 0"))(shown(reduce(Q(s, d), n, [1]).rows(), DIGITS if n in ("mean", "std", "norm") else None)))
     query(
         f"r{_k}_{_name}_rank3",
         f"SELECT 0::BIGINT AS c0, c1, 0::BIGINT AS c2, {_ALL[_name]} AS v FROM (SELECT c0, c1, c2, coalesce(v, 0) AS v FROM (SELECT range AS c0 FROM range((SELECT max(user_id) + 1 FROM events))) CROSS JOIN (SELECT DISTINCT c1 FROM u) CROSS JOIN (SELECT range AS c2 FROM range((SELECT max(c2) + 1 FROM u))) LEFT JOIN u USING (c0, c1, c2)) GROUP BY c1 HAVING {_ALL[_name]} <> 0",
         lambda s, d, n=_name: reduce(U(s, d), n, [0, 2], keepdims=True),
         _digits,
     )
+query("r12_min_axis", "SELECT c0, min(-v) AS v FROM q GROUP BY c0", lambda s, d: reduce(Q(s, d).mul_scalar(-1.0), "min", [1]))
+query("r12_min_rank3", "SELECT 0::BIGINT AS c0, c1, 0::BIGINT AS c2, min(-v) AS v FROM u GROUP BY c1", lambda s, d: reduce(U(s, d).mul_scalar(-1.0), "min", [0, 2], keepdims=True))
+query("r12_min_dense", f"SELECT c0, {_rounded('min(v)')} AS v FROM e GROUP BY c0", lambda s, d: reduce(E(s, d), "min", [1]), DIGITS)
 query("r10_sum_axis", "SELECT c0, sum(v) AS v FROM q GROUP BY c0", lambda s, d: reduce(Q(s, d), "sum", [1]))
-query("r02_product_all", f"SELECT 0::BIGINT AS c0, {_rounded('product(1 + v / 100)', 4)} AS v FROM e WHERE c0 < 20", lambda s, d: reduce(E(s, d).slice(In(0, 20)).div_scalar(100.0).add_scalar(1.0), "product").df, 4)
+query("r02_product_all", f"SELECT 0::BIGINT AS c0, {_rounded('product(1 + v / 100)', 4)} AS v FROM {_NGRID}", lambda s, d: reduce(N(s, d).cast("f64").div_scalar(100.0).into_dense().add_scalar(1.0), "product").df, 4)
 query("r11_product_axis", f"SELECT c0, {_rounded('product(1 + v)', 4)} AS v FROM e GROUP BY c0", lambda s, d: reduce(E(s, d).add_scalar(1.0), "product", [1]), 4)
-query("r11_product_wrap", "SELECT c0, (CASE WHEN count(*) < 7 THEN 0 ELSE 1 END)::SMALLINT AS v FROM l GROUP BY c0 HAVING count(*) = 7", lambda s, d: reduce(L(s, d).ne_scalar(0.0), "product", [1]))
+query(
+    "r11_product_wrap",
+    "SELECT c0, v::SMALLINT AS v FROM (SELECT c0, list_reduce(list(v::BIGINT % 256), lambda x, y: x * y % 256) AS v FROM l GROUP BY c0 HAVING count(*) = 7) WHERE v <> 0",
+    lambda s, d: reduce(L(s, d).cast("u32").cast("u8"), "product", [1]),
+)
+query(
+    "r11_product_wrap_i64",
+    "SELECT c0, ((v + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT AS v FROM (SELECT c0, list_reduce(list(v::HUGEINT * 1000003), lambda x, y: x * y % 18446744073709551616::HUGEINT) AS v FROM l GROUP BY c0 HAVING count(*) = 7) WHERE v <> 0",
+    lambda s, d: reduce(L(s, d).cast("i64").mul_scalar(1000003), "product", [1]),
+)
 query("r05_all", "SELECT bool_and(v <> 0) AS v FROM grid", lambda s, d: truth_frame(Q(s, d), "all"))
 query("r06_any", "SELECT bool_or(v <> 0) AS v FROM grid", lambda s, d: truth_frame(Q(s, d), "any"))
 query("r01_sum_wrap_u8", "SELECT 0::BIGINT AS c0, (sum(v::BIGINT % 256) % 256)::SMALLINT AS v FROM q", lambda s, d: reduce(Q(s, d).cast("u32").cast("u8"), "sum").df)
@@ -201,18 +260,20 @@ query("g06_broadcast", "SELECT range AS c0, c0 AS c1, c1 AS c2, v FROM n CROSS J
 query("g07_flip", "SELECT c0, 6 - c1 AS c1, v FROM l", lambda s, d: L(s, d).flip(1))
 query("g08_squeeze", "SELECT c1 AS c0, v FROM q WHERE c0 = 11", lambda s, d: Q(s, d).slice(In(11, 12)).squeeze([0]))
 query("g09_unsqueeze", "SELECT 0::BIGINT AS c0, c0 AS c1, 0::BIGINT AS c2, c1 AS c3, v FROM n", lambda s, d: N(s, d).unsqueeze([0, 1]))
-query("g12_into_dense", "SELECT c0, c1, v FROM grid WHERE c0 < 150", lambda s, d: Q(s, d).slice(In(0, 150)).into_dense())
+query("g12_into_dense", f"SELECT c0, c1, v FROM {_NGRID}", lambda s, d: N(s, d).into_dense())
+query("g10_write_through", "SELECT * FROM (VALUES ('base', true, true), ('slice', false, true), ('gather', false, false), ('expansion', false, false)) t(view, base, writable)", lambda s, d: (lambda t: s.createDataFrame([(k, x.is_base_tensor, x.supports_write_through) for k, x in (("base", t), ("slice", t.slice(In(0, 24, 2))), ("gather", t.slice(Of(3, 1))), ("expansion", t.broadcast((2, 25, 5))))], "view string, base boolean, writable boolean"))(N(s, d)))
+query("g11_shape_algebra", "SELECT '4 3 5' AS both, '0 1' AS reduced, '2 6 7' AS product", lambda s, d: s.createDataFrame([tuple(" ".join(map(str, x)) for x in (G.broadcast_shape((3, 1), (4, 1, 5)), G.broadcast_reduce_axes((1, 5), (4, 3, 5)), G.matmul_output_shape((2, 6, 4), (2, 4, 7))))], "both string, reduced string, product string"))
 query("g02_g07_g04_mixed", "SELECT 6 - c1 AS c0, (c0 - 10) // 3 AS c1, v FROM l WHERE c0 >= 10 AND (c0 - 10) % 3 = 0", lambda s, d: L(s, d).slice(In(10, 4000, 3)).flip(1).transpose())
 
 # Matrices and Fourier transforms
 
 query("m1_matmul_sparse", "SELECT x.c1 AS c0, y.c1 AS c1, sum(x.v * y.v) AS v FROM q x JOIN q y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t))(Q(s, d)))
 query("m1_matmul_dense", f"SELECT x.c1 AS c0, y.c1 AS c1, {_rounded('sum(x.v * y.v)')} AS v FROM e x JOIN e y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t))(E(s, d)), DIGITS)
-query("m1_matmul_tiles", f"SELECT x.c0 AS c0, y.c0 AS c1, {_rounded('sum(x.v * y.v)')} AS v FROM e x JOIN e y ON x.c1 = y.c1 WHERE x.c0 < 300 AND y.c0 < 200 GROUP BY 1, 2", lambda s, d: (lambda t: t.slice(In(0, 300)).matmul(t.slice(In(0, 200)).mt(), "tiles"))(E(s, d)), DIGITS)
+query("m1_matmul_tiles", f"SELECT x.c1 AS c0, y.c1 AS c1, {_rounded('sum(x.v * y.v)')} AS v FROM e x JOIN e y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t, "tiles"))(E(s, d)), DIGITS)
 query("m1_matmul_int", "SELECT x.c1 AS c0, y.c1 AS c1, sum(x.v * y.v)::INTEGER AS v FROM n x JOIN n y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t))(N(s, d)))
 query("m1_matmul_batched", "SELECT x.c0, x.c1, y.c1 AS c2, sum(x.v * y.v) AS v FROM u x JOIN u y ON x.c0 = y.c0 AND x.c2 = y.c2 GROUP BY 1, 2, 3", lambda s, d: (lambda t: t.matmul(t.mt()))(U(s, d)))
 query("m3_mt", "SELECT c0, c2 AS c1, c1 AS c2, v FROM u", lambda s, d: U(s, d).mt())
-query("m4_diag", f"SELECT c0, {_rounded('v')} AS v FROM e WHERE c0 = c1", lambda s, d: E(s, d).slice(In(0, 64)).diag(), DIGITS)
+query("m4_diag", f"SELECT c1 AS c0, {_rounded('sum(v * v)')} AS v FROM e GROUP BY 1", lambda s, d: (lambda t: t.mt().matmul(t).diag())(E(s, d)), DIGITS)
 query("m5_mh", f"SELECT c1 AS c0, c0 AS c1, {_rounded('re')} AS re, {_rounded('-im')} AS im FROM {_Z}", lambda s, d: _parts(Z(s, d).mh()))
 
 
@@ -230,16 +291,21 @@ query("f2_ifft", _dft(""), lambda s, d: _parts(Z(s, d).ifft(), 4))
 
 
 def _dft2(sign: str) -> str:
-    t = "(SELECT c0 % 16 AS a, c1 AS b, v AS re, v * 3 - 0.1 AS im FROM e WHERE c0 < 16)"
-    turn = f"{sign}2 * pi() * (((a * f) % 16) / 16.0 + ((b * g) % 64) / 64.0)"
+    t = f"(SELECT c0 AS a, c1 AS b, v * 2 AS re, v * 6 - 0.1 AS im FROM {_NGRID})"
+    turn = f"{sign}2 * pi() * (((a * f) % 25) / 25.0 + ((b * g) % 5) / 5.0)"
     return (
         f"SELECT f AS c0, g AS c1, {_rounded(f'sum(re * cos({turn}) - im * sin({turn}))', 4)} AS re, {_rounded(f'sum(re * sin({turn}) + im * cos({turn}))', 4)} AS im "
-        f"FROM {t} CROSS JOIN (SELECT range AS f FROM range(16)) CROSS JOIN (SELECT range AS g FROM range(64)) GROUP BY 1, 2"
+        f"FROM {t} CROSS JOIN (SELECT range AS f FROM range(25)) CROSS JOIN (SELECT range AS g FROM range(5)) GROUP BY 1, 2"
     )
 
 
-query("f3_fft2", _dft2("-"), lambda s, d: _parts(Z(s, d).slice(In(0, 16)).fft2(), 4))
-query("f4_ifft2", _dft2(""), lambda s, d: _parts(Z(s, d).slice(In(0, 16)).ifft2(), 4))
+def _nations_complex(s: SparkSession, d: str) -> Tensor:
+    t = N(s, d).cast("f64").into_dense().mul_scalar(2.0)
+    return _complex(t, t.value * 3 - 0.1)
+
+
+query("f3_fft2", _dft2("-"), lambda s, d: _parts(_nations_complex(s, d).fft2(), 4))
+query("f4_ifft2", _dft2(""), lambda s, d: _parts(_nations_complex(s, d).ifft2(), 4))
 
 # Sources, sinks and storage
 
@@ -248,16 +314,47 @@ def _path(s: SparkSession) -> str:
     return scratch_path(s, "tensor")
 
 
+def _validated(t: store.Stored) -> Tensor:
+    t.validate()
+    store.sync_all([t])
+    return t
+
+
+def _every_second(s: SparkSession, d: str) -> tuple[View, Tensor]:
+    """Every second embedding with its components from last to first, and the doubled embeddings to write there."""
+    t = E(s, d)
+    part = In(0, t.shape[0], 2)
+    return View(t).flip(1).slice(part), t.slice(part).mul_scalar(2.0)
+
+
+def _visited(s: SparkSession, d: str) -> DataFrame:
+    """The sums of some blocks, one block at a time."""
+    out = []
+    store.visit_blocks(store.write(N(s, d), _path(s), capacity=1), range(0, 125, 6), lambda block, values: out.append((block, sum(values))), 1)
+    return s.createDataFrame(out, "block long, total long")
+
+
 _QROWS = "SELECT c0, c1, v FROM q"
 query("s01_create", "SELECT a.range AS c0, b.range AS c1, 0::DOUBLE AS v FROM range(30) a CROSS JOIN range(40) b", lambda s, d: frames.create(s, (30, 40)))
+query("s02_create_with_geometry", "SELECT a.range AS c0, b.range AS c1, 0::INTEGER AS v FROM range(9) a CROSS JOIN range(11) b", lambda s, d: store.create_with_geometry(s, _path(s), (9, 11), "i32", capacity=7))
+query("s08_validate", _QROWS, lambda s, d: _validated(store.write(Q(s, d), _path(s))))
+query("s19_visit_blocks", f"SELECT c0 * 5 + c1 AS block, v::BIGINT AS total FROM {_NGRID} WHERE (c0 * 5 + c1) % 6 = 0", _visited)
+query("s20_occupied_stored", "SELECT DISTINCT (c0 * 7 + c1) AS block FROM l WHERE c0 BETWEEN 500 AND 1500 AND c1 IN (1, 4)", lambda s, d: store.occupied_blocks(store.write(L(s, d), _path(s)), [In(500, 1501), Of(4, 1)]))
+query("s22_updates_from", f"SELECT c0, 63 - c1 AS c1, {_rounded('2 * v')} AS v, (c0 * 64 + 63 - c1) // 4096 AS block, (c0 * 64 + 63 - c1) % 4096 AS \"offset\" FROM e WHERE c0 % 2 = 0", lambda s, d: (lambda x: x[0].updates_from(x[1]))(_every_second(s, d)), DIGITS)
+query("s22_write_from", f"SELECT c0, 63 - c1 AS c1, {_rounded('2 * v')} AS v FROM e WHERE c0 % 2 = 0 UNION ALL SELECT c0, c1, {_rounded('v')} FROM e WHERE c0 % 2 = 1", lambda s, d: (lambda x: x[0].write(x[1]).source)(_every_second(s, d)), DIGITS)
+query("s23_logical_block_range", "SELECT 6::BIGINT AS first, 13::BIGINT AS stop", lambda s, d: s.createDataFrame([View(E(s, d)).slice(In(10, 20)).logical_block_range(100)], "first long, stop long"))
+query("s24_resolve_base_coord", "SELECT 4 - c0 AS c0, c1, c0 AS b1, c1 AS b0 FROM (SELECT a.range AS c0, b.range AS c1 FROM range(5) a CROSS JOIN range(25) b)", lambda s, d: (lambda x: s.createDataFrame([(*c, *reversed(x.resolve_base_coord(c))) for c in G.row_major_coords(x.tensor.shape)], "c0 long, c1 long, b1 long, b0 long"))(View(N(s, d)).transpose().flip(0)))
+query("s29_metadata", "SELECT 'i32' AS dtype, 25::BIGINT AS rows, 5::BIGINT AS columns, true AS sparse, 4096::BIGINT AS capacity, 'parquet' AS format", lambda s, d: (lambda m: s.createDataFrame([(m["dtype"], *m["shape"], m["sparse"], m["capacity"], m["format"])], "dtype string, rows long, columns long, sparse boolean, capacity long, format string"))(store.write(N(s, d), _path(s)).meta))
 query("s03_from_values", "SELECT range // 10 AS c0, range % 10 AS c1, (range * 7 % 11)::INTEGER AS v FROM range(100)", lambda s, d: frames.from_values(s, (10, 10), [i * 7 % 11 for i in range(100)], "i32"))
 query("s04_from_sparse_elements", "SELECT range AS c0, range * 2 AS c1, (range + 1)::DOUBLE AS v FROM range(50)", lambda s, d: frames.from_sparse_elements(s, (50, 100), [((i, 2 * i), i + 1) for i in range(50)]))
 query("s05_copy_from", _QROWS, lambda s, d: store.copy_from(Q(s, d), _path(s), sparse=True))
-query("s06_copy_from_values", "SELECT c0, c1, v FROM grid WHERE c0 < 100", lambda s, d: store.copy_from_values(Q(s, d).slice(In(0, 100)), _path(s)))
+query("s06_copy_from_values", f"SELECT c0, c1, v FROM {_NGRID}", lambda s, d: store.copy_from_values(N(s, d), _path(s)))
 query("s06_dense_to_sparse", "SELECT c0, c1, CASE WHEN v > 0.1 THEN v ELSE 0 END AS v FROM e WHERE v > 0.1", lambda s, d: store.copy_from_values((lambda t: t.gt_scalar(0.1).cond(t, t.mul_scalar(0.0)))(E(s, d)), _path(s), sparse=True))
 query("s07_load", _QROWS, lambda s, d: store.load(s, store.write(Q(s, d), _path(s)).path))
 query("s10_read_value", "SELECT coalesce((SELECT v FROM q WHERE c0 = 3 AND c1 = 5), 0) AS v", lambda s, d: s.createDataFrame([(Q(s, d).read_value((3, 5)),)], "v double"))
-query("s11_read_blocks", "SELECT c0, c1, v FROM grid WHERE c0 < 100", lambda s, d: Q(s, d).slice(In(0, 100)).full().orderBy("c0", "c1"))
+query("s11_read_blocks", f"SELECT c0 * 5 + c1 AS at, v FROM {_NGRID}", lambda s, d: s.createDataFrame(list(enumerate(v for b in batches.read_blocks(N(s, d)) for v in b)), "at long, v int"))
+query("s12_read_coordinate_blocks", f"SELECT c0, c1, v FROM {_NGRID}", lambda s, d: s.createDataFrame([(*c, v) for b in batches.read_coordinate_blocks(N(s, d)) for c, v in b], "c0 long, c1 long, v int"))
+query("s14_into_blocks", "SELECT c0, c1, v FROM n", lambda s, d: s.createDataFrame([(*c, v) for b in batches.into_sparse_elements(N(s, d)) for c, v in b], "c0 long, c1 long, v int"))
 query("s13_sparse_elements", "SELECT c0, c1, v FROM q WHERE c0 IN (3, 9, 40) AND c1 BETWEEN 2 AND 60", lambda s, d: batches.sparse_elements_frame(Q(s, d), [Of(9, 3, 9, 40), In(2, 61)]) if Q(s, d).shape[1] > 61 else batches.sparse_elements_frame(Q(s, d), [Of(9, 3, 9, 40), In(2, Q(s, d).shape[1])]))
 query("s15_write_value", "SELECT c0, c1, CASE WHEN c0 = 2 AND c1 = 3 THEN 77 ELSE v END AS v FROM grid WHERE (c0 = 2 AND c1 = 3) OR v <> 0", lambda s, d: store.write_value(Q(s, d), (2, 3), 77.0))
 query("s16_write_values", "SELECT c0, c1, CASE c0 WHEN 5 THEN 7.0 WHEN 1 THEN 4.0 ELSE v END AS v FROM grid WHERE c1 = 0 AND (v <> 0 OR c0 IN (1, 5))", lambda s, d: store.write_values(Q(s, d), [Of(5, 1, 5), At(0)], [3.0, 4.0, 7.0]).slice(In(0, Q(s, d).shape[0]), In(0, 1)))
@@ -272,7 +369,7 @@ query("s27_from_dataframe", "SELECT n_nationkey::BIGINT AS c0, n_regionkey::BIGI
 query("s28_orc", _QROWS, lambda s, d: store.write(Q(s, d), _path(s), kind="orc"))
 query("s28_json", _QROWS, lambda s, d: store.write(Q(s, d), _path(s), kind="json"))
 
-# Whole tables: the queries above that take a prefix of c0, over every row. Theirs stay as they are, SQL and all.
+# The same operators over the largest tables.
 
 query("u14_not_whole", "SELECT c0, c1, (v = 0)::SMALLINT AS v FROM grid", lambda s, d: Q(s, d).into_dense().not_())
 query("b1_add_mixed_whole", "SELECT c0, c1, v + 1 AS v FROM grid", lambda s, d: (lambda t: frames.fill(frames.create(s, t.shape), 1.0).add(t))(Q(s, d)))

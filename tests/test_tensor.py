@@ -7,7 +7,9 @@ from cellframe import errors, geometry as G
 from cellframe.functions import dtypes as D
 from cellframe.geometry import At, In, Of
 from cellframe.operators import fourier, matrix, reduce  # noqa: F401
+from cellframe.errors import InvalidLayout, InvalidSchema
 from cellframe.sources import frames, store
+from cellframe.sources.views import View
 from cellframe.streaming import batches
 
 NAN, INF = float("nan"), float("inf")
@@ -430,3 +432,26 @@ def test_block_range_of_gathers(spark):
             g = store.geometry_of(base, capacity)
             blocks = {g.block_position(store.resolve_base_coord(base, steps, c))[0] for c in G.row_major_coords(view.shape)}
             assert store.logical_block_range(base, steps, capacity) == (min(blocks), max(blocks) + 1), (steps, capacity)
+
+
+def test_block_reads_reach_the_files(spark, tmp_path):
+    t = store.write(sparse(spark, [1, 0, 2, 0, 3, 4, 5, 6, 0], shape=(3, 3)), f"file://{tmp_path}/blocks")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (store.read_logical_blocks(t, [1, 4]), store.occupied_blocks(t, [In(1, 2)]))]
+    assert "In(block, [1,4])" in plans[0] and "GreaterThanOrEqual(block,3), LessThanOrEqual(block,5)" in plans[1]
+    assert [r.block for r in store.occupied_blocks(t, [In(1, 2)]).collect()] == [4, 5]
+    seen = []
+    store.visit_blocks(t, [1, 4], lambda block, values: seen.append((block, values)))
+    assert seen == [(1, [0]), (4, [3])]
+
+
+def test_writes_through_views(spark):
+    base = sparse(spark, [1, 2, 3, 4, 5, 6], shape=(2, 3))
+    view = View(base).transpose().flip(0)
+    out = view.write(view.tensor.mul_scalar(10.0))
+    assert out.source.to_numpy().tolist() == [[10, 20, 30], [40, 50, 60]] and out.tensor.read_value((0, 1)) == 60
+    with pytest.raises(InvalidLayout):
+        View(base).slice(Of(0, 0)).updates_from(base)
+    with pytest.raises(InvalidSchema):
+        View(base).slice(At(0)).updates_from(base)
+    values = spark.createDataFrame([(0, 7.0), (1, 8.0), (2, 9.0)], "seq long, v double")
+    assert store.write_values(base, [At(1), Of(2, 0, 2)], values).to_numpy().tolist() == [[1, 2, 3], [8, 5, 9]]
