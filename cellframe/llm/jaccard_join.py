@@ -187,14 +187,19 @@ def _links(described: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     stars = placed.alias("p").join(best.alias("c"), ["token", "family", "band"]).where(F.expr("p.head != c.centre and " + _fits(percent, "p", "c"))).select("centre", "grp").distinct()
     pairs = stars.join(members, "grp").select(F.col("centre").alias("a"), F.col("item").alias("b"))
     pairs = pairs.union(groups.join(members, "grp").where("head != item").select(F.col("head").alias("a"), F.col("item").alias("b")))
-    edges = scratch.Table(verified(pairs.distinct(), bodies, n, percent), name).df
-    labels = scratch.materialize(components(edges, name), name)
+    edges = scratch.Table(verified(pairs.distinct(), bodies, n, percent), name)
+    used.append(edges)
+    labels = scratch.materialize(components(edges.df, name), name)
 
     # What is left: n-grams at which groups of different components meet.
     named = members.join(labels, F.col("item") == F.col("node"), "left").select("grp", "item", F.coalesce("label", "item").alias("label"))
-    named = scratch.Table(named, name).df
+    named = scratch.Table(named, name)
+    used.append(named)
+    named = named.df
     spans = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    met = scratch.Table(tokens.join(spans, "grp"), name).df
+    met = scratch.Table(tokens.join(spans, "grp"), name)
+    used.append(met)
+    met = met.df
     open_ = met.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("token")
     common = met.where("lo = hi").groupBy("token", "lo").count().groupBy("token").agg(F.max(F.struct("count", "lo")).alias("top")).select("token", F.col("top.lo").alias("main"))
     rest = met.join(open_, "token", "left_semi").join(common, "token", "left")
@@ -241,12 +246,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", name: str = "near") -> DataFrame:
     """One row of each component, with all columns of ``docs``: that of the least doc_id (nulls last)."""
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *blocks.numbered(docs, text))
-    sets, table = described(held, n, percent, name)
-    sets = sets.df
+    described_, table = described(held, n, percent, name)
+    sets = described_.df
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "block", "row")
     items = _items(sets, n, percent, name, first=F.min(first))
     stays = items.groupBy("label").agg(F.min("first").alias("f")).select("f.block", "f.row")
-    stays = stays.union(sets.where("n = 0").select("block", "row"))
+    stays = scratch.materialize(stays.union(sets.where("n = 0").select("block", "row")), name)
+    # What the stage's rows are read from is the blocks alone.
+    described_.drop()
     return blocks.picked(table.df, stays, docs, text)
 
 
