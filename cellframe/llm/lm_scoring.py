@@ -5,7 +5,7 @@ n-grams with counts to the owners of the ranges, who add them up over the whole
 each block's n-grams, and a token's score is that of the longest n-gram that the corpus has often enough:
 count(n-gram) / count(context), times ``backoff`` for each order given up. Scores are summed by document. The n-gram
 of no words counts all tokens. A word that a third of all rows repeat is sent once by each block. N-grams travel as
-coded lists, one for each block and owner, and not as one row each: the README has the figures of both forms.
+coded lists, one for each block and owner, and not as one row each: the README says why.
 
 A corpus that is its own model has every n-gram at least once, where a document has it; with ``least`` 1 nothing would
 ever back off, and a text that shares nothing with any other would score best. So an n-gram of two or more words is
