@@ -369,17 +369,22 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
     replies = mates.df.select("block", "owner", "reply", F.lit(None).cast("array<int>").alias("copies")).union(copies.df.select("block", F.lit(None).cast("int"), F.lit(None).cast("binary"), "copies"))
     # One part of the blocks, and then one bucket of suffixes at a time: that bounds what is in shuffle files.
     part = F.pmod(F.xxhash64("block"), F.lit(ROUNDS))
-    first = [scratch.Table(met(table.df.where(part == r), replies.where(part == r), tie, mid), name).df for r in range(ROUNDS)]
-    for used in (table, copies, mates):
-        used.drop()
-    first = functools.reduce(DataFrame.union, first)
+    first = [scratch.Table(met(table.df.where(part == r), replies.where(part == r), tie, mid), name) for r in range(ROUNDS)]
+    used = [*first]
+    for t in (table, copies, mates):
+        t.drop()
+    first = functools.reduce(DataFrame.union, [t.df for t in first])
     sent = first.where("_owner is not null").select(*(F.col(f"_{c}").alias(c) for c in ("owner", "block", "body", "extra")))
     parts = [sent.where(F.col("owner").between(r * buckets // ROUNDS, (r + 1) * buckets // ROUNDS - 1)) for r in range(ROUNDS)]
-    ties = [scratch.Table(x.groupBy("owner").applyInArrow(bucket, blocks.REPLY), name).df for x in parts]
-    ties = functools.reduce(DataFrame.union, ties)
+    ties = [scratch.Table(x.groupBy("owner").applyInArrow(bucket, blocks.REPLY), name) for x in parts]
+    used += ties
+    ties = functools.reduce(DataFrame.union, [t.df for t in ties])
     waiting = first.where("_payload is not null").select(F.col("_block").alias("block"), F.col("_payload").alias("payload"))
     done = first.where("_block is null").select(*shape.names)
-    return done.union(met(waiting, ties, settle, shape))
+    out = scratch.materialize(done.union(met(waiting, ties, settle, shape)), name)
+    for t in used:
+        t.drop()
+    return out
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
