@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bit_sliced, bpe, exact_dedup, jaccard_join, language_id, license_scan, lm_scoring, packing, quality, substring_dedup
+from . import bit_sliced, bpe, exact_dedup, jaccard_join, language_id, license_scan, lm_scoring, near_vectors, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_language_id": language_id.op10_language_id,
+    "op13_near_vectors": near_vectors.op13_near_vectors,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_top_k": bit_sliced.OP7_SQL,
     "op8_jaccard_join": jaccard_join.OP8_SQL,
+    "op13_near_vectors": near_vectors.OP13_SQL,
 }
