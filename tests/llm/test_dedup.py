@@ -70,7 +70,7 @@ def test_exact_duplicates(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == wanted
     assert {r.doc_id: r.text_sha256 for r in found} == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in rows}
     left = exact_dedup.drop_exact_duplicates(frame(spark, rows))
-    assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, t in rows if d == max(groups[t or ""]))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(max(ids) for ids in groups.values())
 
 
 def test_empty_table(spark):
