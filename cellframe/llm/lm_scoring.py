@@ -7,14 +7,13 @@ count(n-gram) / count(context), times ``backoff`` for each order given up. Score
 of no words counts all tokens. A word that a third of all rows repeat is sent once by each block. N-grams travel as
 coded lists, one for each block and owner, and not as one row each: the README says why.
 
-A corpus that is its own model has every n-gram at least once, where a document has it; with ``least`` 1 nothing would
-ever back off, and a text that shares nothing with any other would score best. So an n-gram of two or more words is
-known from its second occurrence.
+A corpus that is its own model has every n-gram at least once, where a document has it; so a document is scored by the
+counts of all others: its own occurrences are taken off each n-gram, each context and the number of words. A word that
+no other document has counts as if it had been seen there once.
 
 Edge cases: null or blank text has no tokens, a sum of 0 and no mean; the first tokens of a text have the
 contexts they have; repeated rows count and are scored as rows; an empty table gives no rows; other columns
-are ignored. Hashes have 20 bits more than the number of n-grams needs, so about one n-gram in a million
-shares its count with another. A text is never split: it takes some 150 bytes of memory for each of its words.
+are ignored. N-grams are told apart by 64 bits of hash. A text is never split: it takes some 150 bytes of memory for each of its words.
 """
 
 from __future__ import annotations
@@ -31,8 +30,10 @@ from . import blocks, kernels, scratch
 
 ORDER = 3
 BACKOFF = 0.4
-#: Occurrences in the corpus from which an n-gram of two or more words is known to the model.
-LEAST_COUNT = 2
+#: Occurrences in other documents from which an n-gram of two or more words is known to the model.
+LEAST_COUNT = 1
+#: Bits of a hash.
+BITS = 64
 _U = np.uint64
 SCORES = "doc_id long, n_tokens long, log10_sum double"
 
@@ -40,7 +41,7 @@ SCORES = "doc_id long, n_tokens long, log10_sum double"
 class _Grams:
     """The n-grams of a block's documents."""
 
-    def __init__(self, table: pa.Table, order: int, cut):
+    def __init__(self, table: pa.Table, order: int):
         self.table = table
         buf, offsets = kernels.text_buffer(table.column("text"))
         starts, ends, self.by_doc = kernels.words(buf, offsets)
@@ -54,7 +55,7 @@ class _Grams:
         empty = np.full(self.n, kernels.ngram_hashes(np.zeros(0, _U), 0)[0])
         hashes = [empty] + [np.where(self.room >= o, np.pad(kernels.ngram_hashes(h, o), (0, min(o - 1, self.n))), _U(0)) for o in range(1, order + 1)]
         valid = [np.ones(self.n, bool)] + [self.room >= o for o in range(1, order + 1)]
-        flat = np.concatenate([x[v] for x, v in zip(hashes, valid)]) >> cut
+        flat = np.concatenate([x[v] for x, v in zip(hashes, valid)])
         self.distinct, at, self.count = np.unique(flat, return_inverse=True, return_counts=True)
         self.at, stop = [], 0
         for v in valid:
@@ -63,8 +64,18 @@ class _Grams:
             stop += v.sum()
             self.at.append(place)
 
+    def _others(self, at: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Occurrences outside its own document of the n-gram that begins at each word (where one does)."""
+        here = np.flatnonzero(at >= 0)
+        out = np.zeros(self.n)
+        doc = np.repeat(np.arange(len(self.by_doc) - 1), np.diff(self.by_doc))[here]
+        _, where, own = np.unique(doc * (len(self.distinct) + 1) + at[here], return_inverse=True, return_counts=True)
+        out[here] = totals[at[here]] - own[where]
+        return out
+
     def scores(self, totals: np.ndarray, backoff: float, least: int) -> np.ndarray:
         """log10 of each word's score; totals: of the distinct n-grams in the corpus."""
+        others = [self._others(at, totals) for at in self.at]
         before = np.repeat(np.diff(self.by_doc), np.diff(self.by_doc)) - self.room
         word = np.arange(self.n)
         out, open_ = np.zeros(self.n), np.ones(self.n, bool)
@@ -72,10 +83,12 @@ class _Grams:
         for o in range(self.order, 0, -1):
             can = np.flatnonzero(open_ & (before >= o - 1))
             first = word[can] - o + 1
-            count = totals[self.at[o][first]]
+            count = others[o][first]
+            if o == 1:
+                count = np.maximum(count, 1)
             known = count >= (least if o > 1 else 1)
             of = can[known]
-            context = totals[self.at[o - 1][first[known]]]
+            context = np.maximum(others[o - 1][first[known]], 1)
             out[of] = np.log10(count[known] / context) + given_up[of] * np.log10(backoff)
             open_[of] = False
             given_up[can[~known]] += 1
@@ -87,13 +100,12 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = blocks.build(docs, name)
     grams = order * blocks.totals(table.df)[1] // 4
-    bits, owners = min(64, max(48, grams.bit_length() + 20)), blocks.owners_for(docs.sparkSession, grams)
-    cut = _U(64 - bits)
+    bits, owners = BITS, blocks.owners_for(docs.sparkSession, grams)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                grams = _Grams(blocks.unpack(payload), order, cut)
+                grams = _Grams(blocks.unpack(payload), order)
                 count = grams.count.astype(np.uint32)
                 yield blocks.send(block, grams.distinct, bits, owners, lambda a, b: zlib.compress(count[a:b], 1))
 
@@ -103,7 +115,7 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
         return np.bincount(at, count).astype(np.uint64)[at]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = _Grams(blocks.unpack(left.column("payload")[0]), order, cut)
+        grams = _Grams(blocks.unpack(left.column("payload")[0]), order)
         totals = blocks.heard(grams.distinct, bits, owners, right, np.uint64)
         each = grams.scores(totals.astype(np.float64), backoff, least)
         size = np.diff(grams.by_doc)
@@ -133,17 +145,26 @@ words AS (SELECT doc_id, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, C
 one AS (SELECT a, count(*) AS n FROM words GROUP BY a),
 two AS (SELECT b, a, count(*) AS n FROM words WHERE i > 1 GROUP BY b, a),
 three AS (SELECT c, b, a, count(*) AS n FROM words WHERE i > 2 GROUP BY c, b, a),
-scored AS (
-  SELECT t.doc_id,
-    CASE WHEN three.n >= 2 THEN log10(three.n / before.n)
-         WHEN two.n >= 2 THEN log10(two.n / last.n) + CASE WHEN t.i > 2 THEN log10(0.4) ELSE 0 END
-         ELSE log10(one.n / (SELECT count(*) FROM words)) + (least(t.i, 3) - 1) * log10(0.4) END AS s
+own0 AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+own1 AS (SELECT doc_id, a, count(*) AS n FROM words GROUP BY doc_id, a),
+own2 AS (SELECT doc_id, b, a, count(*) AS n FROM words WHERE i > 1 GROUP BY doc_id, b, a),
+own3 AS (SELECT doc_id, c, b, a, count(*) AS n FROM words WHERE i > 2 GROUP BY doc_id, c, b, a),
+counts AS (
+  SELECT t.doc_id, t.i, three.n - own3.n AS n3, before.n - own_before.n AS n_before, two.n - own2.n AS n2, last.n - own_last.n AS n_last,
+    one.n - own1.n AS n1, (SELECT count(*) FROM words) - own0.n AS n0
   FROM words t
-  JOIN one ON one.a = t.a
-  LEFT JOIN two ON two.b = t.b AND two.a = t.a
-  LEFT JOIN three ON three.c = t.c AND three.b = t.b AND three.a = t.a
-  LEFT JOIN one AS last ON last.a = t.b
-  LEFT JOIN two AS before ON before.b = t.c AND before.a = t.b
+  JOIN one ON one.a = t.a JOIN own0 ON own0.doc_id = t.doc_id JOIN own1 ON own1.doc_id = t.doc_id AND own1.a = t.a
+  LEFT JOIN two ON two.b = t.b AND two.a = t.a LEFT JOIN own2 ON own2.doc_id = t.doc_id AND own2.b = t.b AND own2.a = t.a
+  LEFT JOIN three ON three.c = t.c AND three.b = t.b AND three.a = t.a LEFT JOIN own3 ON own3.doc_id = t.doc_id AND own3.c = t.c AND own3.b = t.b AND own3.a = t.a
+  LEFT JOIN one AS last ON last.a = t.b LEFT JOIN own1 AS own_last ON own_last.doc_id = t.doc_id AND own_last.a = t.b
+  LEFT JOIN two AS before ON before.b = t.c AND before.a = t.b LEFT JOIN own2 AS own_before ON own_before.doc_id = t.doc_id AND own_before.b = t.c AND own_before.a = t.b
+),
+scored AS (
+  SELECT doc_id,
+    CASE WHEN n3 >= 1 THEN log10(n3 / n_before)
+         WHEN n2 >= 1 THEN log10(n2 / n_last) + CASE WHEN i > 2 THEN log10(0.4) ELSE 0 END
+         ELSE log10(greatest(n1, 1) / greatest(n0, 1)) + (least(i, 3) - 1) * log10(0.4) END AS s
+  FROM counts
 )
 SELECT texts.doc_id, len(w)::BIGINT AS n_tokens, round(coalesce(x, 0), 4) + 0.0 AS log10_sum, round(x / len(w), 4) + 0.0 AS mean_log10
 FROM texts LEFT JOIN (SELECT doc_id, sum(s) AS x FROM scored GROUP BY doc_id) AS y USING (doc_id)
