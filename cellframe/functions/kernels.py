@@ -21,13 +21,13 @@ def _out(pair: Column, d: DType) -> Column:
     return F.struct(pair["re"].cast(d.part.sql).alias("re"), pair["im"].cast(d.part.sql).alias("im"))
 
 
-_COMPLEX = {"ln": np.log, "asin": np.arcsin, "acos": np.arccos, "atan": np.arctan} | {n: getattr(np, n) for n in ("exp", "sin", "sinh", "cos", "cosh", "tan", "tanh")}
+COMPLEX = {"ln": np.log, "asin": np.arcsin, "acos": np.arccos, "atan": np.arctan} | {n: getattr(np, n) for n in ("exp", "sin", "sinh", "cos", "cosh", "tan", "tanh")}
 
 
 def complex_unary(name: str, v: Column, d: DType) -> Column:
     def run(re: pd.Series, im: pd.Series) -> pd.DataFrame:
         with np.errstate(all="ignore"):
-            return _frame(_COMPLEX[name](re.to_numpy(float) + 1j * im.to_numpy(float)))
+            return _frame(COMPLEX[name](re.to_numpy(float) + 1j * im.to_numpy(float)))
 
     return _out(F.pandas_udf(run, _PAIR)(v["re"].cast("double"), v["im"].cast("double")), d)
 

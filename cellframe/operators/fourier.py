@@ -2,40 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..errors import InvalidSchema, Unsupported
-from ..tensor import Tensor
+from ..functions import dtypes as D
+from ..rows import Packed, RowTensor
+from ..tensor import Tensor, axes
 
 #: Longest axis. Fixed value.
 LONGEST = 4096
 
 
 def _transform(t: Tensor, inverse: bool) -> Tensor:
+    """Along the last axis. Vectors come as arrays, those of an Arrow batch are transformed by one call; tensors that lie
+    in arrays already need no shuffle, others are packed by one."""
     if t.dtype.kind != "c":
         raise Unsupported(f"fft of {t.dtype.name}")
-    n = t.shape[-1]
+    n, r = t.shape[-1], t.ndim
     if n > LONGEST:
         raise Unsupported(f"fft over an axis of {n}; at most {LONGEST}")
-    r = t.ndim
-    keys = [f"c{i}" for i in range(r - 1)]
-    rows = t.df.select(*keys, F.col(f"c{r - 1}").alias("k"), F.col("v.re").cast("double").alias("re"), F.col("v.im").cast("double").alias("im"))
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        z = np.zeros(n, complex)
-        z[frame["k"].to_numpy()] = frame["re"].to_numpy() + 1j * frame["im"].to_numpy()
-        z = np.fft.ifft(z) * n if inverse else np.fft.fft(z)
-        out = pd.DataFrame({c: key[i] for i, c in enumerate(keys)}, index=range(n))
-        return out.assign(k=np.arange(n), re=z.real, im=z.imag)
-
-    shape = ", ".join([*(f"{c} long" for c in keys), "k long", "re double", "im double"])
-    out = rows.groupBy(*keys).applyInPandas(run, shape)
-    kind = t.dtype.part.sql
-    v = F.struct(F.col("re").cast(kind).alias("re"), F.col("im").cast(kind).alias("im"))
-    # Rows without any value transform to zeros, which a sparse result leaves out.
-    return t.like(out.select(*keys, F.col("k").alias(f"c{r - 1}"), v.alias("v")))
+    keys = axes(r - 1)
+    double = [lambda v: v["re"].cast("double"), lambda v: v["im"].cast("double")]
+    if isinstance(t, RowTensor):
+        at = F.sequence(F.lit(0), F.lit(n - 1))
+        rows = t.packed.frame.select(*keys, at.alias("at"), *(x.alias(p) for x, p in zip(t.arrays(*double), ("re", "im"))))
+    else:
+        # At most n values for each vector.
+        cells = F.collect_list(F.struct(F.col(f"c{r - 1}").cast("int").alias("at"), *(f(F.col("v")).alias(p) for f, p in zip(double, ("re", "im")))))
+        rows = t.df.groupBy(*keys).agg(cells.alias("x")).select(*keys, "x.at", "x.re", "x.im")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, re, im = (batch.column(i) for i in range(len(keys), len(keys) + 3))
+            vector = np.repeat(np.arange(len(batch)), np.diff(np.asarray(at.offsets)))
+            z = np.zeros((len(batch), n), complex)
+            z[vector, np.asarray(at.flatten())] = np.asarray(re.flatten()) + 1j * np.asarray(im.flatten())
+            z = np.fft.ifft(z, axis=1) * n if inverse else np.fft.fft(z, axis=1)
+            offsets = pa.array(np.arange(0, z.size + 1, n), pa.int32())
+            out = [pa.ListArray.from_arrays(offsets, pa.array(part.ravel())) for part in (z.real, z.imag)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *out], [*keys, "re", "im"])
+
+    schema = ", ".join([*(f"{c} long" for c in keys), "re array<double>", "im array<double>"])
+    out = Packed(rows.mapInArrow(run, schema), ["re", "im"], r)
+    # Vectors without any value transform to zeros, which a sparse result leaves out.
+    found = RowTensor(out, lambda re, im: D.make(re, im, t.dtype), t.shape, t.dtype)
+    return t.like(found.frame, found.value) if t.sparse else found
 
 
 def fft(t: Tensor) -> Tensor:

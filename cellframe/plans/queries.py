@@ -133,8 +133,7 @@ def _parts(t: Tensor, digits: int = DIGITS) -> DataFrame:
 
 def Z(s: SparkSession, d: str) -> Tensor:
     """Complex: the embeddings, with their tripled values minus a tenth as imaginary parts."""
-    t = E(s, d)
-    return _complex(t, t.value * 3 - 0.1)
+    return E(s, d).map(lambda v: D.make(v, v * 3 - 0.1, D.DTYPES["c64"]), "c64")
 
 
 _Z = "(SELECT c0, c1, v AS re, v * 3 - 0.1 AS im FROM e)"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fourier, matrix, reduce  # noqa: F401  they give Tensor its methods
+from ..rows import from_arrays
 from ..sources.frames import from_dataframe
 from ..tensor import Tensor
 
@@ -47,8 +48,7 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 def embeddings(spark: SparkSession, d: str, dtype: str = "f64") -> Tensor:
     rows = _read(spark, d, "embeddings")
-    flat = rows.select(F.col("vec_id").alias("c0"), F.posexplode("embedding").alias("c1", "v"))
-    return from_dataframe(flat, ["c0", "c1"], "v", (rows.count(), 64), dtype, sparse=False, check=False)
+    return from_arrays(rows, ["vec_id"], "embedding", (rows.count(), 64), dtype, check=False)
 
 
 def _quantity(spark: SparkSession, d: str, rows: DataFrame) -> Tensor:

@@ -1,7 +1,11 @@
-"""Stored tensors: files sorted by block, with a sidecar of their geometry; and functional updates.
+"""Stored tensors: files sorted by block, with a sidecar of their geometry; and updates, functional or in the files.
 
-The sidecar is written last, so a folder without one is not a tensor. Values are immutable: each write returns
-a new tensor, and views made before keep what they saw.
+The blocks of a stored tensor are grouped in bands, each a folder. An update in the files writes the bands that it
+touches anew, under the next version, and then the sidecar, which names the version of each changed band: so it costs
+its bands and not the tensor, a failed one leaves nothing to be seen, and tensors that were opened before keep what
+they saw, until ``vacuum`` removes what no band needs. Of two updates of one version the later fails.
+
+The sidecar is written last, so a folder without one is not a tensor.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 import json
 from itertools import groupby
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +25,11 @@ from ..tensor import Tensor, axes, flat_index, from_flat, python_value, require_
 from .frames import _sql_value, check_cells, create
 
 SIDECAR = "_tensor.json"
-FIELDS = ("dtype", "shape", "sparse", "axis", "capacity", "format")
+FIELDS = ("dtype", "shape", "sparse", "axis", "capacity", "format", "band_blocks", "version", "bands")
 FORMATS = ("parquet", "orc", "json")
+#: Cells of a band, and bands of a tensor at most; larger tensors have larger bands.
+BAND_CELLS = 1 << 22
+MOST_BANDS = 1 << 16
 
 
 def geometry_of(t: Tensor, capacity: int = G.BATCH) -> G.StorageGeometry:
@@ -41,11 +49,16 @@ def block_columns(g: G.StorageGeometry) -> tuple[Column, Column]:
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, p = hadoop_path(spark, path)
-    out = fs.create(p, True)
+    new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    out = fs.create(new, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE  # a reader finds the old text or the new one
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(new, p, how)
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
@@ -59,8 +72,14 @@ def _read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def metadata(t: Tensor, capacity: int, kind: str) -> dict:
-    return {"dtype": t.dtype.name, "shape": list(t.shape), "sparse": t.sparse, "axis": t.axis, "capacity": capacity, "format": kind}
+def metadata(t: Tensor, capacity: int, kind: str, band_blocks: int | None = None) -> dict:
+    g = geometry_of(t, capacity)
+    band = band_blocks or max(1, BAND_CELLS // g.block_capacity, -(-g.block_count // MOST_BANDS))
+    return {"dtype": t.dtype.name, "shape": list(t.shape), "sparse": t.sparse, "axis": t.axis, "capacity": capacity, "format": kind, "band_blocks": band, "version": 0, "bands": {}}
+
+
+def _band(band_blocks: int) -> Column:
+    return F.call_function("div", F.col("block"), F.lit(band_blocks).cast("long"))
 
 
 def check_metadata(found: dict) -> dict:
@@ -73,19 +92,30 @@ def check_metadata(found: dict) -> dict:
     return found
 
 
-def write(t: Tensor, path: str, capacity: int = G.BATCH, kind: str = "parquet", partitions: int | None = None) -> "Stored":
-    """Store the rows, ranged and sorted by block, into a folder that does not exist."""
+def _band_of(t: "Stored", coord) -> int:
+    return t.geometry.block_position(coord)[0] // t.meta["band_blocks"]
+
+
+def write(t: Tensor, path: str, capacity: int = G.BATCH, kind: str = "parquet", partitions: int | None = None, band_blocks: int | None = None) -> "Stored":
+    """Store the rows, ranged and sorted by block, into a folder that does not exist. A band has ``band_blocks``."""
     if kind not in FORMATS:
         raise InvalidSchema(f"format {kind}")
-    g = geometry_of(t, capacity)
-    block, _ = block_columns(g)
-    rows = t.rows().withColumn("block", block)
-    n = partitions or int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, "block").sortWithinPartitions("block", *t.axes).write.mode("errorifexists").format(kind).save(path)
-    _write_text(t.spark, f"{path}/{SIDECAR}", json.dumps(metadata(t, capacity, kind)))
+    meta = metadata(t, capacity, kind, band_blocks)
+    fs, p = hadoop_path(t.spark, path)
+    if fs.exists(p):
+        raise AnalysisException(f"{path} exists")
+    _write_bands(t.rows().withColumn("block", block_columns(geometry_of(t, capacity))[0]), t.axes, meta, path, partitions)
+    _write_text(t.spark, f"{path}/{SIDECAR}", json.dumps(meta))
     return load(t.spark, path)
 
 
+def _write_bands(rows: DataFrame, names: list[str], meta: dict, path: str, partitions: int | None = None) -> None:
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.select(*names, "v", "block", _band(meta["band_blocks"]).alias("band"))
+    out = out.repartitionByRange(n, "band", "block").sortWithinPartitions("band", "block", *names)
+    out.write.mode("errorifexists").partitionBy("band").format(meta["format"]).save(f"{path}/v={meta['version']}")
+
+
 def copy_from(t: Tensor, path: str, sparse: bool = False, axis: int | None = None, capacity: int = G.BATCH, kind: str = "parquet") -> "Stored":
     """Materialise an expression in a layout of its own kind."""
     if t.sparse != sparse:
@@ -103,15 +133,26 @@ def load(spark: SparkSession, path: str) -> "Stored":
     meta = check_metadata(json.loads(_read_text(spark, f"{path}/{SIDECAR}")))
     names = axes(len(meta["shape"]))
     d = D.dtype(meta["dtype"])
-    wanted = ", ".join([*(f"{c} bigint" for c in names), f"v {d.sql}", "block bigint"])
-    reader = spark.read.format(meta["format"])
-    if meta["format"] != "parquet":
-        reader = reader.schema(wanted)
-    df = reader.option("pathGlobFilter", f"*.{meta['format']}*").load(path)
-    found = {f.name: f.dataType.simpleString() for f in df.schema}
-    if found != {c: "bigint" for c in [*names, "block"]} | {"v": spark.createDataFrame([], f"v {d.sql}").schema["v"].dataType.simpleString()}:
-        raise InvalidSchema(f"columns {found} of {path}")
-    return Stored(df, meta, path)
+    wanted = ", ".join([*(f"{c} bigint" for c in names), f"v {d.sql}", "block bigint", "band bigint"])
+    fs, _ = hadoop_path(spark, path)
+    versions = sorted({0, *meta["bands"].values()})
+    folders = [(k, f"{path}/v={k}") for k in versions if fs.exists(hadoop_path(spark, f"{path}/v={k}")[1])]
+    out = None
+    for k, folder in folders:
+        reader = spark.read.format(meta["format"]).option("pathGlobFilter", f"*.{meta['format']}*")
+        empty = not any(s.isDirectory() for s in fs.listStatus(hadoop_path(spark, folder)[1]))
+        df = spark.createDataFrame([], wanted) if empty else reader.schema(wanted).load(folder)
+        if not empty and meta["format"] == "parquet":
+            found = {f.name: f.dataType.simpleString() for f in reader.load(folder).schema if f.name != "band"}
+            kind = spark.createDataFrame([], f"v {d.sql}").schema["v"].dataType.simpleString()
+            if found != {c: "bigint" for c in [*names, "block"]} | {"v": kind}:
+                raise InvalidSchema(f"columns {found} of {path}")
+        # Bands of other versions are left out by their folders' names.
+        newer = [int(b) for b, v in meta["bands"].items() if v != k] if k == 0 else []
+        mine = [int(b) for b, v in meta["bands"].items() if v == k] if k else []
+        df = df.where(F.col("band").isin(mine)) if k else df.where(~F.col("band").isin(newer)) if newer else df
+        out = df if out is None else out.unionByName(df)
+    return Stored(out, meta, path)
 
 
 class Stored(Tensor):
@@ -137,6 +178,74 @@ class Stored(Tensor):
     def sync(self) -> None:
         """Nothing to do: a finished write is durable by Spark's commit protocol."""
 
+    # Updates in the files: each returns the tensor as it is now.
+
+    def update(self, updates: DataFrame) -> "Stored":
+        """Cells (axis columns and v, each cell once) in place of the stored ones. Only their bands are written."""
+        meta = dict(self.meta)
+        updates = updates.select(*self.axes, F.col("v").cast(self.dtype.sql).alias("v")).withColumn("block", block_columns(self.geometry)[0])
+        # No more numbers than there are bands.
+        touched = sorted(r[0] for r in updates.select(_band(meta["band_blocks"])).distinct().collect())
+        if not touched:
+            return self
+        own = self.frame.where(F.col("band").isin(touched)).select(*self.axes, "v", "block")
+        rows = own.join(updates.select(*self.axes), self.axes, "left_anti").select(*self.axes, "v", "block").unionByName(updates)
+        rows = rows.where(D.not_zero(F.col("v"), self.dtype)) if self.sparse else rows
+        if json.loads(_read_text(self.spark, f"{self.path}/{SIDECAR}"))["version"] != meta["version"]:
+            raise DataMismatch(f"{self.path} was changed since it was opened")
+        meta["version"] += 1
+        meta["bands"] = meta["bands"] | {str(b): meta["version"] for b in touched}
+        _write_bands(rows, self.axes, meta, self.path)
+        _write_text(self.spark, f"{self.path}/{SIDECAR}", json.dumps(meta))
+        return load(self.spark, self.path)
+
+    def write_value(self, coord, value) -> "Stored":
+        coord = G.check_coord(self.shape, coord)
+        return self.update(_updates(self, [(*coord, _sql_value(value, self.dtype))]))
+
+    def write_values(self, ranges, values) -> "Stored":
+        """As the function of this name."""
+        return self.update(_selected(self, ranges, values))
+
+    def write_through(self, steps: list[tuple], values: Tensor) -> "Stored":
+        """An expression's values into the cells of a view of this tensor."""
+        return self.update(updates_from(self, steps, values).select(*self.axes, "v"))
+
+    def replace_block(self, block: int, values) -> "Stored":
+        return self.update(_block_cells(self, self.geometry, block, list(values)))
+
+    def stored_bands(self) -> list[int]:
+        """Numbers of the bands with files, in order; from the folders' names."""
+        fs, out = hadoop_path(self.spark, self.path)[0], set()
+        for k in {0, *self.meta["bands"].values()}:
+            _, folder = hadoop_path(self.spark, f"{self.path}/v={k}")
+            names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+            out |= {int(n[5:]) for n in names if n.startswith("band=") and self.meta["bands"].get(n[5:], 0) == k}
+        return sorted(out)
+
+    def in_order(self, first: int = 0, last: int | None = None):
+        """Frames of the rows from block ``first`` to ``last``, row-major over all of them: each has as many blocks as
+        a band of usual size and is sorted in the one task that reads it, so nothing is shuffled."""
+        size, run = self.meta["band_blocks"], max(1, BAND_CELLS // self.geometry.block_capacity)
+        last = self.geometry.block_count - 1 if last is None else last
+        for band in self.stored_bands():
+            for a in range(max(first, band * size), min(last, (band + 1) * size - 1) + 1, run):
+                b = min(a + run - 1, last, (band + 1) * size - 1)
+                rows = self.frame.where((F.col("band") == band) & F.col("block").between(a, b))
+                yield rows.coalesce(1).sortWithinPartitions("block", *self.axes)
+
+    def vacuum(self) -> None:
+        """Remove the folders of bands that this version does not read; tensors opened before lose theirs."""
+        fs, _ = hadoop_path(self.spark, self.path)
+        for version in fs.listStatus(hadoop_path(self.spark, self.path)[1]):
+            name = version.getPath().getName()
+            if not name.startswith("v="):
+                continue
+            for band in fs.listStatus(version.getPath()):
+                b = band.getPath().getName()
+                if b.startswith("band=") and self.meta["bands"].get(b[5:], 0) != int(name[2:]):
+                    fs.delete(band.getPath(), True)
+
 
 def sync_all(tensors) -> None:
     for t in tensors:
@@ -185,6 +294,11 @@ def _selection(shape, ranges) -> tuple[list[tuple[int, object]], int]:
 def write_values(t: Tensor, ranges, values) -> Tensor:
     """Values in row-major order of the selection: a list, or a frame of ``seq`` (from 0) and ``v``. Of cells
     selected twice the later value holds."""
+    return replaced(t, _selected(t, ranges, values))
+
+
+def _selected(t: Tensor, ranges, values) -> DataFrame:
+    """The cells of a selection with their values, each once."""
     parts, n = _selection(t.shape, ranges)
     if isinstance(values, DataFrame):
         given, found = values.select(F.col("seq").cast("long").alias("seq"), F.col("v").cast(t.dtype.sql).alias("v")), values.count()
@@ -195,8 +309,7 @@ def write_values(t: Tensor, ranges, values) -> Tensor:
         raise DataMismatch(f"{found} values for {n} cells")
     index = from_flat(F.col("seq"), [size for size, _ in parts])
     updates = given.select(*(of(k).alias(c) for c, k, (_, of) in zip(t.axes, index, parts)), "v", "seq")
-    last = updates.groupBy(*t.axes).agg(F.max_by("v", "seq").alias("v"))
-    return replaced(t, last)
+    return updates.groupBy(*t.axes).agg(F.max_by("v", "seq").alias("v"))
 
 
 def _shapes(base: Tensor, steps: list[tuple]) -> list[tuple[int, ...]]:
@@ -353,24 +466,33 @@ def visit_blocks(t: Tensor, ids, visit, capacity: int | None = None) -> None:
         visit(block, [python_value(r["v"], t.dtype) for r in group])
 
 
-def replace_logical_block(t: Tensor, block: int, values, capacity: int | None = None) -> Tensor:
-    g, values = _geometry(t, capacity), list(values)
+def _block_cells(t: Tensor, g: G.StorageGeometry, block: int, values: list) -> DataFrame:
     start, stop = g.block_range(block)
     if len(values) != stop - start:
         raise DataMismatch(f"{len(values)} values for a block of {stop - start}")
-    rows = [(*G.coord_of(t.shape, start + i), _sql_value(v, t.dtype)) for i, v in enumerate(values)]
-    new = _updates(t, rows)
+    return _updates(t, [(*G.coord_of(t.shape, start + i), _sql_value(v, t.dtype)) for i, v in enumerate(values)])
+
+
+def replace_logical_block(t: Tensor, block: int, values, capacity: int | None = None) -> Tensor:
+    g = _geometry(t, capacity)
+    new = _block_cells(t, g, block, list(values))
     new = new.where(D.not_zero(F.col("v"), t.dtype)) if t.sparse else new
     kept = _numbered(t, g).where(F.col("block") != block).select(*t.axes, "v")
     return Tensor(kept.unionByName(new), "v", t.shape, t.dtype, t.sparse, t.axis)
 
 
+def blocks_of(g: G.StorageGeometry, ranges) -> tuple[int, int]:
+    """First and last block of a selection."""
+    ends = [(r.index, r.index) if isinstance(r, G.At) else (min(r.indices), max(r.indices)) if isinstance(r, G.Of) else (r.start, r.stop - 1) for r in ranges]
+    first, last = (g.block_position([e[k] for e in ends])[0] for k in (0, 1))
+    return first, last
+
+
 def occupied_blocks(t: Tensor, ranges=(), capacity: int | None = None) -> DataFrame:
     """Numbers of the blocks with a value other than zero within a selection, in order."""
     require_sparse(t, "occupied_blocks")
     g, ranges = _geometry(t, capacity), G.check_range(t.shape, ranges)
-    ends = [(r.index, r.index) if isinstance(r, G.At) else (min(r.indices), max(r.indices)) if isinstance(r, G.Of) else (r.start, r.stop - 1) for r in ranges]
-    first, last = (g.block_position([e[k] for e in ends])[0] for k in (0, 1))
+    first, last = blocks_of(g, ranges)
     rows = _numbered(t, g).where(F.col("block").between(first, last) & D.not_zero(F.col("v"), t.dtype))
     for i, r in enumerate(ranges):
         c = F.col(f"c{i}")
