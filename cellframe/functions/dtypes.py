@@ -93,24 +93,29 @@ def not_zero(v: Column, d: DType) -> Column:
     return (v["re"] != 0) | (v["im"] != 0) if d.kind == "c" else v != 0
 
 
+def _decimal(n: int, digits: int) -> Column:
+    return F.lit(str(n)).cast(f"decimal({digits},0)")
+
+
+def signed64(v: Column) -> Column:
+    """A decimal of up to 38 digits by its low 64 bits, as BIGINT. The argument occurs once, so that chains stay short."""
+    return (F.pmod(v + _decimal(1 << 63, 20), _decimal(U64, 20)) - _decimal(1 << 63, 20)).cast("bigint")
+
+
 def wide(v: Column, d: DType) -> Column:
     """As BIGINT; u64 by its bits."""
-    if d.name == "u64":
-        return F.when(v >= F.lit(str(1 << 63)).cast("decimal(20,0)"), (v - F.lit(str(U64)).cast("decimal(21,0)")).cast("bigint")).otherwise(v.cast("bigint"))
-    return v.cast("bigint")
+    return signed64(v) if d.name == "u64" else v.cast("bigint")
 
 
 def narrow(v: Column, d: DType) -> Column:
     """From a BIGINT, by its low bits."""
     if d.name == "u64":
-        return F.when(v < 0, (v.cast("decimal(21,0)") + F.lit(str(U64)).cast("decimal(21,0)")).cast(d.sql)).otherwise(v.cast(d.sql))
+        return F.pmod(v.cast("decimal(20,0)"), _decimal(U64, 20)).cast(d.sql)
     if d.name == "i64":
         return v
-    mask = F.lit((1 << d.bits) - 1)
-    low = v.bitwiseAND(mask)
-    if d.kind == "i":
-        low = F.when(low >= (1 << (d.bits - 1)), low - (1 << d.bits)).otherwise(low)
-    return low.cast(d.sql)
+    if d.kind == "u":
+        return v.bitwiseAND(F.lit((1 << d.bits) - 1)).cast(d.sql)
+    return F.shiftright(F.shiftleft(v, 64 - d.bits), 64 - d.bits).cast(d.sql)
 
 
 def add64(a: Column, b: Column, carry: int = 0) -> Column:
@@ -121,21 +126,24 @@ def add64(a: Column, b: Column, carry: int = 0) -> Column:
 
 
 def mul64(a: Column, b: Column) -> Column:
-    """Product of BIGINTs modulo 2**64."""
-    a_low, b_low = a.bitwiseAND(F.lit(LOW)), b.bitwiseAND(F.lit(LOW))
-    cross = add64(F.shiftleft(F.shiftright(a, 32) * b_low, 32), F.shiftleft(a_low * F.shiftright(b, 32), 32))
-    low = add64(a_low * b_low.bitwiseAND(F.lit(0xFFFF)), F.shiftleft(a_low * F.shiftright(b_low, 16), 16))
-    return add64(cross, low)
+    """Product of BIGINTs modulo 2**64: 38 digits hold it."""
+    return signed64(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"))
+
+
+def _digits(v: Column, d: DType) -> Column:
+    return v if d.name == "u64" else v.cast("decimal(19,0)")
 
 
 def int_add(a: Column, b: Column, d: DType) -> Column:
-    a, b = wide(a, d), wide(b, d)
-    return narrow(add64(a, b) if d.bits == 64 else a + b, d)
+    if d.bits == 64:
+        return narrow(signed64(_digits(a, d) + _digits(b, d)), d)
+    return narrow(wide(a, d) + wide(b, d), d)
 
 
 def int_sub(a: Column, b: Column, d: DType) -> Column:
-    a, b = wide(a, d), wide(b, d)
-    return narrow(add64(a, F.bitwise_not(b), 1) if d.bits == 64 else a - b, d)
+    if d.bits == 64:
+        return narrow(signed64(_digits(a, d) - _digits(b, d)), d)
+    return narrow(wide(a, d) - wide(b, d), d)
 
 
 def int_mul(a: Column, b: Column, d: DType) -> Column:

@@ -11,10 +11,12 @@ from .. import geometry as G
 from ..errors import InvalidSchema, Unsupported
 from ..functions import dtypes as D
 from ..functions import scalar as S
-from ..tensor import Tensor, axes
+from ..tensor import Tensor, axes, grid
 
 #: Side of the square tiles of the blocked product.
 TILE = 128
+#: Rows of marks (one for each place of the outer axes) up to which a sparse product is made in one pass.
+MOST_MARKS = 1 << 24
 
 
 def _contract(a: Column, b: Column, d: D.DType) -> Column:
@@ -46,64 +48,132 @@ def _absent_times_non_finite(a: Tensor, b: Tensor, left: DataFrame, right: DataF
     return rows.union(columns).distinct().withColumn("v", nan)
 
 
+def _marked(side: DataFrame, v: str, mine: int, other: int, batch: list[str], own: str, shape, d: D.DType) -> DataFrame:
+    """A side of a sparse product with marks: each non-finite value once more at the inner coordinate ``mine``, where
+    every place of the other side's outer axis has a mark; and this side's own marks at ``other``, one for each place."""
+    k = F.array(F.col("k"), F.lit(mine).cast("long"))
+    rows = side.select(*batch, own, v, F.explode(F.when(_finite(F.col(v), d), F.slice(k, 1, 1)).otherwise(k)).alias("k"))
+    marks = grid(side.sparkSession, shape).toDF(*batch, own)
+    return rows.unionByName(marks.select("*", D.zero(d).alias(v), F.lit(other).cast("long").alias("k")))
+
+
+def _with_marks(a: Tensor, b: Tensor, left: DataFrame, right: DataFrame, batch: list[str]) -> DataFrame:
+    """The contraction in one pass over each side. A cell is NaN if a non-finite value of its row or column met no
+    value of the other side: if it has more marks than such values that met."""
+    d = a.dtype
+    left = _marked(left, "x", -1, -2, batch, "i", a.shape[:-1], d)
+    right = _marked(right, "y", -2, -1, batch, "j", (*b.shape[:-2], b.shape[-1]), d)
+    met = left.join(right, [*batch, "k"])
+    real = F.col("k") >= 0
+    if d.kind == "c":
+        p = S.ARITHMETIC["mul"].column(F.col("x"), F.col("y"), D.DTYPES["c64"])
+        sums = [F.sum(F.when(real, p[x])).alias(x) for x in ("re", "im")]
+    else:
+        sums = [F.sum(F.when(real, F.col("x").cast("double") * F.col("y").cast("double"))).alias("sum")]
+    # Marks of a cell less the values that met: none are left where each met one.
+    left_over = lambda mark, v: F.sum(F.when(F.col("k") == mark, 1).when(real & ~_finite(F.col(v), d), -1).otherwise(0)) > 0
+    missed = left_over(-1, "x") | left_over(-2, "y")
+    out = met.groupBy(*batch, "i", "j").agg(*sums, missed.alias("missed"))
+    nan = lambda c: F.when(F.col("missed"), float("nan")).otherwise(F.col(c))
+    return out.select(*batch, "i", "j", (D.make(nan("re"), nan("im"), d) if d.kind == "c" else nan("sum").cast(d.sql)).alias("v"))
+
+
+def _split(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with a salt, so that the values of inner coordinates with many cells on the left meet in many tasks.
+    Counted by a job: of all coordinates, no more than four times the partitions hold a share that large."""
+    spark = left.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = left.count()
+    heavy = counts.where(F.col("n") * (4 * parts) > total).select(*keys, F.lit(True).alias("heavy")).collect()
+    if not heavy:
+        return left, right, keys
+    heavy = F.broadcast(spark.createDataFrame(heavy, ", ".join([*(f"{k} long" for k in keys), "heavy boolean"])))
+    salt = F.pmod(F.xxhash64("i"), F.lit(parts))
+    left = left.join(heavy, keys, "left").withColumn("salt", F.when(F.col("heavy"), salt).otherwise(0).cast("long")).drop("heavy")
+    every = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
+    right = right.join(heavy, keys, "left").withColumn("salt", F.explode(F.when(F.col("heavy"), every).otherwise(F.array(F.lit(0).cast("long"))))).drop("heavy")
+    return left, right, [*keys, "salt"]
+
+
 def matmul(a: Tensor, b: Tensor, method: str = "join") -> Tensor:
-    """[..., M, K] @ [..., K, N]. ``join`` contracts by an equi-join on K; ``tiles`` multiplies dense tiles of
-    f32 or f64 with numpy, which moves each value once for every tile row or column instead of every product."""
+    """[..., M, K] @ [..., K, N]. ``join`` contracts by an equi-join on K. ``split`` does so after it has counted the
+    cells at each k, and deals out those with a large share. ``tiles`` multiplies dense tiles with numpy, which moves
+    each value once for every tile row or column instead of every product; integers wrap there as well."""
     shape = G.matmul_output_shape(a.shape, b.shape)
     if a.dtype != b.dtype:
         raise InvalidSchema(f"dtypes {a.dtype.name} and {b.dtype.name}")
     d, r = a.dtype, a.ndim
     batch = axes(r - 2)
+    if method not in ("join", "split", "tiles"):
+        raise Unsupported(f"matmul by {method}")
     if method == "tiles":
-        if d.kind != "f":
-            raise Unsupported(f"tiles of {d.name}")
-        return a.like(_tiled(a, b, batch), shape=shape, sparse=False)
+        out = a.like(_tiled(a, b, batch), shape=shape, sparse=False)
+        out.factors = (a, b)
+        return out
     left = a.df.select(*batch, F.col(f"c{r - 2}").alias("i"), F.col(f"c{r - 1}").alias("k"), F.col("v").alias("x"))
     right = b.df.select(*batch, F.col(f"c{r - 2}").alias("k"), F.col(f"c{r - 1}").alias("j"), F.col("v").alias("y"))
-    met = left.join(right, [*batch, "k"])
-    out = met.groupBy(*batch, "i", "j").agg(_contract(F.col("x"), F.col("y"), d).alias("v"))
-    if (a.sparse or b.sparse) and not d.integer:
-        nan = _absent_times_non_finite(a, b, left, right, batch)
-        parts = out.unionByName(nan)
-        value = D.make(F.sum("v.re"), F.sum("v.im"), d) if d.kind == "c" else F.sum(F.col("v").cast("double")).cast(d.sql)
-        out = parts.groupBy(*batch, "i", "j").agg(value.alias("v"))
+    finite = d.integer or not (a.sparse or b.sparse)
+    if not finite and method == "join" and G.size(a.shape[:-1]) + G.size(shape[:-2]) * shape[-1] <= MOST_MARKS:
+        out = _with_marks(a, b, left, right, batch)
+    else:
+        keys = [*batch, "k"]
+        sides = _split(left, right, keys) if method == "split" else (left, right, keys)
+        out = sides[0].join(sides[1], sides[2]).groupBy(*batch, "i", "j").agg(_contract(F.col("x"), F.col("y"), d).alias("v"))
+        if not finite:
+            parts = out.unionByName(_absent_times_non_finite(a, b, left, right, batch))
+            value = D.make(F.sum("v.re"), F.sum("v.im"), d) if d.kind == "c" else F.sum(F.col("v").cast("double")).cast(d.sql)
+            out = parts.groupBy(*batch, "i", "j").agg(value.alias("v"))
     out = out.select(*batch, F.col("i").alias(f"c{r - 2}"), F.col("j").alias(f"c{r - 1}"), "v")
     # A product with a sparse side may lack cells.
     found = a.like(out, shape=shape, sparse=a.sparse or b.sparse)
-    return found if a.sparse and b.sparse or not found.sparse else found.into_dense()
+    found = found if a.sparse and b.sparse or not found.sparse else found.into_dense()
+    found.factors = (a, b)
+    return found
 
 
 def _tiled(a: Tensor, b: Tensor, batch: list[str]) -> DataFrame:
     r, d = a.ndim, a.dtype
     rows_of, inner_of, cols_of = (-(-n // TILE) for n in (a.shape[-2], a.shape[-1], b.shape[-1]))
-    spark = a.spark
-    i, k = F.col(f"c{r - 2}"), F.col(f"c{r - 1}")
+    i, k, v = F.col(f"c{r - 2}"), F.col(f"c{r - 1}"), F.col("v")
+    # Integers as longs, which wrap; complex numbers by their parts.
+    kind, number = ("long", np.int64) if d.integer else ("double", np.float64)
+    values = {"v": D.wide(v, d)} if d.integer else {"v": v.cast("double")} if d.kind == "f" else {p: v[p].cast("double") for p in ("re", "im")}
     to = lambda c: F.call_function("div", c, F.lit(TILE).cast("long"))
-    left = a.full().select(*batch, to(i).alias("ti"), to(k).alias("tk"), (i % TILE).alias("r"), (k % TILE).alias("c"), F.col("v").cast("double").alias("v"))
-    right = b.full().select(*batch, to(i).alias("tk"), to(k).alias("tj"), (i % TILE).alias("r"), (k % TILE).alias("c"), F.col("v").cast("double").alias("v"))
-    left = left.crossJoin(F.broadcast(spark.range(cols_of).select(F.col("id").alias("tj")))) if cols_of > 1 else left.withColumn("tj", F.lit(0).cast("long"))
-    right = right.crossJoin(F.broadcast(spark.range(rows_of).select(F.col("id").alias("ti")))) if rows_of > 1 else right.withColumn("ti", F.lit(0).cast("long"))
-    keys = [*batch, "ti", "tj", "tk"]
+    places = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    within = [(i % TILE).alias("r"), (k % TILE).alias("c"), *(x.alias(n) for n, x in values.items())]
+    left = a.full().select(*batch, to(i).alias("ti"), to(k).alias("tk"), *within).withColumn("tj", places(cols_of))
+    right = b.full().select(*batch, to(i).alias("tk"), to(k).alias("tj"), *within).withColumn("ti", places(rows_of))
+    keys, names, side = [*batch, "ti", "tj", "tk"], list(values), TILE
+
+    def tile(x: pd.DataFrame) -> np.ndarray:
+        parts = np.zeros((len(names), side, side), number)
+        for p, n in zip(parts, names):
+            p[x["r"], x["c"]] = x[n]
+        return parts[0] + 1j * parts[1] if len(names) == 2 else parts[0]
 
     def product(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        p, q = np.zeros((TILE, TILE)), np.zeros((TILE, TILE))
-        p[x["r"], x["c"]] = x["v"]
-        q[y["r"], y["c"]] = y["v"]
         high, wide = int(x["r"].max()) + 1, int(y["c"].max()) + 1
         depth = max(int(x["c"].max()), int(y["r"].max())) + 1
-        z = p[:high, :depth] @ q[:depth, :wide]
+        with np.errstate(all="ignore"):
+            z = tile(x)[:high, :depth] @ tile(y)[:depth, :wide]
         at = np.indices(z.shape)
         out = pd.DataFrame({c: key[n] for n, c in enumerate(batch)}, index=range(z.size))
-        out["i"] = key[-3] * TILE + at[0].ravel()
-        out["j"] = key[-2] * TILE + at[1].ravel()
-        out["v"] = z.ravel()
+        out["i"] = key[-3] * side + at[0].ravel()
+        out["j"] = key[-2] * side + at[1].ravel()
+        for n, part in zip(names, (z.real, z.imag)):
+            out[n] = part.ravel()
         return out
 
-    shape = ", ".join([*(f"{c} long" for c in batch), "i long", "j long", "v double"])
+    shape = ", ".join([*(f"{c} long" for c in batch), "i long", "j long", *(f"{n} {kind}" for n in names)])
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, shape)
     if inner_of > 1:
-        parts = parts.groupBy(*batch, "i", "j").agg(F.sum("v").alias("v"))
-    return parts.select(*batch, F.col("i").alias(f"c{r - 2}"), F.col("j").alias(f"c{r - 1}"), F.col("v").cast(d.sql).alias("v"))
+        from .reduce import _sum_int
+
+        add = (lambda n: _sum_int(F.col(n), D.DTYPES["i64"])) if d.integer else F.sum
+        parts = parts.groupBy(*batch, "i", "j").agg(*(add(n).alias(n) for n in names))
+    v = D.narrow(F.col("v"), d) if d.integer else F.col("v").cast(d.sql) if d.kind == "f" else D.make(F.col("re"), F.col("im"), d)
+    return parts.select(*batch, F.col("i").alias(f"c{r - 2}"), F.col("j").alias(f"c{r - 1}"), v.alias("v"))
 
 
 def mt(t: Tensor) -> Tensor:
@@ -124,6 +194,12 @@ def diag(t: Tensor) -> Tensor:
     if t.ndim < 2 or t.shape[-1] != t.shape[-2]:
         raise InvalidSchema(f"diag of {t.shape}")
     r = t.ndim
+    if factors := getattr(t, "factors", None):
+        # Of a product only the cells of its diagonal: products of equal places, added up.
+        wide = {"f": "f64", "c": "c64"}.get(t.dtype.kind, t.dtype.name)
+        a, b = (x.cast(wide) for x in factors)
+        found = a.mul(mt(b)).sum([a.ndim - 1]).cast(t.dtype)
+        return found.like(found.df, sparse=True) if t.sparse else found
     frame = t.df.where(F.col(f"c{r - 2}") == F.col(f"c{r - 1}")).drop(f"c{r - 1}")
     return t.like(frame, shape=t.shape[:-1])
 

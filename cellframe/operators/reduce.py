@@ -85,14 +85,23 @@ def reduce(t: Tensor, name: str, over=None, keepdims: bool = False) -> Tensor:
     if name in ("min", "max") and not t.dtype.real:
         raise Unsupported(f"{name} of {t.dtype.name}")
     over = list(range(t.ndim)) if over is None else G.reduction_axes(t.shape, over)
-    d, kept = t.dtype, [i for i in range(t.ndim) if i not in over]
+    kept = [i for i in range(t.ndim) if i not in over]
     n = G.size([t.shape[i] for i in over])
+    if name == "product":
+        return _product(t, over, kept, n, keepdims)
     keys = [f"c{i}" for i in kept]
-    rows, size = F.count(F.lit(1)), F.lit(float(n))
-    gap = (F.lit(n) - rows) if t.sparse else F.lit(0)
-    v, out = F.col("v"), d
+    value, out = _value(t, name, F.lit(n).cast("long"))
+    grouped = t.df.groupBy(*keys).agg(value.alias("v")) if keys else t.df.agg(value.alias("v"))
+    return _shaped(t, grouped, over, kept, keepdims, out)
+
+
+def _value(t: Tensor, name: str, n: Column) -> tuple[Column, D.DType]:
+    """The aggregate and its dtype, over groups of ``n`` cells of which some may be absent."""
+    d, out = t.dtype, t.dtype
+    rows, size = F.count(F.lit(1)), n.cast("double")
+    gap = (n - rows) if t.sparse else F.lit(0)
+    v = F.col("v")
     parts = [F.col("v.re").cast("double"), F.col("v.im").cast("double")] if d.kind == "c" else [D.cast(v, d, DTYPES["f64"]) if d.kind == "f" else v.cast("double")]
-    df = t.df
     if name == "sum":
         if d.integer:
             value = _sum_int(v, d)
@@ -101,7 +110,8 @@ def reduce(t: Tensor, name: str, over=None, keepdims: bool = False) -> Tensor:
         else:
             value = D.make(*(F.coalesce(F.sum(p), F.lit(0.0)) for p in parts), d)
     elif name == "product":
-        return _product(t, over, kept, n, keepdims)
+        p = F.coalesce(F.product(parts[0]), F.lit(1.0))
+        value = F.when(rows < n, p * 0.0).otherwise(p).cast(d.sql)
     elif name in ("min", "max"):
         value = _least(name, v, d, gap)
     elif name == "mean":
@@ -115,8 +125,7 @@ def reduce(t: Tensor, name: str, over=None, keepdims: bool = False) -> Tensor:
         value = _norm(parts)
     else:
         raise Unsupported(name)
-    grouped = df.groupBy(*keys).agg(value.alias("v")) if keys else df.agg(value.alias("v"))
-    return _shaped(t, grouped, over, kept, keepdims, out)
+    return value, out
 
 
 def _shaped(t: Tensor, grouped, over: list[int], kept: list[int], keepdims: bool, out: D.DType) -> Tensor:
@@ -131,9 +140,7 @@ def _product(t: Tensor, over, kept, n: int, keepdims: bool) -> Tensor:
     d, keys = t.dtype, [f"c{i}" for i in kept]
     df = t.df
     if d.kind == "f":
-        rows = F.count(F.lit(1))
-        p = F.coalesce(F.product(F.col("v").cast("double")), F.lit(1.0))
-        value = F.when(rows < n, p * 0.0).otherwise(p).cast(d.sql)
+        value, _ = _value(t, "product", F.lit(n).cast("long"))
         grouped = df.groupBy(*keys).agg(value.alias("v")) if keys else df.agg(value.alias("v"))
         return _shaped(t, grouped, over, kept, keepdims, d)
     values = kernels.wrapping_product(df, keys, "v", d) if d.integer else kernels.complex_product(df, keys, "v", d)
@@ -155,20 +162,58 @@ def reduce_all(t: Tensor, name: str):
     return python_value(out.df.first()["v"], out.dtype)
 
 
+def _counterexample(t: Tensor, name: str):
+    """A row that settles ``any`` (one other than zero) or refutes ``all`` (a zero): at most one, and each task ends at
+    its first."""
+    true = D.not_zero(F.col("v"), t.dtype)
+    return t.df.where(true if name == "any" else ~true).select(F.lit(1).alias("one")).limit(1)
+
+
 def truth_frame(t: Tensor, name: str):
     """One row: whether all or any cells are other than zero."""
-    rows, true = F.count(F.lit(1)), D.not_zero(F.col("v"), t.dtype)
-    if name == "any":
-        return t.df.agg(F.coalesce(F.bool_or(true), F.lit(False)).alias("v"))
-    return t.df.agg((F.coalesce(F.bool_and(true), F.lit(True)) & (rows == t.size)).alias("v"))
+    found = _counterexample(t, name).agg(F.count(F.lit(1)).alias("n"))
+    if name == "any" or not t.sparse:
+        return found.select((F.col("n") > 0 if name == "any" else F.col("n") == 0).alias("v"))
+    # Absent cells are zeros: all rows are counted.
+    true = D.not_zero(F.col("v"), t.dtype)
+    return t.df.agg((F.coalesce(F.bool_and(true), F.lit(True)) & (F.count(F.lit(1)) == t.size)).alias("v"))
 
 
 def all_true(t: Tensor) -> bool:
-    return truth_frame(t, "all").first()["v"]
+    """Ends with the first partitions that hold a zero; only a sparse tensor without one is counted."""
+    if not _counterexample(t, "all").isEmpty():
+        return False
+    return not t.sparse or t.df.count() == t.size
 
 
 def any_true(t: Tensor) -> bool:
-    return truth_frame(t, "any").first()["v"]
+    """Ends with the first partitions that hold another value than zero."""
+    return not _counterexample(t, "any").isEmpty()
+
+
+def reduce_sets(t: Tensor, name: str, sets: list[list[int]]):
+    """Reductions over several sets of axes from one scan: ``set`` (its number), the axes (null where reduced), v. Each
+    set's absent cells are counted by its own size. Results that are zero for want of rows are left out, as in sparse tensors."""
+    if t.ndim == 0 or not sets:
+        raise InvalidSchema("no axes to reduce")
+    if name == "product" and t.dtype.kind != "f":
+        raise Unsupported(f"product of {t.dtype.name} over several sets")
+    sets = [G.reduction_axes(t.shape, s) for s in sets]
+    names = t.axes
+    numbers = [sum(1 << (t.ndim - 1 - i) for i in over) for over in sets]
+    if len(set(numbers)) != len(sets):
+        raise InvalidSchema(f"sets {sets}")
+    # The size of the group that a row of the result stands for, by which axes are gone.
+    size = F.lit(0).cast("long")
+    for number, over in zip(numbers, sets):
+        size = F.when(F.grouping_id() == number, F.lit(G.size([t.shape[i] for i in over])).cast("long")).otherwise(size)
+    value, out = _value(t, name, size)
+    kept = [[F.col(c) for i, c in enumerate(names) if i not in over] for over in sets]
+    found = t.df.groupingSets(kept, *names).agg(value.alias("v"), F.grouping_id().alias("g"))
+    number = F.lit(None).cast("int")
+    for k, g in enumerate(numbers):
+        number = F.when(F.col("g") == g, F.lit(k)).otherwise(number)
+    return found.select(number.alias("set"), *names, "v")
 
 
 def _bind() -> None:

@@ -11,12 +11,12 @@ from ..functions import dtypes as D
 from .. import geometry as G
 from ..geometry import At, In, Of, StorageGeometry
 from ..operators import fourier
-from ..operators.reduce import reduce, truth_frame
+from ..operators.reduce import reduce, reduce_sets, truth_frame
 from ..session import scratch_path
 from ..sources import frames, store
 from ..sources.views import View
 from ..streaming import batches
-from ..tensor import Tensor, flat_index
+from ..tensor import Tensor, flat_index, fold
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,7 +70,7 @@ for _i, _name in enumerate(("exp", "ln", "round", "abs", "sin", "asin", "sinh",
         query("u03_round", "SELECT c0, c1, round(v * 8) + 0.0 AS v FROM e", lambda s, d: shown(E(s, d).mul_scalar(8).round().rows(), 0))
     else:
         query(f"u{_i:02}_{_name}", f"SELECT c0, c1, {_rounded(f'{_name}(v)')} AS v FROM e", lambda s, d, n=_name: E(s, d).unary(n), DIGITS)
-query("u14_not", f"SELECT c0, c1, (v = 0)::SMALLINT AS v FROM {_NGRID}", lambda s, d: N(s, d).into_dense().not_())
+query("u14_not_nations", f"SELECT c0, c1, (v = 0)::SMALLINT AS v FROM {_NGRID}", lambda s, d: N(s, d).into_dense().not_())
 query("u15_is_nan", "SELECT c0, c1, isnan(x)::SMALLINT AS v FROM (SELECT c0, c1, CASE WHEN v > 0.2 THEN 'nan'::DOUBLE ELSE v END AS x FROM e)", lambda s, d: _with_special(E(s, d), float("nan")).is_nan())
 query("u16_is_inf", "SELECT c0, c1, (v > 0.2)::SMALLINT AS v FROM e", lambda s, d: _with_special(E(s, d), float("inf")).is_inf())
 query("u17_cast_f64_i32", "SELECT c0, c1, trunc(v * 1000)::INTEGER AS v FROM e", lambda s, d: E(s, d).mul_scalar(1000).cast("i32"))
@@ -114,7 +114,7 @@ def _cast_pairs(s: SparkSession, d: str) -> DataFrame:
     return t.frame.select("c0", "c1", F.explode(F.array(*columns)).alias("x")).select("x.a", "x.b", "c0", "c1", "x.v")
 
 
-query("u17_cast_pairs", _CASTS, _cast_pairs)
+query("u17_cast_pairs_nations", _CASTS, _cast_pairs)
 
 
 def _with_special(t: Tensor, value: float) -> Tensor:
@@ -175,7 +175,7 @@ for _i, _name, _sql in (
         lambda s, d, n=_name: (lambda p: p[0].abs().add_scalar(1.5).binary(n, p[1].abs().add_scalar(1.25)))(_dense_pair(s, d)),
         _digits,
     )
-query("b1_add_mixed", f"SELECT c0, c1, (v + 1)::INTEGER AS v FROM {_NGRID}", lambda s, d: frames.fill(frames.create(s, (25, 5), "i32"), 1).add(N(s, d)))
+query("b1_add_mixed_nations", f"SELECT c0, c1, (v + 1)::INTEGER AS v FROM {_NGRID}", lambda s, d: frames.fill(frames.create(s, (25, 5), "i32"), 1).add(N(s, d)))
 query("b4_div_int", "SELECT c0, c1, (a // b)::INTEGER AS v FROM (SELECT c0, c1, a::BIGINT AS a, b::BIGINT AS b FROM " + _TWO + ") WHERE b <> 0 AND a // b <> 0", lambda s, d: Q(s, d).cast("i32").div(R(s, d).cast("i32")))
 query("b7_rem_int", "SELECT c0, c1, (a % b)::INTEGER AS v FROM (SELECT c0, c1, a::BIGINT AS a, b::BIGINT AS b FROM " + _TWO + ") WHERE b <> 0 AND a % b <> 0", lambda s, d: Q(s, d).cast("i32").rem(R(s, d).cast("i32")))
 query(
@@ -196,7 +196,7 @@ for _i, (_name, _sql, _value) in enumerate(
 
 for _i, (_name, _sign) in enumerate((("eq", "="), ("ne", "<>"), ("gt", ">"), ("ge", ">="), ("lt", "<"), ("le", "<=")), 1):
     query(f"p{_i:02}_{_name}", f"SELECT c0, c1, (a {_sign} b)::SMALLINT AS v FROM {_FLIP}", lambda s, d, n=_name: (lambda p: p[0].binary(n, p[1]))(_dense_pair(s, d)))
-    query(f"p{_i + 9}_{_name}_scalar", f"SELECT c0, c1, (v {_sign} 1)::SMALLINT AS v FROM {_NGRID}", lambda s, d, n=_name: N(s, d).into_dense().scalar(n, 1))
+    query(f"p{_i + 9}_{_name}_scalar_nations", f"SELECT c0, c1, (v {_sign} 1)::SMALLINT AS v FROM {_NGRID}", lambda s, d, n=_name: N(s, d).into_dense().scalar(n, 1))
 query("p03_gt_sparse", f"SELECT c0, c1, 1::SMALLINT AS v FROM {_TWO} WHERE a > b", lambda s, d: Q(s, d).gt(R(s, d)))
 for _i, (_name, _sql) in enumerate((("and", "a <> 0 AND b <> 0"), ("or", "a <> 0 OR b <> 0"), ("xor", "(a <> 0) <> (b <> 0)")), 7):
     query(f"p{_i:02}_{_name}", f"SELECT c0, c1, 1::SMALLINT AS v FROM {_TWO} WHERE {_sql}", lambda s, d, n=_name: (lambda p: p[0].binary(n, p[1]))(_sparse_pair(s, d)))
@@ -231,7 +231,7 @@ query("r12_min_axis", "SELECT c0, min(-v) AS v FROM q GROUP BY c0", lambda s, d:
 query("r12_min_rank3", "SELECT 0::BIGINT AS c0, c1, 0::BIGINT AS c2, min(-v) AS v FROM u GROUP BY c1", lambda s, d: reduce(U(s, d).mul_scalar(-1.0), "min", [0, 2], keepdims=True))
 query("r12_min_dense", f"SELECT c0, {_rounded('min(v)')} AS v FROM e GROUP BY c0", lambda s, d: reduce(E(s, d), "min", [1]), DIGITS)
 query("r10_sum_axis", "SELECT c0, sum(v) AS v FROM q GROUP BY c0", lambda s, d: reduce(Q(s, d), "sum", [1]))
-query("r02_product_all", f"SELECT 0::BIGINT AS c0, {_rounded('product(1 + v / 100)', 4)} AS v FROM {_NGRID}", lambda s, d: reduce(N(s, d).cast("f64").div_scalar(100.0).into_dense().add_scalar(1.0), "product").df, 4)
+query("r02_product_all_nations", f"SELECT 0::BIGINT AS c0, {_rounded('product(1 + v / 100)', 4)} AS v FROM {_NGRID}", lambda s, d: reduce(N(s, d).cast("f64").div_scalar(100.0).into_dense().add_scalar(1.0), "product").df, 4)
 query("r11_product_axis", f"SELECT c0, {_rounded('product(1 + v)', 4)} AS v FROM e GROUP BY c0", lambda s, d: reduce(E(s, d).add_scalar(1.0), "product", [1]), 4)
 query(
     "r11_product_wrap",
@@ -255,11 +255,11 @@ query("g02_slice_in", "SELECT (c0 - 1200) // 3 AS c0, c1 - 2 AS c1, v FROM l WHE
 query("g03_slice_of", "SELECT p.n AS c0, c1, v FROM q JOIN (VALUES (5::BIGINT, 0::BIGINT), (3, 1), (5, 2)) p(i, n) ON c0 = p.i", lambda s, d: Q(s, d).slice(Of(5, 3, 5)))
 query("g04_transpose", "SELECT c2 AS c0, c0 AS c1, c1 AS c2, v FROM u", lambda s, d: U(s, d).transpose([2, 0, 1]))
 query("g05_reshape", "SELECT (c0 * 64 + c1) // 128 AS c0, (c0 * 64 + c1) % 128 AS c1, v FROM e", lambda s, d: (lambda t: t.reshape((t.shape[0] // 2, 128)))(E(s, d)))
-query("g06_broadcast", "SELECT range AS c0, c0 AS c1, c1 AS c2, v FROM n CROSS JOIN range(3)", lambda s, d: N(s, d).broadcast((3, 25, 5)))
+query("g06_broadcast_nations", "SELECT range AS c0, c0 AS c1, c1 AS c2, v FROM n CROSS JOIN range(3)", lambda s, d: N(s, d).broadcast((3, 25, 5)))
 query("g07_flip", "SELECT c0, 6 - c1 AS c1, v FROM l", lambda s, d: L(s, d).flip(1))
 query("g08_squeeze", "SELECT c1 AS c0, v FROM q WHERE c0 = 11", lambda s, d: Q(s, d).slice(In(11, 12)).squeeze([0]))
-query("g09_unsqueeze", "SELECT 0::BIGINT AS c0, c0 AS c1, 0::BIGINT AS c2, c1 AS c3, v FROM n", lambda s, d: N(s, d).unsqueeze([0, 1]))
-query("g12_into_dense", f"SELECT c0, c1, v FROM {_NGRID}", lambda s, d: N(s, d).into_dense())
+query("g09_unsqueeze_nations", "SELECT 0::BIGINT AS c0, c0 AS c1, 0::BIGINT AS c2, c1 AS c3, v FROM n", lambda s, d: N(s, d).unsqueeze([0, 1]))
+query("g12_into_dense_nations", f"SELECT c0, c1, v FROM {_NGRID}", lambda s, d: N(s, d).into_dense())
 query("g10_write_through", "SELECT * FROM (VALUES ('base', true, true), ('slice', false, true), ('gather', false, false), ('expansion', false, false)) t(view, base, writable)", lambda s, d: (lambda t: s.createDataFrame([(k, x.is_base_tensor, x.supports_write_through) for k, x in (("base", t), ("slice", t.slice(In(0, 24, 2))), ("gather", t.slice(Of(3, 1))), ("expansion", t.broadcast((2, 25, 5))))], "view string, base boolean, writable boolean"))(N(s, d)))
 query("g11_shape_algebra", "SELECT '4 3 5' AS both, '0 1' AS reduced, '2 6 7' AS product", lambda s, d: s.createDataFrame([tuple(" ".join(map(str, x)) for x in (G.broadcast_shape((3, 1), (4, 1, 5)), G.broadcast_reduce_axes((1, 5), (4, 3, 5)), G.matmul_output_shape((2, 6, 4), (2, 4, 7))))], "both string, reduced string, product string"))
 query("g02_g07_g04_mixed", "SELECT 6 - c1 AS c0, (c0 - 10) // 3 AS c1, v FROM l WHERE c0 >= 10 AND (c0 - 10) % 3 = 0", lambda s, d: L(s, d).slice(In(10, 4000, 3)).flip(1).transpose())
@@ -269,7 +269,7 @@ query("g02_g07_g04_mixed", "SELECT 6 - c1 AS c0, (c0 - 10) // 3 AS c1, v FROM l
 query("m1_matmul_sparse", "SELECT x.c1 AS c0, y.c1 AS c1, sum(x.v * y.v) AS v FROM q x JOIN q y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t))(Q(s, d)))
 query("m1_matmul_dense", f"SELECT x.c1 AS c0, y.c1 AS c1, {_rounded('sum(x.v * y.v)')} AS v FROM e x JOIN e y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t))(E(s, d)), DIGITS)
 query("m1_matmul_tiles", f"SELECT x.c1 AS c0, y.c1 AS c1, {_rounded('sum(x.v * y.v)')} AS v FROM e x JOIN e y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t, "tiles"))(E(s, d)), DIGITS)
-query("m1_matmul_int", "SELECT x.c1 AS c0, y.c1 AS c1, sum(x.v * y.v)::INTEGER AS v FROM n x JOIN n y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t))(N(s, d)))
+query("m1_matmul_int_nations", "SELECT x.c1 AS c0, y.c1 AS c1, sum(x.v * y.v)::INTEGER AS v FROM n x JOIN n y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t))(N(s, d)))
 query("m1_matmul_batched", "SELECT x.c0, x.c1, y.c1 AS c2, sum(x.v * y.v) AS v FROM u x JOIN u y ON x.c0 = y.c0 AND x.c2 = y.c2 GROUP BY 1, 2, 3", lambda s, d: (lambda t: t.matmul(t.mt()))(U(s, d)))
 query("m3_mt", "SELECT c0, c2 AS c1, c1 AS c2, v FROM u", lambda s, d: U(s, d).mt())
 query("m4_diag", f"SELECT c1 AS c0, {_rounded('sum(v * v)')} AS v FROM e GROUP BY 1", lambda s, d: (lambda t: t.mt().matmul(t).diag())(E(s, d)), DIGITS)
@@ -303,8 +303,8 @@ def _nations_complex(s: SparkSession, d: str) -> Tensor:
     return _complex(t, t.value * 3 - 0.1)
 
 
-query("f3_fft2", _dft2("-"), lambda s, d: _parts(_nations_complex(s, d).fft2(), 4))
-query("f4_ifft2", _dft2(""), lambda s, d: _parts(_nations_complex(s, d).ifft2(), 4))
+query("f3_fft2_nations", _dft2("-"), lambda s, d: _parts(_nations_complex(s, d).fft2(), 4))
+query("f4_ifft2_nations", _dft2(""), lambda s, d: _parts(_nations_complex(s, d).ifft2(), 4))
 
 # Sources, sinks and storage
 
@@ -347,14 +347,14 @@ query("s29_metadata", "SELECT 'i32' AS dtype, 25::BIGINT AS rows, 5::BIGINT AS c
 query("s03_from_values", "SELECT range // 10 AS c0, range % 10 AS c1, (range * 7 % 11)::INTEGER AS v FROM range(100)", lambda s, d: frames.from_values(s, (10, 10), [i * 7 % 11 for i in range(100)], "i32"))
 query("s04_from_sparse_elements", "SELECT range AS c0, range * 2 AS c1, (range + 1)::DOUBLE AS v FROM range(50)", lambda s, d: frames.from_sparse_elements(s, (50, 100), [((i, 2 * i), i + 1) for i in range(50)]))
 query("s05_copy_from", _QROWS, lambda s, d: store.copy_from(Q(s, d), _path(s), sparse=True))
-query("s06_copy_from_values", f"SELECT c0, c1, v FROM {_NGRID}", lambda s, d: store.copy_from_values(N(s, d), _path(s)))
+query("s06_copy_from_values_nations", f"SELECT c0, c1, v FROM {_NGRID}", lambda s, d: store.copy_from_values(N(s, d), _path(s)))
 query("s06_dense_to_sparse", "SELECT c0, c1, CASE WHEN v > 0.1 THEN v ELSE 0 END AS v FROM e WHERE v > 0.1", lambda s, d: store.copy_from_values((lambda t: t.gt_scalar(0.1).cond(t, t.mul_scalar(0.0)))(E(s, d)), _path(s), sparse=True))
 query("s07_load", _QROWS, lambda s, d: store.load(s, store.write(Q(s, d), _path(s)).path))
 query("s10_read_value", "SELECT coalesce((SELECT v FROM q WHERE c0 = 3 AND c1 = 5), 0) AS v", lambda s, d: s.createDataFrame([(Q(s, d).read_value((3, 5)),)], "v double"))
-query("s11_read_blocks", f"SELECT c0 * 5 + c1 AS at, v FROM {_NGRID}", lambda s, d: s.createDataFrame(list(enumerate(v for b in batches.read_blocks(N(s, d)) for v in b)), "at long, v int"))
+query("s11_read_blocks_nations", f"SELECT c0 * 5 + c1 AS at, v FROM {_NGRID}", lambda s, d: s.createDataFrame(list(enumerate(v for b in batches.read_blocks(N(s, d)) for v in b)), "at long, v int"))
 query("s12_read_coordinate_blocks", f"SELECT c0, c1, v FROM {_NGRID}", lambda s, d: s.createDataFrame([(*c, v) for b in batches.read_coordinate_blocks(N(s, d)) for c, v in b], "c0 long, c1 long, v int"))
 query("s14_into_blocks", "SELECT c0, c1, v FROM n", lambda s, d: s.createDataFrame([(*c, v) for b in batches.into_sparse_elements(N(s, d)) for c, v in b], "c0 long, c1 long, v int"))
-query("s13_sparse_elements", "SELECT c0, c1, v FROM q WHERE c0 IN (3, 9, 40) AND c1 BETWEEN 2 AND 60", lambda s, d: batches.sparse_elements_frame(Q(s, d), [Of(9, 3, 9, 40), In(2, 61)]) if Q(s, d).shape[1] > 61 else batches.sparse_elements_frame(Q(s, d), [Of(9, 3, 9, 40), In(2, Q(s, d).shape[1])]))
+query("s13_sparse_elements", "SELECT c0, c1, v FROM q WHERE c0 IN (3, 9, 40) AND c1 BETWEEN 2 AND (SELECT count(*) FROM supplier) // 2", lambda s, d: (lambda t: batches.sparse_elements_frame(t, [Of(9, 3, 9, 40), In(2, t.shape[1] // 2 + 1)]))(Q(s, d)))
 query("s15_write_value", "SELECT c0, c1, CASE WHEN c0 = 2 AND c1 = 3 THEN 77 ELSE v END AS v FROM grid WHERE (c0 = 2 AND c1 = 3) OR v <> 0", lambda s, d: store.write_value(Q(s, d), (2, 3), 77.0))
 query("s16_write_values", "SELECT c0, c1, CASE c0 WHEN 5 THEN 7.0 WHEN 1 THEN 4.0 ELSE v END AS v FROM grid WHERE c1 = 0 AND (v <> 0 OR c0 IN (1, 5))", lambda s, d: store.write_values(Q(s, d), [Of(5, 1, 5), At(0)], [3.0, 4.0, 7.0]).slice(In(0, Q(s, d).shape[0]), In(0, 1)))
 query("s17_fill", "SELECT a.range AS c0, b.range AS c1, 2.5::DOUBLE AS v FROM range(25) a CROSS JOIN range(5) b", lambda s, d: frames.fill(N(s, d).cast("f64"), 2.5))
@@ -368,17 +368,17 @@ query("s27_from_dataframe", "SELECT n_nationkey::BIGINT AS c0, n_regionkey::BIGI
 query("s28_orc", _QROWS, lambda s, d: store.write(Q(s, d), _path(s), kind="orc"))
 query("s28_json", _QROWS, lambda s, d: store.write(Q(s, d), _path(s), kind="json"))
 
-# The same operators over the largest tables.
+# The same operators over larger tables.
 
-query("u14_not_whole", "SELECT c0, c1, (v = 0)::SMALLINT AS v FROM grid", lambda s, d: Q(s, d).into_dense().not_())
-query("b1_add_mixed_whole", "SELECT c0, c1, v + 1 AS v FROM grid", lambda s, d: (lambda t: frames.fill(frames.create(s, t.shape), 1.0).add(t))(Q(s, d)))
+query("u14_not", "SELECT c0, c1, (v = 0)::SMALLINT AS v FROM grid", lambda s, d: Q(s, d).into_dense().not_())
+query("b1_add_mixed", "SELECT c0, c1, v + 1 AS v FROM grid", lambda s, d: (lambda t: frames.fill(frames.create(s, t.shape), 1.0).add(t))(Q(s, d)))
 for _i, (_name, _sign) in enumerate((("eq", "="), ("ne", "<>"), ("gt", ">"), ("ge", ">="), ("lt", "<"), ("le", "<=")), 10):
-    query(f"p{_i}_{_name}_scalar_whole", f"SELECT c0, c1, (v {_sign} 10)::SMALLINT AS v FROM grid", lambda s, d, n=_name: Q(s, d).into_dense().scalar(n, 10.0))
-query("r02_product_all_whole", f"SELECT 0::BIGINT AS c0, {_rounded('product(1 + v / 100)', 4)} AS v FROM e", lambda s, d: reduce(E(s, d).div_scalar(100.0).add_scalar(1.0), "product").df, 4)
-query("g12_into_dense_whole", "SELECT c0, c1, v FROM grid", lambda s, d: Q(s, d).into_dense())
-query("m1_matmul_tiles_whole", f"SELECT x.c0 AS c0, y.c0 AS c1, {_rounded('sum(x.v * y.v)')} AS v FROM e x JOIN e y ON x.c1 = y.c1 GROUP BY 1, 2", lambda s, d: (lambda t: t.matmul(t.mt(), "tiles"))(E(s, d)), DIGITS)
-query("s06_copy_from_values_whole", "SELECT c0, c1, v FROM grid", lambda s, d: store.copy_from_values(Q(s, d), _path(s)))
-query("s11_read_blocks_whole", "SELECT c0, c1, v FROM grid", lambda s, d: Q(s, d).full().orderBy("c0", "c1"))
+    query(f"p{_i}_{_name}_scalar", f"SELECT c0, c1, (v {_sign} 10)::SMALLINT AS v FROM grid", lambda s, d, n=_name: Q(s, d).into_dense().scalar(n, 10.0))
+query("r02_product_all", f"SELECT 0::BIGINT AS c0, {_rounded('product(1 + v / 100)', 4)} AS v FROM e", lambda s, d: reduce(E(s, d).div_scalar(100.0).add_scalar(1.0), "product").df, 4)
+query("g12_into_dense", "SELECT c0, c1, v FROM grid", lambda s, d: Q(s, d).into_dense())
+query("m1_matmul_tiles_rows", f"SELECT x.c0 AS c0, y.c0 AS c1, {_rounded('sum(x.v * y.v)')} AS v FROM e x JOIN e y ON x.c1 = y.c1 GROUP BY 1, 2", lambda s, d: (lambda t: t.matmul(t.mt(), "tiles"))(E(s, d)), DIGITS)
+query("s06_copy_from_values", "SELECT c0, c1, v FROM grid", lambda s, d: store.copy_from_values(Q(s, d), _path(s)))
+query("s11_read_blocks", "SELECT c0, c1, v FROM grid", lambda s, d: Q(s, d).full().orderBy("c0", "c1"))
 
 
 def _planes(t: Tensor) -> Tensor:
@@ -398,5 +398,54 @@ def _dft2_planes(sign: str) -> str:
     )
 
 
-query("f3_fft2_whole", _dft2_planes("-"), lambda s, d: _parts(_planes(Z(s, d)).fft2(), 4))
-query("f4_ifft2_whole", _dft2_planes(""), lambda s, d: _parts(_planes(Z(s, d)).ifft2(), 4))
+query("f3_fft2", _dft2_planes("-"), lambda s, d: _parts(_planes(Z(s, d)).fft2(), 4))
+query("f4_ifft2", _dft2_planes(""), lambda s, d: _parts(_planes(Z(s, d)).ifft2(), 4))
+
+
+def _casts_counted(s: SparkSession, d: str) -> DataFrame:
+    """Every dtype to every other: days and lines as numbers, some below 0 and some past two bytes; bounds, number and sum of each pair's values."""
+    t = L(s, d)
+    t = t.like(t.frame, (F.col("c0") * 37 - F.col("c1") * 20000 - 300).cast("long"), dtype="i64")
+    out = None
+    for a in D.DTYPES.values():  # the generated code of one of them at a time; the tables' exchange is shared
+        columns = []
+        for b in D.DTYPES.values():
+            v = t.cast(a).cast(b).value
+            columns.append(F.struct(F.lit(b.name).alias("b"), (v["re"] if b.kind == "c" else v).cast("double").alias("v")))
+        some = t.frame.select(F.lit(a.name).alias("a"), F.explode(F.array(*columns)).alias("x"))
+        out = some if out is None else out.union(some)
+    small = F.abs("v") < 9e12  # whose sums are exact
+    return out.select("a", "x.b", "x.v").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("v").alias("values"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum(F.when(small, F.col("v")).otherwise(0.0)).alias("small"))
+
+
+_LINES = "(c0 * 37 - c1 * 20000 - 300)"
+_CASTS_COUNTED = " UNION ALL ".join(
+    f"SELECT '{a.name}' AS a, '{b.name}' AS b, {_cast_sql(_wrapped(f'{_LINES}::HUGEINT', a.kind, a.bits) if a.integer else f'{_LINES}::HUGEINT', a, b)} AS v FROM l" for a, b in _PAIRS
+)
+query("u17_cast_pairs", f"SELECT a, b, count(*) AS cells, count(DISTINCT v) AS values, min(v) AS low, max(v) AS high, sum(CASE WHEN abs(v) < 9e12 THEN v ELSE 0 END) AS small FROM ({_CASTS_COUNTED}) GROUP BY a, b", _casts_counted)
+query("g06_broadcast", "SELECT range AS c0, c0 AS c1, c1 AS c2, v FROM l CROSS JOIN range(3)", lambda s, d: (lambda t: t.broadcast((3, *t.shape)))(L(s, d)))
+query("g09_unsqueeze", "SELECT 0::BIGINT AS c0, c0 AS c1, 0::BIGINT AS c2, c1 AS c3, v FROM q", lambda s, d: Q(s, d).unsqueeze([0, 1]))
+_I64 = lambda w: f"(({w} + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT"
+query("m1_matmul_int", f"SELECT x.c1 AS c0, y.c1 AS c1, {_wrapped('sum(x.v::HUGEINT * y.v::HUGEINT)', 'i', 32)}::INTEGER AS v FROM l x JOIN l y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t))(L(s, d).cast("i32")))
+query("m1_matmul_split", "SELECT x.c1 AS c0, y.c1 AS c1, sum(x.v * y.v) AS v FROM q x JOIN q y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t, "split"))(Q(s, d)))
+query("m1_matmul_tiles_i64", f"SELECT x.c1 AS c0, y.c1 AS c1, {_I64('(sum(x.w * y.w) % 18446744073709551616::HUGEINT)')} AS v FROM (SELECT c0, c1, {_I64('(v::HUGEINT * 1152921504606846983::HUGEINT) % 18446744073709551616::HUGEINT')}::HUGEINT % 4294967296 AS w FROM q) x JOIN (SELECT c0, c1, v::HUGEINT AS w FROM q) y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mul_scalar(1152921504606846983).rem_scalar(4294967296).mt().matmul(t, "tiles").into_sparse())(Q(s, d).cast("i64")))
+query("m1_matmul_tiles_c64", f"SELECT x.c1 AS c0, y.c1 AS c1, {_rounded('sum(x.re * y.re - x.im * y.im)')} AS re, {_rounded('sum(x.re * y.im + x.im * y.re)')} AS im FROM {_Z} x JOIN {_Z} y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: _parts(t.mt().matmul(t, "tiles")))(Z(s, d)))
+query("m4_diag_sparse", "SELECT c0, sum(v * v) AS v FROM q GROUP BY 1", lambda s, d: (lambda t: t.matmul(t.mt()).diag())(Q(s, d)))
+query("b1_add_four", "SELECT c0, c1, sum(v) AS v FROM (SELECT * FROM q UNION ALL SELECT * FROM r UNION ALL SELECT l_partkey, l_suppkey, sum(l_quantity) FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2 UNION ALL SELECT l_partkey, l_suppkey, sum(l_quantity) FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2) GROUP BY 1, 2", lambda s, d: fold("add", [Q(s, d), *(T.returned(s, d, flag) for flag in "RAN")]))
+_SETS = [[0], [1], [2], [0, 1], [0, 2], [1, 2], [0, 1, 2]]
+_KEPT = [", ".join(f"c{i}" for i in range(3) if i not in over) for over in _SETS]
+query("r10_sum_sets", f"SELECT list_position([{', '.join(str(sum(4 >> i for i in over)) for over in _SETS)}], grouping(c0, c1, c2)) - 1 AS \"set\", c0, c1, c2, sum(v) AS v FROM u GROUP BY GROUPING SETS ({', '.join(f'({k})' for k in _KEPT)})", lambda s, d: reduce_sets(U(s, d), "sum", _SETS))
+query("r07_mean_sets", f"SELECT list_position([{', '.join(str(sum(4 >> i for i in over)) for over in _SETS)}], grouping(c0, c1, c2)) - 1 AS \"set\", c0, c1, c2, round(sum(v) / (CASE grouping(c0) WHEN 1 THEN (SELECT max(user_id) + 1 FROM events) ELSE 1 END * CASE grouping(c1) WHEN 1 THEN (SELECT count(DISTINCT event_type) FROM events) ELSE 1 END * CASE grouping(c2) WHEN 1 THEN (SELECT max(c2) + 1 FROM u) ELSE 1 END), 9) + 0.0 AS v FROM u GROUP BY GROUPING SETS ({', '.join(f'({k})' for k in _KEPT)})", lambda s, d: shown(reduce_sets(U(s, d), "mean", _SETS), 9))
+
+# Updates in the files
+
+
+def _banded(t: Tensor, blocks: int) -> store.Stored:
+    return store.write(t, _path(t.spark), band_blocks=blocks)
+
+
+query("s15_write_value_stored", "SELECT c0, c1, CASE WHEN c0 = 2 AND c1 = 3 THEN 77 ELSE v END AS v FROM grid WHERE (c0 = 2 AND c1 = 3) OR v <> 0", lambda s, d: store.load(s, _banded(Q(s, d), 4096).write_value((2, 3), 77.0).path))
+query("s16_write_values_stored", f"SELECT c0, c1, CASE WHEN c0 = 5 AND c1 = 8 THEN 7.0 WHEN c0 = 1 AND c1 = 8 THEN 4.0 WHEN c0 = 5 AND c1 = 9 THEN 8.0 WHEN c0 = 1 AND c1 = 9 THEN 5.0 ELSE {_rounded('v')} END AS v FROM e", lambda s, d: store.load(s, _banded(E(s, d), 2).write_values([Of(5, 1, 5), In(8, 10)], [3.0, 3.0, 4.0, 5.0, 7.0, 8.0]).path), DIGITS)
+query("s18_replace_block_stored", f"SELECT c0, c1, CASE WHEN c0 * 64 + c1 < 4096 THEN 9.0 ELSE {_rounded('v')} END AS v FROM e", lambda s, d: store.load(s, _banded(E(s, d), 2).replace_block(0, [9.0] * 4096).path), DIGITS)
+query("s22_write_through_stored", f"SELECT c0, 63 - c1 AS c1, {_rounded('2 * v')} AS v FROM e WHERE c0 % 2 = 0 UNION ALL SELECT c0, c1, {_rounded('v')} FROM e WHERE c0 % 2 = 1", lambda s, d: (lambda t: store.load(s, _banded(t, 2).write_through([("flip", (1,)), ("slice", (In(0, t.shape[0], 2),))], t.slice(In(0, t.shape[0], 2)).mul_scalar(2.0)).path))(E(s, d)), DIGITS)
+query("s05_copy_chain", f"SELECT c0, c1, {_rounded('(v + 1) * v')} AS v FROM e", lambda s, d: (lambda t: store.copy_from(t.add_scalar(1.0).mul(t), _path(s)))(E(s, d)), DIGITS)

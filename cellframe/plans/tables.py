@@ -61,8 +61,8 @@ def quantity(spark: SparkSession, d: str) -> Tensor:
     return _quantity(spark, d, _read(spark, d, "lineitem"))
 
 
-def returned(spark: SparkSession, d: str) -> Tensor:
-    return _quantity(spark, d, _read(spark, d, "lineitem").where("l_returnflag = 'R'"))
+def returned(spark: SparkSession, d: str, flag: str = "R") -> Tensor:
+    return _quantity(spark, d, _read(spark, d, "lineitem").where(F.col("l_returnflag") == flag))
 
 
 def lines(spark: SparkSession, d: str) -> Tensor:

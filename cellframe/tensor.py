@@ -340,6 +340,14 @@ def joined(parts: list[Tensor]) -> tuple[DataFrame, list[Column]]:
                 break
         else:
             frames.append([t.frame, [(k, t)]])
+    values = [F.coalesce(F.col(f"v{k}"), D.zero(t.dtype)) if t.sparse else F.col(f"v{k}") for k, t in enumerate(parts)]
+    if len(frames) > 2 and all(t.sparse for t in parts):
+        # One aggregate over the rows of all: each frame is dealt out once.
+        sides = [frame.select(*first.axes, *(t.value.alias(f"v{k}") for k, t in own)) for frame, own in frames]
+        out = sides[0]
+        for side in sides[1:]:
+            out = out.unionByName(side, allowMissingColumns=True)
+        return out.groupBy(*first.axes).agg(*(F.max(f"v{k}").alias(f"v{k}") for k in range(len(parts)))), values
     # Dense frames come first, so that sparse ones join to rows that are there.
     frames.sort(key=lambda f: all(t.sparse for _, t in f[1]))
     out, out_dense = None, False
@@ -350,7 +358,27 @@ def joined(parts: list[Tensor]) -> tuple[DataFrame, list[Column]]:
             out, out_dense = side, dense
         else:
             out = out.join(side, first.axes, "inner" if dense and out_dense else "left" if out_dense else "full")
-    return out, [F.coalesce(F.col(f"v{k}"), D.zero(t.dtype)) if t.sparse else F.col(f"v{k}") for k, t in enumerate(parts)]
+    return out, values
+
+
+def fold(name: str, parts: list[Tensor]) -> Tensor:
+    """``name`` over any number of tensors from the left, as a chain of binary operations gives it; the tensors meet
+    at once, and not one after another."""
+    first, f = parts[0], S.BINARY[name]
+    first._same(*parts[1:])
+    if any(t.dtype != first.dtype for t in parts):
+        raise InvalidSchema(f"dtypes {[t.dtype.name for t in parts]}")
+    first._kind(name, f.on)
+    if len(parts) > 1 and f.out(first.dtype) != first.dtype:
+        raise Unsupported(f"fold of {name}")
+    sparse = all(t.sparse for t in parts)
+    if sparse:
+        first._keeps_zero(name, f.value(first._zero, first._zero, first.dtype))
+    frame, values = joined(parts)
+    out = values[0]
+    for v in values[1:]:
+        out = f.column(out, v, first.dtype)
+    return first.like(frame, out, sparse=sparse, strides=_common(parts))
 
 
 def require_sparse(t: Tensor, what: str) -> None:
