@@ -40,6 +40,8 @@ TILE_ROWS = 1024
 PAIRS = 1 << 16
 #: By how much the squared distance's budget is widened, for rounding.
 SLACK = 1e-9
+#: By how much more the budget is widened where distances are first looked at as floats.
+COARSE = 1e-5
 #: Least side of a grid cell.
 LEAST_SIDE = 0.05
 
@@ -220,7 +222,10 @@ class _Side:
         self.y = rotated(self.unit)
         a, z = spans(self.y.shape[1])[block]
         self.part = np.ascontiguousarray(self.y[:, a:z])
-        self.square = (self.part * self.part).sum(1)
+        square, one = (self.part * self.part).sum(1), np.ones(len(self.part))
+        # Squared distances by one product; rounding to floats is far below COARSE.
+        self.rows = np.column_stack([-2.0 * self.part, square, one]).astype(np.float32)
+        self.columns = np.column_stack([self.part, one, square]).astype(np.float32)
         self.starts = range(0, len(self.x), TILE_ROWS)
         self.low, self.high = (np.array([f(self.part[s : s + TILE_ROWS], axis=0) for s in self.starts]) for f in (np.min, np.max))
 
@@ -282,11 +287,10 @@ def compare(a: _Side, b: _Side, block: int, threshold: float) -> tuple[np.ndarra
             if own and t < s:
                 continue
             r, c = slice(start, start + TILE_ROWS), slice(b.starts[t], b.starts[t] + TILE_ROWS)
-            far = a.square[r, None] + b.square[None, c] - 2.0 * (a.part[r] @ b.part[c].T)
-            at = far <= reach + 1e-9
+            at = a.rows[r] @ b.columns[c].T <= np.float32(reach + COARSE)
             if own and t == s:
                 at = np.triu(at, 1)
-            i, j = np.nonzero(at)
+            i, j = np.divmod(np.flatnonzero(at), at.shape[1])
             # Where much of a tile is near, one product gives all cosines.
             cosines = (a.unit[r] @ b.unit[c].T)[i, j] if len(i) * 16 > at.size else None
             for k in range(0, len(i), PAIRS):
