@@ -138,7 +138,7 @@ def ask(sent: DataFrame, bits: int, owners: int, answer: Callable) -> DataFrame:
         told = answer(np.concatenate(parts), sender, table.column("extra").to_pylist())
         cuts = np.cumsum([0, *map(len, parts)])
         kernels.release()
-        replies = [zlib.compress(np.packbits(x) if x.dtype == bool else x, 1) for x in (told[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
+        replies = [zlib.compress(np.packbits(x) if x.dtype == bool else planes(x), 1) for x in (told[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
         return pa.Table.from_batches([rows(REPLY, [table.column("block").to_pylist(), [owner] * len(parts), replies])])
 
     return sent.groupBy("owner").applyInArrow(own, REPLY)
@@ -156,7 +156,17 @@ def heard(h: np.ndarray, bits: int, owners: int, replies: pa.Table, dtype=bool)
 def said(reply: bytes, n: int, dtype=bool) -> np.ndarray:
     """The n values of one reply."""
     data = zlib.decompress(reply)
-    return np.unpackbits(np.frombuffer(data, np.uint8))[:n].astype(bool) if dtype == bool else np.frombuffer(data, dtype)
+    return np.unpackbits(np.frombuffer(data, np.uint8))[:n].astype(bool) if dtype == bool else from_planes(data, dtype)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """All lowest bytes, then all next ones, and so on: small numbers leave long runs of zeros."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
 def same_as_before(sorted_values: np.ndarray) -> np.ndarray:

@@ -107,10 +107,10 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
                 grams = _Grams(blocks.unpack(payload), order)
                 count = grams.count.astype(np.uint32)
-                yield blocks.send(block, grams.distinct, bits, owners, lambda a, b: zlib.compress(count[a:b], 1))
+                yield blocks.send(block, grams.distinct, bits, owners, lambda a, b: zlib.compress(blocks.planes(count[a:b]), 1))
 
     def add_up(h: np.ndarray, sender: np.ndarray, extras: list[bytes]) -> np.ndarray:
-        count = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in extras])
+        count = np.concatenate([blocks.from_planes(zlib.decompress(x), np.uint32) for x in extras])
         _, at = np.unique(h, return_inverse=True)
         return np.bincount(at, count).astype(np.uint64)[at]
 
