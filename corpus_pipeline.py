@@ -47,6 +47,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = scratch.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        table = scratch.Table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:  # nothing reads a stage's rows once the next one is written
+            before.drop()
+        docs, before = table.df, table
     return docs
