@@ -424,6 +424,9 @@ _CASTS_COUNTED = " UNION ALL ".join(
 )
 query("u17_cast_pairs", f"SELECT a, b, count(*) AS cells, count(DISTINCT v) AS values, min(v) AS low, max(v) AS high, sum(CASE WHEN abs(v) < 9e12 THEN v ELSE 0 END) AS small FROM ({_CASTS_COUNTED}) GROUP BY a, b", _casts_counted)
 query("g06_broadcast", "SELECT range AS c0, c0 AS c1, c1 AS c2, v FROM l CROSS JOIN range(3)", lambda s, d: (lambda t: t.broadcast((3, *t.shape)))(L(s, d)))
+query("g06_broadcast_sub", f"SELECT c0, c1, {_rounded('v - m')} AS v FROM e JOIN (SELECT c1, avg(v) AS m FROM e GROUP BY c1) AS x USING (c1)", lambda s, d: (lambda t: t.sub(t.mean([0]).broadcast(t.shape)))(E(s, d)), DIGITS)
+query("g06_broadcast_cond", f"SELECT c0, c1, {_rounded('CASE WHEN v > m THEN v ELSE w END')} AS v FROM e JOIN (SELECT c0, avg(v) AS m FROM e GROUP BY c0) AS x USING (c0) JOIN (SELECT c1, max(v) AS w FROM e GROUP BY c1) AS y USING (c1)", lambda s, d: (lambda t: t.gt(t.mean([1], True).broadcast(t.shape)).cond(t, t.max([0]).broadcast(t.shape)))(E(s, d)), DIGITS)
+query("g06_broadcast_sparse", "SELECT c0, c1, v * w AS v FROM q JOIN (SELECT c1, sum(v) AS w FROM q GROUP BY c1) AS x USING (c1)", lambda s, d: (lambda t: t.mul(t.sum([0]).broadcast(t.shape)))(Q(s, d)))
 query("g09_unsqueeze", "SELECT 0::BIGINT AS c0, c0 AS c1, 0::BIGINT AS c2, c1 AS c3, v FROM q", lambda s, d: Q(s, d).unsqueeze([0, 1]))
 _I64 = lambda w: f"(({w} + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT"
 query("m1_matmul_int", f"SELECT x.c1 AS c0, y.c1 AS c1, {_wrapped('sum(x.v::HUGEINT * y.v::HUGEINT)', 'i', 32)}::INTEGER AS v FROM l x JOIN l y ON x.c0 = y.c0 GROUP BY 1, 2", lambda s, d: (lambda t: t.mt().matmul(t))(L(s, d).cast("i32")))

@@ -13,6 +13,8 @@ from .functions import scalar as S
 
 #: Indices of a gather that are broadcast at most (16 bytes each); Spark chooses beyond.
 MOST_BROADCAST = 1 << 20
+#: Operations that are zero where one side is, but for a product of zero and a value that is not finite.
+ABSORBING = ("mul", "and")
 
 
 def axes(n: int) -> list[str]:
@@ -142,7 +144,11 @@ class Tensor:
         sparse = self.sparse and other.sparse
         if sparse:
             self._keeps_zero(name, f.value(self._zero, self._zero, self.dtype))
-        frame, (a, b) = joined([self, other])
+        if narrow := _narrowed([self, other]):
+            (a, b), real = narrow
+            return Expanded(a.binary(name, b), real, self.shape)
+        absorbs = sparse and name in ABSORBING and isinstance(self, Expanded) != isinstance(other, Expanded)
+        frame, (a, b) = _joined_on_cells(self, other, name) if absorbs else joined([self, other])
         return self.like(frame, f.column(a, b, self.dtype), dtype=f.out(self.dtype), sparse=sparse, strides=_common([self, other]))
 
     def cond(self, then: "Tensor", other: "Tensor") -> "Tensor":
@@ -152,6 +158,9 @@ class Tensor:
         self._same(then, other)
         if then.dtype != other.dtype:
             raise InvalidSchema(f"dtypes {then.dtype.name} and {other.dtype.name}")
+        if narrow := _narrowed([self, then, other]):
+            (c, a, b), real = narrow
+            return Expanded(c.cond(a, b), real, self.shape)
         frame, (c, a, b) = joined([self, then, other])
         sparse = self.sparse and then.sparse and other.sparse
         return then.like(frame, F.when(c != 0, a).otherwise(b), sparse=sparse, strides=_common([self, then, other]))
@@ -211,19 +220,14 @@ class Tensor:
         extra = len(shape) - self.ndim
         if extra < 0 or any(a != b and a != 1 for a, b in zip(self.shape, shape[extra:])):
             raise InvalidSchema(f"{self.shape} does not expand to {shape}")
-        frame, columns, strides = self.df, [], []
-        for i, n in enumerate(shape):
-            k = i - extra
-            if k >= 0 and self.shape[k] == n:
-                columns.append(F.col(f"c{k}"))
-                strides.append(self.strides[k])
-                continue
-            frame = frame.crossJoin(self.spark.range(n).select(F.col("id").alias(f"n{i}")))
-            columns.append(F.col(f"n{i}"))
-            strides.append(None)
-        frame = frame.select(*(c.alias(f"c{i}") for i, c in enumerate(columns)), "v")
-        same = shape == self.shape
-        return self.like(frame, shape=shape, strides=strides, writable=self.writable and same)
+        if shape == self.shape:
+            return self.view()
+        real = [k for k, n in enumerate(self.shape) if n == shape[k + extra]]
+        source = self
+        if len(real) < self.ndim:
+            frame = self.frame.select(*(F.col(f"c{k}").alias(f"c{i}") for i, k in enumerate(real)), self.value.alias("v"))
+            source = self.like(frame, shape=tuple(self.shape[k] for k in real), strides=[self.strides[k] for k in real])
+        return Expanded(source, [k + extra for k in real], shape)
 
     def flip(self, axis: int) -> "Tensor":
         G.check_axis(self.shape, axis)
@@ -280,6 +284,75 @@ class Tensor:
         return out
 
 
+class Expanded(Tensor):
+    """A tensor spread along further axes, which are kept as geometry alone: ``source`` has the axes at ``real`` of the
+    shape. Elementwise operations work on the source, joins on the real axes; cells are made where they are read."""
+
+    def __init__(self, source: Tensor, real, shape):
+        self.source, self.real = source, tuple(real)
+        self.shape, self.dtype, self.sparse, self.axis = tuple(shape), source.dtype, source.sparse, None
+        places = dict(zip(self.real, source.strides))
+        self.strides = tuple(places.get(i) for i in range(self.ndim))
+        self.writable, self.value, self._cells = False, F.col("v"), None
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.source.spark
+
+    @property
+    def frame(self) -> DataFrame:
+        if self._cells is None:
+            out = self.side({"v": self})
+            for i, n in enumerate(self.shape):
+                if i not in self.real:
+                    out = out.crossJoin(self.spark.range(n).select(F.col("id").alias(f"c{i}")))
+            self._cells = out.select(*self.axes, "v")
+        return self._cells
+
+    def side(self, values: dict[str, "Expanded"]) -> DataFrame:
+        """The real axes under their names in the shape, and values over the source's frame."""
+        renamed = (F.col(f"c{k}").alias(f"c{i}") for k, i in enumerate(self.real))
+        return self.source.frame.select(*renamed, *(t.source.value.alias(n) for n, t in values.items()))
+
+    def onto(self, kept: list[int]) -> Tensor:
+        """The same with some of the axes, all the real ones among them."""
+        real = [kept.index(i) for i in self.real]
+        return self.source if real == list(range(len(kept))) else Expanded(self.source, real, [self.shape[i] for i in kept])
+
+    def view(self) -> Tensor:
+        return Expanded(self.source, self.real, self.shape)
+
+    def unary(self, name: str) -> Tensor:
+        return Expanded(self.source.unary(name), self.real, self.shape)
+
+    def cast(self, target) -> Tensor:
+        return Expanded(self.source.cast(target), self.real, self.shape)
+
+    def scalar(self, name: str, value) -> Tensor:
+        return Expanded(self.source.scalar(name, value), self.real, self.shape)
+
+    def slice(self, *ranges) -> Tensor:
+        given = G.check_range(self.shape, ranges)
+        left = [i for i, r in enumerate(given) if not isinstance(r, G.At)]
+        if any(isinstance(r, G.Of) for r in given):
+            return super().slice(*ranges)
+        source = self.source.slice(*(given[i] for i in self.real)) if self.real else self.source
+        shape = [-(-(given[i].stop - given[i].start) // given[i].step) for i in left]
+        return Expanded(source, [left.index(i) for i in self.real if i in left], shape)
+
+    def transpose(self, permutation=None) -> Tensor:
+        p = list(G.check_permutation(self.ndim, permutation))
+        return Expanded(self.source, [p.index(i) for i in self.real], [self.shape[i] for i in p])
+
+    def broadcast(self, shape) -> Tensor:
+        shape = G.check_shape(shape)
+        extra = len(shape) - self.ndim
+        unit = any(self.shape[i] == 1 and i + extra < len(shape) and shape[i + extra] != 1 for i in self.real)
+        if extra < 0 or unit or any(a != b and a != 1 for a, b in zip(self.shape, shape[extra:])):
+            return super().broadcast(shape)
+        return Expanded(self.source, [i + extra for i in self.real], shape)
+
+
 def _method(kind: str, name: str):
     def run(self: Tensor, *args) -> Tensor:
         return getattr(self, kind)(name, *args)
@@ -330,6 +403,8 @@ def joined(parts: list[Tensor]) -> tuple[DataFrame, list[Column]]:
     """One frame with the values of all, absent sparse cells as zeros. Tensors over the same frame need no join;
     dense ones meet by an inner join, a dense one keeps its rows, sparse ones keep all."""
     first = parts[0]
+    if any(isinstance(t, Expanded) for t in parts) and (found := _joined_on_real(parts)):
+        return found
     if all(t.frame is first.frame for t in parts):
         return first.frame, [t.value for t in parts]
     frames: list[list] = []
@@ -361,6 +436,68 @@ def joined(parts: list[Tensor]) -> tuple[DataFrame, list[Column]]:
     return out, values
 
 
+def _narrowed(parts: list[Tensor]) -> tuple[list[Tensor], list[int]] | None:
+    """The parts with those axes only that one of them really has, if that leaves any out."""
+    if not all(isinstance(t, Expanded) for t in parts):
+        return None
+    real = sorted({i for t in parts for i in t.real})
+    return ([t.onto(real) for t in parts], real) if 0 < len(real) < parts[0].ndim else None
+
+
+def _joined_on_real(parts: list[Tensor]) -> tuple[DataFrame, list[Column]] | None:
+    """As ``joined``, expanded tensors by their real axes; None where dense ones do not give every cell, and cells have
+    to be made. A source is broadcast if its shape bounds it."""
+    ndim, every = parts[0].ndim, range(parts[0].ndim)
+    plain = [k for k, t in enumerate(parts) if not isinstance(t, Expanded)]
+    covered = {i for t in parts if not t.sparse for i in (t.real if isinstance(t, Expanded) else every)}
+    if len(covered) < ndim:
+        return None
+    sides: list[tuple] = []
+    if plain:
+        frame, own = joined([parts[k] for k in plain])
+        dense = any(not parts[k].sparse for k in plain)
+        sides.append((tuple(every), dense, frame.select(*axes(ndim), *(v.alias(f"v{k}") for k, v in zip(plain, own))), False))
+    sources: dict[tuple, dict[str, Expanded]] = {}
+    for k, t in enumerate(parts):
+        if k not in plain:
+            sources.setdefault((id(t.source.frame), t.real, t.sparse), {})[f"v{k}"] = t
+    for (_, real, sparse), own in sources.items():
+        t = next(iter(own.values()))
+        sides.append((real, not sparse, t.side(own), t.source.size <= MOST_BROADCAST))
+    sides.sort(key=lambda s: (not s[1], -len(s[0])))
+    have, _, out, _ = sides[0]
+    have = set(have)
+    for real, dense, side, small in sides[1:]:
+        shared = [f"c{i}" for i in real if i in have]
+        side = F.broadcast(side) if small else side
+        if shared:
+            out = out.join(side, shared, "inner" if dense else "left")
+        else:
+            out = out.crossJoin(side) if dense else out.join(side, F.lit(True), "left")
+        have |= set(real)
+    return out, [F.coalesce(F.col(f"v{k}"), D.zero(t.dtype)) if t.sparse else F.col(f"v{k}") for k, t in enumerate(parts)]
+
+
+def _joined_on_cells(left: Tensor, right: Tensor, name: str) -> tuple[DataFrame, list[Column]]:
+    """A sparse tensor and a sparse expanded one under an absorbing operation: the cells that the former has, and those
+    of the latter's values that are not finite."""
+    cells, spread = (right, left) if isinstance(left, Expanded) else (left, right)
+    own, other = ("v1", "v0") if cells is right else ("v0", "v1")
+    side = spread.side({other: spread})
+    side = F.broadcast(side) if spread.source.size <= MOST_BROADCAST else side
+    here = cells.frame.select(*cells.axes, cells.value.alias(own))
+    out = here.join(side, [f"c{i}" for i in spread.real], "left") if spread.real else here.join(side, F.lit(True), "left")
+    if name == "mul" and not spread.dtype.integer:
+        parts = [F.col("v.re"), F.col("v.im")] if spread.dtype.kind == "c" else [F.col("v")]
+        odd = F.lit(False)
+        for x in parts:
+            odd = odd | F.isnan(x) | (F.abs(x) == float("inf"))
+        odd = Expanded(spread.source.like(spread.source.df.where(odd), strides=spread.source.strides), spread.real, spread.shape).df
+        odd = odd.join(cells.df, cells.axes, "left_anti")
+        out = out.select(*cells.axes, "v0", "v1").union(odd.select(*cells.axes, *(F.col("v") if c == other else D.zero(cells.dtype) for c in ("v0", "v1"))))
+    return out, [F.coalesce(F.col(c), D.zero(cells.dtype)) for c in ("v0", "v1")]
+
+
 def fold(name: str, parts: list[Tensor]) -> Tensor:
     """``name`` over any number of tensors from the left, as a chain of binary operations gives it; the tensors meet
     at once, and not one after another."""
@@ -374,6 +511,8 @@ def fold(name: str, parts: list[Tensor]) -> Tensor:
     sparse = all(t.sparse for t in parts)
     if sparse:
         first._keeps_zero(name, f.value(first._zero, first._zero, first.dtype))
+    if narrow := _narrowed(parts):
+        return Expanded(fold(name, narrow[0]), narrow[1], first.shape)
     frame, values = joined(parts)
     out = values[0]
     for v in values[1:]:
