@@ -5,7 +5,8 @@ n-grams with counts to the owners of the ranges, who add them up over the whole
 each block's n-grams, and a token's score is that of the longest n-gram that the corpus has often enough:
 count(n-gram) / count(context), times ``backoff`` for each order given up. Scores are summed by document. The n-gram
 of no words counts all tokens. A word that a third of all rows repeat is sent once by each block. N-grams travel as
-coded lists, one for each block and owner, and not as one row each: the README says why.
+coded lists, one for each block and owner, and not as one row each: the README says why. A block is worked off in
+``PARTS`` parts, whose n-grams are merged before they are sent, so that messages are fewer and shorter.
 
 A corpus that is its own model has every n-gram at least once, where a document has it; so a document is scored by the
 counts of all others: its own occurrences are taken off each n-gram, each context and the number of words. A word that
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,9 @@ BACKOFF = 0.4
 LEAST_COUNT = 1
 #: Bits of a hash.
 BITS = 64
+#: Parts of a block, of ``cellframe.blockBytes`` each, whose n-grams are told to an owner as one list; of the rest of
+#: the work one part is in memory at a time.
+PARTS = 4
 _U = np.uint64
 SCORES = "doc_id long, n_tokens long, log10_sum double"
 
@@ -95,19 +100,38 @@ class _Grams:
         return out
 
 
+def _parts(table: pa.Table, size: int) -> list[pa.Table]:
+    """Runs of rows with some ``size`` bytes of text, and what the last row has beyond."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(table.column("text")), 0)).astype(np.int64)
+    first = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // size, prepend=-1))
+    return [table.slice(a, b - a) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(sizes)])]
+
+
+def _counts(parts: list[pa.Table], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of all parts and their counts."""
+    found = [(g.distinct, g.count.astype(np.uint32)) for g in (_Grams(p, order) for p in parts)]
+    if len(found) == 1:
+        return found[0]
+    h, count = (np.concatenate(x) for x in zip(*found))
+    order_ = np.argsort(h, kind="stable")  # runs that are sorted already are merged
+    h = h[order_]
+    first = np.flatnonzero(~blocks.same_as_before(h))
+    return h[first], np.add.reduceat(count[order_], first, dtype=np.uint32) if len(first) else count
+
+
 def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST_COUNT, doc_id: str = "doc_id", text: str = "text", name: str = "ngrams") -> DataFrame:
     """doc_id, n_tokens, log10_sum, mean_log10, perplexity of every row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = blocks.build(docs, name)
+    size = int(docs.sparkSession.conf.get("cellframe.blockBytes", str(blocks.BLOCK_BYTES)))
+    table = blocks.build(docs, name, block_bytes=PARTS * size)
     grams = order * blocks.totals(table.df)[1] // 4
     bits, owners = BITS, blocks.owners_for(docs.sparkSession, grams)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                grams = _Grams(blocks.unpack(payload), order)
-                count = grams.count.astype(np.uint32)
-                yield blocks.send(block, grams.distinct, bits, owners, lambda a, b: zlib.compress(blocks.planes(count[a:b]), 1))
+                distinct, count = _counts(_parts(blocks.unpack(payload), size), order)
+                yield blocks.send(block, distinct, bits, owners, lambda a, b: zlib.compress(blocks.planes(count[a:b]), 1))
 
     def add_up(h: np.ndarray, sender: np.ndarray, extras: list[bytes]) -> np.ndarray:
         count = np.concatenate([blocks.from_planes(zlib.decompress(x), np.uint32) for x in extras])
@@ -115,9 +139,14 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
         return np.bincount(at, count).astype(np.uint64)[at]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = _Grams(blocks.unpack(left.column("payload")[0]), order)
-        totals = blocks.heard(grams.distinct, bits, owners, right, np.uint64)
-        each = grams.scores(totals.astype(np.float64), backoff, least)
+        parts = _parts(blocks.unpack(left.column("payload")[0]), size)
+        distinct, _ = _counts(parts, order)
+        totals = blocks.heard(distinct, bits, owners, right, np.uint64)
+        return pa.concat_tables([scored(p, distinct, totals) for p in parts])
+
+    def scored(part: pa.Table, distinct: np.ndarray, totals: np.ndarray) -> pa.Table:
+        grams = _Grams(part, order)
+        each = grams.scores(totals[np.searchsorted(distinct, grams.distinct)].astype(np.float64), backoff, least)
         size = np.diff(grams.by_doc)
         total = np.zeros(len(size))
         if len(each):

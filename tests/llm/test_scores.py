@@ -16,8 +16,9 @@ def plain_words(t):
     return re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("order,least", [(3, 1), (2, 2)])
-def test_backoff_equals_brute_force(spark, order, least):
+@pytest.mark.parametrize("order,least,part", [(3, 1, 3 << 20), (2, 2, 3 << 20), (3, 1, 300), (2, 2, 1)])
+def test_backoff_equals_brute_force(spark, order, least, part):
+    """The small parts put several of them into a block, with n-grams in common, and documents that fill one or more."""
     rows = odd_documents()
     texts = [plain_words(t) for _, t in rows]
     counts = Counter(tuple(w[i : i + o]) for w in texts for o in range(order + 1) for i in range(len(w) - o + (o > 0)))
@@ -37,7 +38,11 @@ def test_backoff_equals_brute_force(spark, order, least):
                     break
                 lost += 1
         wanted.append((d, len(w), total))
-    found = sorted((r.doc_id, r.n_tokens, r.log10_sum) for r in lm_scoring.scores(frame(spark, rows), order, 0.4, least).collect())
+    spark.conf.set("cellframe.blockBytes", str(part))
+    try:
+        found = sorted((r.doc_id, r.n_tokens, r.log10_sum) for r in lm_scoring.scores(frame(spark, rows), order, 0.4, least).collect())
+    finally:
+        spark.conf.unset("cellframe.blockBytes")
     for a, b in zip(found, sorted(wanted), strict=True):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6
 
