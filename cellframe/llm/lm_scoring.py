@@ -59,15 +59,25 @@ class _Grams:
         self.order = order
         empty = np.full(self.n, kernels.ngram_hashes(np.zeros(0, _U), 0)[0])
         hashes = [empty] + [np.where(self.room >= o, np.pad(kernels.ngram_hashes(h, o), (0, min(o - 1, self.n))), _U(0)) for o in range(1, order + 1)]
-        valid = [np.ones(self.n, bool)] + [self.room >= o for o in range(1, order + 1)]
-        flat = np.concatenate([x[v] for x, v in zip(hashes, valid)])
-        self.distinct, at, self.count = np.unique(flat, return_inverse=True, return_counts=True)
+        self.valid = [np.ones(self.n, bool)] + [self.room >= o for o in range(1, order + 1)]
+        self.flat = np.concatenate([x[v] for x, v in zip(hashes, self.valid)])
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams, sorted, and their counts."""
+        h = np.sort(self.flat)
+        first = np.flatnonzero(~blocks.same_as_before(h))
+        return h[first], np.diff(first, append=len(h)).astype(np.uint32)
+
+    def place(self) -> np.ndarray:
+        """The distinct n-grams; ``at``: by order the place among them of the n-gram that begins at each word, or -1."""
+        self.distinct, at = np.unique(self.flat, return_inverse=True)
         self.at, stop = [], 0
-        for v in valid:
+        for v in self.valid:
             place = np.full(self.n, -1, np.int64)
             place[v] = at[stop : stop + v.sum()]
             stop += v.sum()
             self.at.append(place)
+        return self.distinct
 
     def _others(self, at: np.ndarray, totals: np.ndarray) -> np.ndarray:
         """Occurrences outside its own document of the n-gram that begins at each word (where one does)."""
@@ -109,7 +119,7 @@ def _parts(table: pa.Table, size: int) -> list[pa.Table]:
 
 def _counts(parts: list[pa.Table], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of all parts and their counts."""
-    found = [(g.distinct, g.count.astype(np.uint32)) for g in (_Grams(p, order) for p in parts)]
+    found = [_Grams(p, order).counts() for p in parts]
     if len(found) == 1:
         return found[0]
     h, count = (np.concatenate(x) for x in zip(*found))
@@ -146,7 +156,7 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
 
     def scored(part: pa.Table, distinct: np.ndarray, totals: np.ndarray) -> pa.Table:
         grams = _Grams(part, order)
-        each = grams.scores(totals[np.searchsorted(distinct, grams.distinct)].astype(np.float64), backoff, least)
+        each = grams.scores(totals[np.searchsorted(distinct, grams.place())].astype(np.float64), backoff, least)
         size = np.diff(grams.by_doc)
         total = np.zeros(len(size))
         if len(each):
