@@ -3,8 +3,8 @@
 Partitions send the sorted fingerprints of their texts to the owners of hash ranges and get a bitmap of
 those that occur elsewhere. The suspects that this leaves are shuffled once for a comparison of their
 bytes; a scan finds them by a bitmap with ``SLOTS`` slots for each suspect fingerprint, which is broadcast as long as
-it has at most ``FILTER_BYTES``, and by a join on the fingerprint beyond. With the bitmap, all but one in ``SLOTS`` of
-the other texts are never moved; the join moves every text once. Of equal texts the row with the largest id stays.
+it has at most ``FILTER_BYTES``, and by a salted join on the fingerprint beyond. With the bitmap, all but one in
+``SLOTS`` of the other texts are never moved; the join moves every text once. Of equal texts the row with the largest id stays.
 
 Edge cases: null text counts as empty; null ids are the smallest; repeated rows count as rows, and those
 with the id that stays are all marked as kept; an empty table gives no rows; other columns are ignored. When
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks, golomb, scratch
+from . import blocks, golomb, scratch, skew
 
 #: Bits of a fingerprint that are sent; a chance match only costs a comparison of bytes.
 BITS = 48
@@ -81,14 +81,17 @@ def suspects(docs: DataFrame, text: str = "text") -> DataFrame:
     return sent.drop("extra").join(replies, ["block", "owner"]).select("owner", "body", "reply").mapInArrow(pick, "fp long").distinct()
 
 
-def marked(docs: DataFrame, text: str) -> DataFrame:
+def marked(docs: DataFrame, text: str, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with a column ``maybe``: true if the text's fingerprint is suspect, false for nearly all others."""
     found = scratch.Table(suspects(docs, text), "suspects")
     fp = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 64 - BITS)
     slots = 1 << max(16, (SLOTS * found.df.count() - 1).bit_length())
     if slots // 8 > FILTER_BYTES:
-        known = found.df.select("fp", F.lit(True).alias("known"))
-        return docs.withColumn("fp", fp).join(known, "fp", "left").select(*docs.columns, F.coalesce("known", F.lit(False)).alias("maybe"))
+        # The copies of one text meet its fingerprint by salts; which ones it needs, partial aggregates of numbers tell.
+        salted = docs.withColumn("fp", fp).withColumn("_salt", skew.salt(doc_id))
+        used = salted.groupBy("fp").agg(skew.salts_used().alias("_used"))
+        known = skew.spread(used.join(found.df, "fp"), "_used").withColumn("known", F.lit(True))
+        return skew.same(salted, known, ["fp"], "left").select(*docs.columns, F.coalesce("known", F.lit(False)).alias("maybe"))
     bits = found.df.select(F.pmod("fp", F.lit(slots)).alias("slot"))
     bits = bits.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     bits = scratch.materialize(bits, "suspects")

@@ -60,8 +60,12 @@ def test_substrings_keep_columns(spark):
     assert texts[8] == "" and texts[1] is None and texts[7] == "a" * 300
 
 
-def test_exact_duplicates(spark):
+@pytest.mark.parametrize("bytes_", [exact_dedup.FILTER_BYTES, 0])
+def test_exact_duplicates(spark, bytes_, monkeypatch):
+    """By the bitmap of suspects, and by the salted join; one text is a third of all rows."""
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", bytes_)
     rows = odd_documents()
+    rows += [(1000 + i, "the same text") for i in range(len(rows) // 2)]
     groups = defaultdict(list)
     for d, t in rows:
         groups[t or ""].append(d)
