@@ -1,12 +1,20 @@
 """License scan by conditional compression.
 
-Every word of every text is looked at. A template with m words, of which k may differ, can only stand where m + k
-words hold m - k of its own; where that holds for some template is a candidate block, and no match lies outside
-of one. A block is compressed by zstandard alone and with each such template as raw dictionary; the templates are
-ranked by how much smaller it gets, and confirmed in that order by the exact differences in wording: the least number
-of words to insert, drop or replace so that the template stands somewhere in the block. All templates that can match
-a block are confirmed, so the rank only decides between equal shares of differences. All matches count, but those that
-overlap a better one: with a smaller share of differences, or an equal one and a larger reduction.
+Every word of every text is looked at. Of any k + 1 words of a template of which k may differ, a match keeps at least
+one, so each template has k + 1 anchors, words that are rare in prose; an automaton looks for all anchors in one pass,
+and texts without any are settled. Around an anchor, the template can only stand where m + k words hold m - k of its m
+own; where that holds for some template is a candidate block, and no match lies outside of one. A block is compressed by
+zstandard alone and with each such template as raw dictionary, and the templates are ranked by how much smaller it gets.
+
+Matches are taken best first: a smaller share of differences, then a larger reduction of the block. The words that a
+window lacks bound a template's differences from below, so templates are confirmed in the order of bound and reduction,
+by the exact differences in wording: the least number of words to insert, drop or replace so that the template stands
+there. Once the matches taken leave a template no room for its least number of words, all that it could have there
+would overlap a better match, and it is not confirmed: the winner of the ranking mostly stands alone. Nothing is
+capped; the result is that of confirming all.
+
+Names of licenses count after a word of granting ("released under ..."), after a label with a colon ("license: MIT"),
+in SPDX tags, and in the heads of full license texts; a name that prose mentions is no match.
 
 Edge cases: null text is empty; documents without a match have no license and null figures; n_blocks counts the
 candidate blocks; of equal licenses the earlier one is the document's; repeated rows are rows; an empty table gives
@@ -15,9 +23,12 @@ no rows; other columns are ignored. A long text is read word by word; its codes
 
 from __future__ import annotations
 
+import functools
+import heapq
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -78,13 +89,34 @@ NAMES = {
     "CC0-1.0": ("CC0 1.0", "CC0-1.0"),
     "Unlicense": ("Unlicense",),
 }
-#: Wordings of short notices. Fixed values.
-WORDINGS = ("under {}", "under the {}", "under the terms of the {}")
+#: Heads of full license texts. Fixed values.
+HEADS = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "MIT": "MIT License Copyright (c)",
+    "ISC": "ISC License Copyright (c)",
+    "BSD-3-Clause": "BSD 3-Clause License Copyright (c)",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "MPL-2.0": "Mozilla Public License Version 2.0 1. Definitions",
+    "CC-BY-4.0": "Attribution 4.0 International",
+    "CC-BY-SA-4.0": "Attribution-ShareAlike 4.0 International",
+    "CC-BY-NC-4.0": "Attribution-NonCommercial 4.0 International",
+    "CC0-1.0": "CC0 1.0 Universal",
+}
+#: Wordings of short notices, and labels that a colon follows. Fixed values.
+GRANTS = ("licensed", "licenced", "released", "distributed", "available", "published", "provided")
+WORDINGS = ("{} under {}", "{} under the {}", "{} under the terms of the {}")
+LABELS = ("License", "Licence", "Lizenz", "Licencia")
+#: Words that prose is full of, the last choice as anchors. Fixed values.
+ORDINARY = frozenset("1 2 3 29 a and any as at available by c cc copies for general in international is mit notice of on or other person provided published public subject that the this to under use version with work works you".split())
 #: The share of a template's words that may differ.
 MOST_DIFFERENT = 0.15
 
-_ALL = [(k, t) for k, v in TEMPLATES.items() for t in v]
-_ALL += [(k, w.format(n)) for k, v in NAMES.items() for n in v for w in WORDINGS] + [(k, f"SPDX-License-Identifier: {k}{x}") for k in NAMES for x in ("", "-only", "-or-later")]
+_PLAIN = [(k, t) for k, v in TEMPLATES.items() for t in v] + list(HEADS.items())
+_PLAIN += [(k, w.format(g, n)) for k, v in NAMES.items() for n in v for w in WORDINGS for g in GRANTS]
+_PLAIN += [(k, f"SPDX-License-Identifier: {k}{x}") for k in NAMES for x in ("", "-only", "-or-later")]
+_ALL = _PLAIN + [(k, f"{x}: {n}") for k, v in NAMES.items() for n in dict.fromkeys((*v, k)) for x in LABELS]
 _NAMES, _TEXTS = [k for k, _ in _ALL], [t for _, t in _ALL]
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _RESULT = "doc_id long, n_blocks long, license string, licenses array<string>, reduction double, differences long, template_words long"
@@ -94,21 +126,58 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-_TEMPLATE_WORDS = [words(t) for t in _TEXTS]
+_WORDS = [words(t) for t in _TEXTS]
+#: Of the templates that words alone decide; labelled names must stand word by word, with a colon after the label.
+_TEMPLATE_WORDS = _WORDS[: len(_PLAIN)]
 
 
-_CODES = {w: i for i, w in enumerate(dict.fromkeys(w for t in _TEMPLATE_WORDS for w in t))}
+_CODES = {w: i for i, w in enumerate(dict.fromkeys(w for t in _WORDS for w in t))}
 _OTHER = len(_CODES)
-_OWN = [np.array([_CODES[w] for w in t]) for t in _TEMPLATE_WORDS]
-#: By template and code of a word: whether the template has it. The last code stands for all other words.
-_HAS = np.zeros((len(_OWN), _OTHER + 1), bool)
+_OWN = [np.array([_CODES[w] for w in t]) for t in _WORDS]
+_MOST = [int(MOST_DIFFERENT * len(t) + 1e-9) if i < len(_PLAIN) else 0 for i, t in enumerate(_WORDS)]
+
+
+def _anchors() -> tuple[dict[int, list[tuple[int, int]]], dict[int, list[int]]]:
+    """By code of an anchor: (place in the template, words) of the templates that must stand word by word, and the
+    numbers of the others."""
+    templates = np.bincount(np.concatenate([np.unique(o) for o in _OWN]))
+    exact, near = {}, {}
+    for i, (t, own, most) in enumerate(zip(_WORDS, _OWN, _MOST)):
+        for j in sorted(range(len(t)), key=lambda j: (t[j] in ORDINARY, len(t[j]) < 4, templates[own[j]], -len(t[j]), j))[: most + 1]:
+            if most:
+                near.setdefault(int(own[j]), set()).add(i)
+            else:
+                exact.setdefault(int(own[j]), set()).add((j, len(t)))
+    return {c: sorted(x) for c, x in exact.items()}, {c: sorted(x) for c, x in near.items()}
+
+
+_EXACT, _NEAR = _anchors()
+#: Templates that must stand word by word, by their words.
+_AS_IS: dict[tuple[int, ...], list[int]] = {}
 for _i, _own in enumerate(_OWN):
-    _HAS[_i, _own] = True
-_MOST = [int(MOST_DIFFERENT * len(t) + 1e-9) for t in _TEMPLATE_WORDS]
-#: Words of the longest window; more than twice as many keep the blocks of two texts apart.
-_GAP = max(len(o) + k for o, k in zip(_OWN, _MOST))
-#: Of templates that must stand word by word, the place of the word that the fewest templates have.
-_RAREST = [int(np.argmin(_HAS[:, o].sum(0))) for o in _OWN]
+    if not _MOST[_i]:
+        _AS_IS.setdefault(tuple(_own.tolist()), []).append(_i)
+_ANCHOR = np.zeros(_OTHER + 1, bool)
+_ANCHOR[[*_EXACT, *_NEAR]] = True
+
+
+@functools.cache
+def _automaton() -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for w, c in _CODES.items():
+        if _ANCHOR[c]:
+            out.add_word(w, len(w))
+    out.make_automaton()
+    return out
+
+
+def has_anchor(text: str) -> bool:
+    """Whether an anchor stands in the text as a word, or as the first or last part of one."""
+    low = text.lower()
+    for end, size in _automaton().iter(low):
+        if not (low[end - size : end - size + 1] if end >= size else "").isalnum() and not low[end + 1 : end + 2].isalnum():
+            return True
+    return False
 
 
 def coded(text: str) -> np.ndarray:
@@ -136,38 +205,51 @@ def differences(template: list[str], block: list[str]) -> int:
     return int(_changes(np.array([codes[w] for w in template]), np.array([codes.get(w, -1) for w in block], int)).min())
 
 
-def _windows(i: int, codes: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of words outside of which template i cannot match: with m words and k changes allowed, a match is
-    at most m + k words long and has at least m - k of the template's."""
-    m, k = len(_OWN[i]), _MOST[i]
-    if not k:
-        at = np.flatnonzero(codes == _OWN[i][_RAREST[i]]) - _RAREST[i]
-        at = at[(at >= 0) & (at + m <= len(codes))]
-        for j in range(m):
-            at = at[codes[at + j] == _OWN[i][j]]
-        return [(a, a + m) for a in at.tolist()]
-    counts = np.zeros(len(codes) + 1, np.int32)
-    np.cumsum(_HAS[i][codes], out=counts[1:])
-    width = min(m + k, len(codes))
-    at = np.flatnonzero(counts[width:] - counts[: len(counts) - width] >= m - k) if width else np.zeros(0, int)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > width)
-    return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), (at[np.concatenate([cut, [len(at) - 1]])] + width).tolist()))
-
-
-def candidates(codes: np.ndarray) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+def _windows(codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first word, the one after the last, template, least number of differences) of the ranges of words outside of
+    which no template can match: with m words and k changes allowed, a match is at most m + k words long, and has an
+    anchor and at least m - k of the template's words."""
+    near: dict[int, list[int]] = {}
+    for j in np.flatnonzero(_ANCHOR[codes]).tolist():
+        for place, m in _EXACT.get(c := int(codes[j]), ()):
+            if (a := j - place) >= 0 and a + m <= len(codes):
+                for i in _AS_IS.get(tuple(codes[a : a + m].tolist()), ()):
+                    yield a, a + m, i, 0
+        for i in _NEAR.get(c, ()):
+            near.setdefault(i, []).append(j)
+    for i, places in near.items():
+        m, k = len(_OWN[i]), _MOST[i]
+        at = np.array(places)
+        cut = np.flatnonzero(np.diff(at) >= 2 * (m + k)) + 1
+        for group in np.split(at, cut):
+            low, high = max(0, int(group[0]) - m - k + 1), min(len(codes), int(group[-1]) + m + k)
+            counts = np.zeros(high - low + 1, np.int32)
+            np.cumsum(np.isin(codes[low:high], _OWN[i]), out=counts[1:])
+            width = min(m + k, high - low)
+            held = counts[width:] - counts[: len(counts) - width]
+            fits = np.flatnonzero(held >= m - k)
+            for run in np.split(fits, np.flatnonzero(np.diff(fits) > width) + 1) if len(fits) else ():
+                yield low + int(run[0]), low + int(run[-1]) + width, i, max(0, m - int(held[run].max()))
+
+
+def candidates(codes: np.ndarray) -> list[tuple[int, int, list[tuple[int, int, int, int]]]]:
     """Blocks of words (first, the one after the last) in which templates may match, each with its windows:
-    (template, first, the one after the last)."""
+    (first, the one after the last, template, least number of differences)."""
     out: list[tuple[int, int, list]] = []
-    for a, b, i in sorted((a, b, i) for i in range(len(_OWN)) for a, b in _windows(i, codes)):
-        if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]), [*out[-1][2], (i, a, b)])
+    for window in sorted(set(_windows(codes))):
+        if out and window[0] < out[-1][1]:
+            out[-1] = (out[-1][0], max(window[1], out[-1][1]), [*out[-1][2], window])
         else:
-            out.append((a, b, [(i, a, b)]))
+            out.append((window[0], window[1], [window]))
     return out
 
 
+def _room(taken: np.ndarray, size: int) -> bool:
+    """Whether so many neighbours are free."""
+    ends = np.flatnonzero(np.concatenate([[True], taken, [True]]))
+    return bool((np.diff(ends) > size).any())
+
+
 def _start(i: int, end: int, n: int, codes: np.ndarray) -> int:
     """The last word from which template i ends at ``end`` with n changes."""
     back = codes[max(0, end - len(_OWN[i]) - n) : end][::-1]
@@ -177,54 +259,68 @@ def _start(i: int, end: int, n: int, codes: np.ndarray) -> int:
 class Scanner:
     def __init__(self):
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        self.given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in _TEXTS]
+        #: Compressors keep their working memory.
+        self.given = functools.lru_cache(64)(self._given)
+        #: Templates confirmed by exact differences, for tests and tuning.
+        self.confirmed = 0
+
+    def _given(self, i: int) -> zstandard.ZstdCompressor:
+        words_ = zstandard.ZstdCompressionDict(_TEXTS[i].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=words_)
 
-    def ranked(self, templates, part: str) -> list[tuple[float, int]]:
-        """(size reduction, template), the largest reduction first."""
+    def reductions(self, templates, part: str) -> dict[int, float]:
+        """By template, the share of its size that a part loses by it."""
         data = part.encode("utf-8", "replace")
         size = len(self.alone.compress(data))
-        return sorted(((1 - len(self.given[i].compress(data)) / size, i) for i in templates), key=lambda x: (-x[0], x[1]))
+        return {i: 1 - len(self.given(i).compress(data)) / size for i in templates}
 
     def matches(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
         """License, size reduction, differences and words of the template, and place in the text (first word and
         the one after the last) of every match that overlaps no better one, the best first."""
+        return self.found(text)[1]
+
+    def found(self, text: str) -> tuple[int, list[tuple[str, float, int, int, int, int]]]:
+        """Number of candidate blocks, and matches."""
+        if not has_anchor(text):
+            return 0, []
         codes = coded(text)
         blocks = candidates(codes)
         if not blocks:
-            return []
+            return 0, []
         at = [m.span() for m in _WORD.finditer(text)]
-        found = []
+        # Best first: what is not confirmed comes before what is equal to its bound.
+        heap = []
         for first, last, windows in blocks:
-            by: dict[int, list] = {}
-            for i, a, b in windows:
-                by.setdefault(i, []).append((a, b))
-            for _, i in self.ranked(by, text[at[first][0] : at[last - 1][1]]):
-                for a, b in by[i]:
-                    n = _changes(_OWN[i], codes[a:b])
-                    for e in np.flatnonzero(n <= _MOST[i]).tolist():
-                        start = _start(i, a + e, int(n[e]), codes)
-                        reduction = self.ranked([i], text[at[start][0] : at[a + e - 1][1]])[0][0]
-                        found.append((int(n[e]) / len(_OWN[i]), -reduction, start, a + e, int(n[e]), i))
+            smaller = self.reductions({i for _, _, i, _ in windows}, text[at[first][0] : at[last - 1][1]])
+            heap += [(least / len(_OWN[i]), -smaller[i], False, i, a, b, least) for a, b, i, least in windows]
+        heapq.heapify(heap)
         taken = np.zeros(len(codes), bool)
         out = []
-        for _, worse, start, end, n, i in sorted(found):
-            if not taken[start:end].any():
-                taken[start:end] = True
-                out.append((_NAMES[i], -worse, n, len(_OWN[i]), start, end))
-        return out
+        while heap:
+            _, worse, exact, i, a, b, n = heapq.heappop(heap)
+            own, most = _OWN[i], _MOST[i]
+            if exact:
+                if not taken[a:b].any():
+                    taken[a:b] = True
+                    out.append((_NAMES[i], self.reductions([i], text[at[a][0] : at[b - 1][1]])[i], n, len(own), a, b))
+            elif _room(taken[a:b], len(own) - most):
+                self.confirmed += 1
+                if i >= len(_PLAIN) and not any(c in text[at[a][1] : at[a + 1][0]] for c in ":="):
+                    continue
+                if not most:
+                    heapq.heappush(heap, (0.0, worse, True, i, a, b, 0))
+                    continue
+                by_end = _changes(own, codes[a:b])
+                for e in np.flatnonzero(by_end <= most).tolist():
+                    n = int(by_end[e])
+                    heapq.heappush(heap, (n / len(own), worse, True, i, _start(i, a + e, n, codes), a + e, n))
+        return len(blocks), out
 
     def scanned(self, texts: list[str]) -> list[tuple]:
         """Number of blocks, license, all licenses, reduction, differences and template words of each text."""
-        gap = np.full(2 * _GAP + 2, _OTHER, np.int16)
-        parts = [coded(t) if t else gap[:0] for t in texts]
-        # A window of a text begins at most _GAP words before it.
-        starts = np.cumsum([len(gap), *(len(p) + len(gap) for p in parts)]) - _GAP
-        count = np.zeros(len(texts), int)
-        for first, _, _ in candidates(np.concatenate([gap, *(x for p in parts for x in (p, gap))])):
-            count[np.searchsorted(starts, first, "right") - 1] += 1
         out = []
-        for t, n in zip(texts, count.tolist()):
-            found = self.matches(t) if n else []
+        for t in texts:
+            n, found = self.found(t or "")
             best = found[0] if found else (None,) * 4
             out.append((n, best[0], sorted({m[0] for m in found}), *best[1:4]))
         return out

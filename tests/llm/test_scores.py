@@ -285,3 +285,49 @@ def test_several_licenses_of_a_block(spark):
     assert by == {1: ["CC-BY-4.0", "MIT"], 2: sorted(t), 3: ["GPL-3.0"], 4: ["MIT", "MPL-2.0"], 5: ["GPL-2.0", "LGPL-3.0"]}
     found = license_scan.Scanner().matches(rows[0][1])
     assert sorted((m[0], m[4], m[5]) for m in found) == [("CC-BY-4.0", 5, 10), ("MIT", 0, 5)]
+
+
+def test_labels_heads_and_mentions(spark):
+    found = {
+        "license: MIT": "MIT",
+        "Lizenz: MIT License": "MIT",
+        'license = "Apache-2.0"': "Apache-2.0",
+        "MIT License\n\nCopyright (c) 2020 A": "MIT",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": "GPL-2.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "LGPL-3.0",
+        "it is distributed under the terms of the GNU GPL v2": "GPL-2.0",
+        "We discuss whether code under GPL v2 is free": None,
+        "eine Lizenz mit Auflagen": None,
+        "the license MIT gave": None,
+        "the MIT License is short": None,
+        "x" * 5000 + " Released under the MIT License": "MIT",
+        "nonlicensed under cc by 4.0": None,
+    }
+    rows = list(enumerate(found))
+    got = {r.doc_id: r.license for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert {t: got[i] for i, t in rows} == found
+
+
+def test_ranking_spares_confirmations_and_changes_nothing(monkeypatch):
+    t = [x for v in license_scan.TEMPLATES.values() for x in v] + list(license_scan.HEADS.values())
+    draw = random.Random(11)
+    texts = [" ".join(draw.choice(t) if draw.random() < 0.7 else "other words" for _ in range(6)) for _ in range(60)]
+    some = license_scan.Scanner()
+    found = [some.matches(x) for x in texts]
+    windows = sum(len(w) for x in texts for _, _, w in license_scan.candidates(license_scan.coded(x)))
+    monkeypatch.setattr(license_scan, "_room", lambda taken, size: True)
+    every = license_scan.Scanner()
+    assert found == [every.matches(x) for x in texts]
+    assert every.confirmed == windows > some.confirmed
+
+
+def test_anchors_stand_in_every_match():
+    """Whatever words of a template may differ, one of its anchors is left."""
+    draw = random.Random(3)
+    for i, (own, most) in enumerate(zip(license_scan._TEMPLATE_WORDS, license_scan._MOST)):
+        for _ in range(3):
+            gone = set(draw.sample(range(len(own)), most))
+            text = " ".join("zzz" if j in gone else w for j, w in enumerate(own))
+            assert license_scan.has_anchor(text), text
+            codes = license_scan.coded(text)
+            assert any(w[2] == i for _, _, ws in license_scan.candidates(codes) for w in ws) or license_scan.words(text) != text.split()
