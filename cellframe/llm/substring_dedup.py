@@ -12,8 +12,14 @@ The tied suffixes go to buckets by the least hash of their short substrings, so
 the same one, go together as one string, and equal suffixes meet. One part of the buckets is sorted after another, and
 in a bucket one range of first bytes after another, by all ``length`` bytes; equal neighbours in that order tie, and
 the least doc_id of each tie keeps its bytes. No decision depends on a hash, but for that on whole texts: a document
-whose text also stands under a smaller doc_id is found first, by SHA-256, and needs no suffixes. No task sees more than
-a block of text or one bucket.
+whose text also stands under a smaller doc_id is found first, by SHA-256, and needs no suffixes.
+
+An owner may be sent more suffixes than a task should hold: every block sends it a notice that all documents have, or
+many texts go on differently around one short string. The blocks that send to such an owner are dealt out to racks, by
+its load. A rack merges equal strings of its blocks under their least doc_id (whoever has a larger one is settled by
+that), cuts what is left into single suffixes and deals these out to parts by a hash of all their bytes; a part sorts
+them like a bucket, and the answers go back by rack to the blocks. A suffix that all blocks have thus reaches its part
+once for each rack. No task sees more than a block of text, or about ``limit`` suffixes.
 
 Edge cases: null text is empty; texts shorter than ``length`` keep all bytes; equal doc_ids are one document
 as to what is smaller, but rows stay rows; a null doc_id is larger than all others; an empty table gives no
@@ -53,6 +59,10 @@ ROUNDS = 4
 #: Suffixes that are sorted at a time, about, and neighbours that go as one string at most.
 SORTED = 1 << 19
 STRING = 1 << 12
+#: An owner that is sent more than so many times the suffixes it should get is split.
+HOT = 2
+#: Hot owners that are broadcast at most (16 bytes each).
+FEW = 100_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -159,8 +169,9 @@ class _Strings:
         for o, a, b in self.by_owner():
             texts = [self.texts[i] for i in self.order[a:b].tolist()]
             about = np.array(list(map(len, texts)), np.uint32).tobytes() + self.least[self.order[a:b]].tobytes()
-            out.append((o, block, zstandard.compress(b"".join(texts), 1), zstandard.compress(about, 1)))
-        return blocks.rows(blocks.SENT, list(zip(*out)) if out else [[]] * 4)
+            n = sum(map(len, texts)) - len(texts) * (length - 1)
+            out.append((o, block, zstandard.compress(b"".join(texts), 1), zstandard.compress(about, 1), n))
+        return blocks.rows(f"{blocks.SENT}, size long", list(zip(*out)) if out else [[]] * 5)
 
     def by_owner(self):
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.owner)) + 1, [len(self.owner)]]) if len(self.owner) else [0]
@@ -235,7 +246,92 @@ def _bucket(table: pa.Table, length: int) -> pa.Table:
     return pa.Table.from_batches([blocks.rows(blocks.REPLY, [table.column("block").to_pylist(), table.column("owner").to_pylist(), replies])])
 
 
-_PASSED = "_payload binary, _owner int, _block long, _body binary, _extra binary"
+class _Rack:
+    """The strings that some blocks sent to one owner, equal ones merged; and their suffixes, in order of their parts.
+    The order of the rows, one for each block, makes no difference: a rack is read twice."""
+
+    def __init__(self, table: pa.Table, length: int, parts: int):
+        plain = zstandard.ZstdDecompressor()
+        known: dict[bytes, int] = {}
+        least: list[int] = []
+        table = table.sort_by("block")
+        self.length, self.block, self.sent = length, table.column("block").to_pylist(), []
+        for body, extra in zip(table.column("body"), table.column("extra")):
+            data, about = plain.decompress(body.as_buffer()), plain.decompress(extra.as_buffer())
+            n = len(about) // 12
+            ids, same, a = np.frombuffer(about, np.int64, n, 4 * n), [], 0
+            for size, d in zip(np.frombuffer(about, np.uint32, n).tolist(), ids.tolist()):
+                u = known.setdefault(data[a : a + size], len(known))
+                if u == len(least):
+                    least.append(d)
+                elif d < least[u]:
+                    least[u] = d
+                same.append(u)
+                a += size
+            self.sent.append((np.array(same, np.int64), ids))
+        self.least = np.array(least, np.int64)
+        sizes = np.array([len(x) for x in known], np.int64)
+        self.buf = np.frombuffer(b"".join(known), np.uint8)
+        #: By string: its number of suffixes, and the place of the first among all.
+        self.n = sizes - length + 1
+        self.start = np.cumsum(self.n) - self.n
+        self.at = _ranges(np.cumsum(sizes) - sizes, self.n)
+        part = (kernels.mix(kernels.window_hashes(self.buf, self.at, length)) % _U(parts)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")
+        names, first = np.unique(part[self.order], return_index=True)
+        self.parts = list(zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(part)]))
+
+    def dealt(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """Part, and its suffixes as strings of their own."""
+        own = np.repeat(self.least, self.n)
+        for part, a, b in self.parts:
+            of = self.order[a:b]
+            data = self.buf[self.at[of][:, None] + np.arange(self.length)].tobytes()
+            about = np.full(b - a, self.length, np.uint32).tobytes() + own[of].tobytes()
+            yield part, zstandard.compress(data, 1), zstandard.compress(about, 1)
+
+    def answers(self, replies: pa.Table) -> list[bytes]:
+        """By block: for all suffixes that it sent, whether a smaller doc_id has them."""
+        by = dict(zip(replies.column("part").to_pylist(), replies.column("reply").to_pylist()))
+        told = np.zeros(len(self.at), bool)
+        for part, a, b in self.parts:
+            told[self.order[a:b]] = blocks.said(by[part], b - a)
+        out = []
+        for same, ids in self.sent:
+            bits = told[_ranges(self.start[same], self.n[same])] | np.repeat(ids > self.least[same], self.n[same])
+            out.append(zlib.compress(np.packbits(bits), 1))
+        return out
+
+
+_DEALT = "owner int, rack int, part int, body binary, extra binary"
+_TOLD = "owner int, rack int, part int, reply binary"
+
+
+def _split(sent: DataFrame, hot: DataFrame, length: int, name: str) -> tuple[scratch.Table, DataFrame]:
+    """Rows of blocks.REPLY to what the hot owners (owner, racks) were sent, and a table to drop after them."""
+    sent = sent.join(hot, "owner").withColumn("rack", F.pmod(F.xxhash64("block"), F.col("racks")).cast("int"))
+
+    def deal(table: pa.Table) -> pa.Table:
+        kernels.release()
+        owner, rack, racks = (table.column(c)[0].as_py() for c in ("owner", "rack", "racks"))
+        out = [(owner, rack, *x) for x in _Rack(table, length, racks * length).dealt()]
+        return pa.Table.from_batches([blocks.rows(_DEALT, list(zip(*out)) if out else [[]] * 5)])
+
+    def sort(table: pa.Table) -> pa.Table:
+        told = _bucket(table.rename_columns(["owner", "block", "part", "body", "extra"]), length)
+        return pa.Table.from_batches([blocks.rows(_TOLD, [told.column("owner").to_pylist(), table.column("rack").to_pylist(), table.column("part").to_pylist(), told.column("reply").to_pylist()])])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        kernels.release()
+        rack = _Rack(left, length, left.column("racks")[0].as_py() * length)
+        return pa.Table.from_batches([blocks.rows(blocks.REPLY, [rack.block, left.column("owner").to_pylist(), rack.answers(right)])])
+
+    dealt = sent.groupBy("owner", "rack").applyInArrow(deal, _DEALT)
+    told = scratch.Table(dealt.groupBy("owner", "part").applyInArrow(sort, _TOLD), name)
+    return told, sent.groupBy("owner", "rack").cogroup(told.df.groupBy("owner", "rack")).applyInArrow(answer, blocks.REPLY)
+
+
+_PASSED = "_payload binary, _owner int, _block long, _body binary, _extra binary, _size long"
 _FOUND = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -253,11 +349,12 @@ def _copies(whole: DataFrame) -> DataFrame:
     return whole.join(least, ["sha", "salt"]).where("doc_id > least").groupBy("block").agg(F.collect_list("row").alias("copies"))
 
 
-def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = None, name: str = "substrings") -> DataFrame:
+def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = None, name: str = "substrings", limit: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, for the removal of all bytes that some
     ``length`` bytes cover which also start in a document of smaller doc_id. With ``carry`` (new names by
     column): these columns of ``docs`` as well, and as ``_text`` the text without the removed bytes (and
-    without halves of characters)."""
+    without halves of characters). ``limit``: suffixes that one owner sorts at most, more are split; by default HOT
+    times ``cellframe.ownerHashes``. It changes no result."""
     extra = [F.col(c).alias(new) for c, new in (carry or {}).items()]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
     carried = [f for f in docs.schema if f.name in (carry or {}).values()]
@@ -374,10 +471,24 @@ def removed(docs: DataFrame, length: int = 50, carry: dict[str, str] | None = No
     for t in (table, copies, mates):
         t.drop()
     first = functools.reduce(DataFrame.union, [t.df for t in first])
-    sent = first.where("_owner is not null").select(*(F.col(f"_{c}").alias(c) for c in ("owner", "block", "body", "extra")))
+    sent = first.where("_owner is not null")
+    limit = limit or HOT * int(docs.sparkSession.conf.get("cellframe.ownerHashes", str(blocks.OWNER_HASHES)))
+    load = sent.groupBy(F.col("_owner").alias("owner")).agg(F.sum("_size").alias("n")).where(F.col("n") > limit)
+    hot = scratch.Table(load.select("owner", F.ceil(F.col("n") / limit).cast("int").alias("racks")), name)
+    used.append(hot)
+    n_hot = hot.df.count()
+    hot = F.broadcast(hot.df) if n_hot <= FEW else hot.df
+    sent = sent.select(*(F.col(f"_{c}").alias(c) for c in ("owner", "block", "body", "extra")))
+    every = sent
+    if n_hot:
+        sent = sent.join(hot, "owner", "left_anti")
     parts = [sent.where(F.col("owner").between(r * buckets // ROUNDS, (r + 1) * buckets // ROUNDS - 1)) for r in range(ROUNDS)]
     ties = [scratch.Table(x.groupBy("owner").applyInArrow(bucket, blocks.REPLY), name) for x in parts]
     used += ties
+    if n_hot:
+        told, split = _split(every, hot, length, name)
+        ties.append(scratch.Table(split, name))
+        used += [told, ties[-1]]
     ties = functools.reduce(DataFrame.union, [t.df for t in ties])
     waiting = first.where("_payload is not null").select(F.col("_block").alias("block"), F.col("_payload").alias("payload"))
     done = first.where("_block is null").select(*shape.names)

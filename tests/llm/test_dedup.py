@@ -1,11 +1,15 @@
 import hashlib
 import random
+import zlib
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from brute import jaccard_components, removed
 
-from cellframe.llm import exact_dedup, jaccard_join, substring_dedup
+from cellframe.llm import blocks, exact_dedup, jaccard_join, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,6 +56,37 @@ def test_substrings_equal_brute_force(spark, length):
     assert sorted(map(tuple, found)) == removed(rows, length)
 
 
+@pytest.mark.parametrize("limit", [1, 40, 5000])
+def test_hot_owners_are_split(spark, limit):
+    """A notice in every document and one string that many texts go on from; blocks of a few documents each."""
+    draw = random.Random(limit)
+    notice = "all rights reserved by the owner of this page, who may be asked for leave to print it in whole or in part"
+    rows = [(d, " ".join(draw.choices(["alpha", "beta", "gamma", "delta"], k=draw.randint(0, 20))) + notice + str(d % 7) * draw.choice([3, 60])) for d in range(120)]
+    rows += odd_documents() + [(None, notice), (None, notice), (3, notice), (200, "same sixteen byte" * 12)]
+    spark.conf.set("cellframe.blockBytes", "600")
+    try:
+        found = substring_dedup.removed(frame(spark, rows), 50, limit=limit)
+        found = found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    finally:
+        spark.conf.unset("cellframe.blockBytes")
+    last = 1 << 62
+    wanted = removed([(last if d is None else d, t) for d, t in rows], 50)
+    assert sorted((last if r[0] is None else r[0], *r[1:]) for r in found) == wanted
+
+
+def test_a_rack_sends_a_suffix_once():
+    """However many blocks sent it; and who has a larger doc_id is settled in the rack."""
+    text = "".join(random.Random(1).choices("abcdefgh", k=97)).encode()
+    size = len(text).to_bytes(4, "little")
+    sent = [(0, b, zstandard.compress(text, 1), zstandard.compress(size + (7 + b).to_bytes(8, "little"), 1)) for b in range(500)]
+    table = pa.Table.from_batches([blocks.rows(blocks.SENT, list(zip(*sent)))])
+    rack = substring_dedup._Rack(table, 50, 10)
+    told = [(part, len(zstandard.decompress(about)) // 12) for part, _, about in rack.dealt()]
+    assert sum(n for _, n in told) == 48
+    none = pa.table({"part": [p for p, _ in told], "reply": [zlib.compress(np.packbits(np.zeros(n, bool))) for _, n in told]})
+    assert [blocks.said(x, 48).all() for x in rack.answers(none)] == [False] + [True] * 499
+
+
 def test_substrings_keep_columns(spark):
     docs = frame(spark, odd_documents())
     out = substring_dedup.drop_substrings(docs, 50)
@@ -93,3 +128,16 @@ def test_texts_that_polynomial_hashes_confuse(spark):
     rows = [(1, thue_morse(0)), (2, thue_morse(1)), (3, "x " + thue_morse(0)), (4, "y " + thue_morse(1))]
     assert sorted(map(tuple, substring_dedup.removed(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == removed(rows, 50)
     assert sorted(map(tuple, jaccard_join.jaccard_components(frame(spark, rows)).collect())) == jaccard_components(rows, 3, 90)
+
+
+def test_a_rack_reads_its_rows_in_any_order():
+    draw = random.Random(2)
+    sent = []
+    for b in range(30):
+        texts = list({"".join(draw.choices("ab", k=draw.randint(6, 9))).encode() for _ in range(5)})
+        about = np.array(list(map(len, texts)), np.uint32).tobytes() + np.array([draw.randrange(40) for _ in texts], np.int64).tobytes()
+        sent.append((0, b, zstandard.compress(b"".join(texts), 1), zstandard.compress(about, 1)))
+    table = pa.Table.from_batches([blocks.rows(blocks.SENT, list(zip(*sent)))])
+    other = table.take(draw.sample(range(30), 30))
+    one, two = (substring_dedup._Rack(t, 6, 9) for t in (table, other))
+    assert one.block == two.block == list(range(30)) and list(one.dealt()) == list(two.dealt())
