@@ -44,7 +44,7 @@ def read_blocks(t: Tensor) -> Iterator[list]:
     if isinstance(t, Stored):
         yield from _batches(_filled(t))
         return
-    for rows in _batches(t.full().orderBy(*t.axes)):
+    for rows in _batches(t.row_major()):
         yield [python_value(r["v"], t.dtype) for r in rows]
 
 
