@@ -75,3 +75,31 @@ def test_stored_tensors_are_read_in_order_without_a_shuffle(spark, tmp_path):
     assert found == [((i, j), 8.0 * i + j) for i in (2, 4) for j in range(1, 8) if (8 * i + j) % 5 == 0]
     plan = batches.sparse_elements_frame(s, [In(2, 4)])._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"block#\d+L? >= ", plan) and re.search(r"block#\d+L? <= ", plan)
+
+
+def test_bands_are_bounded_and_values_are_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MOST_BANDS", 5)
+    cells = [((i, (7 * i) % 40), 1.0 + i) for i in range(60)]
+    s = store.write(frames.from_sparse_elements(spark, (60, 40), cells), f"file://{tmp_path}/s", band_blocks=3)
+    assert s.meta["band_blocks"] == 480 and s.stored_bands() == [0, 1, 2, 3, 4]
+    s = s.write_value((2, 3), 77.0)
+    assert len(s.meta["bands"]) == 1
+    assert sorted(map(tuple, store.load(spark, s.path).rows().collect())) == sorted([(*c, v) for c, v in cells] + [(2, 3, 77.0)])
+    s.validate()
+
+
+@pytest.mark.parametrize("most", [1, 16])
+def test_filled_cells_are_written_without_a_shuffle_of_cells(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(store, "OPEN_BANDS", most)
+    monkeypatch.setattr(store, "BAND_CELLS", 256)
+    seen = []
+    monkeypatch.setattr(store, "_save", lambda out, *a, save=store._save: (seen.append(out._jdf.queryExecution().executedPlan().toString()), save(out, *a)))
+    x = np.zeros((60, 40))
+    x[::7, 3] = 4
+    t = frames.from_sparse_elements(spark, x.shape, [(tuple(map(int, c)), 4.0) for c in np.argwhere(x)])
+    s = store.copy_from_values(t, f"file://{tmp_path}/s", capacity=64)
+    assert (s.to_numpy() == x).all() and not s.sparse and len(s.stored_bands()) == 10
+    s.validate()
+    assert [v for b in batches.read_blocks(s) for v in b] == x.ravel().tolist()
+    assert len(seen) == 1 and "Join" not in seen[0] and seen[0].count("rangepartitioning") == 1 and seen[0].count("Sort [") == 1
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
