@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +16,10 @@ from ..functions import dtypes as D
 from ..functions import scalar as S
 from ..tensor import Tensor, axes, grid
 
-#: Side of the square tiles of the blocked product.
-TILE = 128
+#: Side of the square tiles of the blocked product, and that of larger ones where there are many.
+TILE, MOST_SIDE = 128, 1 << 12
+#: Inner coordinates in one row of a tile, cells of a strip of a tile at most, and cells that are made at a time.
+FINE, STRIP, CELLS = 1 << 10, 1 << 23, 1 << 20
 #: Rows of marks (one for each place of the outer axes) up to which a sparse product is made in one pass.
 MOST_MARKS = 1 << 24
 
@@ -98,8 +103,9 @@ def _split(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFram
 
 def matmul(a: Tensor, b: Tensor, method: str = "join") -> Tensor:
     """[..., M, K] @ [..., K, N]. ``join`` contracts by an equi-join on K. ``split`` does so after it has counted the
-    cells at each k, and deals out those with a large share. ``tiles`` multiplies dense tiles with numpy, which moves
-    each value once for every tile row or column instead of every product; integers wrap there as well."""
+    cells at each k, and deals out those with a large share. ``tiles`` multiplies tiles with numpy, which moves
+    each value once for every tile row or column instead of every product; integers wrap there as well, and those of
+    two sparse sides stay sparse."""
     shape = G.matmul_output_shape(a.shape, b.shape)
     if a.dtype != b.dtype:
         raise InvalidSchema(f"dtypes {a.dtype.name} and {b.dtype.name}")
@@ -108,7 +114,8 @@ def matmul(a: Tensor, b: Tensor, method: str = "join") -> Tensor:
     if method not in ("join", "split", "tiles"):
         raise Unsupported(f"matmul by {method}")
     if method == "tiles":
-        out = a.like(_tiled(a, b, batch), shape=shape, sparse=False)
+        stored = d.integer and a.sparse and b.sparse
+        out = a.like(_tiled(a, b, batch, stored), shape=shape, sparse=stored)
         out.factors = (a, b)
         return out
     left = a.df.select(*batch, F.col(f"c{r - 2}").alias("i"), F.col(f"c{r - 1}").alias("k"), F.col("v").alias("x"))
@@ -132,50 +139,116 @@ def matmul(a: Tensor, b: Tensor, method: str = "join") -> Tensor:
     return found
 
 
-def _tiled(a: Tensor, b: Tensor, batch: list[str]) -> DataFrame:
-    r, d = a.ndim, a.dtype
-    rows_of, inner_of, cols_of = (-(-n // TILE) for n in (a.shape[-2], a.shape[-1], b.shape[-1]))
-    i, k, v = F.col(f"c{r - 2}"), F.col(f"c{r - 1}"), F.col("v")
+def _side(m: int, n: int, tasks: int) -> int:
+    """Side of the tiles of a product of m by n: as small as gives every task some, since a value goes to each tile row
+    or column, and larger ones move less."""
+    side = TILE
+    while side < MOST_SIDE and -(-m // side) * -(-n // side) > 4 * tasks:
+        side *= 2
+    return side
+
+
+def _tiled(a: Tensor, b: Tensor, batch: list[str], stored: bool) -> DataFrame:
+    """``stored``: integers of two sparse sides, of which only the cells that are there are moved, to the tiles where
+    the other side has some, and only sums other than zero come back."""
+    r, d, (m, depth), n = a.ndim, a.dtype, a.shape[-2:], b.shape[-1]
+    tasks = int(a.spark.conf.get("spark.sql.shuffle.partitions"))
+    side = _side(m, n, tasks)
+    # Inner coordinates of a group: strips that fit into memory, and more than one where there are few tiles.
+    most = max(1, (STRIP * (8 if stored else 1)) // (side * FINE))
+    fine_of = max(1, min(most, -(-depth // FINE) * -(-m // side) * -(-n // side) // tasks))
+    chunk = FINE * fine_of
+    i, k = F.col(f"c{r - 2}"), F.col(f"c{r - 1}")
     # Integers as longs, which wrap; complex numbers by their parts.
     kind, number = ("long", np.int64) if d.integer else ("double", np.float64)
+    v = F.col("v")
     values = {"v": D.wide(v, d)} if d.integer else {"v": v.cast("double")} if d.kind == "f" else {p: v[p].cast("double") for p in ("re", "im")}
-    to = lambda c: F.call_function("div", c, F.lit(TILE).cast("long"))
-    places = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    within = [(i % TILE).alias("r"), (k % TILE).alias("c"), *(x.alias(n) for n, x in values.items())]
-    left = a.full().select(*batch, to(i).alias("ti"), to(k).alias("tk"), *within).withColumn("tj", places(cols_of))
-    right = b.full().select(*batch, to(i).alias("tk"), to(k).alias("tj"), *within).withColumn("ti", places(rows_of))
-    keys, names, side = [*batch, "ti", "tj", "tk"], list(values), TILE
-
-    def tile(x: pd.DataFrame) -> np.ndarray:
-        parts = np.zeros((len(names), side, side), number)
-        for p, n in zip(parts, names):
-            p[x["r"], x["c"]] = x[n]
-        return parts[0] + 1j * parts[1] if len(names) == 2 else parts[0]
-
-    def product(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        high, wide = int(x["r"].max()) + 1, int(y["c"].max()) + 1
-        depth = max(int(x["c"].max()), int(y["r"].max())) + 1
-        with np.errstate(all="ignore"):
-            z = tile(x)[:high, :depth] @ tile(y)[:depth, :wide]
-        at = np.indices(z.shape)
-        out = pd.DataFrame({c: key[n] for n, c in enumerate(batch)}, index=range(z.size))
-        out["i"] = key[-3] * side + at[0].ravel()
-        out["j"] = key[-2] * side + at[1].ravel()
-        for n, part in zip(names, (z.real, z.imag)):
-            out[n] = part.ravel()
-        return out
-
-    shape = ", ".join([*(f"{c} long" for c in batch), "i long", "j long", *(f"{n} {kind}" for n in names)])
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, shape)
-    if inner_of > 1:
+    names, keys = list(values), [*batch, "ti", "tj", "tc"]
+    to = lambda c, by: F.call_function("div", c, F.lit(by).cast("long"))
+
+    def packed(t: Tensor, outer: Column, inner: Column, tile: str) -> DataFrame:
+        """A row for each outer coordinate and short run of inner ones."""
+        cell = F.struct((inner % chunk).cast("int").alias("c"), *(x.alias(name) for name, x in values.items()))
+        cells = (t.df if stored else t.full()).select(*batch, to(outer, side).alias(tile), to(inner, FINE).alias("tk"), (outer % side).cast("int").alias("o"), cell.alias("x"))
+        return cells.groupBy(*batch, tile, "tk", "o").agg(F.collect_list("x").alias("x"))
+
+    left, right = packed(a, i, k, "ti"), packed(b, k, i, "tj")
+    if stored:
+        at = [*batch, "tk"]
+        sides = left.join(right.select(*at, "tj").distinct(), at), right.join(left.select(*at, "ti").distinct(), at)
+    else:
+        places = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-size // side) - 1).cast("long")))
+        sides = left.withColumn("tj", places(n)), right.withColumn("ti", places(m))
+    rows = [x.select(*batch, "ti", "tj", to(F.col("tk"), fine_of).alias("tc"), F.lit(is_left).alias("l"), "o", *(F.col(f"x.{name}").alias(name) for name in ("c", *names))) for x, is_left in zip(sides, (True, False))]
+
+    def product(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bool, list] = {True: [], False: []}
+        for x in batches:
+            for is_left, kept in found.items():
+                y = x.filter(x.column("l") if is_left else pc.invert(x.column("l")))
+                if y.num_rows:
+                    o = np.repeat(y.column("o").to_numpy(zero_copy_only=False), pc.list_value_length(y.column("c")).to_numpy(zero_copy_only=False))
+                    kept.append((o, *(pc.list_flatten(y.column(name)).to_numpy(zero_copy_only=False) for name in ("c", *names))))
+        if not found[True] or not found[False]:
+            return
+        (lo, lc, *lv), (ro, rc, *rv) = ([np.concatenate(x) for x in zip(*found[s])] for s in (True, False))
+        high, wide = int(lo.max()) + 1, int(ro.max()) + 1
+        if stored:
+            z = _added(lo, lc, lv[0], ro, rc, rv[0], high, wide)
+        else:
+            inner = max(int(lc.max()), int(rc.max())) + 1
+            x, y = (_dense(o, c, v, shape, number) for o, c, v, shape in ((lo, lc, lv, (high, inner)), (rc, ro, rv, (inner, wide))))
+            with np.errstate(all="ignore"):
+                z = x @ y
+        outer, (ti, tj) = [x.as_py() for x in key[: len(batch)]], (key[-3].as_py(), key[-2].as_py())
+        slab = max(1, CELLS // wide)
+        for top in range(0, high, slab):
+            part = z[top : top + slab]
+            at = np.nonzero(part) if stored else tuple(x.ravel() for x in np.indices(part.shape))
+            cells = part[at]
+            columns = [np.full(cells.size, c, np.int64) for c in outer] + [ti * side + top + at[0], tj * side + at[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *((cells.real, cells.imag) if len(names) == 2 else (cells,)))], names=[*batch, "i", "j", *names])
+
+    schema = ", ".join([*(f"{c} long" for c in batch), "i long", "j long", *(f"{name} {kind}" for name in names)])
+    parts = rows[0].unionByName(rows[1]).groupBy(*keys).applyInArrow(product, schema)
+    if depth > chunk:
         from .reduce import _sum_int
 
-        add = (lambda n: _sum_int(F.col(n), D.DTYPES["i64"])) if d.integer else F.sum
-        parts = parts.groupBy(*batch, "i", "j").agg(*(add(n).alias(n) for n in names))
+        add = (lambda name: _sum_int(F.col(name), D.DTYPES["i64"])) if d.integer else F.sum
+        parts = parts.groupBy(*batch, "i", "j").agg(*(add(name).alias(name) for name in names))
     v = D.narrow(F.col("v"), d) if d.integer else F.col("v").cast(d.sql) if d.kind == "f" else D.make(F.col("re"), F.col("im"), d)
     return parts.select(*batch, F.col("i").alias(f"c{r - 2}"), F.col("j").alias(f"c{r - 1}"), v.alias("v"))
 
 
+def _dense(row: np.ndarray, column: np.ndarray, values: list[np.ndarray], shape: tuple[int, int], number) -> np.ndarray:
+    parts = np.zeros((len(values), *shape), number)
+    for p, v in zip(parts, values):
+        p[row, column] = v
+    return parts[0] + 1j * parts[1] if len(values) == 2 else parts[0]
+
+
+def _added(lo, lc, lv, ro, rc, rv, high: int, wide: int) -> np.ndarray:
+    """Sums of the products of cells that meet at an inner coordinate, some millions of them at a time."""
+    z = np.zeros(high * wide, np.int64)
+    order = np.argsort(rc, kind="stable")
+    ro, rv = ro[order], rv[order]
+    size = max(int(lc.max()), int(rc.max())) + 1
+    counts = np.bincount(rc, minlength=size)
+    begins = np.cumsum(counts) - counts
+    met = counts[lc]
+    ends = np.cumsum(met)
+    start = 0
+    while start < lc.size:
+        done = ends[start] - met[start]
+        stop = max(start + 1, int(np.searchsorted(ends, done + CELLS, "right")))
+        n = met[start:stop]
+        own = np.repeat(np.arange(start, stop), n)
+        other = np.arange(own.size) - np.repeat(ends[start:stop] - n - done, n) + begins[lc[own]]
+        np.add.at(z, lo[own].astype(np.int64) * wide + ro[other], lv[own] * rv[other])
+        start = stop
+    return z.reshape(high, wide)
+
+
 def mt(t: Tensor) -> Tensor:
     """The last two axes swapped."""
     if t.ndim < 2:

@@ -153,3 +153,30 @@ def test_chains_of_long_products_stay_short(spark):
     assert lengths[49] - lengths[39] < 2 * (lengths[19] - lengths[9])
     u = from_values(spark, (2,), [2**64 - 1, 5], "u64").mul_scalar(2**63 + 7).sub_scalar(9)
     assert u.to_numpy().tolist() == [D.wrap_int((2**64 - 1) * (2**63 + 7) - 9, D.dtype("u64")), D.wrap_int(5 * (2**63 + 7) - 9, D.dtype("u64"))]
+
+
+@pytest.mark.parametrize("side,fine,strip", [(4, 2, 8), (4, 2, 1 << 20), (8, 1024, 1 << 20)])
+def test_tiles_of_stored_integers_move_no_absent_cells(spark, monkeypatch, side, fine, strip):
+    for name, value in (("TILE", side), ("MOST_SIDE", 2 * side), ("FINE", fine), ("STRIP", strip), ("CELLS", 5)):
+        monkeypatch.setattr(matrix, name, value)
+    a, b = (np.where(DRAW.random(s) < 0.2, DRAW.integers(-(2**62), 2**62, s), 0) for s in ((2, 21, 17), (2, 17, 30)))
+    a[:, 4:9], b[0, :, 3] = 0, 0
+    with np.errstate(all="ignore"):
+        wanted = a @ b
+    x, y = tensor(spark, a, "i64"), tensor(spark, b, "i64")
+    monkeypatch.setattr(type(x), "full", None)  # nothing is filled in
+    found = x.matmul(y, "tiles")
+    assert found.sparse
+    rows = {tuple(r[:3]): r[3] for r in found.rows().collect()}
+    assert rows == {c: v for c, v in np.ndenumerate(wanted) if v}
+
+
+@pytest.mark.parametrize("strip,cells", [(8, 3), (1 << 20, 1 << 20)])
+def test_tiles_grow_with_the_product(spark, monkeypatch, strip, cells):
+    for name, value in (("TILE", 2), ("MOST_SIDE", 16), ("FINE", 2), ("STRIP", strip), ("CELLS", cells)):
+        monkeypatch.setattr(matrix, name, value)
+    assert matrix._side(40, 30, 4) == 16 and matrix._side(2, 2, 4) == 2 and matrix._side(10**6, 10**6, 4) == 16
+    a, b = DRAW.normal(size=(40, 9)), DRAW.normal(size=(9, 30))
+    a[3, 4] = np.inf
+    with np.errstate(all="ignore"):
+        np.testing.assert_allclose(tensor(spark, a).matmul(tensor(spark, b), "tiles").to_numpy(), a @ b, rtol=1e-9)
