@@ -270,8 +270,8 @@ def diag(t: Tensor) -> Tensor:
     if factors := getattr(t, "factors", None):
         # Of a product only the cells of its diagonal: products of equal places, added up.
         wide = {"f": "f64", "c": "c64"}.get(t.dtype.kind, t.dtype.name)
-        a, b = (x.cast(wide) for x in factors)
-        found = a.mul(mt(b)).sum([a.ndim - 1]).cast(t.dtype)
+        a, b = factors
+        found = a.cast(wide).mul(mt(b).cast(wide)).sum([a.ndim - 1]).cast(t.dtype)
         return found.like(found.df, sparse=True) if t.sparse else found
     frame = t.df.where(F.col(f"c{r - 2}") == F.col(f"c{r - 1}")).drop(f"c{r - 1}")
     return t.like(frame, shape=t.shape[:-1])

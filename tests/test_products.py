@@ -180,3 +180,13 @@ def test_tiles_grow_with_the_product(spark, monkeypatch, strip, cells):
     a[3, 4] = np.inf
     with np.errstate(all="ignore"):
         np.testing.assert_allclose(tensor(spark, a).matmul(tensor(spark, b), "tiles").to_numpy(), a @ b, rtol=1e-9)
+
+
+def test_a_tensor_turned_back_meets_itself_without_a_join(spark):
+    x = np.where(DRAW.random((4, 6, 5)) < 0.5, np.round(DRAW.normal(size=(4, 6, 5)), 2), 0)
+    t = tensor(spark, x)
+    np.testing.assert_array_equal(t.transpose([2, 0, 1]).transpose([2, 0, 1]).to_numpy(), x.transpose(2, 0, 1).transpose(2, 0, 1))
+    assert t.transpose([2, 0, 1]).transpose([1, 2, 0]).frame is t.frame and t.transpose([2, 0, 1]).transpose([2, 0, 1]).frame is not t.frame
+    d = t.matmul(t.mt()).diag()
+    np.testing.assert_allclose(d.to_numpy(), (x * x).sum(2), rtol=1e-9)
+    assert "Join" not in plan(d.rows())
