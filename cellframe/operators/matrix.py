@@ -22,6 +22,9 @@ TILE, MOST_SIDE = 128, 1 << 12
 FINE, STRIP, CELLS = 1 << 10, 1 << 23, 1 << 20
 #: Rows of marks (one for each place of the outer axes) up to which a sparse product is made in one pass.
 MOST_MARKS = 1 << 24
+#: Cells of a product up to which every task holds the sums of all. Beyond, sums are dealt out by runs of outer
+#: coordinates, of so many at least and at most; a row of arrays has so many cells of the right side at most.
+HELD, LEAST_RUN, MOST_RUN, ROW = 1 << 16, 1 << 6, 1 << 10, 1 << 12
 
 
 def _contract(a: Column, b: Column, d: D.DType) -> Column:
@@ -36,6 +39,15 @@ def _contract(a: Column, b: Column, d: D.DType) -> Column:
     return _sum_int(D.int_mul(a, b, d), d)
 
 
+def _summed(d: D.DType) -> Column:
+    """Sum of the partial sums ``v`` of a group, in the dtype."""
+    if d.integer:
+        from .reduce import _sum_int
+
+        return _sum_int(F.col("v"), d)
+    return D.make(F.sum("v.re"), F.sum("v.im"), d) if d.kind == "c" else F.sum(F.col("v").cast("double")).cast(d.sql)
+
+
 def _finite(v: Column, d: D.DType) -> Column:
     one = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
     return one(v["re"]) & one(v["im"]) if d.kind == "c" else one(v)
@@ -62,24 +74,27 @@ def _marked(side: DataFrame, v: str, mine: int, other: int, batch: list[str], ow
     return rows.unionByName(marks.select("*", D.zero(d).alias(v), F.lit(other).cast("long").alias("k")))
 
 
-def _with_marks(a: Tensor, b: Tensor, left: DataFrame, right: DataFrame, batch: list[str]) -> DataFrame:
+def _with_marks(a: Tensor, b: Tensor, left: DataFrame, right: DataFrame, batch: list[str], meet) -> DataFrame:
     """The contraction in one pass over each side. A cell is NaN if a non-finite value of its row or column met no
     value of the other side: if it has more marks than such values that met."""
     d = a.dtype
     left = _marked(left, "x", -1, -2, batch, "i", a.shape[:-1], d)
     right = _marked(right, "y", -2, -1, batch, "j", (*b.shape[:-2], b.shape[-1]), d)
-    met = left.join(right, [*batch, "k"])
+    met, groups = meet(left, right)
     real = F.col("k") >= 0
     if d.kind == "c":
         p = S.ARITHMETIC["mul"].column(F.col("x"), F.col("y"), D.DTYPES["c64"])
-        sums = [F.sum(F.when(real, p[x])).alias(x) for x in ("re", "im")]
+        sums = {x: F.when(real, p[x]) for x in ("re", "im")}
     else:
-        sums = [F.sum(F.when(real, F.col("x").cast("double") * F.col("y").cast("double"))).alias("sum")]
+        sums = {"sum": F.when(real, F.col("x").cast("double") * F.col("y").cast("double"))}
     # Marks of a cell less the values that met: none are left where each met one.
-    left_over = lambda mark, v: F.sum(F.when(F.col("k") == mark, 1).when(real & ~_finite(F.col(v), d), -1).otherwise(0)) > 0
-    missed = left_over(-1, "x") | left_over(-2, "y")
-    out = met.groupBy(*batch, "i", "j").agg(*sums, missed.alias("missed"))
-    nan = lambda c: F.when(F.col("missed"), float("nan")).otherwise(F.col(c))
+    odd = lambda v: F.when(_finite(F.col(v), d), 0).otherwise(1)
+    sums["missed"] = F.when(real, -(odd("x") + odd("y"))).otherwise(1)
+    out = met
+    for group in groups:
+        out = out.groupBy(*batch, *group).agg(*(F.sum(x).alias(name) for name, x in sums.items()))
+        sums = {name: F.col(name) for name in sums}
+    nan = lambda c: F.when(F.col("missed") > 0, float("nan")).otherwise(F.col(c))
     return out.select(*batch, "i", "j", (D.make(nan("re"), nan("im"), d) if d.kind == "c" else nan("sum").cast(d.sql)).alias("v"))
 
 
@@ -101,9 +116,40 @@ def _split(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFram
     return left, right, [*keys, "salt"]
 
 
+def _dealt(left: DataFrame, right: DataFrame, batch: list[str], outer, counted: bool) -> tuple[DataFrame, list[list[str]]]:
+    """Products of the cells that meet, dealt out by runs of the left side's outer coordinates (``outer``: their shape,
+    with that of the batch), so that all of a sum come to one task; and the groups in which to add them up. The cells
+    of both sides at an inner coordinate travel as arrays, once for each run that has some there, and products are made
+    behind the exchange. ``counted``: a job counts the cells of the runs; those with more than twice an even share are
+    dealt out by the inner coordinate too, and their sums added up once more."""
+    tasks, size, keys = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), G.size(outer), [*batch, "k"]
+    side = max(min(max(-(-size // tasks), LEAST_RUN), MOST_RUN), -(-size // (16 * tasks)))
+    runs = max(1, -(-size // side))
+    flat = F.lit(0).cast("long")
+    for c, s in zip([*batch, "i"], G.contiguous_strides(outer)):
+        flat = flat + F.col(c) * F.lit(s)
+    left = left.withColumn("run", F.call_function("div", flat, F.lit(side).cast("long")).cast("int"))
+    groups = [["run", "i", "j"]]
+    if counted:
+        counts = dict(map(tuple, left.groupBy("run").count().collect()))
+        if heavy := [run for run, n in counts.items() if n * runs > 2 * sum(counts.values())]:
+            further = F.pmod(F.col("run") + F.pmod(F.xxhash64(*keys), F.lit(runs)), F.lit(runs)).cast("int")
+            left = left.withColumn("run", F.when(F.col("run").isin(heavy), further).otherwise(F.col("run")))
+            groups.append(["i", "j"])
+    lefts = left.repartition(tasks, *keys).groupBy(*keys, "run").agg(F.collect_list(F.struct("i", "x")).alias("l"))
+    row = F.call_function("div", F.col("j"), F.lit(ROW).cast("long")).alias("row")
+    rights = right.repartition(tasks, *keys).groupBy(*keys, row).agg(F.collect_list(F.struct("j", "y")).alias("r"))
+    met = lefts.join(rights, keys).select(*keys, "run", *(F.col(c).alias(name) for c, name in (("l.i", "is"), ("l.x", "xs"), ("r.j", "js"), ("r.y", "ys"))))
+    met = met.repartitionById(runs, F.col("run"))
+    met = met.select("*", F.posexplode("is").alias("at", "i")).select(*keys, "run", "i", F.col("xs")[F.col("at")].alias("x"), "js", "ys")
+    met = met.select("*", F.posexplode("js").alias("at", "j")).select(*keys, "run", "i", "x", "j", F.col("ys")[F.col("at")].alias("y"))
+    return met, groups
+
+
 def matmul(a: Tensor, b: Tensor, method: str = "join") -> Tensor:
-    """[..., M, K] @ [..., K, N]. ``join`` contracts by an equi-join on K. ``split`` does so after it has counted the
-    cells at each k, and deals out those with a large share. ``tiles`` multiplies tiles with numpy, which moves
+    """[..., M, K] @ [..., K, N]. ``join`` contracts by an equi-join on K; of products with many cells, all of a sum meet
+    in one task. ``split`` does so after it has counted the cells at each k (of such products, those of each run of
+    outer coordinates), and deals out those with a large share. ``tiles`` multiplies tiles with numpy, which moves
     each value once for every tile row or column instead of every product; integers wrap there as well, and those of
     two sparse sides stay sparse."""
     shape = G.matmul_output_shape(a.shape, b.shape)
@@ -121,16 +167,25 @@ def matmul(a: Tensor, b: Tensor, method: str = "join") -> Tensor:
     left = a.df.select(*batch, F.col(f"c{r - 2}").alias("i"), F.col(f"c{r - 1}").alias("k"), F.col("v").alias("x"))
     right = b.df.select(*batch, F.col(f"c{r - 2}").alias("k"), F.col(f"c{r - 1}").alias("j"), F.col("v").alias("y"))
     finite = d.integer or not (a.sparse or b.sparse)
-    if not finite and method == "join" and G.size(a.shape[:-1]) + G.size(shape[:-2]) * shape[-1] <= MOST_MARKS:
-        out = _with_marks(a, b, left, right, batch)
-    else:
+    many = shape[-2] * shape[-1] > HELD
+
+    def meet(left: DataFrame, right: DataFrame) -> tuple[DataFrame, list[list[str]]]:
+        if many:
+            return _dealt(left, right, batch, a.shape[:-1], method == "split")
         keys = [*batch, "k"]
         sides = _split(left, right, keys) if method == "split" else (left, right, keys)
-        out = sides[0].join(sides[1], sides[2]).groupBy(*batch, "i", "j").agg(_contract(F.col("x"), F.col("y"), d).alias("v"))
+        return sides[0].join(sides[1], sides[2]), [["i", "j"]]
+
+    if not finite and (many or method == "join") and G.size(a.shape[:-1]) + G.size(shape[:-2]) * shape[-1] <= MOST_MARKS:
+        out = _with_marks(a, b, left, right, batch, meet)
+    else:
+        out, (first, *further) = meet(left, right)
+        out = out.groupBy(*batch, *first).agg(_contract(F.col("x"), F.col("y"), d).alias("v"))
+        for group in further:
+            out = out.groupBy(*batch, *group).agg(_summed(d).alias("v"))
         if not finite:
-            parts = out.unionByName(_absent_times_non_finite(a, b, left, right, batch))
-            value = D.make(F.sum("v.re"), F.sum("v.im"), d) if d.kind == "c" else F.sum(F.col("v").cast("double")).cast(d.sql)
-            out = parts.groupBy(*batch, "i", "j").agg(value.alias("v"))
+            parts = out.select(*batch, "i", "j", "v").unionByName(_absent_times_non_finite(a, b, left, right, batch))
+            out = parts.groupBy(*batch, "i", "j").agg(_summed(d).alias("v"))
     out = out.select(*batch, F.col("i").alias(f"c{r - 2}"), F.col("j").alias(f"c{r - 1}"), "v")
     # A product with a sparse side may lack cells.
     found = a.like(out, shape=shape, sparse=a.sparse or b.sparse)

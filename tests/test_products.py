@@ -190,3 +190,54 @@ def test_a_tensor_turned_back_meets_itself_without_a_join(spark):
     d = t.matmul(t.mt()).diag()
     np.testing.assert_allclose(d.to_numpy(), (x * x).sum(2), rtol=1e-9)
     assert "Join" not in plan(d.rows())
+
+
+def test_products_with_many_cells_are_made_behind_the_exchange(spark):
+    from test_filled import moved
+
+    draw = np.random.default_rng(3)
+    x = np.zeros((64, 300))
+    for row in x:
+        row[draw.choice(300, 30, replace=False)] = draw.integers(1, 9, 30)
+    t = tensor(spark, x)
+    for method in ("join", "split"):
+        p = t.mt().matmul(t, method)
+        rows = {tuple(r[:2]): r[2] for r in p.rows().collect()}
+        assert rows == {c: v for c, v in np.ndenumerate(x.T @ x) if v}
+        assert moved(spark, p.rows()) < 10 * np.count_nonzero(x) < len(rows) / 2
+    text = p.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text[: text.index("Generate")]  # sums and products are in one stage
+
+
+@pytest.mark.parametrize("method", ["join", "split"])
+@pytest.mark.parametrize("least,row,most", [(1, 2, 1 << 24), (2, 1 << 12, 0), (1 << 6, 1 << 12, 1 << 24)])
+def test_runs_of_outer_coordinates(spark, monkeypatch, method, least, row, most):
+    for name, value in (("HELD", 0), ("LEAST_RUN", least), ("ROW", row), ("MOST_MARKS", most)):
+        monkeypatch.setattr(matrix, name, value)
+    a, b = (np.where(DRAW.random(s) < 0.4, np.round(DRAW.normal(size=s), 2), 0) for s in ((2, 9, 6), (2, 6, 7)))
+    ints = [np.where(DRAW.random(s) < 0.4, DRAW.integers(-(2**62), 2**62, s), 0) for s in ((2, 9, 6), (2, 6, 7))]
+    a[0, 3:5] = 0
+    a[0, 1, 2], a[1, 0, 0], b[0, 3, 3], b[1, 5, 1], b[1, 2, 2] = np.inf, np.nan, -np.inf, np.inf, np.nan
+    with np.errstate(all="ignore"):
+        wanted = a @ b
+        for sparse in itertools.product((True, False), repeat=2):
+            x, y = (tensor(spark, v, sparse=s) for v, s in zip((a, b), sparse))
+            np.testing.assert_allclose(x.matmul(y, method).to_numpy(), wanted, rtol=1e-9)
+        x, y = (tensor(spark, v, "i64") for v in ints)
+        np.testing.assert_array_equal(x.matmul(y, method).to_numpy(), ints[0] @ ints[1])
+        z = tensor(spark, a[0].astype(complex), "c64").matmul(tensor(spark, b[0].astype(complex), "c64"), method).to_numpy()
+    assert (np.isnan(z.real) == np.isnan(wanted[0])).all()
+
+
+def test_one_run_with_half_of_all_cells(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "HELD", 0)
+    monkeypatch.setattr(matrix, "LEAST_RUN", 8)
+    x = np.where(DRAW.random((64, 400)) < 0.02, DRAW.integers(1, 9, (64, 400)), 0).astype(float)
+    x[5] = 1
+    x[6, 3] = np.inf
+    a, b = tensor(spark, x), tensor(spark, np.round(DRAW.normal(size=(400, 3)), 3))
+    with np.errstate(all="ignore"):
+        np.testing.assert_allclose(a.matmul(b, "split").to_numpy(), x @ b.to_numpy())
+    met, groups = matrix._dealt(a.df.selectExpr("c0 AS i", "c1 AS k", "v AS x"), b.df.selectExpr("c0 AS k", "c1 AS j", "v AS y"), [], (64,), True)
+    sizes = sorted(r["count"] for r in met.groupBy("run").count().collect())
+    assert groups == [["run", "i", "j"], ["i", "j"]] and sizes[-1] < sum(sizes) / 3  # of four runs, instead of more than half
