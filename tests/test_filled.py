@@ -84,3 +84,16 @@ def test_rows_outside_the_shape_fall_away(spark):
     df = spark.createDataFrame([(0, 1, 2.0), (5, 0, 3.0), (1, -1, 4.0), (None, 0, 5.0), (1, 2, 6.0)], "a long, b long, v double")
     t = frames.from_dataframe(df, ["a", "b"], "v", (2, 3), check=False)
     assert [r["v"] for r in t.row_major().collect()] == [0, 2, 0, 0, 0, 6]
+
+
+@pytest.mark.parametrize("name", ["p11_ne_scalar", "p12_gt_scalar", "p13_ge_scalar", "p14_lt_scalar", "p15_le_scalar"])
+def test_predicates_of_the_grid_move_rows_and_not_cells(spark, name):
+    from cellframe.plans import queries as Q
+    from cellframe.plans import tables
+
+    sf = "/root/testdata/sf0.01"
+    df, q = Q.QUERIES[name](spark, sf), tables.quantity(spark, sf)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    # The lines to their cells, the cells to their parts, a mark for each part of 4,096 cells or more.
+    assert "Join" not in executed(df) and moved(spark, df) <= 2 * lines + -(-q.size // T.RUN)
+    assert df.count() == q.size > 3 * lines
