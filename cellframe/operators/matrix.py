@@ -15,6 +15,7 @@ from ..errors import InvalidSchema, Unsupported
 from ..functions import dtypes as D
 from ..functions import scalar as S
 from ..tensor import Tensor, axes, grid
+from .runs import sums as run_sums
 
 #: Side of the square tiles of the blocked product, and that of larger ones where there are many.
 TILE, MOST_SIDE = 128, 1 << 12
@@ -23,8 +24,8 @@ FINE, STRIP, CELLS = 1 << 10, 1 << 23, 1 << 20
 #: Rows of marks (one for each place of the outer axes) up to which a sparse product is made in one pass.
 MOST_MARKS = 1 << 24
 #: Cells of a product up to which every task holds the sums of all. Beyond, sums are dealt out by runs of outer
-#: coordinates, of so many at least and at most; a row of arrays has so many cells of the right side at most.
-HELD, LEAST_RUN, MOST_RUN, ROW = 1 << 16, 1 << 6, 1 << 10, 1 << 12
+#: coordinates, of so many at least and at most; a row of arrays has so many cells of the right side, or of sums, at most.
+HELD, LEAST_RUN, MOST_RUN, ROW = 1 << 16, 1 << 6, 1 << 10, 1 << 8
 
 
 def _contract(a: Column, b: Column, d: D.DType) -> Column:
@@ -74,13 +75,12 @@ def _marked(side: DataFrame, v: str, mine: int, other: int, batch: list[str], ow
     return rows.unionByName(marks.select("*", D.zero(d).alias(v), F.lit(other).cast("long").alias("k")))
 
 
-def _with_marks(a: Tensor, b: Tensor, left: DataFrame, right: DataFrame, batch: list[str], meet) -> DataFrame:
+def _with_marks(a: Tensor, b: Tensor, left: DataFrame, right: DataFrame, batch: list[str]) -> DataFrame:
     """The contraction in one pass over each side. A cell is NaN if a non-finite value of its row or column met no
     value of the other side: if it has more marks than such values that met."""
     d = a.dtype
     left = _marked(left, "x", -1, -2, batch, "i", a.shape[:-1], d)
     right = _marked(right, "y", -2, -1, batch, "j", (*b.shape[:-2], b.shape[-1]), d)
-    met, groups = meet(left, right)
     real = F.col("k") >= 0
     if d.kind == "c":
         p = S.ARITHMETIC["mul"].column(F.col("x"), F.col("y"), D.DTYPES["c64"])
@@ -90,10 +90,7 @@ def _with_marks(a: Tensor, b: Tensor, left: DataFrame, right: DataFrame, batch:
     # Marks of a cell less the values that met: none are left where each met one.
     odd = lambda v: F.when(_finite(F.col(v), d), 0).otherwise(1)
     sums["missed"] = F.when(real, -(odd("x") + odd("y"))).otherwise(1)
-    out = met
-    for group in groups:
-        out = out.groupBy(*batch, *group).agg(*(F.sum(x).alias(name) for name, x in sums.items()))
-        sums = {name: F.col(name) for name in sums}
+    out = left.join(right, [*batch, "k"]).groupBy(*batch, "i", "j").agg(*(F.sum(x).alias(name) for name, x in sums.items()))
     nan = lambda c: F.when(F.col("missed") > 0, float("nan")).otherwise(F.col(c))
     return out.select(*batch, "i", "j", (D.make(nan("re"), nan("im"), d) if d.kind == "c" else nan("sum").cast(d.sql)).alias("v"))
 
@@ -117,18 +114,18 @@ def _split(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFram
 
 
 def _dealt(left: DataFrame, right: DataFrame, batch: list[str], outer, counted: bool) -> tuple[DataFrame, list[list[str]]]:
-    """Products of the cells that meet, dealt out by runs of the left side's outer coordinates (``outer``: their shape,
-    with that of the batch), so that all of a sum come to one task; and the groups in which to add them up. The cells
-    of both sides at an inner coordinate travel as arrays, once for each run that has some there, and products are made
-    behind the exchange. ``counted``: a job counts the cells of the runs; those with more than twice an even share are
-    dealt out by the inner coordinate too, and their sums added up once more."""
+    """The cells that meet, dealt out by runs of the left side's outer coordinates (``outer``: their shape, with that of
+    the batch), so that all of a sum come to one task; and the groups in which to add them up. The cells of both sides at
+    an inner coordinate travel as arrays, once for each run that has some there. ``counted``: a job counts the cells of
+    the runs; those with more than twice an even share are dealt out by the inner coordinate too, and their sums added
+    up once more. A partition holds whole runs."""
     tasks, size, keys = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), G.size(outer), [*batch, "k"]
     side = max(min(max(-(-size // tasks), LEAST_RUN), MOST_RUN), -(-size // (16 * tasks)))
     runs = max(1, -(-size // side))
     flat = F.lit(0).cast("long")
     for c, s in zip([*batch, "i"], G.contiguous_strides(outer)):
         flat = flat + F.col(c) * F.lit(s)
-    left = left.withColumn("run", F.call_function("div", flat, F.lit(side).cast("long")).cast("int"))
+    left = left.withColumn("o", flat).withColumn("run", F.call_function("div", F.col("o"), F.lit(side).cast("long")).cast("int"))
     groups = [["run", "i", "j"]]
     if counted:
         counts = dict(map(tuple, left.groupBy("run").count().collect()))
@@ -136,14 +133,48 @@ def _dealt(left: DataFrame, right: DataFrame, batch: list[str], outer, counted:
             further = F.pmod(F.col("run") + F.pmod(F.xxhash64(*keys), F.lit(runs)), F.lit(runs)).cast("int")
             left = left.withColumn("run", F.when(F.col("run").isin(heavy), further).otherwise(F.col("run")))
             groups.append(["i", "j"])
-    lefts = left.repartition(tasks, *keys).groupBy(*keys, "run").agg(F.collect_list(F.struct("i", "x")).alias("l"))
-    row = F.call_function("div", F.col("j"), F.lit(ROW).cast("long")).alias("row")
-    rights = right.repartition(tasks, *keys).groupBy(*keys, row).agg(F.collect_list(F.struct("j", "y")).alias("r"))
-    met = lefts.join(rights, keys).select(*keys, "run", *(F.col(c).alias(name) for c, name in (("l.i", "is"), ("l.x", "xs"), ("r.j", "js"), ("r.y", "ys"))))
-    met = met.repartitionById(runs, F.col("run"))
-    met = met.select("*", F.posexplode("is").alias("at", "i")).select(*keys, "run", "i", F.col("xs")[F.col("at")].alias("x"), "js", "ys")
-    met = met.select("*", F.posexplode("js").alias("at", "j")).select(*keys, "run", "i", "x", "j", F.col("ys")[F.col("at")].alias("y"))
-    return met, groups
+    lefts = left.repartition(tasks, *keys).groupBy(*keys, "run").agg(F.collect_list(F.struct("o", "x")).alias("l"))
+    # By their number, for cells that are far apart; by far larger ranges before, so that no array holds a whole row.
+    far = F.call_function("div", F.col("j"), F.lit(ROW << 12).cast("long")).alias("far")
+    rights = right.repartition(tasks, *keys).groupBy(*keys, far).agg(F.collect_list(F.struct("j", "y")).alias("r"))
+    cut = F.transform(F.sequence(F.lit(1), F.size("r"), F.lit(ROW)), lambda at: F.slice("r", at, F.lit(ROW)))
+    rights = rights.select(*keys, F.explode(F.when(F.size("r") <= ROW, F.array("r")).otherwise(cut)).alias("r"))
+    met = lefts.join(rights, keys).select("run", (F.col("k") < 0).alias("mark"), *(F.col(c).alias(name) for c, name in (("l.o", "os"), ("l.x", "xs"), ("r.j", "js"), ("r.y", "ys"))))
+    return met.repartitionById(runs, F.col("run")), groups
+
+
+def _by_runs(a: Tensor, b: Tensor, left: DataFrame, right: DataFrame, batch: list[str], counted: bool, marked: bool) -> DataFrame:
+    """The contraction with products made and added up behind the exchange of ``_dealt``. ``marked``: as in ``_with_marks``."""
+    d, outer = a.dtype, a.shape[:-1]
+    wide = D.DTYPES["i64" if d.integer else "f64" if d.kind == "f" else "c64"]
+    number = lambda v: D.wide(v, d) if d.integer else v.cast("double") if d.kind == "f" else D.make(v["re"], v["im"], wide)
+    left, right = (side.where(F.col(v).isNotNull()).withColumn(v, number(F.col(v))) for side, v in ((left, "x"), (right, "y")))
+    if marked:
+        left = _marked(left, "x", -1, -2, batch, "i", outer, wide)
+        right = _marked(right, "y", -2, -1, batch, "j", (*b.shape[:-2], b.shape[-1]), wide)
+    met, groups = _dealt(left, right, batch, outer, counted)
+    partial, parts = len(groups) > 1, ["re", "im"] if d.kind == "c" else ["v"]
+    sides = [(F.col(f"{v}s.{p}") if d.kind == "c" else F.col(f"{v}s")).alias(f"{v}{p}") for v in "xy" for p in parts]
+    values = [*parts, *(["missed"] if partial and marked else [])]
+    kind = {p: wide.sql if d.kind != "c" else "double" for p in parts} | {"missed": "long"}
+    names, most, row = ["o", "j", *values], CELLS, ROW
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run_sums(batches, parts, names, most, row)
+
+    schema = ", ".join(["o long", "j array<long>", *(f"{v} array<{kind[v]}>" for v in values)])
+    out = met.select("mark", "os", "js", *sides).mapInArrow(product, schema)
+    out = out.select("*", F.posexplode("j").alias("at", "to")).select("o", F.col("to").alias("j"), *(F.col(v)[F.col("at")].alias(v) for v in values))
+    places = [F.pmod(F.call_function("div", F.col("o"), F.lit(s).cast("long")), F.lit(n).cast("long")) for n, s in zip(outer, G.contiguous_strides(outer))]
+    out = out.select(*(c.alias(name) for c, name in zip(places, [*batch, "i"])), "j", *values)
+    if partial:
+        from .reduce import _sum_int
+
+        out = out.groupBy(*batch, "i", "j").agg(*((_sum_int(F.col(v), wide) if d.integer else F.sum(v)).alias(v) for v in values))
+        if marked:
+            out = out.select(*batch, "i", "j", *(F.when(F.col("missed") > 0, float("nan")).otherwise(F.col(p)).alias(p) for p in parts))
+    v = D.narrow(F.col("v"), d) if d.integer else F.col("v").cast(d.sql) if d.kind == "f" else D.make(F.col("re"), F.col("im"), d)
+    return out.select(*batch, "i", "j", v.alias("v"))
 
 
 def matmul(a: Tensor, b: Tensor, method: str = "join") -> Tensor:
@@ -168,24 +199,18 @@ def matmul(a: Tensor, b: Tensor, method: str = "join") -> Tensor:
     right = b.df.select(*batch, F.col(f"c{r - 2}").alias("k"), F.col(f"c{r - 1}").alias("j"), F.col("v").alias("y"))
     finite = d.integer or not (a.sparse or b.sparse)
     many = shape[-2] * shape[-1] > HELD
-
-    def meet(left: DataFrame, right: DataFrame) -> tuple[DataFrame, list[list[str]]]:
-        if many:
-            return _dealt(left, right, batch, a.shape[:-1], method == "split")
+    marked = not finite and (many or method == "join") and G.size(a.shape[:-1]) + G.size(shape[:-2]) * shape[-1] <= MOST_MARKS
+    if many:
+        out = _by_runs(a, b, left, right, batch, method == "split", marked)
+    elif marked:
+        out = _with_marks(a, b, left, right, batch)
+    else:
         keys = [*batch, "k"]
         sides = _split(left, right, keys) if method == "split" else (left, right, keys)
-        return sides[0].join(sides[1], sides[2]), [["i", "j"]]
-
-    if not finite and (many or method == "join") and G.size(a.shape[:-1]) + G.size(shape[:-2]) * shape[-1] <= MOST_MARKS:
-        out = _with_marks(a, b, left, right, batch, meet)
-    else:
-        out, (first, *further) = meet(left, right)
-        out = out.groupBy(*batch, *first).agg(_contract(F.col("x"), F.col("y"), d).alias("v"))
-        for group in further:
-            out = out.groupBy(*batch, *group).agg(_summed(d).alias("v"))
-        if not finite:
-            parts = out.select(*batch, "i", "j", "v").unionByName(_absent_times_non_finite(a, b, left, right, batch))
-            out = parts.groupBy(*batch, "i", "j").agg(_summed(d).alias("v"))
+        out = sides[0].join(sides[1], sides[2]).groupBy(*batch, "i", "j").agg(_contract(F.col("x"), F.col("y"), d).alias("v"))
+    if not finite and not marked:
+        parts = out.select(*batch, "i", "j", "v").unionByName(_absent_times_non_finite(a, b, left, right, batch))
+        out = parts.groupBy(*batch, "i", "j").agg(_summed(d).alias("v"))
     out = out.select(*batch, F.col("i").alias(f"c{r - 2}"), F.col("j").alias(f"c{r - 1}"), "v")
     # A product with a sparse side may lack cells.
     found = a.like(out, shape=shape, sparse=a.sparse or b.sparse)

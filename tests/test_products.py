@@ -241,3 +241,49 @@ def test_one_run_with_half_of_all_cells(spark, monkeypatch):
     met, groups = matrix._dealt(a.df.selectExpr("c0 AS i", "c1 AS k", "v AS x"), b.df.selectExpr("c0 AS k", "c1 AS j", "v AS y"), [], (64,), True)
     sizes = sorted(r["count"] for r in met.groupBy("run").count().collect())
     assert groups == [["run", "i", "j"], ["i", "j"]] and sizes[-1] < sum(sizes) / 3  # of four runs, instead of more than half
+
+
+@pytest.mark.parametrize("method", ["join", "split"])
+@pytest.mark.parametrize("most,row", [(5, 3), (64, 4), (1 << 20, 1 << 8)])
+def test_sums_are_made_some_products_at_a_time(spark, monkeypatch, method, most, row):
+    for name, value in (("HELD", 0), ("LEAST_RUN", 4), ("CELLS", most), ("ROW", row)):
+        monkeypatch.setattr(matrix, name, value)
+    draw = np.random.default_rng(7)
+    a, b = (np.where(draw.random(s) < 0.3, np.round(draw.normal(size=s), 2), 0) for s in ((2, 12, 15), (2, 15, 400)))
+    ints = [np.where(draw.random(s) < 0.3, draw.integers(-(2**62), 2**62, s), 0) for s in (a.shape, b.shape)]
+    a[0, 3], a[1, 5] = 0, 1.5  # a row without cells, and one with more products than are made at a time
+    x, y = tensor(spark, a), tensor(spark, b)
+    p = x.matmul(y, method).rows()
+    np.testing.assert_allclose(x.matmul(y, method).to_numpy(), a @ b, rtol=1e-9, atol=1e-12)
+    text = p._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in text[: text.index("Exchange")]  # no product is a row
+    np.testing.assert_array_equal(tensor(spark, ints[0], "i64").matmul(tensor(spark, ints[1], "i64"), method).to_numpy(), ints[0] @ ints[1])
+    a[0, 1, 2], a[1, 0, 0], b[0, 4, 3], b[1, 5, 1] = np.inf, np.nan, -np.inf, np.inf
+    with np.errstate(all="ignore"):
+        np.testing.assert_allclose(tensor(spark, a).matmul(tensor(spark, b), method).to_numpy(), a @ b, rtol=1e-9, atol=1e-12)
+    a, b = np.nan_to_num(a, posinf=2, neginf=3), np.nan_to_num(b, posinf=2, neginf=3)
+    z = tensor(spark, a * (1 + 2j), "c64").matmul(tensor(spark, b * (3 - 1j), "c64"), method).to_numpy()
+    np.testing.assert_allclose(z, (a * (1 + 2j)) @ (b * (3 - 1j)), rtol=1e-9, atol=1e-12)
+
+
+def test_marks_of_a_run_that_is_dealt_out_are_in_other_tasks(spark, monkeypatch):
+    for name, value in (("HELD", 0), ("LEAST_RUN", 4), ("CELLS", 50)):
+        monkeypatch.setattr(matrix, name, value)
+    draw = np.random.default_rng(9)
+    x, y = (np.where(draw.random(s) < 0.05, draw.integers(1, 9, s), 0).astype(float) for s in ((32, 60), (60, 9)))
+    x[2], y[7] = 1, 2
+    x[2, 7], x[9, 7], x[2, 30], y[30, 4], y[7, 2] = np.inf, -np.inf, np.nan, np.inf, np.inf
+    with np.errstate(all="ignore"):
+        np.testing.assert_allclose(tensor(spark, x).matmul(tensor(spark, y), "split").to_numpy(), x @ y)
+    ints = [np.nan_to_num(v, posinf=5, neginf=6).astype(np.int64) * (2**60 + 1) for v in (x, y)]
+    with np.errstate(all="ignore"):
+        np.testing.assert_array_equal(tensor(spark, ints[0], "i64").matmul(tensor(spark, ints[1], "i64"), "split").to_numpy(), ints[0] @ ints[1])
+
+
+def test_cells_far_apart_travel_in_one_array(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "ROW", 4)
+    left = spark.createDataFrame([(i, k, 1.0) for k in range(30) for i in (k % 3, 3)], "i long, k long, x double")
+    right = spark.createDataFrame([(k, 1000 * n + k, 2.0) for k in range(30) for n in range(8)], "k long, j long, y double")
+    met, _ = matrix._dealt(left, right, [], (4,), False)
+    rows = met.selectExpr("size(js) AS n").collect()
+    assert len(rows) == 30 * 2 and {r["n"] for r in rows} == {4}  # of eight cells for each k, all in one run
