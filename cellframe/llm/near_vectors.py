@@ -9,6 +9,10 @@ chunks the boxes of tiles are compared, then the block's distances. A pair count
 which every task can tell from the two vectors; it is then verified by its exact cosine. Equal vectors are one class
 with a count before all this.
 
+Disk: so many blocks are dealt out at a time, and then so many pairs of chunks, as their vectors keep to ``ROUND_BYTES``,
+or to what one block takes if that is more; what a round moved is gone before the next one. So the bytes moved grow with
+the pairs that are compared, and those that lie on disk with the rows.
+
 Nothing is emitted by pair: a pair of chunks gives its rows' numbers of links and one edge for each row into its part
 of a component, so a group of near copies of any size gives as many rows as it has members. A chunk has at most
 ``CHUNK_ROWS`` rows, whatever group they are of. How much is compared depends on the vectors: clusters apart are not
@@ -38,6 +42,8 @@ CHUNK_ROWS = 16384
 TILE_ROWS = 1024
 #: Candidates that are looked at together.
 PAIRS = 1 << 16
+#: Bytes of vectors that are under way to the pairs of chunks at a time, at least.
+ROUND_BYTES = 512 << 20
 #: By how much the squared distance's budget is widened, for rounding.
 SLACK = 1e-9
 #: By how much more the budget is widened where distances are first looked at as floats.
@@ -122,8 +128,8 @@ def _numbers(keys: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(keys), kind).reshape(len(keys), width).astype(np.float64)
 
 
-def _split(classes: DataFrame) -> DataFrame:
-    """Rows of _PARTS: each vector once for each block."""
+def _split(classes: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows of _PARTS: each vector once for each block from ``first`` up to ``last``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +138,7 @@ def _split(classes: DataFrame) -> DataFrame:
                 part = batch.take(pa.array(np.flatnonzero(widths == width)))
                 x = scaled(_numbers(part.column("key").to_pylist(), width))
                 y = rotated(x / lengths(x)[:, None])
-                for b, (a, z) in enumerate(spans(y.shape[1])):
+                for b, (a, z) in list(enumerate(spans(y.shape[1])))[first:last]:
                     n = len(y)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(curve(y[:, a:z])), part.column("node"), part.column("copies"), part.column("key")],
@@ -274,6 +280,14 @@ def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
+def _where(at: np.ndarray) -> np.ndarray:
+    """Flat places of what is true, which is seldom: eight are looked at together."""
+    flat = np.ascontiguousarray(at).ravel()
+    whole = len(flat) // 8 * 8
+    some = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([some[flat[some]], np.flatnonzero(flat[whole:]) + whole])
+
+
 def compare(a: _Side, b: _Side, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (counted with copies) and labels of a's rows and then b's; with itself, those of a."""
     own = a is b
@@ -290,7 +304,7 @@ def compare(a: _Side, b: _Side, block: int, threshold: float) -> tuple[np.ndarra
             at = a.rows[r] @ b.columns[c].T <= np.float32(reach + COARSE)
             if own and t == s:
                 at = np.triu(at, 1)
-            i, j = np.divmod(np.flatnonzero(at), at.shape[1])
+            i, j = np.divmod(_where(at), at.shape[1])
             # Where much of a tile is near, one product gives all cosines.
             cosines = (a.unit[r] @ b.unit[c].T)[i, j] if len(i) * 16 > at.size else None
             for k in range(0, len(i), PAIRS):
@@ -303,21 +317,14 @@ def compare(a: _Side, b: _Side, block: int, threshold: float) -> tuple[np.ndarra
     return links, label
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding", name: str = "vectors", rows: int = CHUNK_ROWS) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
-    given = _usable(vectors, vec_id, vector)
-    spark = vectors.sparkSession
-    salted = given.where("key is not null").withColumn("_salt", skew.salt("vec_id"))
-    classes = salted.groupBy("width", "key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), skew.salts_used().alias("used"))
-    classes = scratch.Table(classes.withColumn("node", F.monotonically_increasing_id()), name).df
-    # As many partitions as there are chunks, if those are fewer than usual.
-    total = classes.agg(F.sum(F.ceil(F.greatest("width", F.lit(1)) / BLOCK_DIMS))).first()[0] or 0
-    parts = max(1, min(scratch.partitions(spark), -(-total // rows)))
-    sorted_ = _split(classes.select("width", "node", "copies", "key")).repartitionByRange(parts, "width", "block", "curve", "node").sortWithinPartitions("width", "block", "curve", "node")
-    chunks = scratch.Table(_chunks(sorted_, rows), name, batch=8192)
-    met = scratch.Table(_met(chunks.df, threshold).withColumn("pair", F.monotonically_increasing_id()), name).df
-    sides = met.select("pair", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"))
-    sides = sides.join(chunks.df.select("chunk", "width", "block", "payload"), "chunk")
+def _found(chunks: DataFrame, threshold: float, most: int, name: str) -> list[scratch.Table]:
+    """Tables of _MET: links and labels of the pairs of chunks that meet. A table is made of as many pairs as have
+    ``most`` bytes of vectors."""
+    met = scratch.Table(_met(chunks, threshold).withColumn("pair", F.monotonically_increasing_id()), name)
+    sides = met.df.select("pair", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"))
+    sizes = chunks.select("chunk", F.octet_length("payload").alias("size"))
+    total, pairs = sides.join(sizes, "chunk").agg(F.sum("size"), F.count_distinct("pair")).first()
+    rounds = max(1, -(-(total or 0) // most))
 
     def match(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("chunk").to_numpy())
@@ -329,10 +336,40 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
         kernels.release()
         return pa.table({"node": node[some], "label": node[label[some]], "links": links[some]})
 
-    found = scratch.Table(sides.groupBy("pair").applyInArrow(match, _MET), name)
-    chunks.drop()
-    links = found.df.groupBy("node").agg(F.sum("links").alias("links"))
-    label = components.components(found.df.select(F.col("node").alias("a"), F.col("label").alias("b")), name)
+    out = []
+    for k in range(rounds):
+        own = sides.where(F.pmod(F.xxhash64("pair"), F.lit(rounds)) == k) if rounds > 1 else sides
+        # A round has few rows of sides, so chunks go to their pairs at once; a pair has mostly a task of its own.
+        own = (F.broadcast(own) if rounds > 1 else own).join(chunks.select("chunk", "width", "block", "payload"), "chunk")
+        own = own.repartition(4 * -(-pairs // rounds), "pair") if rounds > 1 else own
+        out.append(scratch.Table(own.groupBy("pair").applyInArrow(match, _MET), name))
+    met.drop()
+    return out
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding", name: str = "vectors", rows: int = CHUNK_ROWS) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row."""
+    given = _usable(vectors, vec_id, vector)
+    spark = vectors.sparkSession
+    salted = given.where("key is not null").withColumn("_salt", skew.salt("vec_id"))
+    classes = salted.groupBy("width", "key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), skew.salts_used().alias("used"))
+    classes = scratch.Table(classes.withColumn("node", F.monotonically_increasing_id()), name).df
+    size = F.octet_length("key") + 16
+    n, most, width = classes.agg(F.count(F.lit(1)), F.sum(size), F.max("width")).first()
+    together = max(1, ROUND_BYTES // (most or 1))
+    blocks = len(spans(1 << max(0, (width or 1) - 1).bit_length()))
+    found = []
+    for first in range(0, blocks, together):
+        last = min(first + together, blocks)
+        # As many partitions as there are chunks, if those are fewer than usual.
+        parts = max(1, min(scratch.partitions(spark), -(-n * (last - first) // rows)))
+        sorted_ = _split(classes.select("width", "node", "copies", "key"), first, last).repartitionByRange(parts, "width", "block", "curve", "node").sortWithinPartitions("width", "block", "curve", "node")
+        chunks = scratch.Table(_chunks(sorted_, rows), name, batch=8192)
+        found += _found(chunks.df, threshold, max(ROUND_BYTES, most or 0), name)
+        chunks.drop()
+    found = scratch.together(found, spark, _MET)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    label = components.components(found.select(F.col("node").alias("a"), F.col("label").alias("b")), name)
     known = classes.join(links, "node", "left").join(label, "node", "left")
     known = known.withColumn("root", F.coalesce("label", "node"))
     known = skew.with_groups(known, ["root"], ["node"], component_id=F.min("least"))

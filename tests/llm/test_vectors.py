@@ -59,6 +59,43 @@ def test_no_vectors(spark):
     assert sorted(map(tuple, near_vectors.near_vectors(nulls).collect()), key=str) == [(1, 0, 1, True), (None, 0, None, True)]
 
 
+@pytest.mark.parametrize("most", [1, 40_000])
+def test_rounds_keep_few_vectors_on_disk(spark, monkeypatch, most):
+    draw = random.Random(11)
+    given = [(i, [draw.gauss(0, 1) + (i % 9 == 0) * 6 for _ in range(20)]) for i in range(300)]
+    docs = spark.createDataFrame([*given, (7, given[7][1]), *EDGES], "vec_id long, embedding array<double>").repartition(3)
+    written, dropped, make, drop = [], [], near_vectors.scratch.Table.__init__, near_vectors.scratch.Table.drop
+
+    def made(self, df, *args, **kw):
+        make(self, df, *args, **kw)
+        # Those with vectors: each is gone before the next one is made.
+        if "payload" in self.df.columns:
+            assert set(written) <= set(dropped)
+            written.append(self.path)
+            assert most > 1 or self.df.groupBy("block").count().count() == 1
+        elif self.df.columns == ["node", "label", "links"]:
+            rounds.append(self.path)
+
+    def gone(self):
+        dropped.append(self.path)
+        drop(self)
+
+    rounds = []
+    monkeypatch.setattr(near_vectors, "ROUND_BYTES", most)
+    monkeypatch.setattr(near_vectors.scratch.Table, "__init__", made)
+    monkeypatch.setattr(near_vectors.scratch.Table, "drop", gone)
+    found = sorted((tuple(r) for r in near_vectors.near_vectors(docs, 0.9, rows=40).collect()), key=str)
+    assert found == brute_near([*given, (7, given[7][1]), *EDGES], 0.9)
+    assert len(rounds) > len(written) > 1
+
+
+@pytest.mark.parametrize("shape", [(3, 5), (16, 8), (1, 7), (40, 21)])
+def test_places_of_what_is_true(shape):
+    for share in (0, 0.02, 0.7):
+        at = np.random.default_rng(3).random(shape) < share
+        assert near_vectors._where(at).tolist() == np.flatnonzero(at).tolist()
+
+
 def brute_codes(rows, parts, entries, rounds, scale):
     """Product codes by plain Python integers; rows of (vec_id, vector, label)."""
     kept = [(i, [math.floor(scale * x) if abs(x) < 1e300 else int(x) * scale for x in v], k) for i, v, k in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
