@@ -9,11 +9,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import geometry as G
 from ..errors import InvalidSchema, Unsupported
 from ..functions import dtypes as D
 from ..functions import scalar as S
+from ..session import without_shuffles
 from ..tensor import Tensor, axes, grid
 from .runs import sums as run_sums
 
@@ -113,12 +115,27 @@ def _split(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFram
     return left, right, [*keys, "salt"]
 
 
-def _dealt(left: DataFrame, right: DataFrame, batch: list[str], outer, counted: bool) -> tuple[DataFrame, list[list[str]]]:
+def _turned(a: Tensor, b: Tensor) -> bool:
+    """Whether one of two matrices is the other with its axes swapped, so that their product is its own transpose."""
+    return a.ndim == 2 and any(x.turned is not None and x.turned[0] is y and list(x.turned[1]) == [1, 0] for x, y in ((a, b), (b, a)))
+
+
+def _lean(n: int | None) -> tuple[str, int]:
+    """The least integer type for the numbers below n less half of its range, and that half."""
+    for bits, kind in ((8, "tinyint"), (16, "smallint"), (32, "int")):
+        if n is not None and n <= 1 << bits:
+            return kind, 1 << bits - 1
+    return "bigint", 0
+
+
+def _dealt(left: DataFrame, right: DataFrame, batch: list[str], outer, counted: bool, n: int | None = None, half: bool = False) -> tuple[DataFrame, list[list[str]]]:
     """The cells that meet, dealt out by runs of the left side's outer coordinates (``outer``: their shape, with that of
     the batch), so that all of a sum come to one task; and the groups in which to add them up. The cells of both sides at
-    an inner coordinate travel as arrays, once for each run that has some there. ``counted``: a job counts the cells of
+    an inner coordinate travel as arrays, once for each run that has some there; those of the right side, which are
+    most of what travels, in the least type for their coordinates (below ``n``) and in bytes where all values of an
+    array are small integers (``small``, else ``ys``). ``counted``: a job counts the cells of
     the runs; those with more than twice an even share are dealt out by the inner coordinate too, and their sums added
-    up once more. A partition holds whole runs."""
+    up once more. ``half``: only the cells from a run's least outer coordinate on. A partition holds whole runs."""
     tasks, size, keys = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), G.size(outer), [*batch, "k"]
     side = max(min(max(-(-size // tasks), LEAST_RUN), MOST_RUN), -(-size // (16 * tasks)))
     runs = max(1, -(-size // side))
@@ -128,23 +145,39 @@ def _dealt(left: DataFrame, right: DataFrame, batch: list[str], outer, counted:
     left = left.withColumn("o", flat).withColumn("run", F.call_function("div", F.col("o"), F.lit(side).cast("long")).cast("int"))
     groups = [["run", "i", "j"]]
     if counted:
-        counts = dict(map(tuple, left.groupBy("run").count().collect()))
-        if heavy := [run for run, n in counts.items() if n * runs > 2 * sum(counts.values())]:
+        with without_shuffles(left.sparkSession):
+            counts = dict(map(tuple, left.groupBy("run").count().collect()))
+        if heavy := [run for run, n_cells in counts.items() if n_cells * runs > 2 * sum(counts.values())]:
             further = F.pmod(F.col("run") + F.pmod(F.xxhash64(*keys), F.lit(runs)), F.lit(runs)).cast("int")
             left = left.withColumn("run", F.when(F.col("run").isin(heavy), further).otherwise(F.col("run")))
             groups.append(["i", "j"])
-    lefts = left.repartition(tasks, *keys).groupBy(*keys, "run").agg(F.collect_list(F.struct("o", "x")).alias("l"))
+    kind, shift = _lean(n)
+    lefts = left.repartition(tasks, *keys).groupBy(*keys, "run").agg(F.collect_list(F.struct("o", "x")).alias("l"), (F.min("o") - shift).alias("least"))
     # By their number, for cells that are far apart; by far larger ranges before, so that no array holds a whole row.
     far = F.call_function("div", F.col("j"), F.lit(ROW << 12).cast("long")).alias("far")
-    rights = right.repartition(tasks, *keys).groupBy(*keys, far).agg(F.collect_list(F.struct("j", "y")).alias("r"))
+    rights = right.repartition(tasks, *keys).groupBy(*keys, far).agg(F.collect_list(F.struct((F.col("j") - shift).cast(kind).alias("j"), "y")).alias("r"))
     cut = F.transform(F.sequence(F.lit(1), F.size("r"), F.lit(ROW)), lambda at: F.slice("r", at, F.lit(ROW)))
     rights = rights.select(*keys, F.explode(F.when(F.size("r") <= ROW, F.array("r")).otherwise(cut)).alias("r"))
-    met = lefts.join(rights, keys).select("run", (F.col("k") < 0).alias("mark"), *(F.col(c).alias(name) for c, name in (("l.o", "os"), ("l.x", "xs"), ("r.j", "js"), ("r.y", "ys"))))
+    values = {"ys": F.col("r")}
+    if plain := not isinstance(right.schema["y"].dataType, StructType):
+        few = F.forall("r", lambda c: c["y"].between(-127, 127) & (c["y"] == F.floor(c["y"])))
+        rights = rights.withColumn("few", few)
+        # Empty and not null where they do not hold: Arrow's writer goes through all nulls before a row once more.
+        given = lambda yes: F.when(yes, F.col("r")).otherwise(F.slice("r", 1, 0))
+        byte = lambda c: F.struct(c["j"].alias("j"), c["y"].try_cast("tinyint").alias("y"))
+        values = {"small": F.transform(given(F.col("few")), byte), "ys": given(~F.col("few"))}
+    rights = rights.select(*keys, *(["few"] if plain else []), *(v.alias(name) for name, v in values.items()))
+    met = lefts.join(rights, keys)
+    if half:
+        met = met.withColumns({name: F.filter(name, lambda c: c["j"] >= F.col("least")) for name in values})
+    j = F.when(F.col("few"), F.col("small.j")).otherwise(F.col("ys.j")) if plain else F.col("ys.j")
+    met = met.select("run", (F.col("k") < 0).alias("mark"), *(F.col(c).alias(name) for c, name in (("l.o", "os"), ("l.x", "xs"))), j.alias("js"), *(F.col(f"{name}.y").alias(name) for name in values))
     return met.repartitionById(runs, F.col("run")), groups
 
 
 def _by_runs(a: Tensor, b: Tensor, left: DataFrame, right: DataFrame, batch: list[str], counted: bool, marked: bool) -> DataFrame:
-    """The contraction with products made and added up behind the exchange of ``_dealt``. ``marked``: as in ``_with_marks``."""
+    """The contraction with products made and added up behind the exchange of ``_dealt``. ``marked``: as in ``_with_marks``.
+    Of a product that is its own transpose, the cells from the diagonal on are made, and shown twice."""
     d, outer = a.dtype, a.shape[:-1]
     wide = D.DTYPES["i64" if d.integer else "f64" if d.kind == "f" else "c64"]
     number = lambda v: D.wide(v, d) if d.integer else v.cast("double") if d.kind == "f" else D.make(v["re"], v["im"], wide)
@@ -152,19 +185,22 @@ def _by_runs(a: Tensor, b: Tensor, left: DataFrame, right: DataFrame, batch: lis
     if marked:
         left = _marked(left, "x", -1, -2, batch, "i", outer, wide)
         right = _marked(right, "y", -2, -1, batch, "j", (*b.shape[:-2], b.shape[-1]), wide)
-    met, groups = _dealt(left, right, batch, outer, counted)
+    half = _turned(a, b)
+    met, groups = _dealt(left, right, batch, outer, counted, b.shape[-1], half)
     partial, parts = len(groups) > 1, ["re", "im"] if d.kind == "c" else ["v"]
     sides = [(F.col(f"{v}s.{p}") if d.kind == "c" else F.col(f"{v}s")).alias(f"{v}{p}") for v in "xy" for p in parts]
     values = [*parts, *(["missed"] if partial and marked else [])]
     kind = {p: wide.sql if d.kind != "c" else "double" for p in parts} | {"missed": "long"}
-    names, most, row = ["o", "j", *values], CELLS, ROW
+    names, most, row, shift = ["o", "j", *values], CELLS, ROW, _lean(b.shape[-1])[1]
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run_sums(batches, parts, names, most, row)
+        return run_sums(batches, parts, names, most, row, shift, half)
 
-    schema = ", ".join(["o long", "j array<long>", *(f"{v} array<{kind[v]}>" for v in values)])
-    out = met.select("mark", "os", "js", *sides).mapInArrow(product, schema)
-    out = out.select("*", F.posexplode("j").alias("at", "to")).select("o", F.col("to").alias("j"), *(F.col(v)[F.col("at")].alias(v) for v in values))
+    schema = ", ".join(["o long", "j array<long>", *(f"{v} array<{kind[v]}>" for v in values), *(["swap boolean"] if half else [])])
+    out = met.select("mark", "os", "js", *sides, *([] if d.kind == "c" else ["small"])).mapInArrow(product, schema)
+    out = out.select("*", F.posexplode("j").alias("at", "to")).select("o", F.col("to").alias("j"), *(F.col(v)[F.col("at")].alias(v) for v in values), *(["swap"] if half else []))
+    if half:
+        out = out.select(F.when(F.col("swap"), F.col("j")).otherwise(F.col("o")).alias("o"), F.when(F.col("swap"), F.col("o")).otherwise(F.col("j")).alias("j"), *values)
     places = [F.pmod(F.call_function("div", F.col("o"), F.lit(s).cast("long")), F.lit(n).cast("long")) for n, s in zip(outer, G.contiguous_strides(outer))]
     out = out.select(*(c.alias(name) for c, name in zip(places, [*batch, "i"])), "j", *values)
     if partial:

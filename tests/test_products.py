@@ -287,3 +287,44 @@ def test_cells_far_apart_travel_in_one_array(spark, monkeypatch):
     met, _ = matrix._dealt(left, right, [], (4,), False)
     rows = met.selectExpr("size(js) AS n").collect()
     assert len(rows) == 30 * 2 and {r["n"] for r in rows} == {4}  # of eight cells for each k, all in one run
+
+
+def test_products_with_their_own_transpose_deal_out_half_of_the_cells_in_bytes(spark):
+    draw = np.random.default_rng(4)
+    cells = [(i, k, float(draw.integers(1, 99))) for k in range(40) for i in draw.choice(500, 30, replace=False).tolist()]
+    left = spark.createDataFrame(cells, "i long, k long, x double")
+    right = left.selectExpr("k", "i AS j", "x AS y")
+    sent = {}
+    for half in (False, True):
+        met, _ = matrix._dealt(left, right, [], (500,), False, 500, half)
+        assert dict(met.dtypes)["js"] == "array<smallint>" and dict(met.dtypes)["small"] == "array<tinyint>"
+        sent[half], wide = met.selectExpr("sum(size(js))", "sum(size(ys))").first()
+        assert wide == 0
+    assert sent[True] < 0.7 * sent[False]  # of four runs
+
+
+@pytest.mark.parametrize("method", ["join", "split"])
+@pytest.mark.parametrize("most,row", [(50, 3), (1 << 20, 1 << 8)])
+def test_products_with_their_own_transpose(spark, monkeypatch, method, most, row):
+    for name, value in (("HELD", 0), ("LEAST_RUN", 4), ("CELLS", most), ("ROW", row)):
+        monkeypatch.setattr(matrix, name, value)
+    draw = np.random.default_rng(8)
+    small = np.where(draw.random((17, 40)) < 0.3, draw.integers(-127, 128, (17, 40)), 0).astype(float)
+    mixed, odd = small.copy(), small.copy()
+    mixed[3:9] = np.where(mixed[3:9] != 0, mixed[3:9] * 3.5 + 200, 0)
+    small[5] = 1  # a row that is dealt out by split
+    odd[2, 7], odd[4, 30], odd[4, 31], odd[9, 0] = np.inf, np.nan, -np.inf, 1e300
+    for x in (small, mixed, odd):
+        t = tensor(spark, x)
+        with np.errstate(all="ignore"):
+            np.testing.assert_allclose(t.mt().matmul(t, method).to_numpy(), x.T @ x, rtol=1e-9)
+            np.testing.assert_allclose(t.matmul(t.mt(), method).to_numpy(), x @ x.T, rtol=1e-9)
+    ints = np.where(small != 0, draw.integers(-(2**62), 2**62, small.shape), 0)
+    t = tensor(spark, ints, "i64")
+    with np.errstate(all="ignore"):
+        np.testing.assert_array_equal(t.mt().matmul(t, method).to_numpy(), ints.T @ ints)
+    z = tensor(spark, mixed * (1 + 2j), "c64")
+    np.testing.assert_allclose(z.mt().matmul(z, method).to_numpy(), (mixed.T * (1 + 2j)) @ (mixed * (1 + 2j)), rtol=1e-9)
+    # Turned, but not of the same values.
+    t = tensor(spark, small)
+    np.testing.assert_allclose(t.mt().matmul(t.mul_scalar(2.5), method).to_numpy(), small.T @ small * 2.5, rtol=1e-9)
