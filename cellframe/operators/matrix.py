@@ -218,7 +218,7 @@ def matmul(a: Tensor, b: Tensor, method: str = "join") -> Tensor:
     in one task. ``split`` does so after it has counted the cells at each k (of such products, those of each run of
     outer coordinates), and deals out those with a large share. ``tiles`` multiplies tiles with numpy, which moves
     each value once for every tile row or column instead of every product; integers wrap there as well, and those of
-    two sparse sides stay sparse."""
+    two sparse sides stay sparse, and go by runs as in ``join`` where the product has many cells."""
     shape = G.matmul_output_shape(a.shape, b.shape)
     if a.dtype != b.dtype:
         raise InvalidSchema(f"dtypes {a.dtype.name} and {b.dtype.name}")
@@ -228,9 +228,11 @@ def matmul(a: Tensor, b: Tensor, method: str = "join") -> Tensor:
         raise Unsupported(f"matmul by {method}")
     if method == "tiles":
         stored = d.integer and a.sparse and b.sparse
-        out = a.like(_tiled(a, b, batch, stored), shape=shape, sparse=stored)
-        out.factors = (a, b)
-        return out
+        if not stored or shape[-2] * shape[-1] <= HELD:
+            out = a.like(_tiled(a, b, batch, stored), shape=shape, sparse=stored)
+            out.factors = (a, b)
+            return out
+        # A tile of few stored cells has hardly two products of a sum, so tiles would move nearly every product.
     left = a.df.select(*batch, F.col(f"c{r - 2}").alias("i"), F.col(f"c{r - 1}").alias("k"), F.col("v").alias("x"))
     right = b.df.select(*batch, F.col(f"c{r - 2}").alias("k"), F.col(f"c{r - 1}").alias("j"), F.col("v").alias("y"))
     finite = d.integer or not (a.sparse or b.sparse)

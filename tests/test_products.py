@@ -328,3 +328,20 @@ def test_products_with_their_own_transpose(spark, monkeypatch, method, most, row
     # Turned, but not of the same values.
     t = tensor(spark, small)
     np.testing.assert_allclose(t.mt().matmul(t.mul_scalar(2.5), method).to_numpy(), small.T @ small * 2.5, rtol=1e-9)
+
+
+def test_tiles_of_few_stored_integers_shuffle_no_products(spark, monkeypatch):
+    from test_filled import moved
+
+    monkeypatch.setattr(matrix, "FINE", 8)
+    monkeypatch.setattr(matrix, "STRIP", 1 << 10)
+    draw = np.random.default_rng(6)
+    x = np.zeros((64, 300), np.int64)
+    for r in x:
+        r[draw.choice(300, 30, replace=False)] = draw.integers(-(2**62), 2**62, 30)
+    a, b = tensor(spark, x, "i64"), tensor(spark, x % 90, "i64")
+    p = a.mt().matmul(b, "tiles")
+    with np.errstate(all="ignore"):
+        wanted = x.T @ (x % 90)
+    assert p.sparse and {tuple(r[:2]): r[2] for r in p.rows().collect()} == {c: v for c, v in np.ndenumerate(wanted) if v}
+    assert moved(spark, p.rows()) < 10 * np.count_nonzero(x) < np.count_nonzero(wanted) / 2
