@@ -334,7 +334,7 @@ def test_tiles_of_few_stored_integers_shuffle_no_products(spark, monkeypatch):
     from test_filled import moved
 
     monkeypatch.setattr(matrix, "FINE", 8)
-    monkeypatch.setattr(matrix, "STRIP", 1 << 10)
+    monkeypatch.setattr(matrix, "STRIP", 1 << 7)  # a tile has its inner coordinates in strips
     draw = np.random.default_rng(6)
     x = np.zeros((64, 300), np.int64)
     for r in x:
