@@ -5,7 +5,7 @@ import pytest
 
 from cellframe import tensor as T
 from cellframe.geometry import At, In, Of
-from cellframe.sources import frames
+from cellframe.sources import frames, store
 from cellframe.streaming import batches
 
 
@@ -51,6 +51,26 @@ def test_every_cell_once(spark, monkeypatch, sparse, run, part):
     assert [v for b in batches.read_blocks(t) for v in b] == x.ravel().tolist()
 
 
+@pytest.mark.parametrize("lane,part", [(4, 100), (9, 1 << 20), (64, 1 << 20)])
+def test_every_cell_once_in_lanes(spark, monkeypatch, sparse, lane, part):
+    for name, value in (("LANE", lane), ("LANES_FROM", 2), ("RUN", 64), ("PART", part)):
+        monkeypatch.setattr(T, name, value)
+    t, x = sparse
+    rows = t.into_dense().rows().collect()
+    assert len(rows) == x.size and {tuple(r[:3]): r[3] for r in rows} == dict(np.ndenumerate(x))
+    assert [r["v"] for r in t.row_major().collect()] == x.ravel().tolist()
+
+
+def test_files_of_filled_cells_hold_few_bytes_for_a_cell(spark, tmp_path):
+    shape = (40, 20011)
+    t = frames.from_sparse_elements(spark, shape, sorted(((i % 40, i * 37 % 20011), float(i)) for i in range(1, 900)))
+    t.into_dense().gt_scalar(2.0).rows().write.parquet(f"{tmp_path}/out")
+    stored = store.copy_from_values(t, f"{tmp_path}/stored")
+    assert stored.df.count() == t.size and {tuple(r) for r in stored.df.where("v <> 0").collect()} == {tuple(r) for r in t.rows().collect()}
+    for name in ("out", "stored"):
+        assert sum(p.stat().st_size for p in (tmp_path / name).rglob("*.parquet")) < 0.6 * t.size
+
+
 def test_cells_that_are_made_are_not_shuffled(spark, sparse):
     t, x = sparse
     for df in (t.into_dense().rows(), t.into_dense().gt_scalar(2.0).rows(), frames.fill(frames.create(spark, t.shape), 1.0).add(t).rows(), t.row_major()):
